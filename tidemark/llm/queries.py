@@ -3,10 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document and in the layers encoded inside it."""
+    from .secret_scan import scan_documents
+
+    return scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights; documents of plain words are likelier in a partial epoch."""
+    from .mixing import mix, size_of
+
+    docs = table(spark, sf_dir, "documents")
+    plain = F.least(F.lit(1.0), 6.5 * size_of(F.col("text")) / F.greatest(F.length("text"), F.lit(1)))
+    return mix(docs, quality=plain)
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingle sets have a Jaccard index of 0.75 or more."""
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and their decoding, as digests, of every document under the multilingual vocabulary."""
     import public_tokenizers
@@ -18,6 +42,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
+    "op4_source_mix": op4_source_mix,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_byte_bpe": op10_byte_bpe,
 }
 

@@ -41,13 +41,17 @@ def column_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(offs: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+#: Texts that are handled together at most; a text's number in a slice has 13 bits.
+SLICE_TEXTS = 8000
+
+
+def slices(offs: np.ndarray, most: int = SLICE_BYTES, texts: int = SLICE_TEXTS) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about `most` bytes; a longer text stands alone."""
     n, at = len(offs) - 1, 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
-        yield at, min(to, n)
-        at = min(to, n)
+        to = max(at + 1, min(int(np.searchsorted(offs, offs[at] + most, "right")) - 1, at + texts, n))
+        yield at, to
+        at = to
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,5 +98,35 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return h, s, e, np.searchsorted(offs, s, "right") - 1
 
 
-def word_counts(text_of: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(text_of, minlength=n)
+#: Bits of a shingle's number; the bits above hold its text's number in a slice.
+SHINGLE_BITS = 51
+_STEP = [np.uint64(pow(0xBF58476D1CE4E5B9, k + 1, 1 << 64)) for k in range(8)]
+
+
+def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, texts) of the distinct word shingles, ascending within each text.
+
+    A text of fewer words has its whole sequence as one shingle, one without words none.
+    """
+    h, _, _, of = words(data, offs)
+    n = len(offs) - 1
+    count = np.bincount(of, minlength=n)
+    first = np.zeros(n + 1, np.int64)
+    np.cumsum(count, out=first[1:])
+    runs = np.arange(max(0, len(h) - size + 1))
+    runs = runs[of[runs] == of[runs + size - 1]] if len(runs) else runs
+    total = np.zeros(len(runs), np.uint64)
+    for k in range(size):
+        total += h[runs + k] * _STEP[k]
+    texts = of[runs]
+    short = np.flatnonzero((count > 0) & (count < size))
+    if len(short):
+        whole = count[short].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+        for k in range(size - 1):
+            has = count[short] > k
+            whole[has] += h[first[short[has]] + k] * _STEP[k]
+        total, texts = np.concatenate([total, whole]), np.concatenate([texts, short])
+    key = np.sort((texts.astype(np.uint64) << np.uint64(SHINGLE_BITS)) | (mix(total) >> np.uint64(64 - SHINGLE_BITS)))
+    if len(key):
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    return (key & np.uint64((1 << SHINGLE_BITS) - 1)).astype(np.int64), (key >> np.uint64(SHINGLE_BITS)).astype(np.int64)
