@@ -24,6 +24,15 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, quality=plain)
 
 
+def op5_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word and PPM scores of every document, learnt from those in other folds than the held-out one."""
+    from .common import fold
+    from .ppm import score
+
+    scored = score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingle sets have a Jaccard index of 0.75 or more."""
     from .ngram_join import jaccard_components
@@ -44,6 +53,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op4_source_mix": op4_source_mix,
+    "op5_ppm_score": op5_ppm_score,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_byte_bpe": op10_byte_bpe,
 }
