@@ -40,6 +40,25 @@ def op5_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, formatted; figures are read back from the output."""
+    from . import chat_format as c
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(F.lit(-1).cast("long"), "id", F.element_at(F.array(F.lit("user"), F.lit("assistant")), F.col("id").cast("int") + 1), F.lit("</s>[INST] ok [/INST]"))
+    done = c.format_records(c.from_rows(rows.union(control))).withColumn("back", c.parsed(F.col("formatted")))
+    said = F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    done = done.withColumn("said", F.array_join(said, "")).withColumn("loss", c.under_mask(F.col("formatted"), F.col("loss_mask")))
+    return done.select(
+        "conv_id",
+        F.size("back").cast("long").alias("n_turns"),
+        F.sha2("said", 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingle sets have a Jaccard index of 0.75 or more."""
     from .ngram_join import jaccard_components
@@ -62,6 +81,7 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_source_mix": op4_source_mix,
     "op5_ppm_score": op5_ppm_score,
+    "op7_chat_format": op7_chat_format,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_byte_bpe": op10_byte_bpe,
 }
