@@ -59,6 +59,13 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited version, and their likeness."""
+    from .iblt import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingle sets have a Jaccard index of 0.75 or more."""
     from .ngram_join import jaccard_components
@@ -82,6 +89,7 @@ QUERIES = {
     "op4_source_mix": op4_source_mix,
     "op5_ppm_score": op5_ppm_score,
     "op7_chat_format": op7_chat_format,
+    "op8_iblt_fingerprint": op8_iblt_fingerprint,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_byte_bpe": op10_byte_bpe,
 }
