@@ -40,6 +40,13 @@ def op5_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings whose cosine is 0.95 or more."""
+    from .rotation_codes import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one of control strings, formatted; figures are read back from the output."""
     from . import chat_format as c
@@ -88,6 +95,7 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_source_mix": op4_source_mix,
     "op5_ppm_score": op5_ppm_score,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_iblt_fingerprint": op8_iblt_fingerprint,
     "op9_jaccard_join": op9_jaccard_join,
