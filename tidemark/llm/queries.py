@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labelled rows of other folds than the held-out one."""
+    from .common import fold
+    from .toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    net = train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    scored = score(docs, net)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document and in the layers encoded inside it."""
     from .secret_scan import scan_documents
@@ -91,6 +102,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_source_mix": op4_source_mix,
