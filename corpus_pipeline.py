@@ -1,10 +1,75 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Documents that read as toxic go; of near-duplicate documents one stays; secrets are
+masked; sources are mixed to their weights; what is left is encoded. Every stage but the last
+returns the columns of documents and works on all rows that its predecessor kept. Null texts are
+empty to every stage; empty tables pass through as empty.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.byte_bpe import encode
+from tidemark.llm.common import few, table, written
+from tidemark.llm.mixing import mixed_documents
+from tidemark.llm.ngram_join import jaccard_components
+from tidemark.llm.secret_scan import redact_documents
+from tidemark.llm.toxicity import score, train
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5, by a network trained on the labelled ones."""
+    net = train(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    return score(docs, net, keep=docs.columns).where("score < 0.5").drop("score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of documents with a Jaccard index of 0.75 or more, that of the least id."""
+    linked = written(jaccard_components(docs))
+    gone = linked.where("doc_id != component_id").select("doc_id").distinct()
+    left = docs.join(few(gone), "doc_id", "left_anti")
+    again = linked.where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return left
+    # one id in several rows of one text: one of them stays
+    again = few(again)
+    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark and n_chars that of the new text."""
+    return redact_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixed_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids) of each document that is left, for each time it is taken."""
+    import public_tokenizers
+
+    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("decoded")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_duplicates),
+    ("secret_scan", mask_secrets),
+    ("source_mix", mix_sources),
+    ("byte_bpe", tokenize),
+]
+
+#: Trained weights and hashed keys decide here, which SQL cannot express.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the documents of sf_dir."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
+    return docs

@@ -49,16 +49,20 @@ def targets(sizes: DataFrame, weights: list[float], cap: float) -> DataFrame:
     return ranked.select("source", "source_size", F.least("most", F.col("weight") * level).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, carry: bool = False) -> DataFrame:
     """(id_col, size, source_size, target, taken, epochs): the words the mix takes of each document.
 
+    With carry, a column `row` holds the document's own columns.
+
     quality is a positive weight for a document within its source's last, partial epoch.
     epochs is the number of whole copies; taken - epochs * size words come from a further one.
     """
     u = (F.pmod(F.xxhash64(id_col, source_col, text_col, F.lit(20)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     key = -F.log(u) / F.greatest(F.coalesce(quality if quality is not None else F.lit(1.0), F.lit(1.0)), F.lit(1e-6))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"), key.alias("key"))
-    rows = written(rows.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * BINS), F.lit(BINS - 1)).cast("int")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"), key.alias("key"), *[F.struct("*").alias("row")] * carry)
+    every = rows.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * BINS), F.lit(BINS - 1)).cast("int"))
+    rows = written(every.drop("row"))
+    every = every if carry else rows
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
     goal = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), list(weights), cap)
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -71,10 +75,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goal = named.join(ends, F.col("of").eqNullSafe(F.col("s")), "left").drop("s")
     # where no bin reaches the rest, nothing is left to take: rest is 0
     goal = written(goal.select("of", "source_size", "target", "epochs", "rest", F.coalesce("last_bin", F.lit(-1)).alias("last_bin"), F.coalesce("before", F.lit(0)).alias("before")))
-    with_goal = rows.join(few(goal), F.col("source").eqNullSafe(F.col("of")))
+    with_goal = every.join(few(goal), F.col("source").eqNullSafe(F.col("of")))
     inside = with_goal.where("bin != last_bin").withColumn("part", F.when(F.col("bin") < F.col("last_bin"), F.col("size")).otherwise(0))
     order = Window.partitionBy("of").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = with_goal.where("bin = last_bin").withColumn("done", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     edge = edge.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("done")))).drop("done")
     both = inside.unionByName(edge)
-    return both.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), "epochs")
+    return both.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), "epochs", *["row"] * carry)
+
+
+def mixed_documents(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that the mix takes: one for each whole copy, and the part that fills a target
+    as a copy of its first words."""
+    taken = mix(docs, text_col=text_col, carry=True, **how)
+    part = F.col("taken") - F.col("epochs") * F.col("size")
+    rows = taken.withColumn("part", part).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs") + 1)))
+    rows = rows.where("copy <= epochs AND size > 0 OR copy > epochs AND part > 0")
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col("row")[text_col], F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), 0), F.lit(1), F.col("part").cast("int")), "")
+    cut = F.when((F.col("copy") > F.col("epochs")) & (F.col("part") < F.col("size")), first).otherwise(F.col("row")[text_col])
+    return rows.select(*[cut.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

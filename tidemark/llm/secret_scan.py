@@ -203,3 +203,19 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", redacted string" * redact
     return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def redact_documents(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """docs with every secret in text_col, encoded ones too, replaced by a mark; null texts stay null."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place)
+            for a, b in slices(column_bytes(texts)[1]):
+                new = [t and redacted(t, scan(t)[1], mark) for t in texts.slice(a, b - a).to_pylist()]
+                cols = [c.slice(a, b - a) for c in batch.columns]
+                cols[place] = pa.array(new, pa.string())
+                yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
