@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .textblock import BYTE_CODE, column_bytes, mix, slices, words
 
 #: Labelled rows of each class that training takes at most.
-SAMPLE = {1: 2500, 0: 5000}
+SAMPLE = {1: 2000, 0: 4000}
 WINDOW, STRIDE = 32, 16
 WORD_DIM = CHAR_DIM = HIDDEN = ATTENTION = 8
 TRIGRAMS = 4096
@@ -197,11 +197,14 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Network:
     """A network trained on texts and their labels (0 or 1)."""
     data, offs = column_bytes(texts)
     n = len(offs) - 1
-    h, s, e, of = words(data, offs)
+    parts = [(a, words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])) for a, b in slices(offs)]
+    h = np.concatenate([np.zeros(0, np.uint64), *[p[0] for _, p in parts]])
+    s, e = (np.concatenate([np.zeros(0, np.int64), *[p[k] + offs[a] for a, p in parts]]) for k in (1, 2))
+    of = np.concatenate([np.zeros(0, np.int64), *[p[3] + a for a, p in parts]])
     distinct, once, row = np.unique(h, return_index=True, return_inverse=True)
-    pairs = np.unique(np.stack([row, of], 1), axis=0) if len(h) else np.zeros((0, 2), np.int64)
-    in_toxic = np.bincount(pairs[:, 0], toxic[pairs[:, 1]], minlength=len(distinct))
-    in_texts = np.bincount(pairs[:, 0], minlength=len(distinct))
+    pairs = np.unique(row * max(n, 1) + of)
+    in_toxic = np.bincount(pairs // max(n, 1), toxic[pairs % max(n, 1)], minlength=len(distinct))
+    in_texts = np.bincount(pairs // max(n, 1), minlength=len(distinct))
     known = np.flatnonzero(in_texts >= WORD_TEXTS)
     if len(known) > WORDS:
         known = np.sort(known[np.argsort(-in_texts[known], kind="stable")[:WORDS]])
