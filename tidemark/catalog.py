@@ -1,13 +1,285 @@
-"""The engine's registered queries and their SQL counterparts."""
+"""The engine's registered queries and their SQL counterparts.
 
+Each query derives its bars, events or intervals from the tables it is given. The SQL computes
+the same with integers of 1e-8, so both sides are exact before they become doubles.
+"""
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import timegrid as g
+from .operators import costs, ledger, metrics, quality, rolling
+from .plans import views
+from .sources import paging, parse, store
+
+H1, H4 = g.DURATIONS["1h"], g.DURATIONS["4h"]
+#: Length, step and context of rolling windows, in bars.
+LENGTH, STEP, CONTEXT = 30, 10, 5
+AS_OF = 1_706_000_000_000_000
+COST = costs.composite(costs.commission("0.001"), costs.half_spread("0.0005"), costs.slippage("0.001"))
+
+
+def _round(c: Column | str, name: str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c.cast("double"), 6).alias(name)
+
+
+def _bars(spark: SparkSession, sf: str, timeframe: str = "4h") -> DataFrame:
+    return views.candles(spark, sf, timeframe)
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.islands(_bars(spark, sf), H4)
+
+
+def _ledger(spark: SparkSession, sf: str, funded: bool = False) -> DataFrame:
+    bars = _runs(spark, sf)
+    due = None
+    if funded:
+        starts = bars.groupBy("run_id", "symbol").agg(F.min("open_us").alias("eval_start"), (F.max("open_us") + H4).alias("run_end"))
+        # an event belongs to the run of its symbol that spans it: by the bar it falls in
+        slots = bars.select("run_id", "symbol", F.col("open_us").alias("slot"))
+        events = views.funding(spark, sf).withColumn("slot", g.floor_to(F.col("event_us"), H4)).join(slots, ["symbol", "slot"])
+        due = ledger.due_marks(events.drop("symbol"), H4, starts.select("run_id", "eval_start"))
+    return ledger.replay(bars, ledger.momentum(), H4, cost=COST, funding=due)
+
+
+def _candles(timeframe: str):
+    def query(spark, sf):
+        return _bars(spark, sf, timeframe).select("symbol", "open_us", *[_round(c, c) for c in ("open", "high", "low", "close")], F.col("volume").cast("long").alias("volume"))
+
+    return query
+
+
+def grid_alignment(spark, sf):
+    us = F.col("ts_us")
+    return views.events(spark, sf).select("event_id", g.is_grid_aligned(us, H1).alias("aligned"), g.floor_to(us, H1).alias("slot_us"))
+
+
+def availability(spark, sf):
+    open_us = F.col("open_us")
+    return _bars(spark, sf).select("symbol", "open_us", g.availability(open_us, H4).alias("available_us"), g.is_available(open_us, H4, F.lit(AS_OF)).alias("available"))
+
+
+def effective_end_clamp(spark, sf):
+    last = views.events(spark, sf).groupBy("symbol").agg(F.max("ts_us").alias("as_of_us"))
+    end = g.floor_to(F.col("as_of_us"), H1) + 5 * H1
+    rows = last.withColumn("requested_end", end).withColumn("effective_end", g.effective_end(end, F.col("as_of_us"), H1))
+    return rows.withColumn("excluded", g.excluded_tail(F.col("requested_end"), F.col("effective_end"), H1))
+
+
+def finalized_filter(spark, sf):
+    rows = _bars(spark, sf, "1h").withColumn("close_ms", ((F.col("open_us") + H1) / 1000 - 1).cast("long"))
+    return rows.where(g.is_finalized(F.col("open_us"), F.col("close_ms"), H1, F.lit(AS_OF))).select("symbol", "open_us", "close_ms")
+
+
+def missing_slots(spark, sf):
+    bars = _bars(spark, sf, "1h")
+    return quality.missing_slots(bars, views.ranges(bars, H1), H1).select("symbol", "open_us")
+
+
+def quality_report(spark, sf):
+    parts = []
+    for name, dur in (("1h", H1), ("4h", H4)):
+        bars = _bars(spark, sf, name)
+        parts.append(quality.report(bars, views.ranges(bars, dur), dur).withColumn("timeframe", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
+def quality_samples(spark, sf):
+    bars = _bars(spark, sf, "1h")
+    return quality.missing_samples(bars, views.ranges(bars, H1), H1)
+
+
+def range_scan_half_open(spark, sf):
+    return _bars(spark, sf, "1h").where(g.in_range(F.col("open_us"), AS_OF - AS_OF % H1 - 240 * H1, AS_OF - AS_OF % H1)).select("symbol", "open_us", _round("close", "close"))
+
+
+def event_scan_tie_order(spark, sf):
+    order = Window.partitionBy("symbol", "event_us").orderBy("rate_type")
+    return views.funding(spark, sf).select("symbol", "event_us", "rate_type", _round("funding_rate", "funding_rate"), F.row_number().over(order).cast("long").alias("tie"))
+
+
+def coverage_overlap(spark, sf):
+    bars = _bars(spark, sf)
+    got = quality.clipped(views.coverage(spark, sf), views.ranges(bars, H4))
+    return got.groupBy("symbol").agg(F.count("*").alias("intervals"), F.sum(F.col("e") - F.col("s")).alias("covered_us"), F.min("s").alias("first_us"), F.max("e").alias("last_us"))
+
+
+def coverage_gaps(spark, sf):
+    return quality.coverage_gaps(views.coverage(spark, sf), views.ranges(_bars(spark, sf), H4))
+
+
+def funding_quality(spark, sf):
+    return quality.funding_report(views.funding(spark, sf), views.coverage(spark, sf), views.ranges(_bars(spark, sf), H4))
+
+
+def batch_classify(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("decimal(18,2)").alias("l_quantity"))
+    old = rows.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_quantity")).alias("p")).where("l_linenumber <= 3").select("l_orderkey", "l_linenumber", "p.*")
+    got = store.classify(rows, old, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_quantity"])
+    return got.select("l_orderkey", "l_linenumber", "rows", "status")
+
+
+def _pages(spark, sf):
+    """Each event on its page of an hour, and those of an hour's last ten minutes on the next page too."""
+    rows = views.events(spark, sf).withColumn("page_no", F.floor(F.col("ts_us") / H1))
+    again = rows.where(F.pmod("ts_us", F.lit(H1)) >= 50 * 60_000_000).withColumn("page_no", F.col("page_no") + 1)
+    return rows.unionByName(again)
+
+
+def cross_page_dedup(spark, sf):
+    got = paging.merged_pages(_pages(spark, sf), ["symbol", "ts_us", "user_id"], ["value"])
+    return got.groupBy("symbol", "status").agg(F.count("*").alias("keys"), F.sum("pages").alias("pages"))
+
+
+def page_order(spark, sf):
+    pages = _pages(spark, sf).where("user_id IS NOT NULL")
+    return paging.page_order_faults(pages, "ts_us", pos="event_id", strict=False).select(F.col("page_no").cast("long").alias("page_no"), "faults")
+
+
+def order_contiguity_check(spark, sf):
+    return quality.order_faults(_bars(spark, sf, "1h"), H1)
+
+
+def positions(spark, sf):
+    return _ledger(spark, sf).select("run_id", "open_us", *[F.col(c).cast("long").alias(c) for c in ("target", "position", "delta")])
+
+
+def fills(spark, sf):
+    return _ledger(spark, sf).where("delta != 0").select("run_id", "open_us", F.col("delta").cast("long").alias("delta"), _round("fill_price", "fill_price"), _round("cost", "cost"), F.col("trades").cast("long").alias("trades"))
+
+
+def cost_components(spark, sf):
+    rows = _ledger(spark, sf).where("delta != 0")
+    q, p = F.abs("delta"), F.col("open")
+    parts = {"commission": costs.commission("0.001"), "half_spread": costs.half_spread("0.0005"), "slippage": costs.slippage("0.001"), "total": COST}
+    return rows.groupBy("run_id").agg(*[_round(F.sum(m(q, p)), n) for n, m in parts.items()])
+
+
+def trade_counts(spark, sf):
+    return _ledger(spark, sf).groupBy("symbol").agg(F.sum("trades").cast("long").alias("trades"), F.count_if(F.col("delta") != 0).alias("fills"))
+
+
+def funding_asof(spark, sf):
+    return _ledger(spark, sf, True).where("funding IS NOT NULL").select("run_id", "mark_us", F.col("position").cast("long").alias("position"), _round("funding", "funding"), _round("funding_cost", "funding_cost"))
+
+
+def equity_curve(spark, sf):
+    return _ledger(spark, sf, True).select("run_id", "mark_us", _round("cash", "cash"), _round("equity", "equity"))
+
+
+def backtest_summary(spark, sf):
+    s = ledger.summary(_ledger(spark, sf, True))
+    return s.select("run_id", *[_round(c, c) for c in ("final_cash", "final_equity", "realized", "unrealized", "total_cost")], "final_position", "fills", "trades", "bars")
+
+
+def pnl_reconciliation(spark, sf):
+    return ledger.summary(_ledger(spark, sf, True)).select("run_id", "balanced", _round(F.col("final_equity") - 1000, "total_pnl"))
+
+
+def context_evaluation(spark, sf):
+    bars = _runs(spark, sf)
+    bars = bars.withColumn("eval_start", F.min("open_us").over(Window.partitionBy("run_id")) + CONTEXT * H4)
+    rows = ledger.replay(bars, ledger.momentum(), H4, cost=COST, eval_from=F.col("eval_start"))
+    return rows.select("run_id", "open_us", F.col("target").cast("long").alias("target"), F.col("position").cast("long").alias("position"), _round("equity", "equity"))
+
+
+def periodic_returns(spark, sf):
+    return metrics.periodic_returns(_ledger(spark, sf)).select("run_id", "open_us", _round("ret", "ret"), "bad_denominator")
+
+
+def drawdown_curve(spark, sf):
+    return metrics.drawdowns(_ledger(spark, sf)).select("run_id", "open_us", _round("peak", "peak"), _round("drawdown", "drawdown"))
+
+
+def stage1_metrics(spark, sf):
+    return metrics.stage1(_ledger(spark, sf)).select("run_id", _round("total_return", "total_return"), _round("max_drawdown", "max_drawdown"))
+
+
+def stage2_metrics(spark, sf):
+    return metrics.stage2(_ledger(spark, sf)).select("run_id", *[_round(c, c) for c in ("mean_return", "return_stdev", "sharpe_ratio")])
+
+
+def is_oos_split(spark, sf):
+    windows = rolling.rolling_windows(_runs(spark, sf), H4, LENGTH, STEP)
+    cut = F.col("start_us") + 20 * H4
+    ok = (F.pmod("start_us", F.lit(H4)) == 0) & (F.pmod("end_us", F.lit(H4)) == 0) & (cut <= F.col("end_us"))
+    return windows.select("run", "window_idx", "start_us", cut.alias("cut_us"), "end_us", ok.alias("valid"))
+
+
+def _rolling(context: int):
+    def query(spark, sf):
+        bars = _runs(spark, sf)
+        rows = rolling.window_bars(bars, rolling.rolling_windows(bars, H4, LENGTH, STEP, context), H4)
+        done = ledger.replay(rows, ledger.momentum(), H4, cost=COST, eval_from=F.col("eval_start"))
+        s = ledger.summary(done).join(metrics.stage1(done), "run_id")
+        return s.select("run_id", _round("final_equity", "final_equity"), "fills", "trades", "bars", _round("total_return", "total_return"), _round("max_drawdown", "max_drawdown"))
+
+    return query
+
+
+def transport_bounds(spark, sf):
+    us = F.col("ts_us") + F.pmod("event_id", F.lit(3))
+    return views.events(spark, sf).select("event_id", g.transport_start_ms(us).alias("start_ms"), g.transport_end_ms(us).alias("end_ms"), g.exact_ms(us).alias("exact_ms"))
+
+
+def kline_parse(spark, sf):
+    v = F.col("value").cast("string")
+    bad = F.col("event_id") % 7
+    first = F.when(bad == 1, F.lit("x")).otherwise(v)
+    high = F.when(bad == 2, (F.col("value") - 1).cast("string")).otherwise(v)
+    ms = F.floor(F.col("ts_us") / H1) * 3_600_000
+    text = F.concat(F.lit("["), ms.cast("string"), *[x for p in (first, high, v, v) for x in (F.lit(',"'), p, F.lit('"'))], F.lit(',"1.5"'), F.when(bad == 3, F.lit("]")).otherwise(F.concat(F.lit(","), (ms + 3_599_999).cast("string"), F.lit("]"))))
+    got = parse.klines(views.events(spark, sf).select("event_id", text.alias("raw")))
+    good = F.col("reject").isNull()
+    return got.select("event_id", F.coalesce("reject", F.lit("ok")).alias("reject"), F.when(good, F.col("open_us")).alias("open_us"), F.when(good, F.round(F.col("close").cast("double"), 6)).alias("close"))
+
+
+def funding_parse(spark, sf):
+    bad = F.col("event_id") % 6
+    ms = F.floor(F.col("ts_us") / 1000).cast("string")
+    rate = F.when(bad == 1, F.lit("0.0001")).otherwise(F.lit('"0.0001"'))
+    price = F.when(bad == 2, F.lit('"-1"')).otherwise(F.concat(F.lit('"'), (F.lit(100) + F.col("event_id") % 50).cast("string"), F.lit('"')))
+    kind = F.when(bad == 3, F.lit("Odd")).otherwise(F.lit("Regular"))
+    symbol = F.when(bad == 4, F.lit("OTHER")).otherwise(F.lit("S"))
+    text = F.concat(F.lit('{"symbol":"'), symbol, F.lit('","fundingRate":'), rate, F.lit(',"fundingTime":'), ms, F.lit(',"markPrice":'), price, F.lit(',"rateType":"'), kind, F.lit('"}'))
+    got = parse.funding_records(views.events(spark, sf).select("event_id", text.alias("raw")), "S")
+    return got.select("event_id", F.coalesce("reject", F.lit("ok")).alias("reject"), "event_us", _round("reference_price", "reference_price"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equity over the longest run of adjoining bars."""
+    bars = _runs(spark, sf_dir)
+    best = bars.groupBy("run_id").count().orderBy(F.desc("count"), "run_id").limit(1)
+    done = ledger.replay(bars.join(F.broadcast(best.select("run_id")), "run_id"), ledger.momentum(), H4, cost=COST)
+    return done.select("run_id", "mark_us", _round("equity", "equity"), F.col("position").cast("long").alias("position"))
+
+
+_QUERIES = {
+    "candles_1h": _candles("1h"),
+    "candles_4h": _candles("4h"),
+    "rolling_zero_context": _rolling(0),
+    "rolling_context_aware": _rolling(CONTEXT),
+} | {
+    f.__name__: f
+    for f in (
+        grid_alignment, availability, effective_end_clamp, finalized_filter, missing_slots, quality_report, quality_samples,
+        range_scan_half_open, event_scan_tie_order, coverage_overlap, coverage_gaps, funding_quality, batch_classify,
+        cross_page_dedup, page_order, order_contiguity_check, positions, fills, cost_components, trade_counts, funding_asof,
+        equity_curve, backtest_summary, pnl_reconciliation, context_evaluation, periodic_returns, drawdown_curve,
+        stage1_metrics, stage2_metrics, is_oos_split, transport_bounds, kline_parse, funding_parse,
+    )
+}
 
 
 def queries():
-    return {}
+    return dict(_QUERIES)
+
 
+def oracle_sql() -> dict[str, str]:
+    from .oracle import ORACLES
 
-def oracle_sql():
-    return {}
+    return dict(ORACLES)
