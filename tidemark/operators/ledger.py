@@ -7,19 +7,25 @@ order serve every column. Bars: run_id, open_us, open, high, low, close.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .costs import MONEY, CostModel, zero
 
-RUN = Window.partitionBy("run_id").orderBy("open_us")
-_UP_TO_NOW = RUN.rowsBetween(Window.unboundedPreceding, 0)
-_BEFORE = RUN.rowsBetween(Window.unboundedPreceding, -1)
 
+def in_run() -> WindowSpec:
+    """A run's bars in order."""
+    return Window.partitionBy("run_id").orderBy("open_us")
 
-def momentum(window=RUN) -> Column:
+
+def until(last: int) -> WindowSpec:
+    """A run's bars from the first to `last` rows after this one."""
+    return in_run().rowsBetween(Window.unboundedPreceding, last)
+
+
+def momentum() -> Column:
     """1 if a close is above the one before, -1 if not, 0 for the first bar."""
-    before = F.lag("close").over(window)
+    before = F.lag("close").over(in_run())
     return F.when(before.isNull(), 0).when(F.col("close") > before, 1).otherwise(-1)
 
 
@@ -49,15 +55,15 @@ def replay(bars: DataFrame, target: Column, dur: int, initial: str = "1000", qua
     else:
         rows = rows.withColumn("funding", F.lit(None).cast("decimal(24,10)"))
     q = F.lit(quantity)
-    rows = rows.withColumn("position", q * F.coalesce(F.lag("target", 1).over(RUN), F.lit(0))).withColumn("before", q * F.coalesce(F.lag("target", 2).over(RUN), F.lit(0)))
+    rows = rows.withColumn("position", q * F.coalesce(F.lag("target", 1).over(in_run()), F.lit(0))).withColumn("before", q * F.coalesce(F.lag("target", 2).over(in_run()), F.lit(0)))
     rows = rows.withColumn("delta", F.col("position") - F.col("before")).withColumn("fill_price", F.when(F.col("delta") != 0, F.col("open")))
     rows = rows.withColumn("cost", F.when(F.col("delta") != 0, cost(F.abs("delta"), F.col("open"))).otherwise(F.lit(0).cast(MONEY)))
     rows = rows.withColumn("funding_cost", (F.col("position") * F.coalesce("funding", F.lit(0))).cast(MONEY))
     paid = ((F.col("delta") * F.col("open")).cast(MONEY) + F.col("cost") + F.col("funding_cost")).cast(MONEY)
-    rows = rows.withColumn("cash", (F.lit(initial).cast(MONEY) - F.sum(paid).over(_UP_TO_NOW)).cast(MONEY))
+    rows = rows.withColumn("cash", (F.lit(initial).cast(MONEY) - F.sum(paid).over(until(0))).cast(MONEY))
     rows = rows.withColumn("equity", (F.col("cash") + (F.col("position") * F.col("close")).cast(MONEY)).cast(MONEY))
-    rows = rows.withColumn("entry", F.when(F.col("position") != 0, F.last("fill_price", True).over(_UP_TO_NOW)))
-    gain = (F.col("before") * (F.col("open") - F.last("fill_price", True).over(_BEFORE))).cast(MONEY)
+    rows = rows.withColumn("entry", F.when(F.col("position") != 0, F.last("fill_price", True).over(until(0))))
+    gain = (F.col("before") * (F.col("open") - F.last("fill_price", True).over(until(-1)))).cast(MONEY)
     rows = rows.withColumn("realized", F.when((F.col("delta") != 0) & (F.col("before") != 0), gain).otherwise(F.lit(0).cast(MONEY)))
     return rows.withColumn("trades", trades(F.col("before"), F.col("position")))
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ledger import RUN
-
-_UP_TO_NOW = RUN.rowsBetween(Window.unboundedPreceding, 0)
+from .ledger import in_run, until
 
 
 def periodic_returns(curve: DataFrame, initial: float = 1000.0) -> DataFrame:
@@ -15,13 +13,13 @@ def periodic_returns(curve: DataFrame, initial: float = 1000.0) -> DataFrame:
 
     A denominator that is not positive gives a null; `bad_denominator` marks it.
     """
-    before = F.coalesce(F.lag("equity").over(RUN).cast("double"), F.lit(initial))
+    before = F.coalesce(F.lag("equity").over(in_run()).cast("double"), F.lit(initial))
     return curve.withColumn("ret", F.when(before > 0, F.col("equity").cast("double") / before - 1)).withColumn("bad_denominator", before <= 0)
 
 
 def drawdowns(curve: DataFrame, initial: float = 1000.0) -> DataFrame:
     """curve with `peak`, at least the initial cash, and `drawdown` from it."""
-    peak = F.greatest(F.lit(initial), F.max(F.col("equity").cast("double")).over(_UP_TO_NOW))
+    peak = F.greatest(F.lit(initial), F.max(F.col("equity").cast("double")).over(until(0)))
     return curve.withColumn("peak", peak).withColumn("drawdown", (F.col("peak") - F.col("equity").cast("double")) / F.col("peak"))
 
 
