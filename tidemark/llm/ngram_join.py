@@ -8,14 +8,15 @@ their intersection is at least seventy-five times their union.
 2. Under any fixed order of shingles, two linked sets share one of their first
    n - ceil(0.75 n) + 1 shingles. The order used puts the most frequent shingles last (a
    bounded list of heavy ones), so common lines and passages hardly bring sets together.
-   Sets that share such a shingle are joined into candidate groups (connected components
-   of star edges, not of pairs). This loses no link.
-3. In a candidate group, each set is a point: its shingles counted in GROUPS groups. A
-   bulk-loaded R-tree over these points keeps, for each node, the largest count by group; the
-   overlap of a set with any set below the node is at most the sum of the smaller of the
-   counts, which drops nodes and then points. Surviving pairs whose sets are not yet
-   connected are verified exactly. Only the links of a spanning forest leave the task.
-   A group beyond GROUP_SETS is split in blocks that meet pairwise in separate tasks.
+3. Each set is a point: its shingles counted in groups, of which there are about a third of
+   its size. Sets that share a first shingle enter a bulk-loaded R-tree that keeps for each
+   node the largest count by group; the overlap of a set with any set below the node is at
+   most the sum of the smaller of the counts, which drops nodes and then points. What
+   is left is connected by edges of a spanning forest. This loses no link.
+4. In each connected candidate group the surviving pairs whose sets are not yet linked through
+   others are verified exactly, again behind an R-tree. Only the links of a spanning forest
+   leave the task. A group beyond GROUP_SETS is split in blocks that meet pairwise in
+   separate tasks.
 
 A null or empty text, and one without words, has an empty set and links with nothing.
 A row whose id is null gets no component. Repeated rows have the same set, so they link.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import few, written
 from .components import components
-from .textblock import column_bytes, mix, shingle_sets, slices
+from .textblock import SHINGLE_BITS, column_bytes, mix, shingle_sets, slices
 
 #: Groups that a set's shingles are counted in.
 GROUPS = 64
@@ -42,8 +43,10 @@ GROUP_SETS = 3000
 HEAVY = 1 << 17
 #: Occurrences in one task that bring a shingle to the count of heavy ones.
 HEAVY_LOCAL = 4
-#: Bytes of sets that one task of step 3 gets on average.
+#: Bytes of sets that one task of step 4 gets on average.
 BUCKET_BYTES = 6 << 20
+#: First shingles that one task of step 2 gets on average.
+BUCKET_KEYS = 1 << 17
 NODE = 16
 
 
@@ -68,17 +71,31 @@ def _sets(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int,
         yield a, b, *shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], size)
 
 
+def point_width(n: np.ndarray) -> np.ndarray:
+    """Groups that a set of n shingles is counted in: a power of two near n / 4."""
+    return 1 << np.clip(np.floor(np.log2(np.maximum(n, 1) / 3)).astype(np.int64), 3, 16)
+
+
+def _points(ids: np.ndarray, texts: np.ndarray, n: int) -> list[bytes]:
+    """Each text's count vector: a byte for a group, or four where a count needs them."""
+    width = point_width(np.bincount(texts, minlength=n))
+    first = np.cumsum(width) - width
+    flat = np.bincount(first[texts] + (ids & (width[texts] - 1)), minlength=int(width.sum()))
+    return [flat[s : s + w].astype(np.int32).tobytes() if flat[s : s + w].max() > 255 else flat[s : s + w].astype(np.uint8).tobytes() for s, w in zip(first, width, strict=True)]
+
+
 def set_table(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id_col, n_shingles, set): each document's set size and set hash."""
+    """(id_col, n_shingles, set, point): each document's set size, set hash and count vector."""
 
     def run(batches):
         for batch in batches:
             for a, b, ids, texts in _sets(batch, 1, size):
                 n = b - a
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(np.bincount(texts, minlength=n)), pa.array(set_hashes(ids, texts, n))], names=[id_col, "n_shingles", "set"])
+                cols = [batch.column(0).slice(a, n), pa.array(np.bincount(texts, minlength=n)), pa.array(set_hashes(ids, texts, n)), pa.array(_points(ids, texts, n), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_shingles", "set", "point"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_shingles long, set long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_shingles long, set long, point binary")
 
 
 def heavy_shingles(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
@@ -109,25 +126,105 @@ def first_shingles(ids: np.ndarray, texts: np.ndarray, n: int, heavy: np.ndarray
     return rank < (count - -(-percent * count // 100) + 1)[texts]
 
 
-def candidate_edges(docs: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
-    """(a, b): sets that share one of their first shingles, as stars around each shingle's least set."""
+def shared_first_shingles(docs: DataFrame, text_col: str, size: int, percent: int, buckets: int) -> DataFrame:
+    """(bucket, keys, sets): first shingles that more than one set has, and the sets that have them.
+
+    The rows travel as arrays of numbers by range of the shingle's hash.
+    """
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, text_col, size))
 
-    def run(batches):
+    def first(batches):
         for batch in batches:
+            keys, sets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b, ids, texts in _sets(batch, 0, size):
-                n = b - a
-                sets = set_hashes(ids, texts, n)
-                _, once = np.unique(sets, return_index=True)
-                use = np.zeros(n, bool)
+                own = set_hashes(ids, texts, b - a)
+                _, once = np.unique(own, return_index=True)
+                use = np.zeros(b - a, bool)
                 use[once] = True
-                keep = first_shingles(ids, texts, n, heavy.value, percent) & use[texts]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(sets[texts[keep]])], names=["key", "set"])
+                keep = first_shingles(ids, texts, b - a, heavy.value, percent) & use[texts]
+                keys.append(ids[keep])
+                sets.append(own[texts[keep]])
+            keys, sets = _distinct_pairs(np.concatenate(keys), np.concatenate(sets))
+            cut = np.searchsorted(keys, np.arange(buckets + 1) * ((1 << SHINGLE_BITS) // buckets + 1))
+            rows = [(k, keys[s:e].tobytes(), sets[s:e].tobytes()) for k, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "sets"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys, sets = (np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]]) for c in ("keys", "sets"))
+        keys, sets = _distinct_pairs(keys, sets)
+        same = keys[1:] == keys[:-1]
+        several = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(keys) else np.zeros(0, bool)
+        bucket = table.column("bucket")[0].as_py()
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "keys": pa.array([keys[several]], pa.list_(pa.int64())), "sets": pa.array([sets[several]], pa.list_(pa.int64()))})
+
+    keyed = docs.select(text_col).mapInArrow(first, "bucket int, keys binary, sets binary")
+    return keyed.groupBy("bucket").applyInArrow(meet, "bucket int, keys array<long>, sets array<long>")
+
+
+def _distinct_pairs(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((sets, keys))
+    keys, sets = keys[order], sets[order]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])]) if len(keys) else np.zeros(0, bool)
+    return keys[new], sets[new]
+
+
+def near_in_groups(keys: np.ndarray, rows: np.ndarray, sizes: np.ndarray, points: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Edges (row numbers) that span, in each group of rows with one key, what the bound does not part.
+
+    Rows of one width of point meet in an R-tree; those of the next width join them folded.
+    """
+    forest, out = _Forest(len(sizes)), []
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    ends = np.append(new[1:], len(keys))
+    done: set[bytes] = set()
+    for s, e in zip(new.tolist(), ends.tolist(), strict=True):
+        group = rows[s:e]
+        mark = group.tobytes()
+        if mark in done:
+            continue
+        done.add(mark)
+        width = point_width(sizes[group])
+        for w in np.unique(width).tolist():
+            own = group[(width == w) | (width == 2 * w)]
+            if len(own) < 2:
+                continue
+            flat = np.stack([points[k].reshape(-1, w).sum(0, dtype=np.int32) for k in own])
+            order = np.lexsort((flat[:, 0], sizes[own]))
+            own, flat = own[order], flat[order]
+            tree = CountTree(flat, sizes[own])
+            for q in range(1, len(own)):
+                near = tree.within(flat[q], int(sizes[own[q]]), percent)
+                near = own[near[near < q]]
+                if len(near) > 8:
+                    near = near[forest.roots(near) != forest.root(int(own[q]))]
+                for m in near.tolist():
+                    if forest.join(int(own[q]), m):
+                        out.append((int(own[q]), m))
+    return out
+
+
+def candidate_edges(docs: DataFrame, sets: DataFrame, text_col: str, size: int, percent: int, buckets: int) -> DataFrame:
+    """(a, b): edges that connect all sets which share a first shingle and may be linked."""
+    shared = written(shared_first_shingles(docs, text_col, size, percent, buckets))
+    # a point is needed once in a bucket, however many of its shingles meet there
+    need = shared.select(F.col("bucket").alias("home"), F.explode(F.array_distinct("sets")).alias("set"))
+    known = sets.groupBy("set").agg(F.first("n_shingles").alias("n"), F.first("point").alias("point"))
+    need = need.join(known, "set").select("home", "set", "n", "point")
+
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        keys, of = (np.concatenate([x.values.to_numpy() for x in left.column(c).chunks]) for c in ("keys", "sets"))
+        names, sizes = (right.column(c).to_numpy() for c in ("set", "n"))
+        order = np.argsort(names)
+        names, sizes = names[order], sizes[order]
+        wide = zip(right.column("point").take(pa.array(order)).to_pylist(), point_width(sizes).tolist(), strict=True)
+        points = [np.frombuffer(x, np.uint8 if len(x) == w else np.int32) for x, w in wide]
+        pairs = near_in_groups(keys, np.searchsorted(names, of), sizes, points, percent)
+        return pa.table({"a": pa.array([int(names[x]) for x, _ in pairs], pa.int64()), "b": pa.array([int(names[y]) for _, y in pairs], pa.int64())})
 
-    keyed = docs.select(text_col).mapInArrow(run, "key long, set long")
-    least = keyed.groupBy("key").agg(F.min("set").alias("a"), F.max("set").alias("z")).where("a < z")
-    # keys of one set only are gone now; the others' rows are read once more
-    return keyed.join(least, "key").where("set != a").select("a", F.col("set").alias("b")).distinct()
+    return shared.groupBy("bucket").cogroup(need.groupBy("home")).applyInArrow(near, "a long, b long")
 
 
 class _Forest:
@@ -217,7 +314,9 @@ def spanning_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> li
 
 def linked_sets(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """(a, b): links of a spanning forest between different sets."""
-    groups = components(candidate_edges(docs, text_col, size, percent)).withColumnRenamed("id", "set")
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    keys = max(1, int(total * (100 - percent) // 100 // BUCKET_KEYS))
+    groups = components(candidate_edges(docs, sets, text_col, size, percent, keys)).withColumnRenamed("id", "set")
     groups = written(groups.join(sets.where(F.col(id_col).isNotNull()).groupBy("set").agg(F.min(id_col).alias(id_col)), "set"))
     many = groups.groupBy("component").agg(F.count("*").alias("m")).where(f"m > {GROUP_SETS}")
     blocks = F.ceil(F.coalesce("m", F.lit(1)) / GROUP_SETS).cast("int")
@@ -243,8 +342,8 @@ def linked_sets(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, si
     # block b of a group meets every block: cell (min, max); within its own cell all pairs count
     cells = full_sets.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select("set", "component", "ids", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-    total = groups.join(sets.select("set", "n_shingles").distinct(), "set").agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, int(total * 8 // BUCKET_BYTES) + 1)
+    met = groups.join(sets.select("set", "n_shingles").distinct(), "set").agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, int(met * 8 // BUCKET_BYTES) + 1)
     cells = cells.withColumn("bucket", F.pmod(F.xxhash64("component", "i", "j"), F.lit(buckets)).cast("int"))
 
     def meet(table: pa.Table) -> pa.Table:
