@@ -39,9 +39,9 @@ GRAM = 24
 #: Anchors that one task of step 1 gets on average.
 BUCKET_ANCHORS = 1 << 20
 #: Shards whose transforms a task builds and merges.
-SHARDS = 4
+SHARDS = 2
 #: Bytes of segments that are merged together; anchors are never split.
-MERGE_BYTES = 1 << 20
+MERGE_BYTES = 56_000
 #: A window's place in a slice has this many bits; longer texts are cut into overlapping slices.
 PLACE_BITS = 24
 _BYTE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
