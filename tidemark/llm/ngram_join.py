@@ -175,7 +175,9 @@ def near_in_groups(keys: np.ndarray, rows: np.ndarray, sizes: np.ndarray, points
     Rows of one width of point meet in an R-tree; those of the next width join them folded.
     """
     forest, out = _Forest(len(sizes)), []
-    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    if not len(keys):
+        return out
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     ends = np.append(new[1:], len(keys))
     done: set[bytes] = set()
     for s, e in zip(new.tolist(), ends.tolist(), strict=True):
