@@ -23,6 +23,8 @@ from .common import few, text_or_empty
 #: Cells of the sketches that are tried in turn; the first is the fingerprint.
 SIZES = (12, 48, 192)
 PARTS = 3
+#: A sketch is tried if about this many digests for each cell, or fewer, are expected to differ.
+HOPE = 1.2
 #: Peeling rounds; each takes out every digest that lies alone somewhere.
 ROUNDS = 12
 #: Documents that one task orders on average, to find each one's next.
@@ -39,27 +41,27 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.split(text, "\n", -1), lambda p: F.xxhash64(p)))
 
 
-def _cell_of(digest: Column, cell: Column, size: int) -> Column:
-    """Whether a digest belongs to a cell of a sketch of `size` cells."""
+def _check(digest: Column) -> Column:
+    return F.xxhash64(digest, F.lit(1))
+
+
+def _cells_of(digest: Column, size: int) -> Column:
+    """The cell of each part that a digest belongs to."""
     width = size // PARTS
-    part, place = F.floor(cell / width).cast("int"), F.pmod(cell, F.lit(width))
-    return F.pmod(F.call_function("shiftrightunsigned", digest, part * 20), F.lit(width)) == place
+    places = [F.pmod(F.call_function("shiftrightunsigned", digest, F.lit(20 * part)), F.lit(width)).cast("int") for part in range(PARTS)]
+    return F.array(*[place + F.lit(part * width) for part, place in enumerate(places)])
 
 
-def _check(digest: Column) -> Column:
-    return F.xxhash64(digest, F.lit(1))
+def _added(a: Column, x: Column) -> Column:
+    return F.struct((a["n"] + F.lit(1)).alias("n"), a["key"].bitwiseXOR(x["key"]).alias("key"), a["check"].bitwiseXOR(x["check"]).alias("check"))
 
 
 def sketch(values: Column, size: int) -> Column:
     """Cells of a sketch of an array of digests."""
-
-    def cell(c: Column) -> Column:
-        mine = F.filter(values, lambda d: _cell_of(d, c, size))
-        key = F.aggregate(mine, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(d))
-        check = F.aggregate(mine, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(_check(d)))
-        return F.struct(F.size(mine).cast("long").alias("n"), key.alias("key"), check.alias("check"))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), cell)
+    placed = F.transform(values, lambda d: F.struct(d.alias("key"), _check(d).alias("check"), _cells_of(d, size).alias("at")))
+    nothing = F.struct(*[F.lit(0).cast("long").alias(x) for x in ("n", "key", "check")])
+    cells = F.sequence(F.lit(0), F.lit(size - 1))
+    return _let(placed, lambda e: F.transform(cells, lambda c: F.aggregate(F.filter(e, lambda x: F.array_contains(x["at"], c)), nothing, _added)))
 
 
 def subtracted(a: Column, b: Column) -> Column:
@@ -70,18 +72,21 @@ def peeled(cells: Column, size: int) -> Column:
     """(key, n) of the digests that a difference of sketches holds, n 1 or -1 for the side that has it;
     null if cells remain."""
     found = "array<struct<key: bigint, n: bigint>>"
-    start = F.struct(cells.alias("cells"), F.array().cast(found).alias("found"))
+    start = F.struct(cells.alias("cells"), F.array().cast(found).alias("found"), F.lit(True).alias("live"))
 
-    def without(cells: Column, keys: Column) -> Column:
-        def take(a: Column, k: Column) -> Column:
-            return F.struct((a["n"] - k["n"]).alias("n"), a["key"].bitwiseXOR(k["key"]).alias("key"), a["check"].bitwiseXOR(_check(k["key"])).alias("check"))
+    def take(a: Column, k: Column) -> Column:
+        return F.struct((a["n"] - k["n"]).alias("n"), a["key"].bitwiseXOR(k["key"]).alias("key"), a["check"].bitwiseXOR(k["check"]).alias("check"))
 
-        return F.transform(cells, lambda c, i: F.aggregate(F.filter(keys, lambda k: _cell_of(k["key"], i, size)), c, take))
+    def without(cells: Column, keys: Column) -> Column:
+        placed = F.transform(keys, lambda k: F.struct(k["key"].alias("key"), k["n"].alias("n"), _check(k["key"]).alias("check"), _cells_of(k["key"], size).alias("at")))
+        return _let(placed, lambda e: F.transform(cells, lambda c, i: F.aggregate(F.filter(e, lambda k: F.array_contains(k["at"], i)), c, take)))
 
     def step(acc: Column, _: Column) -> Column:
         alone = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"])))
         keys = F.array_distinct(F.transform(alone, lambda c: F.struct(c["key"].alias("key"), c["n"].alias("n"))))
-        return _let(keys, lambda k: F.when(F.size(k) == 0, acc).otherwise(F.struct(without(acc["cells"], k).alias("cells"), F.concat(acc["found"], k).alias("found"))))
+        more = lambda k: F.struct(without(acc["cells"], k).alias("cells"), F.concat(acc["found"], k).alias("found"), F.lit(True).alias("live"))
+        end = F.struct(acc["cells"].alias("cells"), acc["found"].alias("found"), F.lit(False).alias("live"))
+        return F.when(acc["live"], _let(keys, lambda k: F.when(F.size(k) > 0, more(k)).otherwise(end))).otherwise(acc)
 
     def result(end: Column) -> Column:
         return F.when(~F.exists(end["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0)), end["found"])
@@ -89,19 +94,38 @@ def peeled(cells: Column, size: int) -> Column:
     return _let(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step), result)
 
 
+def expected(cells: Column) -> Column:
+    """About how many digests a difference of sketches holds, from the squares of its counts.
+
+    Each part sums the signed counts of all of them, so its squares add up to their number and
+    a share of the square of the difference in size, which is known and taken off.
+    """
+    width = F.size(cells) / PARTS
+    squares = F.aggregate(cells, F.lit(0).cast("long"), lambda a, c: a + c["n"] * c["n"]) / PARTS
+    whole = F.aggregate(cells, F.lit(0).cast("long"), lambda a, c: a + c["n"]) / PARTS
+    return (squares * width - whole * whole) / (width - 1)
+
+
 def difference(a: Column, b: Column, first_a: Column | None = None, first_b: Column | None = None) -> Column:
     """(key, n) of the digests that only one of two arrays has, by sketches that grow until one
-    can be peeled; first_a and first_b are sketches of the first size already made."""
-    def at(size: int) -> Column:
-        made = size == SIZES[0] and first_a is not None
-        cells = subtracted(first_a if made else sketch(a, size), first_b if made else sketch(b, size))
-        # sets whose sizes differ by more than the cells cannot be peeled
-        return F.when(F.abs(F.size(a) - F.size(b)) <= size, _let(cells, lambda c: peeled(c, size)))
+    can be peeled; first_a and first_b are sketches of the first size already made.
+
+    A size that the first difference shows to be far too small is passed over; the next is tried."""
 
     def only(x: Column, y: Column, n: int) -> Column:
         return F.transform(F.array_except(x, y), lambda d: F.struct(d.alias("key"), F.lit(n).cast("long").alias("n")))
 
-    return F.coalesce(*[at(size) for size in SIZES], F.concat(only(a, b, 1), only(b, a, -1)))
+    def tried(first: Column) -> Column:
+        def at(size: int, about: Column) -> Column:
+            cells = first if size == SIZES[0] else subtracted(sketch(a, size), sketch(b, size))
+            # sets whose sizes differ by more than the cells cannot be peeled
+            fits = (F.abs(F.size(a) - F.size(b)) <= size) & (about <= HOPE * size)
+            return F.when(fits, _let(cells, lambda c: peeled(c, size)))
+
+        return _let(expected(first), lambda about: F.coalesce(*[at(size, about) for size in SIZES], F.concat(only(a, b, 1), only(b, a, -1))))
+
+    made = first_a is not None
+    return _let(subtracted(first_a if made else sketch(a, SIZES[0]), first_b if made else sketch(b, SIZES[0])), tried)
 
 
 def likeness(a: Column, b: Column, differing: Column) -> Column:
