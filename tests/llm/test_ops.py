@@ -244,6 +244,31 @@ def test_ppm(spark):
     assert sorted(round(r.score, 6) for r in alone) == [round(-3 * np.log10(257), 6), round(-np.log10(257), 6)]
 
 
+def test_ppm_keeps_rare_contexts(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(80)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(1000))) for i in range(130)]
+    rare = "Qwyx zjvk \u0137\u0146; Zz0 quixotry Pqr"
+    docs += [(1000, rare), (1001, rare), (1002, "jvk 0 Zq nowhere \u014b")]
+    train = [t for i, t in docs if i <= 1000]
+    assert sum(len(t.encode()) + 1 for t in train) > 1 << 19
+    got = {r.doc_id: r.score for r in ppm.score(frame(spark, docs), F.col("doc_id") <= 1000, block_bytes=100_000).collect()}
+    prob = brute_ppm(train)
+    for i, t in [d for d in docs if d[0] >= 1000 or d[0] % 40 == 0]:
+        s = [256] * 4 + list(t.encode()) + [256]
+        assert np.isclose(got[i], sum(np.log10(prob(s[p - 4 : p], s[p])) for p in range(4, len(s))))
+
+
+def test_ppm_asks_for_what_is_not_broadcast(spark, monkeypatch):
+    docs = corpus(9, 24)
+    held = F.col("doc_id") % 3 == 0
+    score = lambda: {r.doc_id: r.score for r in ppm.score(frame(spark, docs), ~held, block_bytes=500).collect()}
+    want = score()
+    monkeypatch.setattr(ppm, "FREQUENT", 50)
+    got = score()
+    assert got.keys() == want.keys() and all(np.isclose(got[i], want[i]) for i in want)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((300, 24))

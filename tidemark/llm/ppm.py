@@ -7,15 +7,18 @@ from which the symbols that followed the longer one are excluded (escape method
 likely as the number of different symbols seen). Below order 0 the unseen symbols are equally
 likely. The code length of a text is the sum over its bytes and its end mark, as log10.
 
-The counts are those of all training documents. A node of more than two symbols is kept if
-its share of all symbols is at least 1 / KEPT, at every corpus size, so an order has
-at most KEPT nodes; the trie that is broadcast is bounded by that. In a static trie the
-symbols after a context also follow each shorter one, so exclusion is a sum stored per
-context and whole arrays are scored without a loop over symbols.
-
-The base line needs the count of every word, of which there is no bound: documents are dealt
-into blocks, each block asks once for each of its words, the requests carry their own
-training counts, and the sums go back to the blocks that asked.
+The counts are those of all training documents, and every node is kept, so the trie grows
+with the corpus and is nowhere held whole. Contexts that share their last two symbols meet in
+one bucket, with all that orders two to ORDER need of each other; orders 0 and 1, of which
+there are at most 257 * 257 nodes, go along. A bucket prices each code of its contexts once. In
+a static trie the symbols after a context also follow each shorter one, so exclusion is a sum
+stored per context and whole arrays are priced without a loop over symbols. Documents are
+dealt into blocks; the prices of the most frequent codes are broadcast, and each block asks for
+those of its other ones.
+
+The base line needs the count of every word, of which there is no bound: each block
+asks once for each of its words, the requests carry their own training counts, and the sums
+go back to the blocks that asked.
 
 A null or empty text has its end mark only. Rows without id count as training rows.
 Repeated rows count repeatedly. An empty table gives no rows; without any training row all
@@ -35,9 +38,13 @@ from .common import block_count, text_or_empty, written
 from .textblock import column_bytes, slices, words
 
 ORDER = 4
-KEPT = 1 << 19
 END = 256
 BITS = 9
+#: Prices of codes with at least this share of all training symbols are broadcast.
+FREQUENT = 1 << 20
+#: Buckets that codes are priced in, at least, and the codes that one holds on average.
+BUCKETS, BUCKET_CODES = 32, 1 << 17
+_HELD = np.uint64(1 << 63)
 #: The end token's place among word hashes.
 END_WORD = 0x5DEECE66D1234567
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -70,21 +77,25 @@ def _merge(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def code_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(code, n): how often each symbol followed each context of ORDER symbols."""
+def code_counts(docs: DataFrame, text_col: str, training_col: str) -> DataFrame:
+    """(code, n): how often each symbol followed each context of ORDER symbols in training rows,
+    0 for what only other rows have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = column_bytes(batch.column(0))
+            held = ~batch.column(1).to_numpy(zero_copy_only=False)
             keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             for a, b in slices(offs):
-                code = np.sort(symbol_codes(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])[0])
+                code = symbol_codes(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])[0]
+                code = np.sort(code | np.repeat(held[a:b] * _HELD, np.diff(offs[a : b + 1]) + 1))
                 first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
                 n = np.diff(np.concatenate([first, [len(code)]]))
                 keys, counts = _merge(np.concatenate([keys, code[first]]), np.concatenate([counts, n]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], names=["code", "n"])
+            counts[keys >= _HELD] = 0
+            yield pa.RecordBatch.from_arrays([pa.array((keys & ~_HELD).astype(np.int64)), pa.array(counts)], names=["code", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select(text_col, training_col).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 class Trie:
@@ -115,24 +126,11 @@ class Trie:
             self.rest.append(left + new)
             with np.errstate(divide="ignore", invalid="ignore"):
                 self.rest_escape.append(np.where(new > 0, np.log10(new / (left + new)), 0.0))
-        self.slot_keys = np.full(1 << _SLOT_BITS, (1 << 64) - 1, np.uint64)
-        self.slot_values = np.zeros(1 << _SLOT_BITS)
-        if len(nodes) and len(self.keys[-1]):
-            by = np.argsort(self.n[-1], kind="stable")  # the most frequent comes last and keeps the slot
-            keys = self.keys[-1][by]
-            at = self.slot(keys)
-            self.slot_keys[at] = keys
-            held = self.slot_keys[at] == keys
-            self.slot_values[at[held]] = self.log10(keys[held])
 
     @staticmethod
     def mask(symbols: int) -> np.uint64:
         return np.uint64((1 << BITS * symbols) - 1)
 
-    @staticmethod
-    def slot(codes: np.ndarray) -> np.ndarray:
-        return ((codes * _SPREAD) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-
     @staticmethod
     def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Places of keys, -1 where one is missing."""
@@ -166,32 +164,55 @@ class Trie:
         out[live] -= np.log10(max(1, unseen))
         return out
 
-    def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """log10 probability of each text."""
-        codes, first = symbol_codes(data, offs)
+
+def priced(counts: DataFrame) -> DataFrame:
+    """(code, n, value) of code_counts, value the log10 probability of the code's symbol."""
+    of = [F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1)).alias("key")) for k in range(2)]
+    got = counts.where("n > 0").select(F.explode(F.array(*of)).alias("o"), "n").groupBy("o.k", "o.key").agg(F.sum("n").alias("n")).toArrow()
+    k, key, n = (got.column(c).to_numpy() for c in range(3))
+    low = [_merge(key[k == order].astype(np.uint64), n[k == order]) for order in range(2)]
+    buckets = max(BUCKETS, -(-counts.count() // BUCKET_CODES))
+
+    def price(rows: pa.Table) -> pa.Table:
+        codes, n = rows.column("code").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
+        known = n > 0
+        high = [_merge(codes[known] & Trie.mask(order + 1), n[known]) for order in range(2, ORDER + 1)]
+        return rows.select(["code", "n"]).append_column("value", pa.array(Trie([*low, *high]).log10(codes)))
+
+    context = F.shiftright("code", BITS).bitwiseAND(F.lit((1 << BITS * 2) - 1))
+    rows = counts.withColumn("bucket", F.pmod(F.xxhash64(context), F.lit(buckets)).cast("int"))
+    return rows.groupBy("bucket").applyInArrow(price, "code long, n long, value double")
+
+
+class Prices:
+    """Values of the most frequent codes, each in a slot of its own."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, values: np.ndarray):
+        by = np.argsort(n, kind="stable")  # the most frequent comes last and keeps the slot
+        codes, values = codes[by].astype(np.uint64), values[by]
+        self.keys = np.full(1 << _SLOT_BITS, (1 << 64) - 1, np.uint64)
+        self.values = np.zeros(1 << _SLOT_BITS)
         at = self.slot(codes)
-        value = self.slot_values[at]
-        miss = np.flatnonzero(self.slot_keys[at] != codes)
-        if len(miss):
-            distinct, back = np.unique(codes[miss], return_inverse=True)
-            value[miss] = self.log10(distinct)[back]
-        return np.add.reduceat(value, first)
+        self.keys[at] = codes
+        held = self.keys[at] == codes
+        self.values[at[held]] = values[held]
 
+    @staticmethod
+    def slot(codes: np.ndarray) -> np.ndarray:
+        return ((codes * _SPREAD) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
-def train(docs: DataFrame, text_col: str = "text", kept: int = KEPT) -> Trie:
-    """The trie of all texts of docs."""
-    top = written(code_counts(docs, text_col))
-    total = top.agg(F.sum("n")).first()[0] or 0
-    orders = F.array(*[F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1)).alias("key")) for k in range(ORDER + 1)])
-    nodes = top.select(F.explode(orders).alias("o"), "n").groupBy("o.k", "o.key").agg(F.sum("n").alias("n"))
-    got = nodes.where((F.col("k") < 2) | (F.col("n") >= total / kept)).toArrow()
-    k, key, n = (got.column(c).to_numpy() for c in range(3))
-    out = []
-    for order in range(ORDER + 1):
-        mine = np.flatnonzero(k == order)
-        mine = mine[np.argsort(key[mine])]
-        out.append((key[mine], n[mine]))
-    return Trie(out)
+    def missing(self, codes: np.ndarray) -> np.ndarray:
+        """Places of codes without a slot."""
+        return np.flatnonzero(self.keys[self.slot(codes)] != codes)
+
+    def score(self, data: np.ndarray, offs: np.ndarray, codes: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """log10 probability of each text; codes, ascending, and values are those without a slot."""
+        code, first = symbol_codes(data, offs)
+        value = self.values[self.slot(code)]
+        miss = self.missing(code)
+        if len(miss):
+            value[miss] = values[np.searchsorted(codes, code[miss])]
+        return np.add.reduceat(value, first)
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
@@ -201,7 +222,10 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    trie = spark.sparkContext.broadcast(train(docs.where("training")))
+    prices = written(priced(written(code_counts(docs, "text", "training"))))
+    total = prices.agg(F.sum("n")).first()[0] or 0
+    often = prices.where((F.col("n") > 0) & (F.col("n") >= total / FREQUENT)).toArrow()
+    frequent = spark.sparkContext.broadcast(Prices(*[often.column(c).to_numpy() for c in range(3)]))
     blocks = block_count(docs, "text", block_bytes)
     docs = docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
@@ -227,9 +251,26 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                 key, n = _merge(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), one, np.int32)), pa.array(key), pa.array(n)], names=["block", "word", "n"])
 
+    def code_requests(batches):
+        for batch in batches:
+            block = batch.column(3).to_numpy()
+            data, offs = column_bytes(batch.column(1))
+            found: dict[int, list] = {}
+            for a, b in slices(offs):
+                code = symbol_codes(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])[0]
+                miss = frequent.value.missing(code)
+                code, of = code[miss], np.repeat(block[a:b], np.diff(offs[a : b + 1]) + 1)[miss]
+                for one in np.unique(of):
+                    found.setdefault(int(one), []).append(np.unique(code[of == one]))
+            for one, parts in found.items():
+                code = np.unique(np.concatenate(parts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), one, np.int32)), pa.array(code.astype(np.int64))], names=["block", "code"])
+
     asked = docs.mapInArrow(requests, "block int, word long, n long").repartition("word")
     counts = asked.groupBy("word").agg(F.sum("n").alias("c"))
-    answers = asked.join(counts, "word").where("c > 0").select("block", "word", "c")
+    answers = asked.join(counts, "word").where("c > 0").select("block", F.lit(False).alias("is_code"), F.col("word").alias("key"), F.col("c").cast("double").alias("c"))
+    values = docs.mapInArrow(code_requests, "block int, code long").join(prices, "code")
+    answers = answers.unionByName(values.select("block", F.lit(True).alias("is_code"), F.col("code").alias("key"), F.col("value").alias("c")))
     # a word is in counts once, so these are all training tokens and all distinct ones
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("train_tokens"), F.count_if(F.col("c") > 0).alias("vocabulary"))
 
@@ -237,9 +278,13 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         left, right = left.combine_chunks(), right.combine_chunks()
         if not left.num_rows:
             return empty
-        key, c = right.column("word").to_numpy(), right.column("c").to_numpy()
+        is_code, key, c = (right.column(x).to_numpy(zero_copy_only=False) for x in ("is_code", "key", "c"))
+        codes, values = key[is_code].astype(np.uint64), c[is_code]
+        order = np.argsort(codes)
+        codes, values = codes[order], values[order]
+        key, c = key[~is_code], c[~is_code]
         order = np.argsort(key)
-        key, c = key[order], np.concatenate([c[order], [0]])
+        key, c = key[order], np.concatenate([c[order], [0.0]])
         end = c[Trie.find(key, np.array([END_WORD]))]
         cols = [[], [], [], []]
         for a, b, part, own, h, of in token_slices(left, 1):
@@ -248,7 +293,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
             cols[0].append(np.bincount(of, minlength=n) + 1)
             cols[1].append(np.bincount(of, seen > 0, minlength=n).astype(np.int64) + (end > 0))
             cols[2].append(np.bincount(of, np.log10(seen + 1.0), minlength=n) + np.log10(end + 1.0))
-            cols[3].append(trie.value.score(part, own))
+            cols[3].append(frequent.value.score(part, own, codes, values))
         return pa.Table.from_arrays([left.column(0), left.column(2), *[pa.array(np.concatenate(x)) for x in cols]], names=["id", "training", "n_tokens", "n_known", "base", "score"])
 
     kind = docs.schema["id"].dataType.simpleString()
