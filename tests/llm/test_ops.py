@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import urllib.parse
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -154,6 +155,26 @@ def test_secret_spans():
     assert secret_scan.redacted(plain, secret_scan.scan(plain)[1]) == '[SECRET]" [SECRET]'  # the closing quote is not part of a match
 
 
+@pytest.mark.parametrize(
+    "layer",
+    [
+        lambda s: base64.b64encode(gzip.compress(gzip.compress(s))).decode(),
+        lambda s: base64.b64encode(gzip.compress(zlib.compress(s))).decode(),
+        lambda s: base64.b64encode(gzip.compress(b"first ") + gzip.compress(s)).decode(),
+        lambda s: urllib.parse.quote(gzip.compress(s)),
+        lambda s: urllib.parse.quote(zlib.compress(s)),
+        lambda s: "".join(f"\\x{c:02x}" for c in zlib.compress(s)),
+        lambda s: base64.b64encode(b"\xff " + s).decode(),
+        lambda s: base64.b64encode(s.decode().encode("utf-16")).decode(),
+    ],
+)
+def test_secret_layers_of_bytes(layer):
+    text = f"see {layer(b'my password=hunter2hunter2 ok')} end"
+    spans = secret_scan.scan(text)[1]
+    assert [k for k, _, _ in spans] == ["assign"]
+    assert "hunter2" not in text and 4 <= spans[0][1] < spans[0][2] <= len(text) - 4
+
+
 def test_secret_table(spark):
     rows = frame(spark, [(1, None), (2, "api_key='abcdefgh1'"), (2, "api_key='abcdefgh1'"), (None, "x" * 5000)])
     got = [tuple(r)[:4] for r in secret_scan.scan_documents(rows).collect()]

@@ -1,8 +1,9 @@
 """Secrets in texts and in what is encoded inside them, by a recursive decoding worklist.
 
 A text is the first layer. Each layer is scanned for secrets, then unwrapped: URL and
-Unicode escapes are replaced in place, base64 runs and compressed data inside them give
-layers of their own. New layers join the worklist until none is left; a layer seen before
+Unicode escapes are replaced in place, base64 runs and compressed data give layers of their
+own, which are read byte by byte where they are not UTF-8, so compressed data inside them
+is unpacked in its turn. New layers join the worklist until none is left; a layer seen before
 (same content, same place) is not taken up again, so cycles end. Every character of a layer
 carries the range of source characters it came from, which maps a find in any layer back.
 
@@ -34,9 +35,14 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+#: How gzip and common zlib data begin, as characters of a layer.
+_PACKED = re.compile("\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
+_BYTES = re.compile("[\x00-\xff]*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Bytes that compressed data of one run may unpack to; a run that goes beyond is no text.
 UNPACKED = 64 << 20
+#: Characters by which most that is not compressed is told.
+PROBE = 256
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -75,37 +81,47 @@ class Layer:
         text.append(self.text[at:])
         return Layer("".join(text), np.concatenate([*starts, start[at:]]), np.concatenate([*ends, end[at:]]))
 
-    def inner(self, s: int, e: int, new: str, per_char: bool) -> Layer:
-        """A layer for text decoded from [s, e); per_char: base64, each character from its own digits."""
+    def inner(self, s: int, e: int, new: str, sizes: list[int] | None) -> Layer:
+        """A layer for text decoded from [s, e); sizes: base64, the bytes of each character, which has its own digits."""
         n = len(new)
         lo, hi = np.full(n, s), np.full(n, e - 1)
-        if per_char:
-            at = np.cumsum([0, *[len(c.encode()) for c in new]])
-            lo, hi = s + at[:-1] * 4 // 3, np.minimum(s + -(-at[1:] * 4 // 3) - 1, e - 1)
+        if sizes is not None:
+            at = np.cumsum([0, *sizes])
+            lo, hi = np.minimum(s + at[:-1] * 4 // 3, e - 1), np.minimum(s + -(-at[1:] * 4 // 3) - 1, e - 1)
         if self._start is None:
             return Layer(new, lo, hi + 1)
         return Layer(new, self._start[lo], self._end[hi])
 
 
-def _readable(data: bytes) -> str | None:
+def _texts(data: bytes) -> Iterator[tuple[str, list[int]]]:
+    """(text, bytes of each character) for each way to read data; what is not UTF-8 is read byte by byte."""
     try:
         text = data.decode()
+        yield text, [len(c.encode()) for c in text]
+        plain = text.isascii()
     except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c.isspace()) for c in text)
-    return text if text and odd * 10 <= len(text) else None
-
-
-def _unpacked(data: bytes) -> bytes | None:
-    """What gzip or zlib data holds, None if it is neither or too large."""
-    if data[:2] != b"\x1f\x8b" and not (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
-    try:
-        d = zlib.decompressobj(47)
-        out = d.decompress(data, UNPACKED)
-    except zlib.error:
-        return None
-    return None if d.unconsumed_tail else out
+        plain = False
+    if not plain:
+        yield data.decode("latin-1"), [1] * len(data)
+    if b"\0" in data:
+        for code in ("utf-16-le", "utf-16-be"):
+            text = data.decode(code, "replace")
+            yield text, [4 if c > "\uffff" else 2 for c in text]
+
+
+def _unpacked(data: bytes) -> tuple[bytes, int] | None:
+    """(what gzip or zlib data holds in all its members, bytes read), None if it is neither or too large."""
+    out, left = [], data
+    while left[:2] == b"\x1f\x8b" or (len(left) > 2 and left[0] & 15 == 8 and (left[0] << 8 | left[1]) % 31 == 0):
+        try:
+            d = zlib.decompressobj(47)
+            out.append(d.decompress(left, max(1, UNPACKED - sum(map(len, out)))))
+        except zlib.error:
+            break
+        if d.unconsumed_tail:
+            return None
+        left = d.unused_data
+    return (b"".join(out), len(data) - len(left)) if out else None
 
 
 def _from_percent(run: str) -> tuple[str, list[int]]:
@@ -118,6 +134,10 @@ def _from_percent(run: str) -> tuple[str, list[int]]:
     return text, (np.cumsum(sizes) * 3).tolist()
 
 
+def _bytewise(m: re.Match) -> str:
+    return bytes.fromhex(m[0].replace("%", "")).decode("latin-1")
+
+
 def _from_escape(m: re.Match) -> str:
     code = int(m[1] or m[2] or m[4], 16) if m[3] is None else int(m[3])
     return chr(code) if code < 0xD800 or 0xE000 <= code < 0x110000 else "�"
@@ -133,6 +153,18 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
         parts += [(m.start(), m.end(), _from_escape(m), [m.end() - m.start()]) for m in _ESCAPE.finditer(text)]
     if parts:
         yield layer.replaced(sorted(parts))
+    if "%" in text and _PACKED.search(_PERCENT.sub(_bytewise, text)):
+        # packed bytes may look like UTF-8 in part
+        yield layer.replaced([(m.start(), m.end(), _bytewise(m), list(range(3, m.end() - m.start() + 1, 3))) for m in _PERCENT.finditer(text)])
+    at = 0
+    for start in [0, *(m.start() for m in _PACKED.finditer(text))]:
+        if start < at or not text or _unpacked(_BYTES.match(text, start, start + PROBE)[0].encode("latin-1")) is None:
+            continue
+        got = _unpacked(_BYTES.match(text, start)[0].encode("latin-1"))
+        if got is not None:
+            at = start + got[1]
+            for new, _ in _texts(got[0]):
+                yield layer.inner(start, at, new, None)
     for m in _BASE64.finditer(text):
         run = m[0].rstrip("=")
         if len(run) % 4 == 1:
@@ -141,10 +173,8 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
             data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
         except (binascii.Error, ValueError):
             continue
-        packed = _unpacked(data)
-        new = _readable(data if packed is None else packed)
-        if new:
-            yield layer.inner(m.start(), m.end(), new, packed is None)
+        for new, sizes in _texts(data):
+            yield layer.inner(m.start(), m.end(), new, sizes)
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
