@@ -175,6 +175,29 @@ def test_secret_layers_of_bytes(layer):
     assert "hunter2" not in text and 4 <= spans[0][1] < spans[0][2] <= len(text) - 4
 
 
+@pytest.mark.parametrize("before", ["/blob/", "x-", "cfg_", "https://h.io/", "a/b_c-", ""])
+def test_secret_base64_alignments(before):
+    code = base64.b64encode(b"password=hunter2hunter2").decode()
+    text = f"go {before}{code}/tail end"
+    at = text.index(code)
+    assert ("assign", at, at + len(code.rstrip("="))) in secret_scan.scan(text)[1]
+
+
+@pytest.mark.parametrize("width, end", [(76, "\n"), (64, "\r\n"), (20, "\n")])
+def test_secret_base64_over_lines(width, end):
+    rng = random.Random(width)
+    noise = " ".join(str(rng.random()) for _ in range(9)).encode()
+    for data in (b"x" * 46 + b" password=hunter2hunter2 " + b"y" * 60, gzip.compress(noise + b" password=hunter2hunter2 " + noise)):
+        code = base64.b64encode(data).decode()
+        text = "see\n" + end.join(code[k : k + width] for k in range(0, len(code), width)) + "\n\nend"
+        spans = [x for x in secret_scan.scan(text)[1] if x[0] == "assign"]
+        assert spans and "hunter2" not in secret_scan.redacted(text, spans)
+        if data[:1] == b"x":
+            dug = text[min(s for _, s, _ in spans) : max(e for _, _, e in spans)].replace("\r", "").replace("\n", "")
+            whole = code.index(dug)
+            assert whole * 3 // 4 <= 47 and (whole + len(dug)) * 3 // 4 >= 47 + len("password=hunter2hunter2")
+
+
 def test_secret_table(spark):
     rows = frame(spark, [(1, None), (2, "api_key='abcdefgh1'"), (2, "api_key='abcdefgh1'"), (None, "x" * 5000)])
     got = [tuple(r)[:4] for r in secret_scan.scan_documents(rows).collect()]

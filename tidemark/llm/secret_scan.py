@@ -15,7 +15,6 @@ independent: no shuffle, and memory is bounded by a text and its layers.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -39,6 +38,9 @@ _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&
 _PACKED = re.compile("\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
 _BYTES = re.compile("[\x00-\xff]*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs on lines that follow each other.
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)+")
+_LINE, _BREAK = re.compile(r"[^\r\n]+"), re.compile(r"\r?\n")
 #: Bytes that compressed data of one run may unpack to; a run that goes beyond is no text.
 UNPACKED = 64 << 20
 #: Characters by which most that is not compressed is told.
@@ -81,13 +83,14 @@ class Layer:
         text.append(self.text[at:])
         return Layer("".join(text), np.concatenate([*starts, start[at:]]), np.concatenate([*ends, end[at:]]))
 
-    def inner(self, s: int, e: int, new: str, sizes: list[int] | None) -> Layer:
-        """A layer for text decoded from [s, e); sizes: base64, the bytes of each character, which has its own digits."""
-        n = len(new)
-        lo, hi = np.full(n, s), np.full(n, e - 1)
+    def inner(self, place: np.ndarray, new: str, sizes: list[int] | None) -> Layer:
+        """A layer for text decoded from the characters at place; sizes: base64, the bytes of each
+        character, which has its own digits."""
+        n, most = len(new), len(place) - 1
+        lo, hi = np.full(n, place[0]), np.full(n, place[-1])
         if sizes is not None:
             at = np.cumsum([0, *sizes])
-            lo, hi = np.minimum(s + at[:-1] * 4 // 3, e - 1), np.minimum(s + -(-at[1:] * 4 // 3) - 1, e - 1)
+            lo, hi = place[np.minimum(at[:-1] * 4 // 3, most)], place[np.minimum(-(-at[1:] * 4 // 3) - 1, most)]
         if self._start is None:
             return Layer(new, lo, hi + 1)
         return Layer(new, self._start[lo], self._end[hi])
@@ -143,6 +146,17 @@ def _from_escape(m: re.Match) -> str:
     return chr(code) if code < 0xD800 or 0xE000 <= code < 0x110000 else "�"
 
 
+def _from_base64(layer: Layer, run: str, place: np.ndarray) -> Iterator[Layer]:
+    """The layers of a run of base64 digits, which stand at place; what it holds may begin at any of them,
+    so each of the four alignments is read."""
+    run = run.replace("-", "+").replace("_", "/")
+    for skip in range(4):
+        part = run[skip:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        for new, sizes in _texts(base64.b64decode(part + "=" * (-len(part) % 4))):
+            yield layer.inner(place[skip : skip + len(part)], new, sizes)
+
+
 def unwrapped(layer: Layer) -> Iterator[Layer]:
     """The layers one step below."""
     text = layer.text
@@ -164,17 +178,13 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
         if got is not None:
             at = start + got[1]
             for new, _ in _texts(got[0]):
-                yield layer.inner(start, at, new, None)
+                yield layer.inner(np.array([start, at - 1]), new, None)
     for m in _BASE64.finditer(text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        for new, sizes in _texts(data):
-            yield layer.inner(m.start(), m.end(), new, sizes)
+        yield from _from_base64(layer, m[0].rstrip("="), np.arange(m.start(), m.end()))
+    if "\n" in text:
+        for m in _WRAPPED.finditer(text):
+            place = np.array([p for line in _LINE.finditer(text, m.start(), m.end()) for p in range(line.start(), line.end())])
+            yield from _from_base64(layer, _BREAK.sub("", m[0]), place)
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
