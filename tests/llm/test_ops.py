@@ -392,6 +392,19 @@ def test_fingerprints(spark, monkeypatch):
     assert iblt.fingerprints(frame(spark, [(None, "a"), (None, "b")])).count() == 2
 
 
+def test_fingerprints_of_long_lines(spark):
+    rng = random.Random(6)
+    plain = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    sentences = " ".join(f"{plain(9)}." for _ in range(12))
+    texts = [plain(120), sentences, plain(60) + "\n" + plain(60), "".join(rng.choice("abcdef") for _ in range(3000)), plain(40)]
+    got = {r.doc_id: r for r in iblt.fingerprints(frame(spark, list(enumerate(texts)))).collect()}
+    for i in range(len(texts)):
+        assert got[i].near_edited > 0 and got[i].near_next < got[i].near_edited
+    inserted = sentences.replace(". ", ". new ", 1)  # other sentences keep their digests
+    a, b = spark.createDataFrame([(sentences,), (inserted,)], "t string").select(iblt.digests(F.col("t")).alias("d")).collect()
+    assert len(set(a.d) & set(b.d)) == 11
+
+
 def test_byte_bpe(spark):
     tiktoken = pytest.importorskip("tiktoken")
     public = pytest.importorskip("public_tokenizers")

@@ -1,6 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's paragraphs (lines) are hashed; the set of digests is put into a sketch of cells, each
+A text's paragraphs are hashed: its lines, cut after sentences and, within one, after every 16
+words, so that a text of one long line has several, too. The set of digests is put into a sketch of cells, each
 digest in one cell of each of three parts. A cell holds how many digests it has, their
 exclusive or, and that of their check hashes. The difference of two sketches holds the digests
 that only one text has; a cell with one left gives it away, it is taken out of its other cells,
@@ -29,6 +30,9 @@ HOPE = 1.2
 ROUNDS = 12
 #: Documents that one task orders on average, to find each one's next.
 RUN = 4096
+#: Ends of paragraphs, and the pieces of one; a word of more than 64 characters counts as several.
+ENDS = r"\n|(?<=[.!?])[ \t]+|(?<=[\u3002\uff01\uff1f])"
+PIECE = r"\s*(?:\S{1,64}\s*){1,16}|\s+"
 _CELL = "struct<n: bigint, key: bigint, check: bigint>"
 
 
@@ -38,7 +42,9 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def digests(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.split(text, "\n", -1), lambda p: F.xxhash64(p)))
+    cut = lambda p: F.when(p == "", F.array(p)).otherwise(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)))
+    pieces = F.flatten(F.transform(F.split(text, ENDS, -1), cut))
+    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
 def _check(digest: Column) -> Column:
