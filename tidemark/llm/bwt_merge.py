@@ -5,8 +5,9 @@ symbol before each suffix; a symbol here is several bytes, so a round goes that
 Shards are merged without sorting their suffixes anew: the interleave says for each rank of
 the whole which shard it comes from; reading each shard's symbols in that order and sorting
 them stably gives the interleave of contexts one symbol longer. The places where
-neighbours differ are refined along with it, so after `depth` bytes they bound the
-intervals of suffixes with that much in common: repeated intervals, and common prefixes.
+neighbours differ are refined along with it: the round in which a place appears is the length
+of the neighbours' common prefix, and where that reaches `depth` bytes they lie in one
+repeated interval.
 """
 
 from __future__ import annotations
@@ -95,8 +96,8 @@ def _places(z: np.ndarray, base: np.ndarray) -> np.ndarray:
 
 
 def merged(shards: list[Shard], step: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, interval) by rank of the whole: where each suffix starts, and the number of its
-    interval of suffixes that agree in their first `depth` bytes."""
+    """(position, common) by rank of the whole: where each suffix starts, and how many bytes it has in
+    common with the one before it, in whole symbols and up to `depth`."""
     sizes = np.array([len(s.order) for s in shards])
     base = np.cumsum(sizes) - sizes
     symbols = _narrow(np.concatenate([s.symbols for s in shards]))
@@ -108,7 +109,9 @@ def merged(shards: list[Shard], step: int, depth: int) -> tuple[np.ndarray, np.n
     z = np.repeat(np.arange(len(shards)), sizes).astype(shard_type)
     head = np.repeat(np.arange(len(shards)), ends).astype(shard_type)
     block = np.zeros(total, np.int64)
-    for _ in range(-(-depth // step)):
+    common = np.full(total, depth, np.int32)
+    common[: len(head) + 1] = 0  # suffixes at an end, and the first other one
+    for turn in range(-(-depth // step)):
         place = _places(z, base)
         read = symbols[place]
         order = np.argsort(read, kind="stable")
@@ -118,8 +121,10 @@ def merged(shards: list[Shard], step: int, depth: int) -> tuple[np.ndarray, np.n
         new = np.ones(len(order), np.int64)
         new[1:] = (sym[1:] != sym[:-1]) | (blk[1:] != blk[:-1])
         block = np.concatenate([np.zeros(len(head), np.int64), np.cumsum(new)])
+        apart = common[len(head) :]
+        apart[(new == 1) & (apart == depth)] = turn * step
     place = _places(z, base)
-    return start[place], block
+    return start[place], common
 
 
 def repeated_intervals(data: np.ndarray, offs: np.ndarray, shard_of: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,7 +141,8 @@ def repeated_intervals(data: np.ndarray, offs: np.ndarray, shard_of: np.ndarray,
         mine = string[text]
         stop = np.searchsorted(mine, mine, "right") - 1
         shards.append(Shard(text, codes[text], stop, step, depth))
-    at, interval = merged(shards, step, depth)
+    at, common = merged(shards, step, depth)
+    interval = np.cumsum(common < depth)
     n = np.bincount(interval)
     keep = (n[interval] > 1) & (lengths[string[at]] - place[at] >= depth)
     at, interval = at[keep], interval[keep]

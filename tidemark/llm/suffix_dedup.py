@@ -3,21 +3,26 @@
 Texts are UTF-8 bytes in the order of their ids. A byte goes if a string of `length` bytes
 that covers it also starts earlier.
 
-1. Every window of `length` bytes has an anchor, its least `GRAM`-byte string under a hash, the
-   leftmost of equals. Equal windows have equal anchors at equal places, so an anchor seen
-   once in the corpus has no repeated window. Anchor hashes meet by range of the hash, as
-   arrays; the hashes seen twice go back to the blocks of documents that hold them.
-2. The neighbouring windows of one anchor form a segment. Equal segments collapse where they
-   are found: all but the first are repeats as wholes, so a passage copied any number of
-   times costs one segment for each block.
-3. Segments of an anchor meet in one task. The different ones are dealt into shards, the
+1. Documents are dealt into blocks by a hash. Every window of `length` bytes has an anchor, its
+   least `GRAM`-byte string under a hash, the leftmost of equals. Equal windows have equal
+   anchors at equal places, so an anchor seen once in the corpus has no repeated window. Anchor
+   hashes meet by range of the hash, as arrays; the hashes seen twice go back to their blocks.
+2. The neighbouring windows of one anchor form a segment. An anchor seen more than HOT times has
+   its segments cut in parts of PART windows, each keyed anew by what all its windows share, so
+   a string in very many surroundings does not bring them all together. Equal segments collapse
+   where they are found, byte by byte compared: all but the first are repeats as wholes, so a
+   passage copied any number of times costs one segment for each block.
+3. Segments of an anchor meet in one task. Those of different blocks are different shards, the
    shards' transforms are merged by interleave refinement, and in each repeated interval
    all windows but the earliest are repeats (bwt_merge).
 4. The repeats go back to the blocks, which hold the texts.
 
-A null or empty text loses nothing and has no spans. Null ids come last; rows of one id
-are ordered by their text, so of repeated rows the first keeps its bytes. An empty table
-gives no rows. Matches never cross texts.
+A null or empty text loses nothing and has no spans. Null ids come last. Rows of one id are
+in the order of a hash of their text; of rows with the same id and text, those after the
+first lose all, if they have `length` bytes, and the first only what also starts in other
+documents or earlier in itself. An empty table gives no rows. Very long texts are cut in
+overlapping slices for the search and are whole otherwise. Other columns are not read. Matches
+never cross texts.
 """
 
 from __future__ import annotations
@@ -32,14 +37,18 @@ from pyspark.sql import functions as F
 
 from .bwt_merge import repeated_intervals
 from .common import text_or_empty
-from .textblock import BYTE_CODE, column_bytes, mix, slices
+from .textblock import column_bytes, mix, runs, slices
 from .textblock import _powers as powers
 
 GRAM = 24
 #: Anchors that one task of step 1 gets on average.
-BUCKET_ANCHORS = 1 << 20
-#: Shards whose transforms a task builds and merges.
-SHARDS = 2
+BUCKET_ANCHORS = 1 << 18
+#: Shards whose transforms are merged at once, at most; blocks are dealt to them in turn.
+SHARDS = 4
+#: Bytes of text in a block, and the least number of blocks.
+BLOCK_BYTES, BLOCKS = 8 << 20, 4
+#: Occurrences of an anchor beyond which its segments are cut, and windows of a part.
+HOT, PART = 4096, 20
 #: Bytes of segments that are merged together; anchors are never split.
 MERGE_BYTES = 56_000
 #: A window's place in a slice has this many bits; longer texts are cut into overlapping slices.
@@ -62,12 +71,12 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, windows) of each run of windows with one anchor."""
+def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first window, windows, place of the anchor) of each run of windows with one anchor."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none
+        return none, none, none, none
     grams = gram_hashes(data)
     key = (grams & ~np.uint64((1 << PLACE_BITS) - 1)) | np.arange(len(grams), dtype=np.uint64)
     span, width, least = length - GRAM + 1, 1, key
@@ -85,11 +94,11 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
     valid = np.cumsum(valid)[: n - length + 1] > 0
     at = np.flatnonzero(valid)
     if not len(at):
-        return none, none, none
+        return none, none, none, none
     new = np.concatenate([[True], (place[at[1:]] != place[at[:-1]]) | (at[1:] != at[:-1] + 1)])
     first = np.flatnonzero(new)
     # texts that touch: a window is never part of the run of another text's
-    return grams[place[at[first]]].astype(np.int64), at[first], np.diff(np.concatenate([first, [len(at)]]))
+    return grams[place[at[first]]].astype(np.int64), at[first], np.diff(np.concatenate([first, [len(at)]])), place[at[first]]
 
 
 def text_slices(offs: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -122,6 +131,32 @@ def _firsts(order: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...]) -> tupl
     return by, new
 
 
+def _differ(data: np.ndarray, x: np.ndarray, y: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the strings at x and y, of equal lengths, differ."""
+    out, filled, at = np.zeros(len(x), bool), np.cumsum(lengths), 0
+    while at < len(x):
+        to = max(at + 1, int(np.searchsorted(filled, (filled[at - 1] if at else 0) + (1 << 20), "right")))
+        part = lengths[at:to]
+        apart = data[_ranges(x[at:to], part)] != data[_ranges(y[at:to], part)]
+        out[at:to] = np.logical_or.reduceat(apart, np.cumsum(part) - part)
+        at = to
+    return out
+
+
+def _collapsed(order: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...], data: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_firsts of strings whose hashes are `same`; one that differs from the first all the same is kept."""
+    by, first = _firsts(order, same)
+    if not len(by):
+        return by, first
+    head = by[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    again = np.flatnonzero(~first)
+    equal = lengths[by[again]] == lengths[head[again]]
+    first[again[~equal]] = True
+    again = again[equal]
+    first[again] = _differ(data, at[by[again]], at[head[again]], lengths[by[again]])
+    return by, first
+
+
 _SEGMENTS = ("keys", "ids", "ties", "starts", "windows", "hashes", "data")
 
 
@@ -148,39 +183,66 @@ def _ids(table, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64), tie
 
 
-def find_repeats(table: pa.Table, repeated: np.ndarray, length: int, buckets: int, block: int) -> list[dict]:
-    """Step 2 for one block: segments for step 3 (kind 0) and repeats already sure (kind 1)."""
-    data, offs = column_bytes(table.column("text"))
+def _row_keys(ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    return mix(mix(ids.astype(np.uint64)) + ties.astype(np.uint64))
+
+
+def _parts(key, start, windows, place, hashed, length: int) -> tuple[np.ndarray, ...]:
+    """(key, start, windows) of segments cut by where their windows have the anchor, keyed by the bytes that
+    all windows of a part share; hashed: the hash of [start, end)."""
+    out = []
+    for c in range(-(-(length - GRAM + 1) // PART)):
+        lo, hi = np.maximum(start, place - (PART * c + PART - 1)), np.minimum(start + windows - 1, place - PART * c)
+        has = lo <= hi
+        core = place[has] - PART * c
+        own = hashed(core, core + length - PART + 1).astype(np.uint64)
+        out.append((mix(own + key[has].astype(np.uint64) * np.uint64(2 * c + 3)).astype(np.int64), lo[has], hi[has] - lo[has] + 1))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def find_repeats(table: pa.Table, repeated: np.ndarray, hot: np.ndarray, length: int, buckets: int, block: int) -> list[dict]:
+    """Step 2 for one block: segments for step 3 (kind 0) and repeats already sure (kind 1).
+
+    repeated: anchors that occur more than once, ascending; hot: those of them to be cut."""
     ids, ties = _ids(table, table.column("tie").to_numpy())
+    _, once = np.unique(_row_keys(ids, ties), return_index=True)
+    once = np.sort(once)  # further rows of the same id and text lose all
+    ids, ties = ids[once], ties[once]
+    data, offs = column_bytes(table.column("text").take(pa.array(once)))
     got = []
     for a, b, lo, hi in text_slices(offs, length):
         part, own = data[lo:hi], _local(offs, a, b, lo, hi)
-        key, start, windows = anchors(part, own, length)
-        at = np.searchsorted(repeated, key)
-        keep = repeated[np.minimum(at, len(repeated) - 1)] == key if len(repeated) else np.zeros(len(key), bool)
-        key, start, windows = key[keep], start[keep], windows[keep]
+        key, start, windows, place = anchors(part, own, length)
+        at = np.minimum(np.searchsorted(repeated, key), len(repeated) - 1)
+        keep = repeated[at] == key if len(repeated) else np.zeros(len(key), bool)
+        key, start, windows, place = key[keep], start[keep], windows[keep], place[keep]
         if not len(key):
             continue
-        text = a + np.searchsorted(own, start, "right") - 1
         up, down = powers(len(part))
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
-        end = start + windows + length - 1
-        hashed = mix((total[end] - total[start]) * down[start] + windows.astype(np.uint64)).astype(np.int64)
-        got.append((key, ids[text], ties[text], start + lo - offs[text], windows, hashed, start + lo))
+        hashed = lambda s, e, total=total, down=down: mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)).astype(np.int64)
+        cut = hot[at[keep]]
+        if cut.any():
+            parts = _parts(key[cut], start[cut], windows[cut], place[cut], hashed, length)
+            key, start, windows = (np.concatenate([x[~cut], y]) for x, y in zip((key, start, windows), parts, strict=True))
+        text = a + np.searchsorted(own, start, "right") - 1
+        got.append((key, ids[text], ties[text], start + lo - offs[text], windows, hashed(start, start + windows + length - 1), start + lo))
     if not got:
         return []
     key, id_, tie, start, windows, hashed, at = (np.concatenate(c) for c in zip(*got, strict=True))
-    by, first = _firsts((id_, tie, start), (key, hashed))
+    by, first = _collapsed((id_, tie, start), (key, hashed), data, at, windows + length - 1)
     rows = []
     again = by[~first]
     if len(again):
         rows.append(_pack(int(key[again[0]] % buckets), 1, block, ids=id_[again], ties=tie[again], starts=start[again], windows=windows[again]))
     use = by[first]
     bucket = key[use] % buckets
-    for k in np.unique(bucket):
-        u = use[bucket == k]
-        rows.append(_pack(int(k), 0, block, keys=key[u], ids=id_[u], ties=tie[u], starts=start[u], windows=windows[u], hashes=hashed[u], data=data[_ranges(at[u], windows[u] + length - 1)]))
+    order = np.argsort(bucket, kind="stable")
+    use, bucket = use[order], bucket[order]
+    for s, e in runs(bucket):
+        u = use[s:e]
+        rows.append(_pack(int(bucket[s]), 0, block, keys=key[u], ids=id_[u], ties=tie[u], starts=start[u], windows=windows[u], hashes=hashed[u], data=data[_ranges(at[u], windows[u] + length - 1)]))
     return rows
 
 
@@ -194,7 +256,7 @@ def merge_segments(table: pa.Table, length: int) -> list[dict]:
     home = np.repeat(block[rows], [len(table.column("keys")[int(r)].as_py()) // 8 for r in rows]).astype(np.int64)
     lengths = windows + length - 1
     offs = np.concatenate([[0], np.cumsum(lengths)])
-    by, first = _firsts((id_, tie, start), (key, hashed))
+    by, first = _collapsed((id_, tie, start), (key, hashed), data, offs[:-1], lengths)
     again = by[~first]
     found = [(again, start[again], windows[again])]
     use = by[first]  # sorted by anchor
@@ -211,7 +273,8 @@ def merge_segments(table: pa.Table, length: int) -> list[dict]:
             to = int(ends[max(0, np.searchsorted(filled[ends - 1], reach + MERGE_BYTES, "right") - 1)])
             u = use[at:to]
             own = np.concatenate([[0], np.cumsum(lengths[u])])
-            string, place, interval = repeated_intervals(data[_ranges(offs[u], lengths[u])], own, (home[u] % SHARDS), length)
+            _, rank = np.unique(home[u], return_inverse=True)
+            string, place, interval = repeated_intervals(data[_ranges(offs[u], lengths[u])], own, rank % SHARDS, length)
             ok = place < windows[u][string]
             seg, place, interval = u[string[ok]], place[ok], interval[ok]
             by, first = _firsts((id_[seg], tie[seg], start[seg] + place), (interval,))
@@ -223,49 +286,54 @@ def merge_segments(table: pa.Table, length: int) -> list[dict]:
     return [_pack(0, 2, int(k), ids=i, ties=t, starts=s, windows=w) for k, i, t, s, w in out if len(i)]
 
 
+def removed_runs(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the maximal runs that ranges cover, by row and start."""
+    order = np.lexsort((starts, rows))
+    rows, starts, ends = rows[order], starts[order], ends[order]
+    if not len(rows):
+        return rows, starts, ends
+    # ranges of one row never reach the next one's: a running maximum over rows laid far apart
+    wide = np.int64(ends.max() + 2)
+    reach = np.maximum.accumulate(rows * wide + ends)
+    new = np.concatenate([[True], rows[1:] * wide + starts[1:] > reach[:-1]])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(rows)]]) - 1
+    return rows[first], starts[first], reach[last] - rows[first] * wide
+
+
 def apply_repeats(table: pa.Table, repeats: pa.Table, length: int, kept: bool) -> dict[str, list]:
     """Step 4 for one block: what is left of each text."""
     data, offs = column_bytes(table.column("text"))
     n = len(offs) - 1
     ids, ties = _ids(table, table.column("tie").to_numpy())
-    rows = np.arange(repeats.num_rows)
-    rid, rtie, start, windows = (_column(repeats, c, rows) for c in ("ids", "ties", "starts", "windows"))
-    by = np.lexsort((ties, ids))
-    # (id, tie) pairs to row numbers; repeated rows share them and are told apart by what they lose
-    pairs = np.concatenate([np.stack([ids, ties], 1), np.stack([rid, rtie], 1)])
-    _, number = np.unique(pairs, axis=0, return_inverse=True)
-    number = number.ravel()
-    row_of = np.zeros(number.max() + 1 if len(number) else 0, np.int64)
-    row_of[number[:n][by]] = by
-    at = offs[row_of[number[n:]]] + start
-    mark = np.zeros(len(data) + 1, np.int32)
-    np.add.at(mark, at, 1)
-    np.add.at(mark, at + windows + length - 1, -1)
-    gone = np.cumsum(mark[:-1]) > 0
-    seen: dict[tuple[int, int], int] = {}
-    out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "left")}
+    every = np.arange(repeats.num_rows)
+    rid, rtie, start, windows = (_column(repeats, c, every) for c in ("ids", "ties", "starts", "windows"))
+    known, first, copy_of = np.unique(_row_keys(ids, ties), return_index=True, return_inverse=True)
+    row = first[np.searchsorted(known, _row_keys(rid, rtie))] if len(rid) else rid
+    copies = np.flatnonzero(first[copy_of] != np.arange(n))
+    copies = copies[np.diff(offs)[copies] >= length]
+    rows, starts, ends = removed_runs(
+        np.concatenate([row, copies]),
+        np.concatenate([start, np.zeros(len(copies), np.int64)]),
+        np.concatenate([start + windows + length - 1, np.diff(offs)[copies]]),
+    )
+    size = np.diff(offs)
+    out: dict[str, list] = {"n_bytes": size.tolist(), "n_removed": np.bincount(rows, ends - starts, minlength=n).astype(np.int64).tolist(), "n_spans": np.bincount(rows, minlength=n).tolist(), "left": []}
+    cut = np.searchsorted(rows, np.arange(n + 1))
     for i in range(n):
         s, e = int(offs[i]), int(offs[i + 1])
-        lost = gone[s:e]
-        text = data[s:e]
-        copy = seen.setdefault((int(ids[i]), int(ties[i])), i)
-        first = copy == i
-        if not first and e - s >= length:  # a repeated row: all of it starts earlier
-            lost = np.ones(e - s, bool)
-        rest = (text[~lost] if lost.any() else text).tobytes()
-        out["n_bytes"].append(e - s)
-        out["n_removed"].append(int(lost.sum()))
-        out["n_spans"].append(int(lost[:1].sum() + (lost[1:] & ~lost[:-1]).sum()))
+        edges = [s, *(x for k in range(cut[i], cut[i + 1]) for x in (s + int(starts[k]), s + int(ends[k]))), e]
+        rest = b"".join([data[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2], strict=True)])
         out["left"].append(rest if kept else hashlib.sha256(rest).hexdigest())
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, kept: bool = False, block_bytes: int = 32 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, kept: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256) for each document; with kept, the bytes
     left (kept) in place of their digest."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
+    blocks = max(BLOCKS, -(-size // block_bytes))
     buckets = max(1, size // (length - GRAM + 2) * 2 // BUCKET_ANCHORS)
     docs = docs.withColumn("tie", F.xxhash64("text")).withColumn("block", F.pmod(F.xxhash64("id", "tie"), F.lit(blocks)).cast("int"))
 
@@ -275,43 +343,44 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             home, keys, homes = batch.column(3).to_numpy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b, lo, hi in text_slices(offs, length):
                 own = _local(offs, a, b, lo, hi)
-                key, start, _ = anchors(data[lo:hi], own, length)
+                key, start, _, _ = anchors(data[lo:hi], own, length)
                 keys.append(key)
                 homes.append(home[a + np.searchsorted(own, start, "right") - 1].astype(np.int64))
             key, at = np.concatenate(keys), np.concatenate(homes)
-            order = np.lexsort((at, key))
+            order = np.lexsort((key, at, key % buckets))
             key, at = key[order], at[order]
-            # a hash is sent for a block once, or twice where the block has it more than once
-            third = np.zeros(len(key), bool)
-            third[2:] = (key[2:] == key[:-2]) & (at[2:] == at[:-2])
-            key, at = key[~third], at[~third]
-            bucket = key % buckets
-            cell = bucket * blocks + at
-            order = np.argsort(cell, kind="stable")
-            key, cell = key[order], cell[order]
-            cut = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-            if len(cut):
-                rows = [(int(cell[s] // blocks), int(cell[s] % blocks), key[s:e].tobytes()) for s, e in zip(cut, [*cut[1:], len(cell)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "block", "keys"])
+            # a hash is sent for a block once, with how often the block has it, up to 255
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] != at[:-1])])) if len(key) else np.zeros(0, np.int64)
+            count = np.minimum(np.diff(np.append(new, len(key))), 255).astype(np.uint8)
+            key, at = key[new], at[new]
+            cell = key % buckets * blocks + at
+            rows = [(int(cell[s] // blocks), int(cell[s] % blocks), key[s:e].tobytes(), count[s:e].tobytes()) for s, e in runs(cell)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "keys", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
-        block = table.column("block").to_numpy()
-        parts = [np.frombuffer(x, np.int64) for x in table.column("keys").to_pylist()]
-        key = np.concatenate([np.zeros(0, np.int64), *parts])
-        home = np.repeat(block, [len(p) for p in parts])
+        block, every = table.column("block").to_numpy(), np.arange(table.num_rows)
+        key, count = _column(table, "keys", every), _column(table, "counts", every, np.uint8)
+        home = np.repeat(block, [len(x) // 8 for x in table.column("keys").to_pylist()])
         order = np.argsort(key, kind="stable")
-        key, home = key[order], home[order]
-        same = key[1:] == key[:-1]
-        twice = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(key) else np.zeros(0, bool)
-        key, home = key[twice], home[twice]
-        rows = [(int(k), np.unique(key[home == k]).tobytes()) for k in np.unique(home)]
-        return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary())})
+        key, home, count = key[order], home[order], count[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(first, len(key)))
+        total = np.repeat(np.add.reduceat(count, first), sizes) if len(key) else count
+        twice = total > 1
+        key, home, hot = key[twice], home[twice], total[twice] > HOT
+        order = np.lexsort((key, home))
+        key, home, hot = key[order], home[order], hot[order]
+        rows = [(int(home[s]), key[s:e].tobytes(), hot[s:e].tobytes()) for s, e in runs(home)]
+        return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "hot": pa.array([r[2] for r in rows], pa.binary())})
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _table([])
-        repeated = np.unique(_column(right, "keys", np.arange(right.num_rows)))
-        return _table(find_repeats(left, repeated, length, buckets, int(left.column("block")[0].as_py())))
+        every = np.arange(right.num_rows)
+        repeated, at = np.unique(_column(right, "keys", every), return_index=True)
+        hot = _column(right, "hot", every, bool)[at]
+        return _table(find_repeats(left, repeated, hot, length, buckets, int(left.column("block")[0].as_py())))
 
     def merge(table: pa.Table) -> pa.Table:
         return _table(merge_segments(table, length))
@@ -323,9 +392,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cols = [left.column("id").combine_chunks() if left.num_rows else pa.array([], pa.int64()), *(pa.array(got[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.array(got["left"], pa.binary() if kept else pa.string())]
         return pa.Table.from_arrays(cols, names=["id", "n_bytes", "n_removed", "n_spans", last])
 
-    asked = docs.mapInArrow(ask, "bucket int, block int, keys binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "block int, keys binary")
     texts = docs.repartition(blocks, "block")
+    asked = texts.mapInArrow(ask, "bucket int, block int, keys binary, counts binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "block int, keys binary, hot binary")
     segments = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(find, _SCHEMA)
     repeats = segments.groupBy("bucket").applyInArrow(merge, _SCHEMA)
     done = texts.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(finish, f"id long, n_bytes long, n_removed long, n_spans long, {last} {'binary' if kept else 'string'}")

@@ -54,6 +54,17 @@ def slices(offs: np.ndarray, most: int = SLICE_BYTES, texts: int = SLICE_TEXTS)
         at = to
 
 
+def runs(*sorted_by: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each stretch of equal rows of columns; none for no rows."""
+    n = len(sorted_by[0])
+    if not n:
+        return []
+    new = np.ones(n, bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in sorted_by], axis=0)
+    starts = np.flatnonzero(new).tolist()
+    return list(zip(starts, [*starts[1:], n], strict=True))
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = max(1 << 21, 1 << max(0, n - 1).bit_length())
     if size not in _POWERS:
