@@ -60,10 +60,22 @@ def test_retry_and_pages(monkeypatch):
     rows = [[t] for t in range(0, 10)]
     got = paging.paginate(lambda a, b: [r for r in rows if r[0] >= a][:3], 2, 8, lambda r: r[0], 1)
     assert [r[0] for r in got] == list(range(2, 8))
-    monkeypatch.setattr(paging, "PAGE", 2)
+    monkeypatch.setattr(paging, "PAGE", 3)
     ties = [[1, "a"], [1, "b"], [2, "a"], [3, "a"]]
-    got = paging.paginate(lambda a, b: [r for r in ties if r[0] >= a][:3], 0, 9, lambda r: r[0], 1, strict=False)
-    assert got == ties
+    key, payload = (lambda r: (r[0], r[1])), (lambda r: r[2:])
+    assert paging.funding_history(lambda a, b: [r for r in ties if r[0] >= a][:3], 0, 9, key, payload) == ties
+    for page in ([[1, "a"], [1, "a"]], [[2, "a"], [1, "a"]], [[99, "a"]], [[1, "a"]] * 4):
+        with pytest.raises(ValueError):
+            paging.funding_history(lambda a, b, page=page: page, 0, 9, key, payload)
+    pages = iter([[[1, "a", 1], [2, "a", 1], [3, "a", 1]], [[3, "a", 2], [4, "a", 1]]])
+    with pytest.raises(ValueError, match="two payloads"):
+        paging.funding_history(lambda a, b: next(pages), 0, 9, key, payload)
+    pages = iter([[[1, "a", 1], [1, "b", 1], [1, "c", 1]]] * 2)
+    with pytest.raises(ValueError, match="progress"):
+        paging.funding_history(lambda a, b: next(pages), 0, 9, key, payload)
+    for bad in ((9, 9), (9, 3)):
+        with pytest.raises(ValueError):
+            paging.paginate(lambda a, b: [], *bad, lambda r: r[0], 1)
     with pytest.raises(ValueError):
         paging.paginate(lambda a, b: [[3], [2]], 0, 9, lambda r: r[0], 1)
 

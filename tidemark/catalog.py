@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import timegrid as g
-from .operators import costs, ledger, metrics, quality, rolling
-from .plans import views
+from .operators import costs, exact, ledger, metrics, policy, quality, rolling
+from .plans import backtest, ingest, views
+from .plans.scratch import scratch
 from .sources import paging, parse, store
 
 H1, H4 = g.DURATIONS["1h"], g.DURATIONS["4h"]
@@ -136,8 +137,7 @@ def cross_page_dedup(spark, sf):
 
 
 def page_order(spark, sf):
-    pages = _pages(spark, sf).where("user_id IS NOT NULL")
-    return paging.page_order_faults(pages, "ts_us", pos="event_id", strict=False).select(F.col("page_no").cast("long").alias("page_no"), "faults")
+    return paging.page_order_faults(_pages(spark, sf), "ts_us", pos="event_id", strict=False).select(F.col("page_no").cast("long").alias("page_no"), "faults")
 
 
 def order_contiguity_check(spark, sf):
@@ -215,7 +215,7 @@ def _rolling(context: int):
         bars = _runs(spark, sf)
         rows = rolling.window_bars(bars, rolling.rolling_windows(bars, H4, LENGTH, STEP, context), H4)
         done = ledger.replay(rows, ledger.momentum(), H4, cost=COST, eval_from=F.col("eval_start"))
-        s = ledger.summary(done).join(metrics.stage1(done), "run_id")
+        s = ledger.summary(metrics.drawdowns(done), more=metrics.stage1_parts())
         return s.select("run_id", _round("final_equity", "final_equity"), "fills", "trades", "bars", _round("total_return", "total_return"), _round("max_drawdown", "max_drawdown"))
 
     return query
@@ -250,6 +250,208 @@ def funding_parse(spark, sf):
     return got.select("event_id", F.coalesce("reject", F.lit("ok")).alias("reject"), "event_us", _round("reference_price", "reference_price"))
 
 
+def kline_parse_six(spark, sf):
+    """Klines without a closing time: prices of more places than are kept, and too few fields, are faults."""
+    v = F.col("value").cast("string")
+    bad = F.col("event_id") % 5
+    ms = F.floor(F.col("ts_us") / H1) * 3_600_000
+    last = F.when(bad == 1, F.lit("")).otherwise(F.lit(',"2"'))
+    text = F.concat(F.lit("["), ms.cast("string"), *[x for p in (v, v, v, F.when(bad == 2, F.lit("1.123456789")).otherwise(v)) for x in (F.lit(',"'), p, F.lit('"'))], last, F.lit("]"))
+    got = parse.klines(views.events(spark, sf).select("event_id", text.alias("raw")), fields=6)
+    return got.select("event_id", F.coalesce("reject", F.lit("ok")).alias("reject"), F.when(F.col("reject").isNull(), F.col("open_us")).alias("open_us"), "close_ms")
+
+
+def kline_close_time(spark, sf):
+    """The closing time must be a JSON number: a text, a fraction and none are faults."""
+    bad, ms = F.col("event_id") % 4, F.floor(F.col("ts_us") / H1) * 3_600_000
+    close = F.when(bad == 0, (ms + 3_599_999).cast("string")).when(bad == 1, F.concat(F.lit('"'), (ms + 3_599_999).cast("string"), F.lit('"'))).when(bad == 2, F.lit("1.5")).otherwise(F.lit("null"))
+    text = F.concat(F.lit("["), ms.cast("string"), F.lit(',"1","1","1","1","0",'), close, F.lit("]"))
+    got = parse.klines(views.events(spark, sf).select("event_id", text.alias("raw")))
+    return got.select("event_id", F.coalesce("reject", F.lit("ok")).alias("reject"), "close_ms")
+
+
+def flat_fills(spark, sf):
+    """Fills of a policy that opens, closes to flat and reverses."""
+    rows = ledger.replay(_runs(spark, sf), ledger.flat_after_fall(), H4, cost=COST)
+    return rows.where("delta != 0").select("run_id", "open_us", F.col("before").cast("long").alias("before"), F.col("position").cast("long").alias("position"), _round("cost", "cost"), _round("realized", "realized"), F.col("trades").cast("long").alias("trades"))
+
+
+def _shifted(spark, sf):
+    """Bars of 1h, some of them seven minutes late."""
+    late = F.when(F.pmod(F.call_function("div", F.col("open_us"), F.lit(H1)), F.lit(11)) == 0, 420_000_000).otherwise(0)
+    return _bars(spark, sf, "1h").withColumn("open_us", F.col("open_us") + late)
+
+
+def unaligned_report(spark, sf):
+    bars = _shifted(spark, sf)
+    span = views.ranges(_bars(spark, sf, "1h"), H1)
+    return quality.report(quality.in_order(bars, span), span, H1)
+
+
+def unaligned_samples(spark, sf):
+    return quality.unaligned_samples(_shifted(spark, sf), H1)
+
+
+def gap_samples(spark, sf):
+    return quality.gap_samples(views.coverage(spark, sf), views.ranges(_bars(spark, sf), H4))
+
+
+def order_violations(spark, sf):
+    """Slots of events in order of their id against ranges that end a day early."""
+    rows = views.events(spark, sf).select("symbol", g.floor_to(F.col("ts_us"), H1).alias("open_us"), "event_id")
+    span = views.ranges(rows, H1).withColumn("end_us", F.col("end_us") - 24 * H1)
+    return quality.violations(rows, span, "event_id")
+
+
+def backward_order_check(spark, sf):
+    rows = _bars(spark, sf, "1h").withColumn("pos", F.col("open_us") - F.pmod("volume", F.lit(3)) * 5 * H1)
+    return quality.order_faults(rows.withColumn("pos", F.struct("pos", "open_us")), H1, "pos")
+
+
+def event_order_faults(spark, sf):
+    rows = views.funding(spark, sf).withColumn("pos", F.struct(F.call_function("div", F.col("event_us"), F.lit(H4)), "funding_rate", "reference_price", "event_us", "rate_type"))
+    return quality.event_faults(rows, "pos")
+
+
+def page_disorder(spark, sf):
+    pages = _pages(spark, sf).withColumn("pos", F.struct(F.pmod(F.col("event_id") * 7919, F.lit(101)), "event_id"))
+    return paging.page_order_faults(pages, "ts_us", pos="pos").select(F.col("page_no").cast("long").alias("page_no"), "faults")
+
+
+def effective_ends(spark, sf):
+    """Ends asked for from three hours before to five after each event, as known at it."""
+    rows = views.events(spark, sf).select("event_id", F.col("ts_us").alias("as_of_us"), (g.floor_to(F.col("ts_us"), H1) + (F.col("event_id") % 9 - 3) * H1).alias("requested_end"))
+    end = g.effective_end(F.col("requested_end"), F.col("as_of_us"), H1)
+    return rows.withColumn("effective_end", end).withColumn("excluded", g.excluded_tail(F.col("requested_end"), end, H1))
+
+
+def split_checks(spark, sf):
+    """In-sample and out-of-sample ranges of windows, some off the grid, empty or overlapping."""
+    k = F.pmod("window_idx", F.lit(5))
+    rows = rolling.rolling_windows(_runs(spark, sf), H4, LENGTH, STEP).select("run", "window_idx", F.col("start_us").alias("is_start"), (F.col("start_us") + 20 * H4 + F.when(k == 1, 1).when(k == 2, 5 * H4).otherwise(0)).alias("is_end"), (F.col("start_us") + F.when(k == 3, 30).otherwise(22) * F.lit(H4)).alias("oos_start"), F.col("end_us").alias("oos_end"))
+    return rows.withColumn("fault", rolling.split_fault(F.col("is_start"), F.col("is_end"), F.col("oos_start"), F.col("oos_end"), H4))
+
+
+def _solvent(spark, sf):
+    return ledger.replay(_runs(spark, sf), ledger.flat_after_fall(), H4, initial="10000", quantity=1, cost=COST)
+
+
+def _metrics():
+    """The metrics rounded; a zero below zero is a zero."""
+    return [(F.round(F.col(c).cast("double"), 6) + 0.0).alias(c) for c in ("total_return", "max_drawdown", "mean_return", "return_stdev", "sharpe_ratio")]
+
+
+def solvent_metrics(spark, sf):
+    """Both stages in doubles over curves that stay positive."""
+    done = _solvent(spark, sf)
+    both = metrics.stage1(done, 10_000.0).join(metrics.stage2(done, 10_000.0), "run_id")
+    return both.select("run_id", *_metrics())
+
+
+def exact_metrics(spark, sf):
+    """The same in decimals of 28 digits, with the fault where a run has no second stage."""
+    got = exact.metrics(_solvent(spark, sf), "10000", strict=False)
+    return got.select("run_id", *_metrics(), "fault")
+
+
+def policy_targets(spark, sf):
+    """Targets of a Python policy that is asked bar by bar."""
+    bars = _runs(spark, sf).select("run_id", "open_us", F.col("close").cast("double").alias("close"))
+    return policy.with_targets(bars, policy.Crossing, H4).select("run_id", "open_us", F.col("target").cast("long").alias("target"))
+
+
+def python_cost(spark, sf):
+    """Costs of a Python function in place of a column."""
+    rows = ledger.replay(_runs(spark, sf), ledger.momentum(), H4, cost=costs.by_function(lambda quantity, price: quantity * price / 400))
+    return rows.where("delta != 0").select("run_id", "open_us", _round("cost", "cost"))
+
+
+MARKET = ("binance", "spot")
+
+
+def _candle_rows(bars, timeframe):
+    ids = [F.lit(x).alias(c) for c, x in zip(("exchange", "market_type"), MARKET, strict=True)]
+    return bars.select(*ids, "symbol", F.lit(timeframe).alias("timeframe"), "open_us", *[F.col(c).cast("decimal(18,8)").alias(c) for c in ("open", "high", "low", "close", "volume")])
+
+
+def _longest(spark, sf):
+    """The bars of the longest run, its symbol, start and end."""
+    bars = _runs(spark, sf)
+    best = bars.groupBy("run_id", "symbol").agg(F.count("*").alias("n"), F.min("open_us").alias("lo"), (F.max("open_us") + H4).alias("hi")).orderBy(F.desc("n"), "run_id").limit(1).first()
+    return bars.where(F.col("run_id") == best.run_id), best.symbol, best.lo, best.hi
+
+
+def _funding_store(spark, sf, symbol, lo, hi):
+    events = views.funding(spark, sf).where((F.col("symbol") == symbol) & (F.col("event_us") >= lo) & (F.col("event_us") < hi))
+    kept = store.FundingStore(spark, scratch(spark))
+    ids = [F.lit(x).alias(c) for c, x in zip(("exchange", "market_type"), MARKET, strict=True)]
+    rows = events.select(*ids, "symbol", "event_us", "rate_type", F.col("funding_rate").cast("decimal(18,10)").alias("funding_rate"), F.col("reference_price").cast("decimal(18,8)").alias("reference_price"))
+    middle = lo + (hi - lo) // 2
+    kept.write(rows.where(F.col("event_us") < middle), *MARKET, symbol, lo, middle)
+    kept.write(rows.where(F.col("event_us") >= middle), *MARKET, symbol, middle, hi)
+    return kept
+
+
+def store_range_query(spark, sf):
+    """Bars written to a store in two overlapping batches, read by range."""
+    rows = _candle_rows(_bars(spark, sf, "1h"), "1h")
+    kept = store.candle_store(spark, scratch(spark))
+    kept.write(rows.where(F.col("open_us") < AS_OF))
+    kept.write(rows.where(F.col("open_us") >= AS_OF - 240 * H1))
+    return kept.query(AS_OF - AS_OF % H1 - 240 * H1, AS_OF - AS_OF % H1, exchange="binance", market_type="spot", timeframe="1h").select("symbol", "open_us", _round("close", "close"))
+
+
+def store_events(spark, sf):
+    """Funding events and coverage of the longest run, written in two batches and read in its middle half."""
+    _, symbol, lo, hi = _longest(spark, sf)
+    kept, start, end = _funding_store(spark, sf, symbol, lo, hi), lo + (hi - lo) // 4, hi - (hi - lo) // 4
+    events = kept.query_events(*MARKET, symbol, start, end).agg(F.count("*").alias("rows"), F.min("event_us").alias("first_us"), F.max("event_us").alias("last_us")).withColumn("kind", F.lit("event"))
+    covered = kept.query_coverage(*MARKET, symbol, start, end).agg(F.count("*").alias("rows"), F.min("start_us").alias("first_us"), F.max("end_us").alias("last_us")).withColumn("kind", F.lit("coverage"))
+    return events.unionByName(covered)
+
+
+def store_ingest(spark, sf):
+    """Raw pages of 1h bars ingested into a store up to the last closed hour, and read back."""
+    _, symbol, lo, hi = _longest(spark, sf)
+    bars = _bars(spark, sf, "1h").where((F.col("symbol") == symbol) & (F.col("open_us") >= lo) & (F.col("open_us") < hi))
+    ms = F.call_function("div", F.col("open_us"), F.lit(1000))
+    text = F.concat(F.lit("["), ms.cast("string"), *[x for c in ("open", "high", "low", "close", "volume") for x in (F.lit(',"'), F.col(c).cast("string"), F.lit('"'))], F.lit(","), (ms + 3_599_999).cast("string"), F.lit("]"))
+    kept = store.candle_store(spark, scratch(spark))
+    ingest.ingest_candle_pages(kept, bars.select(text.alias("raw")), symbol, "1h", lo, hi, hi - 10 * H1 + 1)
+    return kept.query(lo, hi, exchange="binance", market_type="spot", symbol=symbol, timeframe="1h").select("symbol", "open_us", _round("open", "open"), _round("close", "close"), _round("volume", "volume"))
+
+
+def store_quality(spark, sf):
+    """The gate's report of a stored run, asked for ten bars beyond what is known."""
+    bars, symbol, lo, hi = _longest(spark, sf)
+    kept = store.candle_store(spark, scratch(spark))
+    kept.write(_candle_rows(bars, "4h"))
+    return backtest.store_report(kept, backtest.Market(*MARKET, symbol), "4h", backtest.Range(lo, hi + 10 * H4, hi + 1))
+
+
+def store_backtest(spark, sf):
+    """A funded backtest from stores: gates, context of five bars, replay and summary."""
+    bars, symbol, lo, hi = _longest(spark, sf)
+    kept = store.candle_store(spark, scratch(spark))
+    kept.write(_candle_rows(bars, "4h"))
+    market, asked = backtest.Market(*MARKET, symbol), backtest.Range(lo, hi, hi)
+    done = backtest.run_from_store(kept, market, "4h", asked, ledger.momentum(), cost=COST, funding_required=True, funding_store=_funding_store(spark, sf, symbol, lo, hi), funding_model=costs.linear, evaluation_start_us=lo + CONTEXT * H4)
+    s = ledger.reconciled(ledger.summary(done))
+    return s.select(F.col("run_id").alias("symbol"), *[_round(c, c) for c in ("final_cash", "final_equity", "realized", "unrealized", "total_cost")], "final_position", "fills", "trades", "bars")
+
+
+def store_rolling(spark, sf):
+    """Two windows of a stored run, each with bars of context and a Python policy of its own."""
+    bars, symbol, lo, _ = _longest(spark, sf)
+    kept = store.candle_store(spark, scratch(spark))
+    kept.write(_candle_rows(bars, "4h"))
+    first = lo + CONTEXT * H4
+    windows = [(first - CONTEXT * H4, first, first + 4 * H4), (first, first + 2 * H4, first + 7 * H4)]
+    got = backtest.rolling_from_store(kept, backtest.Market(*MARKET, symbol), "4h", windows, first + 7 * H4, policy.Crossing, cost=COST)
+    rows = [s.select(F.lit(k).cast("long").alias("window_idx"), _round("final_equity", "final_equity"), "fills", "trades", "bars") for k, s in enumerate(got)]
+    return rows[0].unionByName(rows[1])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equity over the longest run of adjoining bars."""
     bars = _runs(spark, sf_dir)
@@ -271,6 +473,10 @@ _QUERIES = {
         cross_page_dedup, page_order, order_contiguity_check, positions, fills, cost_components, trade_counts, funding_asof,
         equity_curve, backtest_summary, pnl_reconciliation, context_evaluation, periodic_returns, drawdown_curve,
         stage1_metrics, stage2_metrics, is_oos_split, transport_bounds, kline_parse, funding_parse,
+        kline_parse_six, kline_close_time, flat_fills, unaligned_report, unaligned_samples, gap_samples, order_violations,
+        backward_order_check, event_order_faults, page_disorder, effective_ends, split_checks, solvent_metrics,
+        exact_metrics, policy_targets, python_cost, store_range_query, store_events, store_ingest, store_quality,
+        store_backtest, store_rolling,
     )
 }
 

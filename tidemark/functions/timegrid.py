@@ -7,6 +7,8 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schemas import DataCorruptionError
+
 #: Timeframes and their microseconds (fixed values).
 DURATIONS = {"1h": 3_600_000_000, "4h": 14_400_000_000}
 _EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
@@ -34,9 +36,13 @@ def to_us(at: datetime) -> int:
 
 
 def from_us(us: int) -> datetime:
+    """The instant of stored microseconds; out of the calendar's range they are corrupt."""
     if isinstance(us, bool) or not isinstance(us, int):
         raise TypeError("microseconds must be an int")
-    return _EPOCH + timedelta(microseconds=us)
+    try:
+        return _EPOCH + timedelta(microseconds=us)
+    except OverflowError as e:
+        raise DataCorruptionError(f"{us} microseconds are out of range") from e
 
 
 def us_of(ts: Column) -> Column:
@@ -67,20 +73,42 @@ def effective_end(requested_end: Column, as_of: Column, dur: int) -> Column:
 
 
 def excluded_tail(requested_end: Column, end: Column, dur: int) -> Column:
-    return F.floor((requested_end - end) / dur).cast("long")
+    return _div(requested_end - end - F.pmod(requested_end - end, F.lit(dur)), dur)
+
+
+def excluded_tail_of(requested_end: int, end: int, dur: int) -> int:
+    """excluded_tail of arguments, which must be on the grid and in order."""
+    if requested_end % dur or end % dur:
+        raise ValueError("both ends must be aligned to the grid")
+    if end > requested_end:
+        raise ValueError("the effective end must not be after the requested one")
+    return (requested_end - end) // dur
+
+
+def _div(a: Column, b: int) -> Column:
+    """Whole division of a multiple of b, without doubles."""
+    return F.call_function("div", a, F.lit(b))
 
 
 def transport_start_ms(us: Column) -> Column:
-    return ((us - F.pmod(us, F.lit(1000))) / 1000).cast("long")
+    return _div(us - F.pmod(us, F.lit(1000)), 1000)
 
 
 def transport_end_ms(us: Column) -> Column:
-    return ((us + F.pmod(-us, F.lit(1000))) / 1000).cast("long")
+    return _div(us + F.pmod(-us, F.lit(1000)), 1000)
+
+
+def transport_start(us: int) -> int:
+    return us // 1000
+
+
+def transport_end(us: int) -> int:
+    return -(-us // 1000)
 
 
 def exact_ms(us: Column) -> Column:
     """Milliseconds, null for a time before the epoch or within a millisecond."""
-    return F.when((us >= 0) & (F.pmod(us, F.lit(1000)) == 0), (us / 1000).cast("long"))
+    return F.when((us >= 0) & (F.pmod(us, F.lit(1000)) == 0), _div(us, 1000))
 
 
 def in_range(us: Column, start: Column | int, end: Column | int) -> Column:

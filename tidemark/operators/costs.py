@@ -6,10 +6,13 @@ from collections.abc import Callable
 from decimal import Decimal
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CostModel = Callable[[Column, Column], Column]
+#: Of signed quantity and funding due.
+FundingModel = Callable[[Column, Column], Column]
 #: Type of every term of the ledger.
 MONEY = "decimal(28,10)"
 
@@ -44,6 +47,22 @@ def composite(*models: CostModel) -> CostModel:
     return lambda quantity, price: reduce(lambda a, m: (a + m(quantity, price)).cast(MONEY), models, F.lit(0).cast(MONEY))
 
 
-def funding_cost(quantity: Column, reference_price: Column, rate: Column) -> Column:
-    """What the account pays: positive for a long position at a positive rate."""
-    return (quantity * (reference_price * rate).cast("decimal(24,10)")).cast(MONEY)
+def linear(quantity: Column, funding: Column) -> Column:
+    """What a position pays of the rates times reference prices due: positive for a long one at positive rates."""
+    return quantity * funding
+
+
+def by_function(cost: Callable[[Decimal, Decimal], Decimal]) -> CostModel:
+    """A model from a Python function of quantity and price, in batches; built-in columns are the fast way."""
+
+    @F.pandas_udf(MONEY)
+    def run(quantity: pd.Series, price: pd.Series) -> pd.Series:
+        return pd.Series([cost(Decimal(str(q)), Decimal(str(p))) for q, p in zip(quantity, price, strict=True)], dtype=object)
+
+    return lambda quantity, price: run(quantity.cast("decimal(18,8)"), price.cast("decimal(18,8)"))
+
+
+def funding_due(reference_price: Column, rate: Column) -> Column:
+    """Reference price times rate; a price that is not positive fails the query."""
+    good = F.when(reference_price > 0, reference_price).otherwise(F.raise_error(F.lit("a reference price must be positive")).cast("decimal(18,8)"))
+    return (good * rate).cast("decimal(24,10)")

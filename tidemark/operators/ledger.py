@@ -7,10 +7,13 @@ order serve every column. Bars: run_id, open_us, open, high, low, close.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .costs import MONEY, CostModel, zero
+from .costs import MONEY, CostModel, FundingModel, funding_due, linear, zero
+from .policy import TARGETS
 
 
 def in_run() -> WindowSpec:
@@ -29,6 +32,12 @@ def momentum() -> Column:
     return F.when(before.isNull(), 0).when(F.col("close") > before, 1).otherwise(-1)
 
 
+def flat_after_fall() -> Column:
+    """1 above the close before, 0 at or below it, -1 below the two before: all kinds of changes occur."""
+    one, two = (F.lag("close", k).over(in_run()) for k in (1, 2))
+    return F.when(one.isNull(), 0).when(F.col("close") > one, 1).when(two.isNotNull() & (F.col("close") < one) & (F.col("close") < two), -1).otherwise(0)
+
+
 def due_marks(events: DataFrame, dur: int, start: DataFrame) -> DataFrame:
     """(run_id, mark_us, funding): rate times reference price of the events due at each mark.
 
@@ -38,16 +47,21 @@ def due_marks(events: DataFrame, dur: int, start: DataFrame) -> DataFrame:
     up = F.col("event_us") + F.pmod(-F.col("event_us"), F.lit(dur))
     mark = F.greatest(up, F.col("eval_start") + dur)
     due = events.join(start, "run_id").where("event_us >= eval_start")
-    return due.groupBy("run_id", mark.alias("mark_us")).agg(F.sum((F.col("funding_rate") * F.col("reference_price")).cast("decimal(24,10)")).cast("decimal(24,10)").alias("funding"))
+    return due.groupBy("run_id", mark.alias("mark_us")).agg(F.sum(funding_due(F.col("reference_price"), F.col("funding_rate"))).cast("decimal(24,10)").alias("funding"))
 
 
-def replay(bars: DataFrame, target: Column, dur: int, initial: str = "1000", quantity: int = 2, cost: CostModel | None = None, funding: DataFrame | None = None, eval_from: Column | None = None) -> DataFrame:
+def replay(bars: DataFrame, target: Column, dur: int, initial: str = "1000", quantity: int = 2, cost: CostModel | None = None, funding: DataFrame | None = None, eval_from: Column | None = None, funding_model: FundingModel | None = None) -> DataFrame:
     """A row per evaluation bar with its position, fill, costs, cash, equity and realized profit.
 
-    Targets see all bars; the ledger sees those from eval_from on. funding: as due_marks gives.
+    Targets see all bars; the ledger sees those from eval_from on. funding: as due_marks gives;
+    funding_model says what a position pays of it, by default linear in the position.
     """
     cost = cost or zero()
-    rows = bars.withColumn("target", target.cast("int")).withColumn("mark_us", F.col("open_us") + dur)
+    if quantity <= 0:
+        raise ValueError("quantity must be positive")
+    known = target.cast("int")
+    known = F.when(known.isin(*TARGETS), known).otherwise(F.raise_error(F.lit("a target must be 1, 0 or -1")).cast("int"))
+    rows = bars.withColumn("target", known).withColumn("mark_us", F.col("open_us") + dur)
     if eval_from is not None:
         rows = rows.where(F.col("open_us") >= eval_from)
     if funding is not None:
@@ -58,7 +72,7 @@ def replay(bars: DataFrame, target: Column, dur: int, initial: str = "1000", qua
     rows = rows.withColumn("position", q * F.coalesce(F.lag("target", 1).over(in_run()), F.lit(0))).withColumn("before", q * F.coalesce(F.lag("target", 2).over(in_run()), F.lit(0)))
     rows = rows.withColumn("delta", F.col("position") - F.col("before")).withColumn("fill_price", F.when(F.col("delta") != 0, F.col("open")))
     rows = rows.withColumn("cost", F.when(F.col("delta") != 0, cost(F.abs("delta"), F.col("open"))).otherwise(F.lit(0).cast(MONEY)))
-    rows = rows.withColumn("funding_cost", (F.col("position") * F.coalesce("funding", F.lit(0))).cast(MONEY))
+    rows = rows.withColumn("funding_cost", (funding_model or linear)(F.col("position"), F.coalesce("funding", F.lit(0))).cast(MONEY))
     paid = ((F.col("delta") * F.col("open")).cast(MONEY) + F.col("cost") + F.col("funding_cost")).cast(MONEY)
     rows = rows.withColumn("cash", (F.lit(initial).cast(MONEY) - F.sum(paid).over(until(0))).cast(MONEY))
     rows = rows.withColumn("equity", (F.col("cash") + (F.col("position") * F.col("close")).cast(MONEY)).cast(MONEY))
@@ -74,8 +88,8 @@ def trades(before: Column, after: Column) -> Column:
     return F.when(before == after, 0).when((before == 0) | (after == 0), 1).when(F.signum(before) == -F.signum(after), 2).otherwise(resize)
 
 
-def summary(ledger: DataFrame, initial: str = "1000") -> DataFrame:
-    """One row per run: end state, profits, costs, counts, and whether the books balance."""
+def summary(ledger: DataFrame, initial: str = "1000", more: Sequence[Column] = ()) -> DataFrame:
+    """One row per run: end state, profits, costs, counts, and whether the books balance; with `more` aggregates."""
     last = lambda c: F.max_by(c, "open_us")
     unrealized = F.when(F.col("position") == 0, F.lit(0).cast(MONEY)).otherwise((F.col("position") * (F.col("close") - F.col("entry"))).cast(MONEY))
     out = ledger.groupBy("run_id").agg(
@@ -88,6 +102,13 @@ def summary(ledger: DataFrame, initial: str = "1000") -> DataFrame:
         F.count_if(F.col("delta") != 0).alias("fills"),
         F.sum("trades").cast("long").alias("trades"),
         F.count("*").alias("bars"),
+        *more,
     )
     total = (F.col("final_equity") - F.lit(initial).cast(MONEY)).cast(MONEY)
     return out.withColumn("balanced", total == (F.col("realized") + F.col("unrealized") - F.col("total_cost")).cast(MONEY))
+
+
+def reconciled(summaries: DataFrame) -> DataFrame:
+    """summaries without `balanced`; one that does not balance fails the query."""
+    bad = F.raise_error(F.concat(F.lit("the books of a run do not balance: "), F.col("run_id"))).cast("string")
+    return summaries.withColumn("run_id", F.when(F.col("balanced"), F.col("run_id")).otherwise(bad)).drop("balanced")

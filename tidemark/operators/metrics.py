@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ledger import in_run, until
@@ -23,13 +23,21 @@ def drawdowns(curve: DataFrame, initial: float = 1000.0) -> DataFrame:
     return curve.withColumn("peak", peak).withColumn("drawdown", (F.col("peak") - F.col("equity").cast("double")) / F.col("peak"))
 
 
+def stage1_parts(initial: float = 1000.0) -> list[Column]:
+    """Aggregates of a run's drawdowns: total_return and max_drawdown."""
+    final = F.max_by(F.col("equity").cast("double"), "open_us")
+    return [(final / initial - 1).alias("total_return"), F.max("drawdown").alias("max_drawdown")]
+
+
 def stage1(curve: DataFrame, initial: float = 1000.0) -> DataFrame:
     """(run_id, total_return, max_drawdown)."""
-    final = F.max_by(F.col("equity").cast("double"), "open_us")
-    return drawdowns(curve, initial).groupBy("run_id").agg((final / initial - 1).alias("total_return"), F.max("drawdown").alias("max_drawdown"))
+    return drawdowns(curve, initial).groupBy("run_id").agg(*stage1_parts(initial))
 
 
 def stage2(curve: DataFrame, initial: float = 1000.0, risk_free: float = 0.0) -> DataFrame:
-    """(run_id, mean_return, return_stdev, sharpe_ratio); null where fewer than two returns or no spread."""
-    out = periodic_returns(curve, initial).groupBy("run_id").agg(F.avg("ret").alias("mean_return"), F.stddev_samp("ret").alias("return_stdev"))
-    return out.withColumn("sharpe_ratio", F.when(F.col("return_stdev") > 0, (F.col("mean_return") - risk_free) / F.col("return_stdev")))
+    """(run_id, mean_return, return_stdev, sharpe_ratio), all null for a run with a denominator that is not
+    positive, fewer than two returns or no spread. exact.metrics says which, as an error."""
+    got = periodic_returns(curve, initial).groupBy("run_id").agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"), F.count("*").alias("n"), F.bool_or("bad_denominator").alias("bad"))
+    good = ~F.col("bad") & (F.col("n") >= 2) & (F.col("s") > 0)
+    value = lambda c, name: F.when(good, c).alias(name)
+    return got.select("run_id", value(F.col("m"), "mean_return"), value(F.col("s"), "return_stdev"), value((F.col("m") - risk_free) / F.col("s"), "sharpe_ratio"))

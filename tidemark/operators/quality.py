@@ -19,29 +19,73 @@ def missing_slots(bars: DataFrame, ranges: DataFrame, dur: int) -> DataFrame:
     return expected_slots(ranges, dur).join(bars.select("symbol", "open_us").distinct(), ["symbol", "open_us"], "left_anti")
 
 
+def in_order(bars: DataFrame, ranges: DataFrame, message: str = "a bar is out of its range, repeated or out of order", pos: str | None = None) -> DataFrame:
+    """bars (symbol, open_us), failing at one outside its symbol's range or seen twice; with pos, also at one that
+    is not after the one above it by pos."""
+    r = ranges.select("symbol", F.col("start_us").alias("_lo"), F.col("end_us").alias("_hi"))
+    before = F.lag("open_us").over(Window.partitionBy("symbol").orderBy(pos or "open_us"))
+    rows = bars.join(F.broadcast(r), "symbol", "left").withColumn("_before", before)  # a row for each symbol
+    bad = F.col("_lo").isNull() | (F.col("open_us") < F.col("_lo")) | (F.col("open_us") >= F.col("_hi")) | (F.col("_before") >= F.col("open_us"))
+    open_us = F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(message)).cast("long")).otherwise(F.col("open_us"))
+    return rows.withColumn("open_us", open_us).drop("_lo", "_hi", "_before")
+
+
+def violations(bars: DataFrame, ranges: DataFrame, pos: str = "open_us") -> DataFrame:
+    """(symbol, out_of_range, repeated, backward): what in_order fails at, counted in one pass by symbol."""
+    r = ranges.select("symbol", F.col("start_us").alias("lo"), F.col("end_us").alias("hi"))
+    before = F.lag("open_us").over(Window.partitionBy("symbol").orderBy(pos))
+    rows = bars.join(F.broadcast(r), "symbol", "left").withColumn("before", before)
+    return rows.groupBy("symbol").agg(
+        F.count_if(F.col("lo").isNull() | (F.col("open_us") < F.col("lo")) | (F.col("open_us") >= F.col("hi"))).alias("out_of_range"),
+        F.count_if(F.col("before") == F.col("open_us")).alias("repeated"),
+        F.count_if(F.col("before") > F.col("open_us")).alias("backward"),
+    )
+
+
 def report(bars: DataFrame, ranges: DataFrame, dur: int) -> DataFrame:
-    """One row per range: counts, first and last bar, status. FAIL for a missing or unaligned bar, or none."""
-    missing = missing_slots(bars, ranges, dur).groupBy("symbol").agg(F.count("*").alias("missing"))
-    seen = bars.groupBy("symbol").agg(
-        F.count("*").alias("actual"),
-        F.count_if(F.pmod("open_us", F.lit(dur)) != 0).alias("unaligned"),
-        F.min("open_us").alias("first_us"),
-        F.max("open_us").alias("last_us"),
+    """One row per range: counts, first and last bar, status. FAIL for a missing or unaligned bar, or none.
+
+    The bars are those of in_order. Bars and slots are read once: each bar counts where it is, and each slot
+    that no bar has counts as missing.
+    """
+    slots = expected_slots(ranges, dur).withColumn("slot", F.lit(1))
+    both = bars.select("symbol", "open_us", F.lit(1).alias("bar")).join(slots, ["symbol", "open_us"], "full")
+    seen = both.groupBy("symbol").agg(
+        F.count("bar").alias("actual"),
+        F.count_if(F.col("bar").isNull()).alias("missing"),
+        F.count_if(F.col("bar").isNotNull() & (F.pmod("open_us", F.lit(dur)) != 0)).alias("unaligned"),
+        F.min(F.when(F.col("bar").isNotNull(), F.col("open_us"))).alias("first_us"),
+        F.max(F.when(F.col("bar").isNotNull(), F.col("open_us"))).alias("last_us"),
     )
-    out = ranges.join(seen, "symbol", "left").join(missing, "symbol", "left").na.fill(0, ["actual", "unaligned", "missing"])
+    out = ranges.join(seen, "symbol", "left").na.fill(0, ["actual", "unaligned", "missing"])
     bad = (F.col("missing") > 0) | (F.col("unaligned") > 0) | (F.col("actual") == 0)
-    return out.select("symbol", ((F.col("end_us") - F.col("start_us")) / dur).cast("long").alias("expected"), "actual", "missing", "unaligned", "first_us", "last_us", F.when(bad, "FAIL").otherwise("PASS").alias("status"))
+    expected = F.call_function("div", F.col("end_us") - F.col("start_us"), F.lit(dur))
+    return out.select("symbol", expected.alias("expected"), "actual", "missing", "unaligned", "first_us", "last_us", F.when(bad, "FAIL").otherwise("PASS").alias("status"))
+
+
+def _first(rows: DataFrame, by: str, *cols: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("symbol").orderBy(by))
+    return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= SAMPLE).select("symbol", "rank", *cols)
+
+
+def unaligned_samples(bars: DataFrame, dur: int) -> DataFrame:
+    """(symbol, rank, open_us): the first SAMPLE bars off the grid of each symbol."""
+    return _first(bars.where(F.pmod("open_us", F.lit(dur)) != 0), "open_us", "open_us")
+
+
+def gap_samples(intervals: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(symbol, rank, gap_start, gap_end): the first SAMPLE gaps of each range's coverage."""
+    return _first(coverage_gaps(intervals, ranges), "gap_start", "gap_start", "gap_end")
 
 
 def missing_samples(bars: DataFrame, ranges: DataFrame, dur: int) -> DataFrame:
     """(symbol, rank, open_us): the first SAMPLE missing slots of each range."""
-    rank = F.row_number().over(Window.partitionBy("symbol").orderBy("open_us"))
-    return missing_slots(bars, ranges, dur).withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("symbol", F.col("rank").cast("long").alias("rank"), "open_us")
+    return _first(missing_slots(bars, ranges, dur), "open_us", "open_us")
 
 
-def order_faults(bars: DataFrame, dur: int) -> DataFrame:
-    """One row per symbol: bars, those not after the one before, those not adjoining it."""
-    before = F.lag("open_us").over(Window.partitionBy("symbol").orderBy("open_us"))
+def order_faults(bars: DataFrame, dur: int, pos: str = "open_us") -> DataFrame:
+    """One row per symbol: bars, those not after the one before by pos, those not adjoining it."""
+    before = F.lag("open_us").over(Window.partitionBy("symbol").orderBy(pos))
     rows = bars.withColumn("before", before)
     return rows.groupBy("symbol").agg(F.count("*").alias("bars"), F.count_if(F.col("before") >= F.col("open_us")).alias("not_ascending"), F.count_if(F.col("before") + dur != F.col("open_us")).alias("gaps"))
 
@@ -74,6 +118,13 @@ def coverage_gaps(intervals: DataFrame, ranges: DataFrame) -> DataFrame:
     return rows.where("s > reach").select("symbol", F.col("reach").alias("gap_start"), F.col("s").alias("gap_end"))
 
 
+def event_faults(events: DataFrame, pos: str) -> DataFrame:
+    """(symbol, events, backward, repeated): events whose (time, rate type) is before, or equals, that above them by pos."""
+    own = F.struct("event_us", "rate_type")
+    rows = events.withColumn("_before", F.lag(own).over(Window.partitionBy("symbol").orderBy(pos))).withColumn("_own", own)
+    return rows.groupBy("symbol").agg(F.count("*").alias("events"), F.count_if(F.col("_before") > F.col("_own")).alias("backward"), F.count_if(F.col("_before") == F.col("_own")).alias("repeated"))
+
+
 def funding_report(events: DataFrame, intervals: DataFrame, ranges: DataFrame) -> DataFrame:
     """One row per range: events in it, gaps in its coverage, status. No event is no fault."""
     gaps = coverage_gaps(intervals, ranges).groupBy("symbol").agg(F.count("*").alias("gap_count"), F.sum(F.col("gap_end") - F.col("gap_start")).alias("gap_us"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,14 @@ def window_bars(bars: DataFrame, windows: DataFrame, dur: int) -> DataFrame:
     return both.withColumn("run_id", F.concat_ws("#", "run", F.col("window_idx").cast("string")))
 
 
+def split_fault(is_start: Column, is_end: Column, oos_start: Column, oos_end: Column, dur: int) -> Column:
+    """What is wrong with an in-sample and an out-of-sample range: grid, empty or order; null if nothing is."""
+    off = F.lit(False)
+    for c in (is_start, is_end, oos_start, oos_end):
+        off = off | (F.pmod(c, F.lit(dur)) != 0)
+    return F.when(off, "grid").when((is_start >= is_end) | (oos_start >= oos_end), "empty").when(is_end > oos_start, "order")
+
+
 def check_split(in_sample: tuple[int, int], out_of_sample: tuple[int, int], dur: int) -> None:
     """Raises ValueError unless both ranges are on the grid, not empty, and in order."""
     for start, end in (in_sample, out_of_sample):

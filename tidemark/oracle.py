@@ -111,6 +111,29 @@ MISS1 = f"{B1}, {_range(H1)}, {_grid(H1)}, {MISS}"
 _LO, _HI = AS_OF - AS_OF % H1 - 240 * H1, AS_OF - AS_OF % H1
 PAGES = f"""pg AS (SELECT *, ts_us // {H1} AS page_no FROM ev UNION ALL SELECT *, ts_us // {H1} + 1 FROM ev WHERE ts_us % {H1} >= 3000000000)"""
 
+STATS = "a AS (SELECT run_id, avg(ret) AS m, stddev_samp(ret) AS s, count(*) AS n, min(den) > 0 AS ok FROM rt GROUP BY 1)"
+STAGE2 = ", ".join(f"round(CASE WHEN ok AND n >= 2 AND s > 0 THEN {x} END, 6) AS {name}" for x, name in (("m", "mean_return"), ("s", "return_stdev"), ("m / s", "sharpe_ratio")))
+STAGE1 = f"SELECT run_id, round(arg_max({EQ}, open_us) / 1000.0 - 1, 6) AS total_return, round(max((peak - {EQ}) / peak), 6) AS max_drawdown FROM pk GROUP BY 1"
+FLAT = "CASE WHEN lag(c) OVER w IS NULL THEN 0 WHEN c > lag(c) OVER w THEN 1 WHEN lag(c, 2) OVER w IS NOT NULL AND c < lag(c) OVER w AND c < lag(c, 2) OVER w THEN -1 ELSE 0 END"
+CROSS = "CASE WHEN c * n = t THEN 0 WHEN c * n > t THEN 1 ELSE -1 END"
+SEEN = "PARTITION BY run_id ORDER BY open_us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
+def _flat(sql: str) -> str:
+    return sql.replace(TARGET, FLAT)
+
+
+def _rich(sql: str) -> str:
+    """One unit, and an initial cash of 10000."""
+    return sql.replace("2 * coalesce(lag", "1 * coalesce(lag").replace("100000000000 -", "1000000000000 -").replace("1000.0", "10000.0")
+
+
+# a zero below zero is a zero
+_PLUS = ", ".join(f"{c} + 0.0 AS {c}" for c in ("total_return", "max_drawdown", "mean_return", "return_stdev", "sharpe_ratio"))
+LONGEST = f"""lr AS (SELECT run_id, symbol AS sym, min(open_us) AS lo, max(open_us) + {H4} AS hi FROM runs GROUP BY 1, 2 ORDER BY count(*) DESC, run_id LIMIT 1)"""
+SHIFT = f"b0 AS (SELECT * FROM b), b1 AS (SELECT symbol, open_us + CASE WHEN (open_us // {H1}) % 11 = 0 THEN 420000000 ELSE 0 END AS open_us FROM b)"
+SOLVENT = _rich(_flat(f"{L4}, {DRAW}, {RETS}, {STATS}, s1 AS ({STAGE1}), s2 AS (SELECT run_id, {STAGE2}, n, ok, s FROM a)"))
+
 ORACLES = {
     "candles_1h": _candles(H1),
     "candles_4h": _candles(H4),
@@ -135,7 +158,7 @@ SELECT l_orderkey, l_linenumber, n AS "rows", CASE WHEN lo <> hi THEN 'conflict'
     "cross_page_dedup": f"""WITH {EV}, {PAGES}, p AS (SELECT symbol, ts_us, user_id, page_no, count(*) AS n, min(v) AS lo, max(v) AS hi FROM pg GROUP BY 1, 2, 3, 4),
 k AS (SELECT symbol, ts_us, user_id, max(n) AS most, min(lo) AS lo, max(hi) AS hi, count(*) AS pages FROM p GROUP BY 1, 2, 3)
 SELECT symbol, CASE WHEN most > 1 THEN 'page_duplicate' WHEN lo <> hi THEN 'conflict' ELSE 'ok' END AS status, count(*) AS keys, CAST(sum(pages) AS BIGINT) AS pages FROM k GROUP BY 1, 2""",
-    "page_order": f"""WITH {EV}, {PAGES}, o AS (SELECT page_no, lag(ts_us) OVER (PARTITION BY page_no ORDER BY event_id) > ts_us AS bad FROM pg WHERE user_id IS NOT NULL)
+    "page_order": f"""WITH {EV}, {PAGES}, o AS (SELECT page_no, lag(ts_us) OVER (PARTITION BY page_no ORDER BY event_id) > ts_us AS bad FROM pg)
 SELECT page_no, coalesce(CAST(count_if(bad) AS BIGINT), 0) AS faults FROM o GROUP BY 1""",
     "order_contiguity_check": f"""{B1}, o AS (SELECT *, lag(open_us) OVER (PARTITION BY symbol ORDER BY open_us) AS p FROM b) SELECT symbol, count(*) AS bars, CAST(count_if(p >= open_us) AS BIGINT) AS not_ascending, CAST(count_if(p + {H1} <> open_us) AS BIGINT) AS gaps FROM o GROUP BY 1""",
     "positions": f"{L4} SELECT run_id, open_us, CAST(target AS BIGINT) AS target, CAST(position AS BIGINT) AS position, CAST(delta AS BIGINT) AS delta FROM led",
@@ -152,8 +175,7 @@ SELECT run_id, open_us, CAST(target AS BIGINT) AS target, CAST(position AS BIGIN
     "periodic_returns": f"{L4}, {RETS} SELECT run_id, open_us, round(CASE WHEN den > 0 THEN ret END, 6) AS ret, den <= 0 AS bad_denominator FROM rt",
     "drawdown_curve": f"{L4}, {DRAW} SELECT run_id, open_us, round(peak, 6) AS peak, round((peak - {EQ}) / peak, 6) AS drawdown FROM pk",
     "stage1_metrics": f"{L4}, {DRAW} SELECT run_id, round(arg_max({EQ}, open_us) / 1000.0 - 1, 6) AS total_return, round(max((peak - {EQ}) / peak), 6) AS max_drawdown FROM pk GROUP BY 1",
-    "stage2_metrics": f"""{L4}, {RETS}, a AS (SELECT run_id, avg(CASE WHEN den > 0 THEN ret END) AS m, stddev_samp(CASE WHEN den > 0 THEN ret END) AS s FROM rt GROUP BY 1)
-SELECT run_id, round(m, 6) AS mean_return, round(s, 6) AS return_stdev, round(CASE WHEN s > 0 THEN m / s END, 6) AS sharpe_ratio FROM a""",
+    "stage2_metrics": f"{L4}, {RETS}, {STATS} SELECT run_id, {STAGE2} FROM a",
     "is_oos_split": f"{R4}, {_windows(0)} SELECT run, window_idx, start_us, start_us + {20 * H4} AS cut_us, end_us, TRUE AS valid FROM win",
     "rolling_zero_context": _rolling(0),
     "rolling_context_aware": _rolling(CONTEXT),
@@ -162,4 +184,48 @@ SELECT run_id, round(m, 6) AS mean_return, round(s, 6) AS return_stdev, round(CA
 CASE WHEN event_id % 7 NOT IN (1, 2, 3) THEN (ts_us // {H1}) * {H1} END AS open_us, CASE WHEN event_id % 7 NOT IN (1, 2, 3) THEN round(CAST(v AS DOUBLE) / 100, 6) END AS close FROM ev""",
     "funding_parse": f"""WITH {EV} SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'rate' WHEN 2 THEN 'price' WHEN 3 THEN 'rate_type' WHEN 4 THEN 'symbol' ELSE 'ok' END AS reject,
 CASE WHEN event_id % 6 IN (0, 5) THEN (ts_us // 1000) * 1000 END AS event_us, CASE WHEN event_id % 6 IN (0, 5) THEN CAST(100 + event_id % 50 AS DOUBLE) END AS reference_price FROM ev""",
+    "kline_parse_six": f"""WITH {EV} SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'fields' WHEN 2 THEN 'number' ELSE 'ok' END AS reject,
+CASE WHEN event_id % 5 NOT IN (1, 2) THEN (ts_us // {H1}) * {H1} END AS open_us, CAST(NULL AS BIGINT) AS close_ms FROM ev""",
+    "kline_close_time": f"""WITH {EV} SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'ok' ELSE 'close_time' END AS reject, CASE WHEN event_id % 4 = 0 THEN (ts_us // {H1}) * 3600000 + 3599999 END AS close_ms FROM ev""",
+    "flat_fills": _flat(f"{L4} SELECT run_id, open_us, CAST(before AS BIGINT) AS before, CAST(position AS BIGINT) AS position, {_m('tc', 'cost')}, {_m('realized', 'realized')}, CAST(trades AS BIGINT) AS trades FROM led WHERE delta <> 0"),
+    "unaligned_report": f"""{B1}, {_range(H1)}, {_grid(H1)}, {SHIFT},
+x AS (SELECT symbol, count(*) AS actual, count_if(open_us % {H1} <> 0) AS unaligned, min(open_us) AS first_us, max(open_us) AS last_us FROM b1 GROUP BY 1),
+y AS (SELECT symbol, count(*) AS missing FROM grid WHERE (symbol, open_us) NOT IN (SELECT symbol, open_us FROM b1) GROUP BY 1)
+SELECT r.symbol, CAST((hi - lo) // {H1} AS BIGINT) AS expected, actual, coalesce(missing, 0) AS missing, CAST(unaligned AS BIGINT) AS unaligned, first_us, last_us,
+CASE WHEN coalesce(missing, 0) > 0 OR unaligned > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM r JOIN x USING (symbol) LEFT JOIN y USING (symbol)""",
+    "unaligned_samples": f"""{B1}, {SHIFT} SELECT * FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY open_us) AS "rank", open_us FROM b1 WHERE open_us % {H1} <> 0) WHERE "rank" <= 20""",
+    "gap_samples": f"""{B4}, {_range(H4)}, {COV}, {CUT}, {GAPS} SELECT * FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY gap_start) AS "rank", gap_start, gap_end FROM gaps) WHERE "rank" <= 20""",
+    "order_violations": f"""WITH {EV}, o AS (SELECT symbol, event_id, (ts_us // {H1}) * {H1} AS t FROM ev), r AS (SELECT symbol, min(t) AS lo, max(t) + {H1} - {24 * H1} AS hi FROM o GROUP BY 1),
+p AS (SELECT o.symbol, t, lo, hi, lag(t) OVER (PARTITION BY o.symbol ORDER BY event_id) AS q FROM o JOIN r USING (symbol))
+SELECT symbol, CAST(count_if(t < lo OR t >= hi) AS BIGINT) AS out_of_range, CAST(count_if(q = t) AS BIGINT) AS repeated, CAST(count_if(q > t) AS BIGINT) AS backward FROM p GROUP BY 1""",
+    "backward_order_check": f"""{B1}, o AS (SELECT *, lag(open_us) OVER (PARTITION BY symbol ORDER BY open_us - (n % 3) * {5 * H1}, open_us) AS p FROM b)
+SELECT symbol, count(*) AS bars, CAST(count_if(p >= open_us) AS BIGINT) AS not_ascending, CAST(count_if(p + {H1} <> open_us) AS BIGINT) AS gaps FROM o GROUP BY 1""",
+    "event_order_faults": f"""WITH {EV}, {FUND}, o AS (SELECT *, (event_us, rate_type) AS k, lag((event_us, rate_type)) OVER (PARTITION BY symbol ORDER BY event_us // {H4}, rate4, ref, event_us, rate_type) AS p FROM fund)
+SELECT symbol, count(*) AS events, CAST(count_if(p > k) AS BIGINT) AS backward, CAST(count_if(p = k) AS BIGINT) AS repeated FROM o GROUP BY 1""",
+    "page_disorder": f"""WITH {EV}, {PAGES}, o AS (SELECT page_no, lag(ts_us) OVER (PARTITION BY page_no ORDER BY (event_id * 7919) % 101, event_id) > ts_us AS bad FROM pg)
+SELECT page_no, coalesce(CAST(count_if(bad) AS BIGINT), 0) AS faults FROM o GROUP BY 1""",
+    "effective_ends": f"""WITH {EV}, e AS (SELECT event_id, ts_us AS as_of_us, (ts_us // {H1}) * {H1} + (event_id % 9 - 3) * {H1} AS requested_end, (ts_us // {H1}) * {H1} AS closed FROM ev)
+SELECT event_id, as_of_us, requested_end, least(requested_end, closed) AS effective_end, (requested_end - least(requested_end, closed)) // {H1} AS excluded FROM e""",
+    "split_checks": f"""{R4}, {_windows(0)}, q AS (SELECT run, window_idx, start_us AS is_start, start_us + {20 * H4} + CASE window_idx % 5 WHEN 1 THEN 1 WHEN 2 THEN {5 * H4} ELSE 0 END AS is_end,
+start_us + CASE WHEN window_idx % 5 = 3 THEN {30 * H4} ELSE {22 * H4} END AS oos_start, end_us AS oos_end FROM win)
+SELECT *, CASE WHEN is_end % {H4} <> 0 THEN 'grid' WHEN oos_start >= oos_end THEN 'empty' WHEN is_end > oos_start THEN 'order' END AS fault FROM q""",
+    "solvent_metrics": f"{SOLVENT} SELECT run_id, {_PLUS} FROM s1 JOIN s2 USING (run_id)",
+    "exact_metrics": f"""{SOLVENT} SELECT run_id, {_PLUS.replace("total_return + 0.0", "CASE WHEN n >= 2 AND s > 0 THEN total_return + 0.0 END").replace("max_drawdown + 0.0", "CASE WHEN n >= 2 AND s > 0 THEN max_drawdown + 0.0 END")},
+CASE WHEN n < 2 THEN 'at least two returns are needed' WHEN s <= 0 THEN 'the deviation must be positive' END AS fault FROM s1 JOIN s2 USING (run_id)""",
+    "policy_targets": f"{R4}, q AS (SELECT run_id, open_us, c, sum(c) OVER ({SEEN}) AS t, count(*) OVER ({SEEN}) AS n FROM runs) SELECT run_id, open_us, CAST({CROSS} AS BIGINT) AS target FROM q",
+    "python_cost": f"{L4} SELECT run_id, open_us, {_m('tc', 'cost')} FROM led WHERE delta <> 0",
+    "store_range_query": f"{B1} SELECT symbol, open_us, {_p('c', 'close')} FROM b WHERE open_us >= {_LO} AND open_us < {_HI}",
+    "store_events": f"""{R4}, {FUND}, {LONGEST}, z AS (SELECT *, lo + (hi - lo) // 4 AS s, hi - (hi - lo) // 4 AS e FROM lr)
+SELECT 'event' AS kind, count(*) AS "rows", min(event_us) AS first_us, max(event_us) AS last_us FROM fund JOIN z ON symbol = sym AND event_us >= s AND event_us < e
+UNION ALL SELECT 'coverage', CAST(2 AS BIGINT), lo, hi FROM z""",
+    "store_ingest": f"""{R4}, {LONGEST}, {_bars(H1, "h")} SELECT symbol, open_us, {_p('o', 'open')}, {_p('c', 'close')}, round(CAST(n AS DOUBLE), 6) AS volume FROM h JOIN lr ON symbol = sym AND open_us >= lo AND open_us < hi - {10 * H1}""",
+    "store_quality": f"""{R4}, {LONGEST} SELECT sym AS symbol, (hi - lo) // {H4} AS expected, (hi - lo) // {H4} AS actual, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS unaligned, lo AS first_us, hi - {H4} AS last_us, 'PASS' AS status, hi AS effective_end, CAST(10 AS BIGINT) AS excluded_tail FROM lr""",
+    "store_backtest": f"""{R4}, {FUND}, {LONGEST}, lb AS (SELECT runs.*, lo + {CONTEXT * H4} AS st0 FROM runs JOIN lr USING (run_id)),
+lf AS (SELECT fund.* FROM fund JOIN lr ON symbol = sym AND event_us >= lo + {CONTEXT * H4} AND event_us < hi),
+{_ledger("lb", start="open_us >= st0", funding=f"""due AS (SELECT (SELECT run_id FROM lr) AS run_id, greatest(((event_us + {H4} - 1) // {H4}) * {H4}, lo + {CONTEXT * H4} + {H4}) AS mark_us, sum(rate4 * 10000 * ref) AS f FROM lf, lr GROUP BY 1, 2),
+""")}, su AS ({SUMMARY}) SELECT (SELECT sym FROM lr) AS symbol, final_cash, final_equity, realized, unrealized, total_cost, final_position, fills, trades, bars FROM su""",
+    "store_rolling": f"""{R4}, {LONGEST}, wi AS (SELECT 0 AS window_idx, lo AS cx, lo + {CONTEXT * H4} AS st0, lo + {(CONTEXT + 4) * H4} AS en FROM lr UNION ALL SELECT 1, lo + {CONTEXT * H4}, lo + {(CONTEXT + 2) * H4}, lo + {(CONTEXT + 7) * H4} FROM lr),
+wb AS (SELECT CAST(window_idx AS VARCHAR) AS run_id, symbol, open_us, o, c, st0 FROM runs JOIN lr USING (run_id) JOIN wi ON open_us >= cx AND open_us < en),
+wt AS (SELECT *, sum(c) OVER ({SEEN}) AS t, count(*) OVER ({SEEN}) AS n FROM wb),
+{_ledger("wt", start="open_us >= st0").replace(TARGET, CROSS)}, su AS ({SUMMARY}) SELECT CAST(run_id AS BIGINT) AS window_idx, final_equity, fills, trades, bars FROM su""",
 }

@@ -29,32 +29,68 @@ def with_retry(operation: Callable[[], R], attempts: int = ATTEMPTS) -> R:
     raise AssertionError
 
 
-def paginate(fetch: Callable[[int, int], list], start: int, end: int, time_of: Callable[[object], int], step: int, strict: bool = True) -> list:
+def paginate(fetch: Callable[[int, int], list], start: int, end: int, time_of: Callable[[object], int], step: int) -> list:
     """All rows in [start, end) of a source that gives pages from a cursor on.
 
-    strict: times ascend and the cursor moves past the last by `step`; else the next page starts
-    at the last time again, so rows of one time may be split between pages, and exact copies
-    of rows seen are dropped. A page that does not get on is an error.
+    Times ascend in a page and none is before the cursor, which moves past the last by `step`; an empty
+    page ends it, a short one does not. A page that does not get on is an error.
     """
-    out, seen, cursor = [], set(), start
+    if start >= end:
+        raise ValueError("start must be before end")
+    out, cursor = [], start
     while cursor < end:
         page = with_retry(lambda at=cursor: fetch(at, end))
         if not page:
             break
         times = [time_of(r) for r in page]
-        if times[0] < cursor or any(b <= a if strict else b < a for a, b in zip(times, times[1:], strict=False)):
+        if times[0] < cursor or any(b <= a for a, b in zip(times, times[1:], strict=False)):
             raise ValueError("a page is out of order")
-        new = [r for r in page if json.dumps(r, sort_keys=True) not in seen]
-        seen |= {json.dumps(r, sort_keys=True) for r in new}
-        out += [r for r in new if start <= time_of(r) < end]
-        if not strict and len(page) < PAGE:
-            break
-        if not new or strict and times[-1] + step <= cursor:
+        if times[-1] + step <= cursor:
             raise ValueError("a page makes no progress")
-        cursor = times[-1] + step if strict else times[-1]
+        out += [r for r, t in zip(page, times, strict=True) if t < end]
+        cursor = times[-1] + step
     return out
 
 
+def funding_history(fetch: Callable[[int, int], list], start: int, end: int, key_of: Callable[[dict], tuple[int, str]], payload_of: Callable[[dict], object]) -> list:
+    """All records in [start, end], both included, of a source that gives pages from a cursor on.
+
+    The next page starts at the last time again, so records of one time may be split between pages.
+    In a page times do not descend and keys (time, kind) are single; over pages a key seen with the
+    same payload is dropped, with another it is an error, as is a full page without a new key. A page
+    that is not full is the last.
+    """
+    if not 0 <= start <= end:
+        raise ValueError("start must not be negative or after end")
+    seen: dict[tuple[int, str], object] = {}
+    out, cursor = [], start
+    while True:
+        page = with_retry(lambda at=cursor: fetch(at, end))
+        if len(page) > PAGE:
+            raise ValueError(f"a page has more than {PAGE} records")
+        keys = [key_of(r) for r in page]
+        times = [k[0] for k in keys]
+        if any(not cursor <= t <= end for t in times):
+            raise ValueError("a record is outside the range that was asked for")
+        if any(b < a for a, b in zip(times, times[1:], strict=False)):
+            raise ValueError("a page is out of order")
+        if len(set(keys)) < len(keys):
+            raise ValueError("a page has a key twice")
+        new = []
+        for k, r in zip(keys, page, strict=True):
+            if k not in seen:
+                new.append((k, r))
+            elif seen[k] != payload_of(r):
+                raise ValueError(f"key {k} came with two payloads")
+        if len(page) == PAGE and not new:
+            raise ValueError("a full page makes no progress")
+        seen |= {k: payload_of(r) for k, r in new}
+        out += [r for _, r in new]
+        if len(page) < PAGE:
+            return out
+        cursor = times[-1]
+
+
 def merged_pages(pages: DataFrame, key: list[str], payload: list[str], page: str = "page_no") -> DataFrame:
     """One row per key with `status`: ok, page_duplicate (twice in one page) or conflict."""
     by_page = pages.groupBy(*key, page).agg(F.count("*").alias("n"), F.min(F.struct(*payload)).alias("lo"), F.max(F.struct(*payload)).alias("hi"))
@@ -63,10 +99,11 @@ def merged_pages(pages: DataFrame, key: list[str], payload: list[str], page: str
     return got.select(*key, "pages", status.alias("status"))
 
 
-def page_order_faults(pages: DataFrame, time: str, page: str = "page_no", pos: str = "pos", strict: bool = True) -> DataFrame:
-    """(page, faults): rows of a page not after (strict) or before the row above them."""
-    before = F.lag(time).over(Window.partitionBy(page).orderBy(pos))
-    bad = before >= F.col(time) if strict else before > F.col(time)
+def page_order_faults(pages: DataFrame, *key: str, page: str = "page_no", pos: str = "pos", strict: bool = True) -> DataFrame:
+    """(page, faults): rows of a page whose key is not after (strict) or is before that of the row above them."""
+    own = F.struct(*key)
+    before = F.lag(own).over(Window.partitionBy(page).orderBy(pos))
+    bad = before >= own if strict else before > own
     return pages.withColumn("_bad", bad).groupBy(page).agg(F.count_if("_bad").alias("faults"))
 
 
