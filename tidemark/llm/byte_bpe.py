@@ -27,8 +27,10 @@ from pyspark.sql import types as T
 
 from .textblock import column_bytes, slices
 
-#: Pieces that a worker remembers with their ids; beyond them it starts anew.
-REMEMBERED = 600_000
+#: Bytes that a worker's memory of chunks and pieces may take, about; beyond them it keeps those in use.
+REMEMBERED = 160 << 20
+#: What one entry takes besides its characters, and the characters of a chunk that is remembered.
+ENTRY, SHORT = 320, 64
 #: Pieces of more bytes are encoded one by one.
 LONG_PIECE = 28
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -158,6 +160,7 @@ class PrefixEncoder:
             keys.append(_hash_bytes(rows)[:, n] + _salt(n))
             values.append(np.array(ids, np.int32))
         self.tokens = _HashTable(np.concatenate(keys), np.concatenate(values))
+        self.size_of = np.array([len(b) for b in v.bytes], np.int64)
         self.lengths = sorted(by_length)
         self.merges = _HashTable((v.pair_left << np.uint64(32)) | v.pair_right, v.pair_rank)
         self.seen_keys = np.full(1 << 20, (1 << 64) - 1, np.uint64)
@@ -284,20 +287,16 @@ class PrefixEncoder:
                     ok[few] = self.fits(before[few], t[few])
                 last[i, open_[ok]] = t[ok]
                 open_ = open_[~ok]
-        size_of = np.array([len(b) for b in self.v.bytes], np.int64)
-        at, out = np.full(count, n), [[] for _ in range(count)]
-        steps = []
+        at, steps = np.full(count, n), []
         everyone = np.arange(count)
         while (at > 0).any():
             t = np.where(at > 0, last[at, everyone], -1)
             if ((t < 0) & (at > 0)).any():
                 raise ValueError("a byte is missing from the vocabulary")
             steps.append(t)
-            at = np.where(t >= 0, at - size_of[t], 0)
-        for t in steps:
-            for k in np.flatnonzero(t >= 0).tolist():
-                out[k].append(int(t[k]))
-        return [x[::-1] for x in out]
+            at = np.where(t >= 0, at - self.size_of[t], 0)
+        # read backwards: the first token of a short encoding has places without one before it
+        return [x[x.count(-1) :] for x in np.stack(steps[::-1], 1).tolist()]
 
 
 _WORKER: dict[str, object] = {}
@@ -316,40 +315,74 @@ def chunks(text: str) -> list[str]:
     return _SPACE.split(text) if odd else text.split(" ")
 
 
+class Memory:
+    """Decimal ids and decoded bytes of strings, while they fit in a share of REMEMBERED."""
+
+    def __init__(self) -> None:
+        self.ids: dict[str, str] = {}
+        self.back: dict[str, bytes] = {}
+        self.size = 0
+
+    def put(self, x: str, ids: str, back: bytes) -> None:
+        self.ids[x], self.back[x] = ids, back
+        self.size += ENTRY + 2 * len(x) + len(ids)
+
+    def trim(self, used: set[str], most: int) -> None:
+        """Beyond `most` bytes, forgets all but what is in use; if that alone is too much, all."""
+        if self.size > most:
+            ids, back, self.ids, self.back, self.size = self.ids, self.back, {}, {}, 0
+            for x in used:
+                if x in ids:
+                    self.put(x, ids[x], back[x])
+            if self.size > most:
+                self.ids, self.back, self.size = {}, {}, 0
+
+
 class ChunkCache:
-    """Ids and decoded bytes of chunks of text, with and without the space before them."""
+    """Ids and decoded bytes of chunks of text, with and without the space before them, and of pieces."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.encoder, self.split = PrefixEncoder(vocabulary), regex.compile(pattern).findall
-        self.first: dict[str, tuple[str, bytes]] = {}
-        self.later: dict[str, tuple[str, bytes]] = {}
+        self.first, self.later, self.pieces = Memory(), Memory(), Memory()
 
     def decoded(self, ids: list[int]) -> bytes:
         return b"".join([self.encoder.v.bytes[i] for i in ids])
 
-    def learn(self, new: list[str], space: str, known: dict[str, tuple[str, bytes]]) -> None:
+    def learn(self, new: list[str], space: str, known: Memory) -> None:
         """Encodes chunks, each after `space`, and decodes their ids."""
         parts = [self.split(space + c) for c in new]
-        pieces = list({p for x in parts for p in x})
-        ids = dict(zip(pieces, self.encoder.encode_many([p.encode() for p in pieces]), strict=True))
+        used = {p for x in parts for p in x}
+        self.pieces.trim(used, REMEMBERED // 4)
+        ids, back = self.pieces.ids, self.pieces.back
+        fresh = [p for p in used if p not in ids]
+        for p, got in zip(fresh, self.encoder.encode_many([p.encode() for p in fresh]), strict=True):
+            self.pieces.put(p, ",".join(map(str, got)), self.decoded(got))
         for c, x in zip(new, parts, strict=True):
-            got = [i for p in x for i in ids[p]]
-            known[c] = (",".join(map(str, got)), self.decoded(got))
+            if len(x) == 1:
+                known.put(c, ids[x[0]], back[x[0]])
+            else:
+                known.put(c, ",".join([ids[p] for p in x]), b"".join([back[p] for p in x]))
+        self.pieces.trim(set(), REMEMBERED // 4)
 
     def texts(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """(decimal ids, decoded bytes) of each text."""
-        later, cuts = self.later, [chunks(t) for t in texts]
-        first = self.first
-        need = set().union(*[c[1:] for c in cuts])
-        for known in (first, later):
-            if len(known) > REMEMBERED:
-                known.clear()
-        first[""] = ("", b"")
-        self.learn(list({c[0] for c in cuts} - first.keys()), "", first)
-        self.learn(list(need - later.keys()), " ", later)
-        for cut in cuts:
-            both = [first[cut[0]], *[later[c] for c in cut[1:]]]
-            yield ",".join([x[0] for x in both if x[0]]), b"".join([x[1] for x in both])
+        cuts = [chunks(t) for t in texts]
+        heads = [c.pop(0) for c in cuts]
+        long: list[tuple[Memory, str]] = []
+        for known, used, space in ((self.first, set(heads), ""), (self.later, set().union(*cuts), " ")):
+            known.trim(used, REMEMBERED // 2)
+            new = list(used - known.ids.keys())
+            self.learn(new, space, known)
+            long += [(known, c) for c in new if len(c) > SHORT]
+        head_ids, head_back, ids, back = self.first.ids, self.first.back, self.later.ids, self.later.back
+        for head, cut in zip(heads, cuts, strict=True):
+            parts = list(map(ids.__getitem__, cut))
+            if head:
+                parts.insert(0, head_ids[head])
+            yield ",".join(parts), head_back[head] + b"".join(map(back.__getitem__, cut))
+        for known, c in long:
+            known.size -= ENTRY + 2 * len(c) + len(known.ids.pop(c))
+            del known.back[c]
 
 
 def _worker(vocabulary, pattern: str) -> ChunkCache:
