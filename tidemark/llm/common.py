@@ -10,8 +10,6 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that one block of documents holds on average; a block is one task's work.
-BLOCK_BYTES = 32 << 20
 #: Rows that a side may have to be broadcast; checked by counting before it is.
 BROADCAST_ROWS = 200_000
 
@@ -36,9 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder all machines share: spark.checkpoint.dir, or, on one machine only, a local one if that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -60,7 +60,24 @@ def written(df: DataFrame) -> DataFrame:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = target
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of written() that df reads; for any other df nothing."""
+    target = getattr(df, "_written_at", None)
+    if target is not None:
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, or the first of _name, __name, ... that no column has (names differ in more than case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
 
 
 def fold(col: str, n: int) -> Column:
@@ -72,12 +89,6 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def block_count(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks that docs make, from one sum over the length of their texts."""
-    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    return max(1, -(-size // block_bytes))
-
-
 def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast where a count shows that it has at most so many rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
