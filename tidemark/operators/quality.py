@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Members that a report lists of each kind of fault.
 SAMPLE = 20
+#: Microseconds of a day.
+DAY = 86_400_000_000
 
 
 def expected_slots(ranges: DataFrame, dur: int) -> DataFrame:
@@ -108,13 +110,17 @@ def clipped(intervals: DataFrame, ranges: DataFrame) -> DataFrame:
 def coverage_gaps(intervals: DataFrame, ranges: DataFrame) -> DataFrame:
     """(symbol, gap_start, gap_end): the parts of each range that no interval covers, in order.
 
-    Equal starts are merged first, so a start that very many intervals share is one row.
+    Equal starts are merged first, so a start that very many intervals share is one row. A symbol's
+    intervals are ordered day by day; only how far each day's reach is carried along the symbol.
     """
     cut = clipped(intervals, ranges).groupBy("symbol", "lo", "hi", "s").agg(F.max("e").alias("e"))
     ends = ranges.select("symbol", F.col("start_us").alias("lo"), F.col("end_us").alias("hi"), F.col("end_us").alias("s"), F.col("end_us").alias("e"))
-    order = Window.partitionBy("symbol").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max("e").over(order)
-    rows = cut.unionByName(ends).withColumn("reach", F.when(reach.isNull(), F.col("lo")).otherwise(reach))
+    rows = cut.unionByName(ends).withColumn("day", F.floor(F.col("s") / DAY))
+    along = Window.partitionBy("symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy("symbol", "day").agg(F.max("e").alias("top")).withColumn("carried", F.max("top").over(along)).drop("top")
+    before = Window.partitionBy("symbol", "day").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest(F.col("carried"), F.max("e").over(before))
+    rows = rows.join(days, ["symbol", "day"]).withColumn("reach", F.coalesce(reach, F.col("lo")))
     return rows.where("s > reach").select("symbol", F.col("reach").alias("gap_start"), F.col("s").alias("gap_end"))
 
 

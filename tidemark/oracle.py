@@ -124,8 +124,8 @@ def _flat(sql: str) -> str:
 
 
 def _rich(sql: str) -> str:
-    """One unit, and an initial cash of 10000."""
-    return sql.replace("2 * coalesce(lag", "1 * coalesce(lag").replace("100000000000 -", "1000000000000 -").replace("1000.0", "10000.0")
+    """One unit, and an initial cash of 9973: no quotient ends at a tie."""
+    return sql.replace("2 * coalesce(lag", "1 * coalesce(lag").replace("100000000000 -", "997300000000 -").replace("1000.0", "9973.0")
 
 
 # a zero below zero is a zero
