@@ -7,13 +7,15 @@ over the sources by cap / weight: no loop.
 
 A source's target is filled by whole epochs first. For the rest, each document has the
 key -ln(u) / quality, u from a hash of the row, and documents are taken by ascending key
-until the words are enough; the last one is taken in part. Keys are cut in BINS ranges,
-sums over (source, bin) are small, and only the bin where a source's budget ends is sorted,
-so a source with most of the rows is never in one task.
+until the words are enough; the last one is taken in part. Where that is comes from sums by
+range of the key's logarithm, finer and finer within the range that holds the end; after
+the last level a range is a 2^-33rd of a key wide and only its rows are sorted, so a source with
+most of the rows is never in one task, whatever its keys.
 
 A null text has size 0, a null source is a source of its own and comes last. A source
-without words has target 0. Equal keys are put in order by id; copies of a row may change
-places, with the same totals. Reruns agree: nothing is drawn, all is hashed.
+without words has target 0. Null ids are ids like others. Equal keys are put in order by id; copies of
+a row may change places, with the same totals. An empty table gives no rows. Long texts are read once for
+their size, quality and hash. Reruns agree: nothing is drawn, all is hashed.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import few, written
 
-#: Ranges of keys in each source.
-BINS = 1024
+#: Ranges of a unit of a key's logarithm at the last level, as a power of two, and the levels' shifts.
+FINE, SHIFTS = 33, (30, 15, 0)
 
 
 def size_of(text: Column) -> Column:
@@ -57,40 +59,52 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     quality is a positive weight for a document within its source's last, partial epoch.
     epochs is the number of whole copies; taken - epochs * size words come from a further one.
     """
-    u = (F.pmod(F.xxhash64(id_col, source_col, text_col, F.lit(20)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    digest = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(source_col).cast("string"), F.lit("")), text).cast("binary"))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
     key = -F.log(u) / F.greatest(F.coalesce(quality if quality is not None else F.lit(1.0), F.lit(1.0)), F.lit(1e-6))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"), key.alias("key"), *[F.struct("*").alias("row")] * carry)
-    every = rows.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * BINS), F.lit(BINS - 1)).cast("int"))
+    every = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"), key.alias("key"), *[F.struct("*").alias("row")] * carry)
+    every = every.withColumn("bin", F.floor(F.log("key") * float(1 << FINE)).cast("long"))
     rows = written(every.drop("row"))
     every = every if carry else rows
-    bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    goal = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), list(weights), cap)
+    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), cap)
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = goal.withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    through = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    named = goal.withColumnRenamed("source", "of")
-    ends = bins.withColumn("before", F.coalesce(F.sum("words").over(through), F.lit(0)))
-    ends = ends.join(named.select("of", "rest"), F.col("source").eqNullSafe(F.col("of"))).where("before < rest and before + words >= rest")
-    ends = ends.select(F.col("source").alias("s"), F.col("bin").alias("last_bin"), "before")
-    goal = named.join(ends, F.col("of").eqNullSafe(F.col("s")), "left").drop("s")
-    # where no bin reaches the rest, nothing is left to take: rest is 0
-    goal = written(goal.select("of", "source_size", "target", "epochs", "rest", F.coalesce("last_bin", F.lit(-1)).alias("last_bin"), F.coalesce("before", F.lit(0)).alias("before")))
-    with_goal = every.join(few(goal), F.col("source").eqNullSafe(F.col("of")))
-    inside = with_goal.where("bin != last_bin").withColumn("part", F.when(F.col("bin") < F.col("last_bin"), F.col("size")).otherwise(0))
+    goal = written(goal.select(F.col("source").alias("of"), "source_size", "target", "epochs", "rest"))
+    named = F.col("source").eqNullSafe(F.col("of"))
+    # the range in which the rest ends, and the words before it; none where the rest is 0
+    ends = goal.where("rest > 0").select("of", "rest", F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("last"))
+    for level, shift in enumerate(SHIFTS):
+        inside = rows.join(few(ends), named)
+        if level:
+            inside = inside.where(F.shiftright("bin", SHIFTS[level - 1]) == F.col("last"))
+        ranges = inside.groupBy("of", "rest", "before", F.shiftright("bin", shift).alias("part")).agg(F.sum("size").alias("words"))
+        through = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = ranges.withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(through), F.lit(0)))
+        ends = written(ranges.where("before < rest AND before + words >= rest").select("of", "rest", "before", F.col("part").alias("last")))
+    ends = ends.select(F.col("of").alias("s"), "before", "last")
+    goal = goal.join(few(ends), F.col("of").eqNullSafe(F.col("s")), "left").drop("s")
+    with_goal = every.join(few(goal), named)
+    at_end = F.coalesce(F.col("bin") == F.col("last"), F.lit(False))
+    inside = with_goal.where(~at_end).withColumn("part", F.when(F.col("bin") < F.col("last"), F.col("size")).otherwise(0))
     order = Window.partitionBy("of").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = with_goal.where("bin = last_bin").withColumn("done", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    edge = with_goal.where(at_end).withColumn("done", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     edge = edge.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("done")))).drop("done")
     both = inside.unionByName(edge)
     return both.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), "epochs", *["row"] * carry)
 
 
+def plainness(text: Column) -> Column:
+    """A quality: 1 for words of usual length, less the longer they are."""
+    return F.least(F.lit(1.0), 6.5 * size_of(text) / F.greatest(F.length(text), F.lit(1)))
+
+
 def mixed_documents(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that the mix takes: one for each whole copy, and the part that fills a target
-    as a copy of its first words."""
+    """The rows of docs that the mix takes, one for each copy. The document that fills a target is taken
+    whole if at least half of it is wanted, else not: no text is cut."""
     taken = mix(docs, text_col=text_col, carry=True, **how)
     part = F.col("taken") - F.col("epochs") * F.col("size")
-    rows = taken.withColumn("part", part).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs") + 1)))
-    rows = rows.where("copy <= epochs AND size > 0 OR copy > epochs AND part > 0")
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col("row")[text_col], F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), 0), F.lit(1), F.col("part").cast("int")), "")
-    cut = F.when((F.col("copy") > F.col("epochs")) & (F.col("part") < F.col("size")), first).otherwise(F.col("row")[text_col])
-    return rows.select(*[cut.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    copies = F.col("epochs") + F.when((part > 0) & (2 * part >= F.col("size")), 1).otherwise(0)
+    rows = taken.withColumn("copies", copies).where("size > 0 AND copies > 0")
+    rows = rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])

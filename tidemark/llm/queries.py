@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .oracle import ORACLES
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +36,9 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights; documents of plain words are likelier in a partial epoch."""
-    from .mixing import mix, size_of
+    from .mixing import mix, plainness
 
-    docs = table(spark, sf_dir, "documents")
-    plain = F.least(F.lit(1.0), 6.5 * size_of(F.col("text")) / F.greatest(F.length("text"), F.lit(1)))
-    return mix(docs, quality=plain)
+    return mix(table(spark, sf_dir, "documents"), quality=plainness(F.col("text")))
 
 
 def op5_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,4 +113,4 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
