@@ -1,14 +1,20 @@
 """Chat records of different layouts as canonical turns, formatted by one template.
 
-A record is a variant. The paths of its fields, without the types at their ends, make its
-fingerprint; the fingerprint's hash selects a declared mapping to turns (role, text). The
-template marks each turn by control strings; inside roles and texts the characters that
-begin one are written as codes, which can be undone. The loss mask lists the ranges of the
-formatted text that assistants said. Everything is DataFrame expressions.
+A record is a variant. The paths of those of its nested fields that any mapping reads make its
+fingerprint; the fingerprint's hash selects a declared mapping to turns (role, text), so further
+fields do not matter. Rows of turns are gathered to records in the layout that suits each
+conversation's shape: a prompt and a response, an instruction with a system text, an exchange
+of two speakers, one turn, or messages of any roles. The template marks each turn by control
+strings; inside roles and texts the characters that begin one are written as codes, which can
+be undone. The loss mask lists the ranges of the formatted text that assistants said. Everything is
+DataFrame expressions.
 
 A null text is empty, a null role is empty. Turns are in order of their number, null
-numbers last, ties by role and text; repeated rows stay repeated turns. A record of no known
-layout has null turns and a null layout. An empty table gives no rows.
+numbers last, ties by role and text; repeated rows stay repeated turns. A list of no turns gives no turns
+and an empty text. A record of no known layout has null turns and a null layout. A null id is a
+conversation of its own. An empty table gives no rows. Of columns that records already have by the names
+of the results, the results stand. A conversation is one value: with very long texts it must fit a variant's
+limit of 16 MB, beyond which the query fails.
 """
 
 from __future__ import annotations
@@ -18,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 #: What is written for a character inside a role or text; the code's own first character first.
 CODES = (("\\", "\\0"), ("<", "\\1"), ("[", "\\2"), ("\n", "\\3"))
@@ -46,15 +54,28 @@ def _field(name: str) -> str:
     return f"variant_get(r, '$.{name}', 'string')"
 
 
-#: The layouts known, by fixed paths as schema_of_variant writes them (fields in alphabetical order).
+#: Fields that mappings read: lists of turns with the fields of one, and texts (fixed values).
+LISTS = {"conversations": ("from", "value"), "messages": ("content", "role"), "turns": ("role", "text")}
+TEXTS = ("completion", "input", "instruction", "output", "prompt", "response", "system")
+_NO_TURNS = f"CAST(array() AS {_TURNS})"
+_SYSTEM = "array(struct('system' AS role, {} AS text))"
+
+
+def _of(field: str) -> str:
+    return " ".join([f"{field}[]", *(f"{field}[].{k}" for k in LISTS[field])])
+
+
+#: The layouts known, by their paths in the order of LISTS and TEXTS.
 LAYOUTS = (
-    Layout("messages", "OBJECT<messages: ARRAY<OBJECT<content, role>>>", _listed("messages", "role", "content")),
-    Layout("turns", "OBJECT<turns: ARRAY<OBJECT<role, text>>>", _listed("turns", "role", "text")),
-    Layout("conversations", "OBJECT<conversations: ARRAY<OBJECT<from, value>>>", f"transform({_listed('conversations', 'from', 'value')}, x -> struct(CASE x.role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE x.role END AS role, x.text AS text))"),
-    Layout("prompt_response", "OBJECT<prompt, response>", _pair(_field("prompt"), _field("response"))),
-    Layout("prompt_completion", "OBJECT<completion, prompt>", _pair(_field("prompt"), _field("completion"))),
-    Layout("instruction", "OBJECT<instruction, output>", _pair(_field("instruction"), _field("output"))),
-    Layout("instruction_input", "OBJECT<input, instruction, output>", _pair(f"concat_ws('\n\n', {_field('instruction')}, nullif({_field('input')}, ''))", _field("output"))),
+    Layout("messages", _of("messages"), _listed("messages", "role", "content")),
+    Layout("turns", _of("turns"), _listed("turns", "role", "text")),
+    Layout("conversations", _of("conversations"), f"transform({_listed('conversations', 'from', 'value')}, x -> struct(CASE x.role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE x.role END AS role, x.text AS text))"),
+    *(Layout(f"no_{field}", f"{field}[]", _NO_TURNS) for field in LISTS),
+    Layout("prompt_response", "prompt response", _pair(_field("prompt"), _field("response"))),
+    Layout("prompt_completion", "completion prompt", _pair(_field("prompt"), _field("completion"))),
+    Layout("instruction", "instruction output", _pair(_field("instruction"), _field("output"))),
+    Layout("instruction_input", "input instruction output", _pair(f"concat_ws('\n\n', {_field('instruction')}, nullif({_field('input')}, ''))", _field("output"))),
+    Layout("instruction_system", "instruction output system", f"concat({_SYSTEM.format(_field('system'))}, {_pair(_field('instruction'), _field('output'))})"),
 )
 
 
@@ -64,19 +85,30 @@ def fingerprint(record: Column) -> Column:
 
 
 def paths(record: Column) -> Column:
-    return F.regexp_replace(F.schema_of_variant(record), r": (?!OBJECT|ARRAY)[A-Z_]+(\([0-9, ]*\))?", "")
+    """The paths of the fields that mappings know, as `list[]`, `list[].field` and `text`; a text that is a list or
+    an object has another path, which no mapping has."""
+    found = []
+    for name, fields in LISTS.items():
+        kind = F.schema_of_variant(F.try_variant_get(record, f"$.{name}", "variant"))
+        found.append(F.when(kind.startswith("ARRAY<"), F.lit(f"{name}[]")).otherwise(F.when(kind.isNotNull(), F.lit(name))))
+        found += [F.when(kind.rlike(f"^ARRAY<OBJECT<(.*[ <])?{k}: "), F.lit(f"{name}[].{k}")) for k in fields]
+    for name in TEXTS:
+        kind = F.schema_of_variant(F.try_variant_get(record, f"$.{name}", "variant"))
+        found.append(F.when(kind.startswith("ARRAY<") | kind.startswith("OBJECT<"), F.lit(f"{name}{{}}")).otherwise(F.when(kind.isNotNull(), F.lit(name))))
+    return F.concat_ws(" ", *found)
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """records with layout and turns (array of role and text) in place of their variant column."""
-    marked = records.withColumnRenamed(record_col, "r").withColumn("_print", fingerprint(F.col("r")))
+    keep = [c for c in records.columns if c.lower() not in (record_col.lower(), "layout", "turns")]
+    r, mark = free_name("r", keep), free_name("print", keep)
+    marked = records.select(*keep, F.col(record_col).alias(r)).withColumn(mark, fingerprint(F.col(r)))
     cases, names = "", ""
     for x in layouts:
-        test = f"WHEN _print = xxhash64('{x.paths}') THEN "
-        cases += test + f"CAST({x.turns} AS {_TURNS}) "
+        test = f"WHEN `{mark}` = xxhash64('{x.paths}') THEN "
+        cases += test + f"CAST({x.turns.replace('variant_get(r,', f'variant_get(`{r}`,')} AS {_TURNS}) "
         names += test + f"'{x.name}' "
-    out = marked.withColumn("layout", F.expr(f"CASE {names} END")).withColumn("turns", F.expr(f"CASE {cases} END"))
-    return out.drop("r", "_print")
+    return marked.select(*keep, F.expr(f"CASE {names} END").alias("layout"), F.expr(f"CASE {cases} END").alias("turns"))
 
 
 def escaped(text: Column, last: int = 3) -> Column:
@@ -127,14 +159,27 @@ def under_mask(text: Column, mask: Column) -> Column:
 
 
 def from_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(id_col, record): rows of turns gathered to one variant for each conversation."""
+    """(id_col, record): rows of turns gathered to one variant for each conversation, laid out by its shape."""
     one = F.struct(F.col(turn_col).isNull().alias("late"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("content"))
     gathered = rows.groupBy(id_col).agg(F.sort_array(F.collect_list(one)).alias("t"))
-    messages = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    return gathered.select(id_col, F.to_variant_object(F.struct(messages.alias("messages"))).alias("record"))
+    role = lambda k: F.get("t", F.lit(k))["role"]
+    text = lambda k: F.get("t", F.lit(k))["content"]
+    listed = lambda a, b, name=lambda x: x["role"]: F.transform("t", lambda x: F.struct(name(x).alias(a), x["content"].alias(b)))
+    record = lambda *fields: F.to_variant_object(F.struct(*fields))
+    n, speaker = F.size("t"), lambda x: F.when(x["role"] == "user", "human").otherwise("gpt")
+    two = F.forall("t", lambda x: x["role"].isin("user", "assistant"))
+    shaped = (
+        F.when((n == 2) & (role(0) == "user") & (role(1) == "assistant"), record(text(0).alias("prompt"), text(1).alias("response")))
+        .when((n == 3) & (role(0) == "system") & (role(1) == "user") & (role(2) == "assistant"), record(text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output")))
+        .when(n == 1, record(listed("role", "text").alias("turns")))
+        .when(two, record(listed("from", "value", speaker).alias("conversations")))
+        .otherwise(record(listed("role", "content").alias("messages")))
+    )
+    return gathered.select(id_col, shaped.alias("record"))
 
 
 def format_records(records: DataFrame, record_col: str = "record") -> DataFrame:
     """records with layout, turns, formatted and loss_mask in place of their variant column."""
-    out = canonical_turns(records, record_col).withColumn("formatted", formatted(F.col("turns")))
+    taken = [c for c in records.columns if c.lower() in ("formatted", "loss_mask") and c != record_col]
+    out = canonical_turns(records.drop(*taken), record_col).withColumn("formatted", formatted(F.col("turns")))
     return out.withColumn("loss_mask", loss_mask(F.col("formatted")))
