@@ -3,13 +3,16 @@
 A text is the first layer. Each layer is scanned for secrets, then unwrapped: URL and
 Unicode escapes are replaced in place, base64 runs and compressed data give layers of their
 own, which are read byte by byte where they are not UTF-8, so compressed data inside them
-is unpacked in its turn. New layers join the worklist until none is left; a layer seen before
-(same content, same place) is not taken up again, so cycles end. Every character of a layer
+is unpacked in its turn. What unpacks to very much is read in pieces that overlap. New layers join the
+worklist until none is left; a layer seen before (same content, same place) is not taken up again,
+so cycles end. Every character of a layer
 carries the range of source characters it came from, which maps a find in any layer back.
 
 A null text is empty and has no spans. Spans of the source layer follow the stated
-patterns exactly; deeper layers only add spans. Equal spans count once. Rows are
-independent: no shuffle, and memory is bounded by a text and its layers.
+patterns exactly; deeper layers only add spans. Equal spans count once, ties in start are in order of kind, then end.
+Null ids, repeated rows and columns of any name pass as they are; an empty table gives no rows. Very long
+texts are scanned whole. Rows are independent: no shuffle, and memory is bounded by a text and a chain of
+its layers.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ import base64
 import hashlib
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +43,8 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Runs on lines that follow each other.
 _WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)+")
 _LINE, _BREAK = re.compile(r"[^\r\n]+"), re.compile(r"\r?\n")
-#: Bytes that compressed data of one run may unpack to; a run that goes beyond is no text.
-UNPACKED = 64 << 20
+#: Bytes of unpacked data that are a layer of their own, and those that two neighbours share.
+PIECE, OVERLAP = 8 << 20, 1 << 20
 #: Characters by which most that is not compressed is told.
 PROBE = 256
 
@@ -87,10 +89,11 @@ class Layer:
         """A layer for text decoded from the characters at place; sizes: base64, the bytes of each
         character, which has its own digits."""
         n, most = len(new), len(place) - 1
-        lo, hi = np.full(n, place[0]), np.full(n, place[-1])
-        if sizes is not None:
-            at = np.cumsum([0, *sizes])
-            lo, hi = place[np.minimum(at[:-1] * 4 // 3, most)], place[np.minimum(-(-at[1:] * 4 // 3) - 1, most)]
+        if sizes is None:  # all of it has one range
+            s, e = self.span(int(place[0]), int(place[-1]) + 1)
+            return Layer(new, np.broadcast_to(s, n), np.broadcast_to(e, n))
+        at = np.cumsum([0, *sizes])
+        lo, hi = place[np.minimum(at[:-1] * 4 // 3, most)], place[np.minimum(-(-at[1:] * 4 // 3) - 1, most)]
         if self._start is None:
             return Layer(new, lo, hi + 1)
         return Layer(new, self._start[lo], self._end[hi])
@@ -112,19 +115,30 @@ def _texts(data: bytes) -> Iterator[tuple[str, list[int]]]:
             yield text, [4 if c > "\uffff" else 2 for c in text]
 
 
-def _unpacked(data: bytes) -> tuple[bytes, int] | None:
-    """(what gzip or zlib data holds in all its members, bytes read), None if it is neither or too large."""
-    out, left = [], data
-    while left[:2] == b"\x1f\x8b" or (len(left) > 2 and left[0] & 15 == 8 and (left[0] << 8 | left[1]) % 31 == 0):
+def _packed(data: bytes) -> bool:
+    """Whether data begins as gzip or zlib data does."""
+    return data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0)
+
+
+def _unpacked(data: bytes) -> Iterator[tuple[bytes, int]]:
+    """(what gzip or zlib data holds, bytes read so far) piece by piece, over all its members; nothing if it is neither."""
+    held, left = b"", data
+    while _packed(left):
+        d = zlib.decompressobj(47)
         try:
-            d = zlib.decompressobj(47)
-            out.append(d.decompress(left, max(1, UNPACKED - sum(map(len, out)))))
+            while not d.eof:
+                new = d.decompress(left, PIECE)
+                left = d.unused_data if d.eof else d.unconsumed_tail
+                if not new and not left:
+                    break  # cut short
+                held += new
+                if len(held) >= PIECE:
+                    yield held, len(data) - len(left)
+                    held = held[-OVERLAP:]
         except zlib.error:
             break
-        if d.unconsumed_tail:
-            return None
-        left = d.unused_data
-    return (b"".join(out), len(data) - len(left)) if out else None
+    if held:
+        yield held, len(data) - len(left)
 
 
 def _from_percent(run: str) -> tuple[str, list[int]]:
@@ -172,12 +186,12 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
         yield layer.replaced([(m.start(), m.end(), _bytewise(m), list(range(3, m.end() - m.start() + 1, 3))) for m in _PERCENT.finditer(text)])
     at = 0
     for start in [0, *(m.start() for m in _PACKED.finditer(text))]:
-        if start < at or not text or _unpacked(_BYTES.match(text, start, start + PROBE)[0].encode("latin-1")) is None:
+        probe = _BYTES.match(text, start, start + PROBE)[0].encode("latin-1") if start >= at else b""
+        if not _packed(probe) or next(_unpacked(probe), None) is None:
             continue
-        got = _unpacked(_BYTES.match(text, start)[0].encode("latin-1"))
-        if got is not None:
-            at = start + got[1]
-            for new, _ in _texts(got[0]):
+        for data, read in _unpacked(_BYTES.match(text, start)[0].encode("latin-1")):
+            at = start + read
+            for new, _ in _texts(data):
                 yield layer.inner(np.array([start, at - 1]), new, None)
     for m in _BASE64.finditer(text):
         yield from _from_base64(layer, m[0].rstrip("="), np.arange(m.start(), m.end()))
@@ -190,16 +204,20 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(spans of the text itself, spans of all layers), by start, then kind as listed, then end."""
     base = find(text)
-    spans, todo, seen = set(base), deque([(Layer(text), True)]), {(text, 0)}
+    mark = lambda layer: (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.span(0, 1)[0] if layer.text else 0)
+    whole = Layer(text)
+    # depth first, and layers as they are asked for, so only those of one chain are held
+    spans, todo, seen = set(base), [unwrapped(whole)], {mark(whole)}
     while todo:
-        layer, first = todo.popleft()
-        if not first:
+        layer = next(todo[-1], None)
+        if layer is None:
+            todo.pop()
+            continue
+        key = mark(layer)
+        if key not in seen:
+            seen.add(key)
             spans |= {(k, *layer.span(s, e)) for k, s, e in find(layer.text)}
-        for new in unwrapped(layer):
-            key = (new.text, new.span(0, 1)[0]) if new.text else ("", 0)
-            if key not in seen:
-                seen.add(key)
-                todo.append((new, False))
+            todo.append(unwrapped(layer))
     rank = lambda x: (x[1], KINDS.index(x[0]), x[2])
     return sorted(base, key=rank), sorted(spans, key=rank)
 
