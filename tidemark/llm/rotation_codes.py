@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import few, written
 from .components import components
@@ -64,6 +65,14 @@ def encode(unit: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (turned > 0).reshape(len(unit), -1).astype(np.uint8), factors
 
 
+def unit_of(rows: np.ndarray) -> np.ndarray:
+    """Rows at length 1, in double precision."""
+    unit = rows.astype(np.float64)
+    unit /= np.abs(unit).max(1, keepdims=True)
+    unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+    return unit
+
+
 def _vectors(column: pa.Array) -> list[np.ndarray]:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat, offs = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
@@ -112,6 +121,8 @@ def cell_links(ids: np.ndarray, unit: np.ndarray, code: np.ndarray, factors: np.
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """(id_col, n_links, component_id, kept) for each vector."""
+    # vectors travel as they came: single precision loses nothing where that is their type
+    kept = np.float32 if vectors.schema[vector_col].dataType.elementType == T.FloatType() else np.float64
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     size = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
     bad = F.col("id").isNull() | F.col("v").isNull() | F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | (F.coalesce(size, F.lit(0.0)) == 0)
@@ -127,18 +138,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             dims = np.array([len(v) for v in found])
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                unit = np.stack([found[k] for k in at]).astype(np.float64)
-                unit /= np.abs(unit).max(1, keepdims=True)
-                unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
-                code, factors = encode(unit, width)
+                raw = np.stack([found[k] for k in at])
+                code, factors = encode(unit_of(raw), width)
                 packed = np.packbits(code, axis=1)
                 keys = (code[:, : bits * tables].reshape(len(at), tables, bits).astype(np.int64) << np.arange(bits)).sum(2)
                 out["rep"] += batch.column(0).take(pa.array(at)).to_pylist()
                 out["times"] += batch.column(1).take(pa.array(at)).to_pylist()
                 out["dim"] += [int(dim)] * len(at)
-                out["v"] += [u.tobytes() for u in unit]
+                out["v"] += [u.astype(kept).tobytes() for u in raw]
                 out["code"] += [c.tobytes() for c in packed]
-                out["factors"] += [f.tobytes() for f in factors]
+                out["factors"] += [f.tobytes() for f in factors.astype(np.float32)]
                 out["keys"] += keys.tolist()
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out.values(), kinds, strict=True)], names=list(out))
@@ -154,10 +163,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         cell = cell.combine_chunks()
         get = lambda c: cell.column(c).to_numpy()
         dim, reps, n = int(get("dim")[0]), get("rep"), cell.num_rows
-        unit = np.frombuffer(b"".join(cell.column("v").to_pylist()), np.float64).reshape(n, dim)
+        unit = unit_of(np.frombuffer(b"".join(cell.column("v").to_pylist()), kept).reshape(n, dim))
         wide = -(-width // dim) * dim
         code = np.unpackbits(np.frombuffer(b"".join(cell.column("code").to_pylist()), np.uint8).reshape(n, -1), axis=1)[:, :wide]
-        factors = np.frombuffer(b"".join(cell.column("factors").to_pylist()), np.float64).reshape(n, -1)
+        factors = np.frombuffer(b"".join(cell.column("factors").to_pylist()), np.float32).reshape(n, -1).astype(np.float64)
         i, j = get("i")[0], get("j")[0]
         side = np.full(n, 2) if i == j else (get("block") == i).astype(int)
         count, edges, _ = cell_links(reps, unit, code, factors, get("times"), side, int(get("table")[0]), bits, threshold)
