@@ -5,11 +5,16 @@ words, so that a text of one long line has several, too. The set of digests is p
 digest in one cell of each of three parts. A cell holds how many digests it has, their
 exclusive or, and that of their check hashes. The difference of two sketches holds the digests
 that only one text has; a cell with one left gives it away, it is taken out of its other cells,
-and so on until nothing is left. If cells remain, both texts are sketched again, larger. Beyond
-the largest sketch the digests themselves take less room than one and are compared.
+and so on until nothing is left. If cells remain, both texts are sketched again, larger: the
+smallest sketch, whose squared counts tell how many digests differ, gives the size to go on with. A sketch
+beyond the largest size of one is several of that size, each of the digests whose hash falls to it,
+as many as the difference needs, and twice as many after each failure.
 
 Everything is built-in expressions over arrays. A null text is empty; an empty text has one
-empty paragraph. A paragraph that a text repeats counts once.
+empty paragraph. A paragraph that a text repeats counts once. Null ids come last, rows of one id are in order
+of a hash of their text, repeated rows have equal fingerprints and follow each other. A table of one row is
+its own next document, an empty one gives no rows. Very long texts are whole, with as many sketches as they
+need. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,9 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import few, text_or_empty
 
-#: Cells of the sketches that are tried in turn; the first is the fingerprint.
+#: Cells of the sketches that are tried in turn; the first is the fingerprint, the last may be several.
 SIZES = (12, 48, 192)
 PARTS = 3
+#: Differing digests that are aimed at for one of several sketches, and how often their number doubles.
+LOAD, DOUBLINGS = 96, 4
 #: A sketch is tried if about this many digests for each cell, or fewer, are expected to differ.
 HOPE = 1.2
 #: Peeling rounds; each takes out every digest that lies alone somewhere.
@@ -112,14 +119,27 @@ def expected(cells: Column) -> Column:
     return (squares * width - whole * whole) / (width - 1)
 
 
+def split(values: Column, parts: Column) -> Column:
+    """An array of digests dealt into as many arrays by a hash."""
+    turn = lambda d: F.pmod(F.xxhash64(d, F.lit(2)), parts)
+    return F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.filter(values, lambda d: turn(d) == p))
+
+
+def peeled_in_parts(a: Column, b: Column, parts: Column) -> Column:
+    """(key, n) of the digests that only one of two arrays has, by `parts` sketches of the last size; null if one
+    of them cannot be peeled."""
+    size = SIZES[-1]
+    each = F.zip_with(split(a, parts), split(b, parts), lambda x, y: peeled(subtracted(sketch(x, size), sketch(y, size)), size))
+    return _let(each, lambda found: F.when(F.forall(found, lambda f: f.isNotNull()), F.flatten(found)))
+
+
 def difference(a: Column, b: Column, first_a: Column | None = None, first_b: Column | None = None) -> Column:
-    """(key, n) of the digests that only one of two arrays has, by sketches that grow until one
+    """(key, n) of the digests that only one of two arrays has, by sketches that grow until they
     can be peeled; first_a and first_b are sketches of the first size already made.
 
-    A size that the first difference shows to be far too small is passed over; the next is tried."""
-
-    def only(x: Column, y: Column, n: int) -> Column:
-        return F.transform(F.array_except(x, y), lambda d: F.struct(d.alias("key"), F.lit(n).cast("long").alias("n")))
+    A size that the first difference shows to be far too small is passed over; the next is tried. Null only if
+    the last doubling fails as well, which takes digests that collide.
+    """
 
     def tried(first: Column) -> Column:
         def at(size: int, about: Column) -> Column:
@@ -128,7 +148,11 @@ def difference(a: Column, b: Column, first_a: Column | None = None, first_b: Col
             fits = (F.abs(F.size(a) - F.size(b)) <= size) & (about <= HOPE * size)
             return F.when(fits, _let(cells, lambda c: peeled(c, size)))
 
-        return _let(expected(first), lambda about: F.coalesce(*[at(size, about) for size in SIZES], F.concat(only(a, b, 1), only(b, a, -1))))
+        def grown(about: Column) -> list[Column]:
+            least = F.greatest(F.lit(1), F.ceil(F.greatest(about, F.abs(F.size(a) - F.size(b))) / LOAD)).cast("long")
+            return [peeled_in_parts(a, b, least * (1 << k)) for k in range(DOUBLINGS)]
+
+        return _let(expected(first), lambda about: F.coalesce(*[at(size, about) for size in SIZES[:-1]], *grown(about)))
 
     made = first_a is not None
     return _let(subtracted(first_a if made else sketch(a, SIZES[0]), first_b if made else sketch(b, SIZES[0])), tried)
