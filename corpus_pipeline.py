@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import encode
-from tidemark.llm.common import few, table, written
-from tidemark.llm.mixing import mixed_documents
-from tidemark.llm.ngram_join import jaccard_components
+from tidemark.llm.common import discard, few, free_name, table, written
+from tidemark.llm.mixing import mixed_documents, plainness
+from tidemark.llm.ngram_join import component_rows
 from tidemark.llm.secret_scan import redact_documents
 from tidemark.llm.toxicity import score, train
 
@@ -22,20 +22,28 @@ from tidemark.llm.toxicity import score, train
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5, by a network trained on the labelled ones."""
     net = train(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return score(docs, net, keep=docs.columns).where("score < 0.5").drop("score")
+    mark = free_name("score", docs.columns)
+    return score(docs, net, keep=docs.columns, name=mark).where(F.col(mark) < 0.5).drop(mark)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents with a Jaccard index of 0.75 or more, that of the least id."""
-    linked = written(jaccard_components(docs))
-    gone = linked.where("doc_id != component_id").select("doc_id").distinct()
-    left = docs.join(few(gone), "doc_id", "left_anti")
-    again = linked.where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return left
-    # one id in several rows of one text: one of them stays
-    again = few(again)
-    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    """Of each component of documents with a Jaccard index of 0.75 or more, the row of least id and text hash.
+
+    Rows are told apart by id and text, so an id with several texts loses only what is a near
+    duplicate; of rows equal in both one stays. Rows without an id or a word all stay.
+    """
+    tie = free_name("tie", docs.columns)
+    docs = docs.withColumn(tie, F.xxhash64(F.coalesce("text", F.lit(""))))
+    linked = written(component_rows(docs, extra=(tie,)).where("component IS NOT NULL").select("doc_id", tie, "component"))
+    own = F.struct("doc_id", tie)
+    heads = linked.groupBy("component").agg(F.min(own).alias("head"))
+    gone = linked.join(heads, "component").where(own != F.col("head")).select("doc_id", tie).distinct()
+    left = docs.join(few(gone), ["doc_id", tie], "left_anti")
+    again = linked.groupBy("doc_id", tie).count().where("count > 1").drop("count")
+    if not again.isEmpty():
+        again = few(again)
+        left = left.join(again, ["doc_id", tie], "left_anti").unionByName(left.join(again, ["doc_id", tie], "left_semi").dropDuplicates(["doc_id", tie]))
+    return left.drop(tie).select(*[c for c in docs.columns if c != tie])
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +52,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixed_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Documents as often as the mix takes them, whole; plain ones are likelier in a partial epoch."""
+    return mixed_documents(docs, quality=plainness(F.col("text"))).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,5 +79,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        discard(before)
     return docs
