@@ -8,21 +8,19 @@ likely as the number of different symbols seen). Below order 0 the unseen symbol
 likely. The code length of a text is the sum over its bytes and its end mark, as log10.
 
 The counts are those of all training documents, and every node is kept, so the trie grows
-with the corpus and is nowhere held whole. Contexts that share their last two symbols meet in
-one bucket, with all that orders two to ORDER need of each other; orders 0 and 1, of which
-there are at most 257 * 257 nodes, go along. A bucket prices each code of its contexts once. In
-a static trie the symbols after a context also follow each shorter one, so exclusion is a sum
-stored per context and whole arrays are priced without a loop over symbols. Documents are
-dealt into blocks; the prices of the most frequent codes are broadcast, and each block asks for
-those of its other ones.
-
-The base line needs the count of every word, of which there is no bound: each block
-asks once for each of its words, the requests carry their own training counts, and the sums
-go back to the blocks that asked.
+with the corpus and is nowhere held whole. Documents are dealt into blocks. A block sends each
+of its codes (a symbol with the ORDER before it) and words once, with how often its training rows
+have it, to the code's or word's bucket; that sums the counts of all blocks, and the answers go
+back to the blocks that sent. Codes whose contexts share the last two symbols are in one bucket,
+with all that orders two to ORDER need of each other; orders 0 and 1, of which there are at most
+257 * 257 nodes, go along. A bucket prices each code of its contexts once. In a static trie the
+symbols after a context also follow each shorter one, so exclusion is a sum stored per context
+and whole arrays are priced without a loop over symbols. Codes and words travel as arrays.
 
 A null or empty text has its end mark only. Rows without id count as training rows.
 Repeated rows count repeatedly. An empty table gives no rows; without any training row all
-counts are 0 and symbols are equally likely.
+counts are 0 and symbols are equally likely. Very long texts make blocks of their own size and are
+never cut. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,17 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, text_or_empty, written
-from .textblock import column_bytes, slices, words
+from .common import text_or_empty
+from .textblock import column_bytes, mix, runs, slices, words
 
 ORDER = 4
 END = 256
 BITS = 9
-#: Prices of codes with at least this share of all training symbols are broadcast.
-FREQUENT = 1 << 20
-#: Buckets that codes are priced in, at least, and the codes that one holds on average.
-BUCKETS, BUCKET_CODES = 32, 1 << 17
-_HELD = np.uint64(1 << 63)
+#: Bytes of text in a block, and for which there is one bucket of codes and one of words; buckets at least.
+BLOCK_BYTES, BUCKET_BYTES, BUCKETS = 24 << 20, 8 << 20, 8
 #: The end token's place among word hashes.
 END_WORD = 0x5DEECE66D1234567
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -70,32 +65,38 @@ def symbol_codes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     return code[keep], offs[:-1] + np.arange(n)
 
 
-def _merge(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
+def _merge(keys: np.ndarray, n: np.ndarray, ascending: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their n."""
+    if not ascending:
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def code_counts(docs: DataFrame, text_col: str, training_col: str) -> DataFrame:
-    """(code, n): how often each symbol followed each context of ORDER symbols in training rows,
-    0 for what only other rows have."""
+def _counted(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return _merge(np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *n]))
+
+
+def low_orders(docs: DataFrame, text_col: str, training_col: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(keys, counts) of orders 0 and 1 in training rows: symbols, and symbols with the one before them."""
+    pair = END + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(pair * pair, np.int64)
         for batch in batches:
-            data, offs = column_bytes(batch.column(0))
-            held = ~batch.column(1).to_numpy(zero_copy_only=False)
-            keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            data, offs = column_bytes(batch.column(0).filter(batch.column(1)))
             for a, b in slices(offs):
-                code = symbol_codes(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])[0]
-                code = np.sort(code | np.repeat(held[a:b] * _HELD, np.diff(offs[a : b + 1]) + 1))
-                first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-                n = np.diff(np.concatenate([first, [len(code)]]))
-                keys, counts = _merge(np.concatenate([keys, code[first]]), np.concatenate([counts, n]))
-            counts[keys >= _HELD] = 0
-            yield pa.RecordBatch.from_arrays([pa.array((keys & ~_HELD).astype(np.int64)), pa.array(counts)], names=["code", "n"])
+                code = symbol_codes(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])[0].astype(np.int64)
+                total += np.bincount(((code >> BITS) & 511) * pair + (code & 511), minlength=pair * pair)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
-    return docs.select(text_col, training_col).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    # at most 257 * 257 rows
+    got = docs.select(text_col, training_col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    at, n = (got.column(k).to_numpy() for k in range(2))
+    ones = (at // pair << BITS) + at % pair
+    return [_merge((at % pair).astype(np.uint64), n), _merge(ones.astype(np.uint64), n)]
 
 
 class Trie:
@@ -165,68 +166,56 @@ class Trie:
         return out
 
 
-def priced(counts: DataFrame) -> DataFrame:
-    """(code, n, value) of code_counts, value the log10 probability of the code's symbol."""
-    of = [F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1)).alias("key")) for k in range(2)]
-    got = counts.where("n > 0").select(F.explode(F.array(*of)).alias("o"), "n").groupBy("o.k", "o.key").agg(F.sum("n").alias("n")).toArrow()
-    k, key, n = (got.column(c).to_numpy() for c in range(3))
-    low = [_merge(key[k == order].astype(np.uint64), n[k == order]) for order in range(2)]
-    buckets = max(BUCKETS, -(-counts.count() // BUCKET_CODES))
+class Prices:
+    """Values of codes, the most frequent ones each in a slot of its own, the others by their order."""
 
-    def price(rows: pa.Table) -> pa.Table:
-        codes, n = rows.column("code").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
-        known = n > 0
-        high = [_merge(codes[known] & Trie.mask(order + 1), n[known]) for order in range(2, ORDER + 1)]
-        return rows.select(["code", "n"]).append_column("value", pa.array(Trie([*low, *high]).log10(codes)))
+    def __init__(self, codes: np.ndarray, n: np.ndarray, values: np.ndarray, bits: int = _SLOT_BITS):
+        """codes: ascending."""
+        self.codes, self.all, self.bits = codes, values, bits
+        by = np.argsort(n, kind="stable")  # the most frequent comes last and keeps the slot
+        self.keys = np.full(1 << bits, (1 << 64) - 1, np.uint64)
+        self.values = np.zeros(1 << bits)
+        at = self.slot(codes[by])
+        self.keys[at] = codes[by]
+        held = self.keys[at] == codes[by]
+        self.values[at[held]] = values[by[held]]
+
+    def slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """log10 probability of each text, all of whose codes are here."""
+        code, first = symbol_codes(data, offs)
+        at = self.slot(code)
+        value = self.values[at]
+        miss = np.flatnonzero(self.keys[at] != code)
+        value[miss] = self.all[np.searchsorted(self.codes, code[miss])]
+        return np.add.reduceat(value, first)
 
-    context = F.shiftright("code", BITS).bitwiseAND(F.lit((1 << BITS * 2) - 1))
-    rows = counts.withColumn("bucket", F.pmod(F.xxhash64(context), F.lit(buckets)).cast("int"))
-    return rows.groupBy("bucket").applyInArrow(price, "code long, n long, value double")
 
+#: What travels between blocks and buckets; buckets below the number of them are of codes, others of words.
+_ROW = [("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())]
+_ANSWER = [("block", pa.int32()), ("is_code", pa.bool_()), ("keys", pa.binary()), ("values", pa.binary()), ("weights", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())]
+_KINDS = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.bool_(): "boolean"}
 
-class Prices:
-    """Values of the most frequent codes, each in a slot of its own."""
 
-    def __init__(self, codes: np.ndarray, n: np.ndarray, values: np.ndarray):
-        by = np.argsort(n, kind="stable")  # the most frequent comes last and keeps the slot
-        codes, values = codes[by].astype(np.uint64), values[by]
-        self.keys = np.full(1 << _SLOT_BITS, (1 << 64) - 1, np.uint64)
-        self.values = np.zeros(1 << _SLOT_BITS)
-        at = self.slot(codes)
-        self.keys[at] = codes
-        held = self.keys[at] == codes
-        self.values[at[held]] = values[held]
+def _schema(fields: list) -> str:
+    return ", ".join(f"{name} {_KINDS[kind]}" for name, kind in fields)
 
-    @staticmethod
-    def slot(codes: np.ndarray) -> np.ndarray:
-        return ((codes * _SPREAD) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-
-    def missing(self, codes: np.ndarray) -> np.ndarray:
-        """Places of codes without a slot."""
-        return np.flatnonzero(self.keys[self.slot(codes)] != codes)
 
-    def score(self, data: np.ndarray, offs: np.ndarray, codes: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """log10 probability of each text; codes, ascending, and values are those without a slot."""
-        code, first = symbol_codes(data, offs)
-        value = self.values[self.slot(code)]
-        miss = self.missing(code)
-        if len(miss):
-            value[miss] = values[np.searchsorted(codes, code[miss])]
-        return np.add.reduceat(value, first)
+def _rows(rows: list[tuple], fields: list) -> list[pa.Array]:
+    return [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(fields)]
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id_col, training, n_tokens, n_known, train_tokens, base_score, score) for each document.
 
     training marks the rows that the model and the word counts learn from.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    prices = written(priced(written(code_counts(docs, "text", "training"))))
-    total = prices.agg(F.sum("n")).first()[0] or 0
-    often = prices.where((F.col("n") > 0) & (F.col("n") >= total / FREQUENT)).toArrow()
-    frequent = spark.sparkContext.broadcast(Prices(*[often.column(c).to_numpy() for c in range(3)]))
-    blocks = block_count(docs, "text", block_bytes)
+    low = low_orders(docs, "text", "training")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, buckets = max(1, -(-size // block_bytes)), max(BUCKETS, -(-size // BUCKET_BYTES))
     docs = docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def token_slices(table, text: int):
@@ -234,58 +223,77 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         for a, b in slices(offs):
             part, own = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
             h, _, _, of = words(part, own)
-            yield a, b, part, own, h.astype(np.int64), of
+            yield a, b, part, own, h, of
 
-    def requests(batches):
+    def sent(block: int, keys: np.ndarray, n: np.ndarray, bucket: np.ndarray) -> list[tuple]:
+        order = np.argsort(bucket, kind="stable")
+        keys, n, bucket = keys[order], n[order], bucket[order]
+        return [(int(bucket[s]), block, keys[s:e].tobytes(), n[s:e].astype(np.uint32).tobytes()) for s, e in runs(bucket)]
+
+    def gather(batches):
         for batch in batches:
             block, learn = batch.column(3).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-            found: dict[int, list] = {}
-            for a, b, _, _, h, of in token_slices(batch, 1):
-                for one in np.unique(block[a:b]):
-                    mine = block[a:b][of] == one
-                    key, back = np.unique(h[mine], return_inverse=True)
-                    n = np.bincount(back, learn[a:b][of[mine]], minlength=len(key)).astype(np.int64)
-                    ends = np.flatnonzero(block[a:b] == one)
-                    found.setdefault(int(one), []).append((np.append(key, END_WORD), np.append(n, int(learn[a:b][ends].sum()))))
-            for one, parts in found.items():
-                key, n = _merge(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), one, np.int32)), pa.array(key), pa.array(n)], names=["block", "word", "n"])
-
-    def code_requests(batches):
-        for batch in batches:
-            block = batch.column(3).to_numpy()
-            data, offs = column_bytes(batch.column(1))
-            found: dict[int, list] = {}
-            for a, b in slices(offs):
-                code = symbol_codes(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])[0]
-                miss = frequent.value.missing(code)
-                code, of = code[miss], np.repeat(block[a:b], np.diff(offs[a : b + 1]) + 1)[miss]
-                for one in np.unique(of):
-                    found.setdefault(int(one), []).append(np.unique(code[of == one]))
-            for one, parts in found.items():
-                code = np.unique(np.concatenate(parts))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), one, np.int32)), pa.array(code.astype(np.int64))], names=["block", "code"])
-
-    asked = docs.mapInArrow(requests, "block int, word long, n long").repartition("word")
-    counts = asked.groupBy("word").agg(F.sum("n").alias("c"))
-    answers = asked.join(counts, "word").where("c > 0").select("block", F.lit(False).alias("is_code"), F.col("word").alias("key"), F.col("c").cast("double").alias("c"))
-    values = docs.mapInArrow(code_requests, "block int, code long").join(prices, "code")
-    answers = answers.unionByName(values.select("block", F.lit(True).alias("is_code"), F.col("code").alias("key"), F.col("value").alias("c")))
-    # a word is in counts once, so these are all training tokens and all distinct ones
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("train_tokens"), F.count_if(F.col("c") > 0).alias("vocabulary"))
+            for one in np.unique(block).tolist():
+                mine = pa.array(np.flatnonzero(block == one))
+                own_learn, codes, words_ = learn[block == one], ([], []), ([], [])
+                for a, b, part, own, h, of in token_slices(pa.table({"t": batch.column(1).take(mine)}), 0):
+                    code, lead = symbol_codes(part, own)[0], own_learn[a:b].astype(np.uint64)
+                    # the lowest bit says whether the row trains
+                    code = np.sort((code << np.uint64(1)) | np.repeat(lead, np.diff(own) + 1))
+                    for found, (key, n) in ((codes, _merge(code >> np.uint64(1), (code & np.uint64(1)).astype(np.int64), True)), (words_, _merge(h, lead[of].astype(np.int64)))):
+                        found[0].append(key)
+                        found[1].append(n)
+                words_[0].append(np.array([END_WORD], np.uint64))
+                words_[1].append(np.array([own_learn.sum()], np.int64))
+                key, n = _counted(*codes)
+                context = (key >> np.uint64(BITS)) & Trie.mask(2)
+                rows = sent(one, key, n, (mix(context) % np.uint64(buckets)).astype(np.int64))
+                key, n = _counted(*words_)
+                rows += sent(one, key, n, (key % np.uint64(buckets)).astype(np.int64) + buckets)
+                yield pa.RecordBatch.from_arrays(_rows(rows, _ROW), names=[c for c, _ in _ROW])
+
+    def answer(table: pa.Table) -> pa.Table:
+        is_code = table.column("bucket")[0].as_py() < buckets if table.num_rows else False
+        parts = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+        key, total = _counted(parts, [np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("n").to_pylist()])
+        known = total > 0
+        if is_code:
+            high = [_merge(key[known] & Trie.mask(order + 1), total[known]) for order in range(2, ORDER + 1)]
+            values = Trie([*low, *high]).log10(key)
+        else:
+            values = total.astype(np.float64)
+        weight = np.log2(total + 1.0).astype(np.uint8)
+        out = [] if is_code else [(-1, False, b"", b"", b"", int(total.sum()), int(known.sum()))]
+        home = table.column("block").to_numpy()
+        order = np.argsort(home, kind="stable")
+        for s, e in runs(home[order]):
+            # a block's batches may have asked for the same
+            want = np.unique(np.concatenate([parts[k] for k in order[s:e]]))
+            at = np.searchsorted(key, want)
+            if not is_code:
+                want, at = want[known[at]], at[known[at]]
+            out.append((int(home[order[s]]), is_code, want.tobytes(), values[at].tobytes(), weight[at].tobytes(), 0, 0))
+        return pa.Table.from_arrays(_rows(out, _ANSWER), names=[c for c, _ in _ANSWER])
+
+    answers = docs.mapInArrow(gather, _schema(_ROW)).groupBy("bucket").applyInArrow(answer, _schema(_ANSWER))
+    # a word is in one bucket, so these are all training tokens and all distinct ones
+    sums = answers.where("block < 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("vocabulary"))
+
+    def sorted_answers(table: pa.Table, is_code: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = table.filter(pa.array(table.column("is_code").to_numpy(zero_copy_only=False) == is_code))
+        kinds = (("keys", np.uint64), ("values", np.float64), ("weights", np.uint8))
+        cols = [np.concatenate([np.zeros(0, t), *[np.frombuffer(x, t) for x in got.column(c).to_pylist()]]) for c, t in kinds]
+        order = np.argsort(cols[0], kind="stable")
+        return tuple(c[order] for c in cols)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        left, right = left.combine_chunks(), right.combine_chunks()
         if not left.num_rows:
             return empty
-        is_code, key, c = (right.column(x).to_numpy(zero_copy_only=False) for x in ("is_code", "key", "c"))
-        codes, values = key[is_code].astype(np.uint64), c[is_code]
-        order = np.argsort(codes)
-        codes, values = codes[order], values[order]
-        key, c = key[~is_code], c[~is_code]
-        order = np.argsort(key)
-        key, c = key[order], np.concatenate([c[order], [0.0]])
-        end = c[Trie.find(key, np.array([END_WORD]))]
+        prices = Prices(*(sorted_answers(right, True)[k] for k in (0, 2, 1)))
+        key, c, _ = sorted_answers(right, False)
+        c = np.append(c, 0.0)
+        del right
+        end = c[Trie.find(key, np.array([END_WORD], np.uint64))]
         cols = [[], [], [], []]
         for a, b, part, own, h, of in token_slices(left, 1):
             seen = c[Trie.find(key, h)]
@@ -293,13 +301,13 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
             cols[0].append(np.bincount(of, minlength=n) + 1)
             cols[1].append(np.bincount(of, seen > 0, minlength=n).astype(np.int64) + (end > 0))
             cols[2].append(np.bincount(of, np.log10(seen + 1.0), minlength=n) + np.log10(end + 1.0))
-            cols[3].append(frequent.value.score(part, own, codes, values))
+            cols[3].append(prices.score(part, own))
         return pa.Table.from_arrays([left.column(0), left.column(2), *[pa.array(np.concatenate(x)) for x in cols]], names=["id", "training", "n_tokens", "n_known", "base", "score"])
 
     kind = docs.schema["id"].dataType.simpleString()
     schema = f"id {kind}, training boolean, n_tokens long, n_known long, base double, score double"
     empty = docs.sparkSession.createDataFrame([], schema).toArrow()
-    scored = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)
+    scored = docs.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(meet, schema)
     scored = scored.join(F.broadcast(sums), F.lit(True))  # one row
     base = F.col("base") - F.col("n_tokens") * F.log10(F.col("train_tokens") + F.col("vocabulary") + 1.0)
     return scored.select(F.col("id").alias(id_col), "training", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
