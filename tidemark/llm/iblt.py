@@ -6,9 +6,8 @@ digest in one cell of each of three parts. A cell holds how many digests it has,
 exclusive or, and that of their check hashes. The difference of two sketches holds the digests
 that only one text has; a cell with one left gives it away, it is taken out of its other cells,
 and so on until nothing is left. If cells remain, both texts are sketched again, larger: the
-smallest sketch, whose squared counts tell how many digests differ, gives the size to go on with. A sketch
-beyond the largest size of one is several of that size, each of the digests whose hash falls to it,
-as many as the difference needs, and twice as many after each failure.
+smallest sketch, whose squared counts tell how many digests differ, says how many sketches the digests
+are dealt to by a further hash; each of them is retried larger on its own until it can be peeled.
 
 Everything is built-in expressions over arrays. A null text is empty; an empty text has one
 empty paragraph. A paragraph that a text repeats counts once. Null ids come last, rows of one id are in order
@@ -26,13 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import few, text_or_empty
 
-#: Cells of the sketches that are tried in turn; the first is the fingerprint, the last may be several.
-SIZES = (12, 48, 192)
+#: Cells of the first sketch, which is the fingerprint, and of those tried in turn for each share of the digests.
+FIRST, SIZES = 12, (24, 96, 3072)
 PARTS = 3
-#: Differing digests that are aimed at for one of several sketches, and how often their number doubles.
-LOAD, DOUBLINGS = 96, 4
-#: A sketch is tried if about this many digests for each cell, or fewer, are expected to differ.
+#: The first sketch is peeled if about this many differing digests for each cell, or fewer, are expected.
 HOPE = 1.2
+#: Differing digests that a share is meant to have.
+LOAD = 6
 #: Peeling rounds; each takes out every digest that lies alone somewhere.
 ROUNDS = 12
 #: Documents that one task orders on average, to find each one's next.
@@ -119,49 +118,46 @@ def expected(cells: Column) -> Column:
     return (squares * width - whole * whole) / (width - 1)
 
 
-def split(values: Column, parts: Column) -> Column:
-    """An array of digests dealt into as many arrays by a hash."""
-    turn = lambda d: F.pmod(F.xxhash64(d, F.lit(2)), parts)
-    return F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.filter(values, lambda d: turn(d) == p))
+def split(values: Column, side: Column) -> Column:
+    """An array of digests dealt into side * side arrays by a hash, by rows first and then each row by columns."""
+    dealt = F.transform(values, lambda d: F.struct(d.alias("d"), F.pmod(F.xxhash64(d, F.lit(2)), side * side).alias("t")))
+    turns = F.sequence(F.lit(0).cast("long"), side - 1)
+    row = lambda e: F.transform(turns, lambda p: F.filter(e, lambda x: (x["t"] >= p * side) & (x["t"] < (p + 1) * side)))
+    cell = lambda r: F.transform(turns, lambda q: F.transform(F.filter(r, lambda x: x["t"] % side == q), lambda x: x["d"]))
+    return F.flatten(F.transform(_let(dealt, row), cell))
 
 
-def peeled_in_parts(a: Column, b: Column, parts: Column) -> Column:
-    """(key, n) of the digests that only one of two arrays has, by `parts` sketches of the last size; null if one
-    of them cannot be peeled."""
-    size = SIZES[-1]
-    each = F.zip_with(split(a, parts), split(b, parts), lambda x, y: peeled(subtracted(sketch(x, size), sketch(y, size)), size))
+def peeled_in_parts(a: Column, b: Column, side: Column) -> Column:
+    """(key, n) of the digests that only one of two arrays has, by sketches of side * side shares of them, each as large
+    as it takes; null if one cannot be peeled at any size, which takes digests that collide in all."""
+
+    def one(x: Column, y: Column) -> Column:
+        return F.coalesce(*[peeled(subtracted(sketch(x, size), sketch(y, size)), size) for size in SIZES])
+
+    each = F.zip_with(split(a, side), split(b, side), one)
     return _let(each, lambda found: F.when(F.forall(found, lambda f: f.isNotNull()), F.flatten(found)))
 
 
 def difference(a: Column, b: Column, first_a: Column | None = None, first_b: Column | None = None) -> Column:
     """(key, n) of the digests that only one of two arrays has, by sketches that grow until they
-    can be peeled; first_a and first_b are sketches of the first size already made.
-
-    A size that the first difference shows to be far too small is passed over; the next is tried. Null only if
-    the last doubling fails as well, which takes digests that collide.
-    """
+    can be peeled; first_a and first_b are sketches of the first size already made."""
 
     def tried(first: Column) -> Column:
-        def at(size: int, about: Column) -> Column:
-            cells = first if size == SIZES[0] else subtracted(sketch(a, size), sketch(b, size))
-            # sets whose sizes differ by more than the cells cannot be peeled
-            fits = (F.abs(F.size(a) - F.size(b)) <= size) & (about <= HOPE * size)
-            return F.when(fits, _let(cells, lambda c: peeled(c, size)))
-
-        def grown(about: Column) -> list[Column]:
-            least = F.greatest(F.lit(1), F.ceil(F.greatest(about, F.abs(F.size(a) - F.size(b))) / LOAD)).cast("long")
-            return [peeled_in_parts(a, b, least * (1 << k)) for k in range(DOUBLINGS)]
+        def by(about: Column) -> Column:
+            sizes = F.abs(F.size(a) - F.size(b))
+            small = F.when((sizes <= FIRST) & (about <= HOPE * FIRST), peeled(first, FIRST))
+            side = F.greatest(F.lit(1), F.ceil(F.sqrt(F.greatest(about, sizes) / LOAD))).cast("long")
+            return F.coalesce(small, _let(side, lambda k: peeled_in_parts(a, b, k)))
 
-        return _let(expected(first), lambda about: F.coalesce(*[at(size, about) for size in SIZES[:-1]], *grown(about)))
+        return _let(expected(first), by)
 
     made = first_a is not None
-    return _let(subtracted(first_a if made else sketch(a, SIZES[0]), first_b if made else sketch(b, SIZES[0])), tried)
+    return _let(subtracted(first_a if made else sketch(a, FIRST), first_b if made else sketch(b, FIRST)), tried)
 
 
 def likeness(a: Column, b: Column, differing: Column) -> Column:
     """Jaccard index of two arrays of digests from their differing ones: 1 for equal sets."""
-    both, d = F.size(a) + F.size(b), F.size(differing)
-    return F.when(both + d == 0, F.lit(1.0)).otherwise((both - d) / (both + d))
+    return _let(F.struct((F.size(a) + F.size(b)).alias("both"), F.size(differing).alias("d")), lambda n: F.when(n["both"] + n["d"] == 0, F.lit(1.0)).otherwise((n["both"] - n["d"]) / (n["both"] + n["d"])))
 
 
 def fingerprint(values: Column, cells: Column) -> Column:
@@ -209,15 +205,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - third).cast("int")), F.substr("next_text", F.lit(1), third))
     rows = rows.withColumn("edited", edited)
     rows = rows.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("b"))
-    rows = rows.select("*", *[sketch(F.col(x), SIZES[0]).alias(f"s{x}") for x in "aeb"])
-    near = [difference(F.col("a"), F.col(x), F.col("sa"), F.col(f"s{x}")).alias(f"d{x}") for x in "eb"]
-    rows = rows.select("*", *near)
+    rows = rows.select("*", *[sketch(F.col(x), FIRST).alias(f"s{x}") for x in "aeb"])
+    # one expression for both
+    others = F.array(*[F.struct(F.col(x).alias("x"), F.col(f"s{x}").alias("s")) for x in "eb"])
+    near = F.transform(others, lambda o: likeness(F.col("a"), o["x"], difference(F.col("a"), o["x"], F.col("sa"), o["s"])))
+    rows = rows.withColumn("near", near)
     return rows.select(
         F.col("id").alias(id_col),
         "n_chars",
         "edited_sha256",
         fingerprint(F.col("a"), F.col("sa")).alias("fingerprint"),
         fingerprint(F.col("e"), F.col("se")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("e"), F.col("de")).alias("near_edited"),
-        likeness(F.col("a"), F.col("b"), F.col("db")).alias("near_next"),
+        F.get("near", F.lit(0)).alias("near_edited"),
+        F.get("near", F.lit(1)).alias("near_next"),
     )
