@@ -25,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textblock import column_bytes, slices
+from .textblock import column_bytes, release, slices
 
 #: Bytes that a worker's memory of chunks and pieces may take, about; beyond them it keeps those in use.
-REMEMBERED = 160 << 20
+REMEMBERED = 96 << 20
 #: What one entry takes besides its characters, and the characters of a chunk that is remembered.
 ENTRY, SHORT = 320, 64
 #: Pieces of more bytes are encoded one by one.
@@ -306,7 +306,7 @@ _SPACE = re.compile(r"(?<!\s) (?!\s)")
 _RUNS = ("  ", *(x for c in "\n\t\r\x0b\x0c" for x in (c + " ", " " + c)))
 _RARE = [chr(i) for i in range(0x1C, 0x3001) if chr(i).isspace() and i != 32]
 #: Characters whose new pieces are encoded together.
-TOGETHER = 6 << 20
+TOGETHER = 4 << 20
 
 
 def chunks(text: str) -> list[str]:
@@ -405,6 +405,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), *(T.StructField(x, T.StringType()) for x in names[2:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         cache = _worker(vocabulary, pattern)
         for batch in batches:
             _, offs = column_bytes(batch.column(1))

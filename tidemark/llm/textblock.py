@@ -6,6 +6,9 @@ Texts are UTF-8; a null text is an empty one. Words are runs of bytes outside
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,15 @@ _POWERS: dict[int, np.ndarray] = {}
 SLICE_BYTES = 2 << 20
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the machine: workers outlive the stages they served."""
+    gc.collect()
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def column_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its texts in them."""
     if isinstance(array, pa.ChunkedArray):

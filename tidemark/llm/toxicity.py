@@ -4,33 +4,46 @@ A step is a word: its own vector (frequent words of the sample; others share one
 mean vector of its character trigrams, so unseen spellings still say something. Two gated
 recurrent layers read a window forwards and backwards, attention weighs their states, a
 logistic unit scores the window. Windows overlap by half and cover the whole text; a text
-scores as its most toxic window. Training is in numpy on the driver, by the window of
+scores as its most toxic window. Training is in numpy in one task, by the window of
 each text that scores highest (multiple-instance learning), on a bounded sample of labelled
-texts (SAMPLE rows of each class, those of least hash); everything is seeded.
+texts: of each class the rows of least hash, at most SAMPLE rows and SAMPLE_BYTES bytes of texts
+of at most TEXT_BYTES each. The task is the sample's size whatever the corpus has, is run
+again if its executor is lost, and gives the weights back; everything is seeded.
 
 A null text is empty; a text without words scores the sample's share of toxic rows. Without
-labelled rows of both classes every text scores that share, or 0 without any. Rows are
-independent: scoring has no shuffle, and memory is bounded by a slice of texts.
+labelled rows of both classes every text scores that share, or 0 without any. A row without an
+id has no label and is scored; labels of one id count as toxic if any is. Repeated rows score
+alike; equal hashes in the sample are ordered by id and text. Very long texts are scored whole, in one slice of
+memory a few times their size. An empty table gives no rows. Columns of docs besides the
+id and the text are passed on if kept and never read. Rows are independent: scoring has no
+shuffle, and memory is bounded by a slice of texts.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .textblock import BYTE_CODE, column_bytes, mix, slices, words
+from .common import free_name
+from .textblock import BYTE_CODE, column_bytes, mix, release, slices, words
 
 #: Labelled rows of each class that training takes at most.
 SAMPLE = {1: 2000, 0: 4000}
+#: Bytes of text that they have at most, by class, and that one of them has at most.
+SAMPLE_BYTES = {1: 12 << 20, 0: 24 << 20}
+TEXT_BYTES = 1 << 20
 WINDOW, STRIDE = 32, 16
 WORD_DIM = CHAR_DIM = HIDDEN = ATTENTION = 8
 TRIGRAMS = 4096
-#: Sample texts that a word must be in to have a vector, and the number of such words at most.
-WORD_TEXTS, WORDS = 4, 50_000
+#: Sample texts that a word must be in to have a vector.
+WORD_TEXTS = 4
 ROUNDS, PASSES, BATCH, RATE = 7, 2, 256, 0.01
 #: Steps of each round at least.
 UPDATES = 60
@@ -42,6 +55,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _summed(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by index, n of them."""
+    out = np.empty((n, rows.shape[1]), np.float32)
+    for k in range(rows.shape[1]):
+        out[:, k] = np.bincount(index, rows[:, k], minlength=n)
+    return out
+
+
 def text_windows(of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, words, text) of each window over texts whose words are numbered in a row."""
     count = np.bincount(of, minlength=n)
@@ -166,8 +187,7 @@ class Network:
                 d_u += before.T @ dg
                 carry = dh * z + dg @ u.T
             flat = d_p.reshape(-1, 3 * HIDDEN)
-            rows = np.zeros((len(x), 3 * HIDDEN), np.float32)
-            np.add.at(rows, index.ravel(), flat)
+            rows = _summed(index.ravel(), flat, len(x))
             g |= {f"u{d}": d_u, f"x{d}": x.T @ rows, f"c{d}": flat.sum(0)}
             d_x += rows @ self.w[f"x{d}"].T
         return g, d_x
@@ -193,7 +213,7 @@ def _indexed(word_at: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[
     return word_at[at], (step < size[:, None]).astype(np.float32)
 
 
-def fit(texts: pa.Array, toxic: np.ndarray) -> Network:
+def fit(texts: pa.Array | pa.ChunkedArray, toxic: np.ndarray) -> Network:
     """A network trained on texts and their labels (0 or 1)."""
     data, offs = column_bytes(texts)
     n = len(offs) - 1
@@ -201,22 +221,25 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Network:
     h = np.concatenate([np.zeros(0, np.uint64), *[p[0] for _, p in parts]])
     s, e = (np.concatenate([np.zeros(0, np.int64), *[p[k] + offs[a] for a, p in parts]]) for k in (1, 2))
     of = np.concatenate([np.zeros(0, np.int64), *[p[3] + a for a, p in parts]])
+    del parts
     distinct, once, row = np.unique(h, return_index=True, return_inverse=True)
-    pairs = np.unique(row * max(n, 1) + of)
+    del h
+    row = row.astype(np.int32)
+    pairs = np.unique(row.astype(np.int64) * max(n, 1) + of)
     in_toxic = np.bincount(pairs // max(n, 1), toxic[pairs % max(n, 1)], minlength=len(distinct))
     in_texts = np.bincount(pairs // max(n, 1), minlength=len(distinct))
+    del pairs
     known = np.flatnonzero(in_texts >= WORD_TEXTS)
-    if len(known) > WORDS:
-        known = np.sort(known[np.argsort(-in_texts[known], kind="stable")[:WORDS]])
     share = float(toxic.mean()) if n else 0.0
     odds = np.log((in_toxic[known] + 1 * share) / (in_texts[known] - in_toxic[known] + 1 * (1 - share) + 1e-9) * (1 - share + 1e-9) / (share + 1e-9))
     net = Network(distinct[known], np.clip(odds, -3, 4).astype(np.float32) / 3)
     net.share = share
-    if not 0 < share < 1 or not len(h):
+    if not 0 < share < 1 or not len(row):
         return net
     grams, first = trigrams(data, s[once], e[once])
     number = net.number(distinct)
     start, size, text = text_windows(of, n)
+    del s, e, of
     guess = np.zeros(len(distinct))
     guess[known] = odds
     best = np.array([guess[row[a : a + k]].max() for a, k in zip(start, size, strict=True)])
@@ -242,9 +265,7 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Network:
                 x = net.inputs(number[used], grams[g_at], begin)
                 grads, d_x = net.gradients(x, index.reshape(at.shape), mask, toxic[text[w]].astype(np.float32))
                 for name, rows, d in (("word", number[used], d_x[:, :WORD_DIM]), ("char", grams[g_at], np.repeat(d_x[:, WORD_DIM:] / runs[:, None].astype(np.float32), runs, axis=0))):
-                    full = np.zeros_like(net.w[name])
-                    np.add.at(full, rows, d)
-                    grads[name] = full + 1e-5 * net.w[name]
+                    grads[name] = _summed(rows, d, len(net.w[name])) + 1e-5 * net.w[name]
                 adam.step(grads, RATE * 0.7 ** (turn + step / passes))
     return net
 
@@ -276,28 +297,55 @@ def score_texts(net: Network, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
+def sample(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(text, mark, size): the labelled rows of docs that training takes, in one partition."""
+    marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("mark")).where("mark IS NOT NULL")
+    marks = marks.withColumn("order", F.xxhash64("id"))
+    rows = docs.where(learn).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.where(F.octet_length("text") <= TEXT_BYTES)
+    out = None
+    for mark, most in SAMPLE.items():
+        # ids first, `most` at most; then as many rows, should an id have several
+        ids = marks.where(F.col("mark") == mark).orderBy("order", "id").limit(most)
+        took = rows.join(F.broadcast(ids), "id").withColumn("tie", F.xxhash64("text")).orderBy("order", "id", "tie").limit(most)
+        size = F.sum(F.octet_length("text")).over(Window.partitionBy("mark").orderBy("order", "id", "tie").rowsBetween(Window.unboundedPreceding, 0))
+        took = took.withColumn("size", size).where(F.col("size") <= SAMPLE_BYTES[mark]).select("text", F.col("mark").cast("long").alias("mark"), "size")
+        out = took if out is None else out.union(took)
+    return out.coalesce(1)
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network:
-    """A network from at most SAMPLE labelled rows of docs where `learn` holds."""
-    marks = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("mark")).where(learn & F.col("mark").isNotNull())
-    picked = [marks.where(F.col("mark") == k).orderBy(F.xxhash64(id_col), id_col).limit(n) for k, n in SAMPLE.items()]
-    sample = picked[0].union(picked[1])
-    # the sample is bounded by SAMPLE
-    got = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(F.coalesce(text_col, F.lit("")).alias("t"), "mark").orderBy(F.xxhash64("t"), "t", "mark").toArrow()
-    return fit(got.column("t"), got.column("mark").to_numpy().astype(np.int64))
+    """A network from a bounded sample of the labelled rows of docs where `learn` holds, fitted in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        none = pa.table({"text": pa.array([], pa.string()), "mark": pa.array([], pa.int64()), "size": pa.array([], pa.int64())})
+        got = pa.Table.from_batches(batches) if batches else none
+        order = pa.compute.sort_indices(got, sort_keys=[("mark", "ascending"), ("size", "ascending"), ("text", "ascending")])
+        got = got.take(order)
+        net = fit(got.column("text"), got.column("mark").to_numpy())
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    row = sample(docs, labels, learn, id_col, text_col, label_col).mapInArrow(run, "net binary").first()
+    return pickle.loads(row[0]) if row else fit(pa.array([], pa.string()), np.zeros(0, np.int64))
 
 
-def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' columns `keep` (id_col if not given) and score."""
+def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """docs' columns `keep` (id_col if not given) and the score, as column `name`."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
     keep = [id_col] if keep is None else keep
+    if name in keep:
+        raise ValueError(f"docs already have a column {name}")
+    text = free_name("text", keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, offs = column_bytes(batch.column(0))
             found = [score_texts(shared.value, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in slices(offs)]
             values = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k + 1) for k in range(len(keep))), pa.array(values)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k + 1) for k in range(len(keep))), pa.array(values)], names=[*keep, name])
 
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double"])
-    source = docs.select(F.col(text_col).alias("_text"), *keep)
-    return source.mapInArrow(run, schema)
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
+    return docs.select(F.col(text_col).alias(text), *keep).mapInArrow(run, schema)
