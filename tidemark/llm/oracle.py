@@ -67,10 +67,60 @@ y AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 c AS (WITH RECURSIVE z(id, to_id) AS (SELECT doc_id, doc_id FROM n UNION SELECT z.id, y.b FROM z JOIN y ON y.a = z.to_id) SELECT id, min(to_id) AS component_id FROM z GROUP BY 1)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id FROM n JOIN c ON c.id = n.doc_id"""
 
+#: crc32 of an id's decimal digits, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: [ascii(d)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, d: xor(xor(c, d) >> 1, 3988292384 * (xor(c, d) & 1))), 4294967295)"""
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+
+
+def _tree(rows: str, name: str) -> str:
+    """CTEs over leaves (g, idx, digest): {name}_u, every node with its place, and {name}_p, each leaf's siblings by level."""
+    return f"""{name}_c AS (SELECT g, count(*) AS n FROM {rows} GROUP BY 1),
+{name}_u AS (SELECT 0 AS lv, g, idx, n, digest FROM {rows} JOIN {name}_c USING (g)
+  UNION ALL SELECT lv + 1, g, idx // 3, (max(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM {name}_u WHERE n > 1 GROUP BY lv, g, idx // 3),
+{name}_p AS (SELECT a.lv, a.g, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS lo, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS hi
+  FROM {name}_u a JOIN {name}_u b ON a.lv = b.lv AND a.g = b.g AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY 1, 2, 3)"""
+
+
+OP11 = f"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce('1' || source, '0') AS g, {_LEAF.format("text")} AS digest, {_LEAF.format("text")} AS leaf,
+  CASE WHEN {_CRC} % 2 = 0 THEN {_LEAF.format("replace(text, chr(10), '')")} ELSE {_LEAF.format("text")} END AS tampered FROM documents),
+d AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx FROM t),
+{_tree("d", "x")},
+r AS (SELECT 0 AS g, g AS name, digest, row_number() OVER (ORDER BY g) - 1 AS idx FROM x_u WHERE n = 1),
+{_tree("r", "y")},
+way AS (SELECT doc_id, d.idx AS leaf_at, d.g, p.lv, lo, hi FROM d JOIN x_p p ON p.g = d.g AND p.idx = d.idx // CAST(3 ** p.lv AS BIGINT)
+  UNION ALL SELECT doc_id, d.idx, d.g, 100 + p.lv, lo, hi FROM d JOIN r ON r.name = d.g JOIN y_p p ON p.idx = r.idx // CAST(3 ** p.lv AS BIGINT)),
+step AS (SELECT *, row_number() OVER (PARTITION BY g, leaf_at ORDER BY lv) AS k FROM way),
+f AS (SELECT g, idx AS leaf_at, 1 AS k, tampered AS digest FROM d
+  UNION ALL SELECT f.g, f.leaf_at, f.k + 1, sha256(lo || digest || hi) FROM f JOIN step s ON s.g = f.g AND s.leaf_at = f.leaf_at AND s.k = f.k),
+e AS (SELECT g, leaf_at, arg_max(digest, k) AS folded_root FROM f GROUP BY 1, 2),
+q AS (SELECT g, leaf_at, sha256(string_agg(lo || hi, '' ORDER BY k)) AS proof_sha256 FROM step GROUP BY 1, 2),
+z AS (SELECT digest AS root FROM y_u WHERE n = 1)
+SELECT doc_id, leaf, r.digest AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM d JOIN r ON r.name = d.g JOIN e ON e.g = d.g AND e.leaf_at = d.idx LEFT JOIN q ON q.g = d.g AND q.leaf_at = d.idx, z"""
+
+OP12 = rf"""
+WITH a AS (SELECT row_number() OVER () AS r, doc_id, {_CRC} AS h, regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS w FROM documents),
+b AS (SELECT *, len(w) AS n, (h // 10) % len(w) AS c, 1 + (len(w) - (h // 10) % len(w)) // (3 + (h // 10) % 8) AS p FROM a),
+d AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: CASE WHEN i < c THEN w[i + 1] ELSE w[c + (i - c) % p + 1] END) ELSE w END AS w FROM b),
+x AS (SELECT r, n, unnest(range(0, n)) AS i, unnest(w) AS word FROM d),
+y AS (SELECT r, n, i, word, md5(string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) AS five FROM x),
+s AS (SELECT a.r, b.i - a.i AS q, a.i FROM y a JOIN y b ON a.r = b.r AND a.five = b.five AND b.i > a.i AND 4 * (b.i - a.i) <= a.n WHERE b.i + 5 <= b.n),
+t AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS stretch FROM s),
+u AS (SELECT r, q, min(i) AS start, max(i) - min(i) + 5 + q AS length FROM t GROUP BY r, q, stretch),
+v AS (SELECT r, start, length, min(q) AS period FROM u WHERE length >= greatest(6, 4 * q) GROUP BY 1, 2, 3),
+o AS (SELECT r, count(*) AS n_runs, first((start, length, period) ORDER BY length DESC, start, period) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM v GROUP BY 1),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM x WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.r = x.r AND x.i >= v.start + v.period AND x.i < v.start + v.length) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period, 1000 * best[2] // best[3] AS exponent_milli, sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN o USING (r) LEFT JOIN k USING (r)"""
+
 ORACLES = {
     "op3_suffix_dedup": OP3,
     "op4_source_mix": OP4,
     "op6_embedding_dedup": OP6,
     "op7_chat_format": OP7,
     "op9_jaccard_join": OP9,
+    "op11_merkle_manifest": OP11,
+    "op12_periodic_runs": OP12,
 }

@@ -100,6 +100,65 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Merkle manifest of all documents by source, and whether tampered rows still lead to the root."""
+    from . import merkle as m
+
+    docs = table(spark, sf_dir, "documents")
+    cols = lambda text: [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text]
+    text = F.col("text").cast("string")
+    cut = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace(text, F.lit("\n"), F.lit("")))
+    changed = F.when(cut != text, F.unhex(m.digest_of(*cols(cut))))
+    rows = m.manifest(docs, m.digest_of(*cols(text)), F.col("source"), changed=changed)
+    again = m.folded(F.coalesce(F.lower(F.hex("changed")), "leaf"), F.col("proof"), F.col("path"))
+    rows = rows.withColumn("folded_root", again).withColumn("proof_sha256", F.sha2(F.lower(F.hex("proof")).cast("binary"), 256))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, every tenth by hash of its id made periodic from a word on."""
+    from .periodic_runs import runs
+
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.call_function("div", h, F.lit(10))
+
+    def periodic(w):
+        n = F.size(w).cast("long")
+        a = (g % n).cast("int")
+        p = (1 + F.call_function("div", n - a, 3 + g % 8)).cast("int")
+        rest = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int"))), 1, (n - a).cast("int"))
+        return F.array_join(F.concat(F.slice(w, 1, a), rest), " ")
+
+    word = r"[^\x20\x09-\x0D]+"
+    changed = F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(word), F.lit(0))), periodic), F.lit(0))
+    found = runs(docs.select("doc_id", F.when((h % 10 == 0) & text.rlike(word), changed).otherwise(text).alias("text")))
+    best = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("a"), r["start"].alias("b"), r["period"].alias("c")))), F.lit(0))
+    every = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.b").alias("start"),
+        (-F.col("best.a")).alias("length"),
+        F.col("best.c").alias("period"),
+        F.call_function("div", -1000 * F.col("best.a"), F.col("best.c")).alias("exponent_milli"),
+        F.sha2(every.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from rows of other folds than the held-out one."""
+    from .common import fold
+    from .language import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    said = predict(docs, train(docs, fold("doc_id", 5) != 0))
+    return said.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
@@ -111,6 +170,9 @@ QUERIES = {
     "op8_iblt_fingerprint": op8_iblt_fingerprint,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_language_id": op13_language_id,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

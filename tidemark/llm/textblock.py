@@ -17,6 +17,8 @@ import pyarrow as pa
 _RNG = np.random.default_rng(20240607)
 #: A random number for each byte; upper-case letters have their lower-case ones', white space 0.
 BYTE_CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The same, with upper-case letters of their own.
+EXACT_CODE = BYTE_CODE.copy()
 BYTE_CODE[65:91] = BYTE_CODE[97:123]
 IS_WORD = np.ones(256, bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -100,7 +102,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offs: np.ndarray, code: np.ndarray = BYTE_CODE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, index of its text) of each word, in order."""
     n = len(data)
     if not n:
@@ -116,7 +118,7 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     up, down = _powers(n)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * up[:n], out=total[1:])
+    np.cumsum(code[data] * up[:n], out=total[1:])
     h = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
     return h, s, e, np.searchsorted(offs, s, "right") - 1
 
