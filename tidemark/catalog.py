@@ -182,7 +182,7 @@ def pnl_reconciliation(spark, sf):
 
 def context_evaluation(spark, sf):
     bars = _runs(spark, sf)
-    bars = bars.withColumn("eval_start", F.min("open_us").over(Window.partitionBy("run_id")) + CONTEXT * H4)
+    bars = bars.join(bars.groupBy("run_id").agg((F.min("open_us") + CONTEXT * H4).alias("eval_start")), "run_id")
     rows = ledger.replay(bars, ledger.momentum(), H4, cost=COST, eval_from=F.col("eval_start"))
     return rows.select("run_id", "open_us", F.col("target").cast("long").alias("target"), F.col("position").cast("long").alias("position"), _round("equity", "equity"))
 

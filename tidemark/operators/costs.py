@@ -13,17 +13,27 @@ from pyspark.sql import functions as F
 CostModel = Callable[[Column, Column], Column]
 #: Of signed quantity and funding due.
 FundingModel = Callable[[Column, Column], Column]
-#: Type of every term of the ledger.
-MONEY = "decimal(28,10)"
+#: Type of every term of the ledger: a price of 8 places times a rate of 10 is exact, and so are sums.
+MONEY = "decimal(37,18)"
+#: Types of what is multiplied: a notional, a rate, and the funding due for one unit.
+NOTIONAL, RATE, DUE = "decimal(26,8)", "decimal(11,10)", "decimal(27,18)"
 
 
 def _rate(rate: Decimal | str) -> Decimal:
     got = Decimal(rate)
     if not got.is_finite() or got < 0:
         raise ValueError(f"a rate must be finite and not negative: {rate}")
+    if got >= 10 or got != got.quantize(Decimal(1).scaleb(-10)):
+        raise ValueError(f"a rate is under 10 and has 10 places at most: {rate}")
     return got
 
 
+def fitting(number: Column, kind: str, what: str) -> Column:
+    """number as a type that holds it without rounding; else the query fails."""
+    got = number.try_cast(kind)
+    return F.when(number.isNull() | (got == number), got).otherwise(F.raise_error(F.lit(f"{what} does not fit {kind}")).cast(kind))
+
+
 def zero() -> CostModel:
     return lambda quantity, price: F.lit(0).cast(MONEY)
 
@@ -31,7 +41,7 @@ def zero() -> CostModel:
 def proportional(rate: Decimal | str) -> CostModel:
     """quantity * price * rate: a commission, half a spread, or slippage."""
     r = _rate(rate)
-    return lambda quantity, price: (quantity * price * F.lit(r)).cast(MONEY)
+    return lambda quantity, price: (fitting(quantity * price, NOTIONAL, "a notional") * F.lit(r).cast(RATE)).cast(MONEY)
 
 
 commission = half_spread = slippage = proportional
@@ -65,4 +75,4 @@ def by_function(cost: Callable[[Decimal, Decimal], Decimal]) -> CostModel:
 def funding_due(reference_price: Column, rate: Column) -> Column:
     """Reference price times rate; a price that is not positive fails the query."""
     good = F.when(reference_price > 0, reference_price).otherwise(F.raise_error(F.lit("a reference price must be positive")).cast("decimal(18,8)"))
-    return (good * rate).cast("decimal(24,10)")
+    return fitting(good.cast("decimal(18,8)") * rate.cast("decimal(18,10)"), DUE, "funding due")

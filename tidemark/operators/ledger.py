@@ -1,8 +1,10 @@
 """The replay of a target policy as window functions over bars.
 
 The target of a bar is filled at the next bar's open, so positions, fills, entry prices, cash
-and equity are lags and running sums over a run's evaluation bars. One partitioning and one
-order serve every column. Bars: run_id, open_us, open, high, low, close.
+and equity are lags and running sums over a run's evaluation bars. A run is cut into blocks of bars, so one
+run is many tasks' work: lags reach into bars copied from the block before, and what has been paid and the
+last fill are handed on from block to block. One partitioning, by run and block, and one order serve every
+column. Bars: run_id, open_us, open, high, low, close, each a slot after the one before.
 """
 
 from __future__ import annotations
@@ -12,20 +14,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .costs import MONEY, CostModel, FundingModel, funding_due, linear, zero
+from . import scan
+from .costs import DUE, MONEY, CostModel, FundingModel, funding_due, linear, zero
 from .policy import TARGETS
 
+#: Bars that a target looks back at most, unless it is said.
+LOOKBACK = 4
+
 
 def in_run() -> WindowSpec:
-    """A run's bars in order."""
-    return Window.partitionBy("run_id").orderBy("open_us")
+    """A run's bars in order, as far as a policy looks back."""
+    return scan.within("run_id", "open_us")
 
 
 def until(last: int) -> WindowSpec:
-    """A run's bars from the first to `last` rows after this one."""
+    """A block's bars from the first to `last` rows after this one."""
     return in_run().rowsBetween(Window.unboundedPreceding, last)
 
 
+def added(*terms: Column) -> Column:
+    """The exact sum of terms of money."""
+    out = terms[0].cast(MONEY)
+    for t in terms[1:]:
+        out = (out + t.cast(MONEY)).cast(MONEY)
+    return out
+
+
 def momentum() -> Column:
     """1 if a close is above the one before, -1 if not, 0 for the first bar."""
     before = F.lag("close").over(in_run())
@@ -47,38 +61,49 @@ def due_marks(events: DataFrame, dur: int, start: DataFrame) -> DataFrame:
     up = F.col("event_us") + F.pmod(-F.col("event_us"), F.lit(dur))
     mark = F.greatest(up, F.col("eval_start") + dur)
     due = events.join(start, "run_id").where("event_us >= eval_start")
-    return due.groupBy("run_id", mark.alias("mark_us")).agg(F.sum(funding_due(F.col("reference_price"), F.col("funding_rate"))).cast("decimal(24,10)").alias("funding"))
+    due = due.groupBy("run_id", mark.alias("mark_us")).agg(F.sum(funding_due(F.col("reference_price"), F.col("funding_rate"))).alias("funding"))
+    return due.withColumn("funding", F.col("funding").cast(DUE))
 
 
-def replay(bars: DataFrame, target: Column, dur: int, initial: str = "1000", quantity: int = 2, cost: CostModel | None = None, funding: DataFrame | None = None, eval_from: Column | None = None, funding_model: FundingModel | None = None) -> DataFrame:
+def replay(bars: DataFrame, target: Column, dur: int, initial: str = "1000", quantity: int = 2, cost: CostModel | None = None, funding: DataFrame | None = None, eval_from: Column | None = None, funding_model: FundingModel | None = None, lookback: int | None = LOOKBACK) -> DataFrame:
     """A row per evaluation bar with its position, fill, costs, cash, equity and realized profit.
 
     Targets see all bars; the ledger sees those from eval_from on. funding: as due_marks gives;
-    funding_model says what a position pays of it, by default linear in the position.
+    funding_model says what a position pays of it, by default linear in the position. target looks at most
+    `lookback` bars back; with None it may look at the whole run, which then is one task's work.
     """
     cost = cost or zero()
     if quantity <= 0:
         raise ValueError("quantity must be positive")
     known = target.cast("int")
     known = F.when(known.isin(*TARGETS), known).otherwise(F.raise_error(F.lit("a target must be 1, 0 or -1")).cast("int"))
-    rows = bars.withColumn("target", known).withColumn("mark_us", F.col("open_us") + dur)
-    if eval_from is not None:
-        rows = rows.where(F.col("open_us") >= eval_from)
+    rows = bars.withColumn("mark_us", F.col("open_us") + dur)
     if funding is not None:
         rows = rows.join(funding, ["run_id", "mark_us"], "left")
     else:
-        rows = rows.withColumn("funding", F.lit(None).cast("decimal(24,10)"))
+        rows = rows.withColumn("funding", F.lit(None).cast(DUE))
+    # a position is two targets' work
+    rows = rows.withColumn(scan.BLOCK, F.lit(0).cast("long")).withColumn(scan.COPIED, F.lit(False)) if lookback is None else scan.blocked(rows, dur, back=lookback + 2)
+    rows = rows.withColumn("target", known)
+    if eval_from is not None:
+        rows = rows.where(F.col("open_us") >= eval_from)
     q = F.lit(quantity)
     rows = rows.withColumn("position", q * F.coalesce(F.lag("target", 1).over(in_run()), F.lit(0))).withColumn("before", q * F.coalesce(F.lag("target", 2).over(in_run()), F.lit(0)))
+    rows = rows.where(~F.col(scan.COPIED)).drop(scan.COPIED)
     rows = rows.withColumn("delta", F.col("position") - F.col("before")).withColumn("fill_price", F.when(F.col("delta") != 0, F.col("open")))
     rows = rows.withColumn("cost", F.when(F.col("delta") != 0, cost(F.abs("delta"), F.col("open"))).otherwise(F.lit(0).cast(MONEY)))
-    rows = rows.withColumn("funding_cost", (funding_model or linear)(F.col("position"), F.coalesce("funding", F.lit(0))).cast(MONEY))
-    paid = ((F.col("delta") * F.col("open")).cast(MONEY) + F.col("cost") + F.col("funding_cost")).cast(MONEY)
-    rows = rows.withColumn("cash", (F.lit(initial).cast(MONEY) - F.sum(paid).over(until(0))).cast(MONEY))
-    rows = rows.withColumn("equity", (F.col("cash") + (F.col("position") * F.col("close")).cast(MONEY)).cast(MONEY))
-    rows = rows.withColumn("entry", F.when(F.col("position") != 0, F.last("fill_price", True).over(until(0))))
-    gain = (F.col("before") * (F.col("open") - F.last("fill_price", True).over(until(-1)))).cast(MONEY)
-    rows = rows.withColumn("realized", F.when((F.col("delta") != 0) & (F.col("before") != 0), gain).otherwise(F.lit(0).cast(MONEY)))
+    rows = rows.withColumn("funding_cost", (funding_model or linear)(F.col("position"), F.coalesce("funding", F.lit(0).cast(DUE))).cast(MONEY))
+    rows = rows.withColumn("_paid", added(F.col("delta") * F.col("open"), F.col("cost"), F.col("funding_cost")))
+    none = F.lit(0).cast(MONEY)
+    rows = rows.withColumn("_sum", F.sum("_paid").over(until(0))).withColumn("_last", F.last("fill_price", True).over(until(0))).withColumn("_prior", F.last("fill_price", True).over(until(-1)))
+    rows = scan.with_earlier(rows, "run_id", "open_us", _before=("sum", F.col("_paid")), _fill=("last", F.col("fill_price")))
+    paid = added(F.coalesce("_before", none), F.col("_sum"))
+    rows = rows.withColumn("cash", (F.lit(initial).cast(MONEY) - paid).cast(MONEY))
+    rows = rows.withColumn("equity", added(F.col("cash"), F.col("position") * F.col("close")))
+    rows = rows.withColumn("entry", F.when(F.col("position") != 0, F.coalesce("_last", "_fill")))
+    gain = (F.col("before") * (F.col("open") - F.coalesce("_prior", "_fill"))).cast(MONEY)
+    rows = rows.withColumn("realized", F.when((F.col("delta") != 0) & (F.col("before") != 0), gain).otherwise(none))
+    rows = rows.drop("_paid", "_sum", "_last", "_prior", "_before", "_fill")
     return rows.withColumn("trades", trades(F.col("before"), F.col("position")))
 
 
@@ -98,14 +123,14 @@ def summary(ledger: DataFrame, initial: str = "1000", more: Sequence[Column] = (
         last("position").cast("long").alias("final_position"),
         F.sum("realized").cast(MONEY).alias("realized"),
         last(unrealized).alias("unrealized"),
-        F.sum(F.col("cost") + F.col("funding_cost")).cast(MONEY).alias("total_cost"),
+        F.sum(added(F.col("cost"), F.col("funding_cost"))).cast(MONEY).alias("total_cost"),
         F.count_if(F.col("delta") != 0).alias("fills"),
         F.sum("trades").cast("long").alias("trades"),
         F.count("*").alias("bars"),
         *more,
     )
     total = (F.col("final_equity") - F.lit(initial).cast(MONEY)).cast(MONEY)
-    return out.withColumn("balanced", total == (F.col("realized") + F.col("unrealized") - F.col("total_cost")).cast(MONEY))
+    return out.withColumn("balanced", total == added(F.col("realized"), F.col("unrealized"), -F.col("total_cost")))
 
 
 def reconciled(summaries: DataFrame) -> DataFrame:

@@ -1,11 +1,21 @@
-"""Returns, drawdown and per-observation Sharpe over equity curves (run_id, open_us, equity)."""
+"""Returns, drawdown and per-observation Sharpe over equity curves (run_id, open_us, equity).
+
+Curves are worked on in blocks, the replay's own where they come from it; the point before and the peak are
+handed on.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ledger import in_run, until
+from ..functions.timegrid import DURATIONS
+from . import scan
+from .ledger import until
+
+
+def in_blocks(curve: DataFrame) -> DataFrame:
+    return curve if scan.BLOCK in curve.columns else scan.blocked(curve, max(DURATIONS.values()))
 
 
 def periodic_returns(curve: DataFrame, initial: float = 1000.0) -> DataFrame:
@@ -13,14 +23,17 @@ def periodic_returns(curve: DataFrame, initial: float = 1000.0) -> DataFrame:
 
     A denominator that is not positive gives a null; `bad_denominator` marks it.
     """
-    before = F.coalesce(F.lag("equity").over(in_run()).cast("double"), F.lit(initial))
-    return curve.withColumn("ret", F.when(before > 0, F.col("equity").cast("double") / before - 1)).withColumn("bad_denominator", before <= 0)
+    rows = scan.with_previous(in_blocks(curve), "run_id", "open_us", F.col("equity").cast("double"), "_prev")
+    before = F.coalesce("_prev", F.lit(initial))
+    return rows.withColumn("ret", F.when(before > 0, F.col("equity").cast("double") / before - 1)).withColumn("bad_denominator", before <= 0).drop("_prev")
 
 
 def drawdowns(curve: DataFrame, initial: float = 1000.0) -> DataFrame:
     """curve with `peak`, at least the initial cash, and `drawdown` from it."""
-    peak = F.greatest(F.lit(initial), F.max(F.col("equity").cast("double")).over(until(0)))
-    return curve.withColumn("peak", peak).withColumn("drawdown", (F.col("peak") - F.col("equity").cast("double")) / F.col("peak"))
+    own = F.col("equity").cast("double")
+    rows = scan.with_earlier(in_blocks(curve).withColumn("_top", F.max(own).over(until(0))), "run_id", "open_us", _peak=("max", own))
+    rows = rows.withColumn("peak", F.greatest(F.lit(initial), "_peak", "_top")).drop("_top", "_peak")
+    return rows.withColumn("drawdown", (F.col("peak") - own) / F.col("peak"))
 
 
 def stage1_parts(initial: float = 1000.0) -> list[Column]:

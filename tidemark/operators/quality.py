@@ -2,67 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 #: Members that a report lists of each kind of fault.
 SAMPLE = 20
 #: Microseconds of a day.
 DAY = 86_400_000_000
 
 
-def expected_slots(ranges: DataFrame, dur: int) -> DataFrame:
-    """(symbol, open_us): the grid of each range (symbol, start_us, end_us)."""
-    return ranges.select("symbol", F.explode(F.sequence("start_us", F.col("end_us") - dur, F.lit(dur))).alias("open_us"))
+def missing_slots(bars: DataFrame, ranges: DataFrame, dur: int) -> DataFrame:
+    """(symbol, open_us): slots of the ranges that no bar has; only gaps are filled in, not the grid.
 
+    The bars are in their ranges, as in_order has them.
+    """
+    on_grid = bars.select("symbol", "open_us").where(F.pmod("open_us", F.lit(dur)) == 0)
+    ends = ranges.select("symbol", F.explode(F.array(F.col("start_us") - dur, F.col("end_us"))).alias("open_us"))
+    rows = scan.with_previous(scan.blocked(on_grid.union(ends), dur), "symbol", "open_us", F.col("open_us"), "_before")
+    gap = F.sequence(F.col("_before") + dur, F.col("open_us") - dur, F.lit(dur))
+    return rows.where(F.col("open_us") - F.col("_before") > dur).select("symbol", F.explode(gap).alias("open_us"))
 
-def missing_slots(bars: DataFrame, ranges: DataFrame, dur: int) -> DataFrame:
-    """Expected slots that no bar has."""
-    return expected_slots(ranges, dur).join(bars.select("symbol", "open_us").distinct(), ["symbol", "open_us"], "left_anti")
+
+def _within_ranges(bars: DataFrame, ranges: DataFrame) -> DataFrame:
+    """bars with _lo and _hi of their symbol's range; ranges are broadcast by Spark where it finds them small."""
+    return bars.join(ranges.select("symbol", F.col("start_us").alias("_lo"), F.col("end_us").alias("_hi")), "symbol", "left")
+
+
+def _outside() -> Column:
+    return F.col("_lo").isNull() | (F.col("open_us") < F.col("_lo")) | (F.col("open_us") >= F.col("_hi"))
 
 
 def in_order(bars: DataFrame, ranges: DataFrame, message: str = "a bar is out of its range, repeated or out of order", pos: str | None = None) -> DataFrame:
     """bars (symbol, open_us), failing at one outside its symbol's range or seen twice; with pos, also at one that
     is not after the one above it by pos."""
-    r = ranges.select("symbol", F.col("start_us").alias("_lo"), F.col("end_us").alias("_hi"))
-    before = F.lag("open_us").over(Window.partitionBy("symbol").orderBy(pos or "open_us"))
-    rows = bars.join(F.broadcast(r), "symbol", "left").withColumn("_before", before)  # a row for each symbol
-    bad = F.col("_lo").isNull() | (F.col("open_us") < F.col("_lo")) | (F.col("open_us") >= F.col("_hi")) | (F.col("_before") >= F.col("open_us"))
+    rows = scan.cut(_within_ranges(bars, ranges), pos or "open_us")
+    if pos:
+        rows = scan.with_previous(rows, "symbol", pos, F.col("open_us"), "_before")
+    else:  # repeated bars are in one block
+        rows = rows.withColumn("_before", F.lag("open_us").over(scan.within("symbol", "open_us")))
+    bad = _outside() | (F.col("_before") >= F.col("open_us"))
     open_us = F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(message)).cast("long")).otherwise(F.col("open_us"))
-    return rows.withColumn("open_us", open_us).drop("_lo", "_hi", "_before")
+    return rows.withColumn("open_us", open_us).drop("_lo", "_hi", "_before", scan.BLOCK)
 
 
 def violations(bars: DataFrame, ranges: DataFrame, pos: str = "open_us") -> DataFrame:
-    """(symbol, out_of_range, repeated, backward): what in_order fails at, counted in one pass by symbol."""
-    r = ranges.select("symbol", F.col("start_us").alias("lo"), F.col("end_us").alias("hi"))
-    before = F.lag("open_us").over(Window.partitionBy("symbol").orderBy(pos))
-    rows = bars.join(F.broadcast(r), "symbol", "left").withColumn("before", before)
-    return rows.groupBy("symbol").agg(
-        F.count_if(F.col("lo").isNull() | (F.col("open_us") < F.col("lo")) | (F.col("open_us") >= F.col("hi"))).alias("out_of_range"),
-        F.count_if(F.col("before") == F.col("open_us")).alias("repeated"),
-        F.count_if(F.col("before") > F.col("open_us")).alias("backward"),
-    )
+    """(symbol, out_of_range, repeated, backward): what in_order fails at, counted in one pass."""
+    tests = {"repeated": lambda b, o: b == o, "backward": lambda b, o: b > o}
+    return scan.counted(_within_ranges(bars, ranges), "symbol", pos, F.col("open_us"), tests, out_of_range=_outside())
 
 
 def report(bars: DataFrame, ranges: DataFrame, dur: int) -> DataFrame:
     """One row per range: counts, first and last bar, status. FAIL for a missing or unaligned bar, or none.
 
-    The bars are those of in_order. Bars and slots are read once: each bar counts where it is, and each slot
-    that no bar has counts as missing.
+    The bars are those of in_order, single and in their range, so the slots that none has are those
+    expected less the aligned bars: one aggregate, and no slot is made.
     """
-    slots = expected_slots(ranges, dur).withColumn("slot", F.lit(1))
-    both = bars.select("symbol", "open_us", F.lit(1).alias("bar")).join(slots, ["symbol", "open_us"], "full")
-    seen = both.groupBy("symbol").agg(
-        F.count("bar").alias("actual"),
-        F.count_if(F.col("bar").isNull()).alias("missing"),
-        F.count_if(F.col("bar").isNotNull() & (F.pmod("open_us", F.lit(dur)) != 0)).alias("unaligned"),
-        F.min(F.when(F.col("bar").isNotNull(), F.col("open_us"))).alias("first_us"),
-        F.max(F.when(F.col("bar").isNotNull(), F.col("open_us"))).alias("last_us"),
+    seen = bars.groupBy("symbol").agg(
+        F.count("*").alias("actual"),
+        F.count_if(F.pmod("open_us", F.lit(dur)) != 0).alias("unaligned"),
+        F.min("open_us").alias("first_us"),
+        F.max("open_us").alias("last_us"),
     )
-    out = ranges.join(seen, "symbol", "left").na.fill(0, ["actual", "unaligned", "missing"])
-    bad = (F.col("missing") > 0) | (F.col("unaligned") > 0) | (F.col("actual") == 0)
+    out = ranges.join(seen, "symbol", "left").na.fill(0, ["actual", "unaligned"])
     expected = F.call_function("div", F.col("end_us") - F.col("start_us"), F.lit(dur))
-    return out.select("symbol", expected.alias("expected"), "actual", "missing", "unaligned", "first_us", "last_us", F.when(bad, "FAIL").otherwise("PASS").alias("status"))
+    out = out.withColumn("expected", expected).withColumn("missing", F.col("expected") - F.col("actual") + F.col("unaligned"))
+    bad = (F.col("missing") > 0) | (F.col("unaligned") > 0) | (F.col("actual") == 0)
+    return out.select("symbol", "expected", "actual", "missing", "unaligned", "first_us", "last_us", F.when(bad, "FAIL").otherwise("PASS").alias("status"))
 
 
 def _first(rows: DataFrame, by: str, *cols: str) -> DataFrame:
@@ -87,17 +94,23 @@ def missing_samples(bars: DataFrame, ranges: DataFrame, dur: int) -> DataFrame:
 
 def order_faults(bars: DataFrame, dur: int, pos: str = "open_us") -> DataFrame:
     """One row per symbol: bars, those not after the one before by pos, those not adjoining it."""
-    before = F.lag("open_us").over(Window.partitionBy("symbol").orderBy(pos))
-    rows = bars.withColumn("before", before)
-    return rows.groupBy("symbol").agg(F.count("*").alias("bars"), F.count_if(F.col("before") >= F.col("open_us")).alias("not_ascending"), F.count_if(F.col("before") + dur != F.col("open_us")).alias("gaps"))
+    tests = {"not_ascending": lambda b, o: b >= o, "gaps": lambda b, o: b + dur != o}
+    return scan.counted(bars, "symbol", pos, F.col("open_us"), tests, bars=F.lit(True)).select("symbol", "bars", "not_ascending", "gaps")
 
 
 def islands(bars: DataFrame, dur: int) -> DataFrame:
-    """bars with run_id: a name for each longest stretch of adjoining bars."""
-    symbol = Window.partitionBy("symbol").orderBy("open_us")
-    head = F.col("open_us") - F.row_number().over(symbol) * F.lit(dur)
-    start = F.min("open_us").over(Window.partitionBy("symbol", "_head"))
-    return bars.withColumn("_head", head).withColumn("run_id", F.concat_ws("|", "symbol", start.cast("string"))).drop("_head")
+    """bars with run_id: a name for each longest stretch of adjoining bars.
+
+    A bar without one a slot before it is a head; a bar's head is the last one in its block, or else in an
+    earlier block.
+    """
+    rows = scan.blocked(bars, dur, back=1)
+    before = F.lag("open_us").over(scan.within("symbol", "open_us"))
+    rows = rows.withColumn("_head", F.when(before.isNull() | (before + dur != F.col("open_us")), F.col("open_us"))).where(~F.col(scan.COPIED))
+    inside = F.last("_head", True).over(scan.within("symbol", "open_us"))
+    rows = scan.with_earlier(rows.withColumn("_near", inside), "symbol", "open_us", _far=("last", F.col("_head")))
+    run = F.concat_ws("|", "symbol", F.coalesce("_near", "_far").cast("string"))
+    return rows.withColumn("run_id", run).select(*bars.columns, "run_id")
 
 
 def clipped(intervals: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -126,9 +139,8 @@ def coverage_gaps(intervals: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def event_faults(events: DataFrame, pos: str) -> DataFrame:
     """(symbol, events, backward, repeated): events whose (time, rate type) is before, or equals, that above them by pos."""
-    own = F.struct("event_us", "rate_type")
-    rows = events.withColumn("_before", F.lag(own).over(Window.partitionBy("symbol").orderBy(pos))).withColumn("_own", own)
-    return rows.groupBy("symbol").agg(F.count("*").alias("events"), F.count_if(F.col("_before") > F.col("_own")).alias("backward"), F.count_if(F.col("_before") == F.col("_own")).alias("repeated"))
+    tests = {"backward": lambda b, o: b > o, "repeated": lambda b, o: b == o}
+    return scan.counted(events, "symbol", pos, F.struct("event_us", "rate_type"), tests, events=F.lit(True)).select("symbol", "events", "backward", "repeated")
 
 
 def funding_report(events: DataFrame, intervals: DataFrame, ranges: DataFrame) -> DataFrame:
