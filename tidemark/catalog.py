@@ -213,10 +213,8 @@ def is_oos_split(spark, sf):
 def _rolling(context: int):
     def query(spark, sf):
         bars = _runs(spark, sf)
-        rows = rolling.window_bars(bars, rolling.rolling_windows(bars, H4, LENGTH, STEP, context), H4)
-        done = ledger.replay(rows, ledger.momentum(), H4, cost=COST, eval_from=F.col("eval_start"))
-        s = ledger.summary(metrics.drawdowns(done), more=metrics.stage1_parts())
-        return s.select("run_id", _round("final_equity", "final_equity"), "fills", "trades", "bars", _round("total_return", "total_return"), _round("max_drawdown", "max_drawdown"))
+        got = rolling.evaluated(bars, rolling.rolling_windows(bars, H4, LENGTH, STEP, context), ledger.momentum(), H4, cost=COST, lookback=1)
+        return got.select(F.concat_ws("#", "run", F.col("window_idx").cast("string")).alias("run_id"), _round("final_equity", "final_equity"), "fills", "trades", "bars", _round("total_return", "total_return"), _round("max_drawdown", "max_drawdown"))
 
     return query
 
