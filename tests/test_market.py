@@ -1,7 +1,10 @@
 """Requests, ingestion, store-backed backtests, policies and exact metrics: their errors and small cases."""
 
+import http.server
 import json
+import threading
 from decimal import Decimal
+from urllib.parse import parse_qs, urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,8 +97,131 @@ def test_candle_ingestion(spark, tmp_path):
         ingest.ingest_candles(empty, "S", "1h", *ask, fetch=lambda a, b: broken)
     assert ingest.ingest_candles(empty, "S", "1h", *ask, fetch=lambda a, b: []) == 0
     assert empty.read().count() == 0
-    pages = spark.createDataFrame([(json.dumps(r),) for r in rows], "raw string")
-    assert ingest.ingest_candle_pages(empty, pages, "S", "1h", *ask) == 25
+    as_pages = lambda numbers: spark.createDataFrame([(p, i, json.dumps(r)) for (p, i), r in zip(numbers, rows, strict=True)], "page_no int, pos int, raw string")
+    for numbers, fault in (([(0, 30 - k) for k in range(30)], "out of order"), ([(5 - k // 10, k % 10) for k in range(30)], "no progress")):
+        with pytest.raises(ValueError, match=fault):
+            ingest.ingest_candle_pages(empty, as_pages(numbers), "S", "1h", *ask)
+    assert empty.read().count() == 0
+    pages = as_pages([(k // 7, k % 7) for k in range(30)])
+    asked = spark.sparkContext.accumulator(0)
+
+    def once(batches, counter=asked):
+        for b in batches:
+            counter.add(b.num_rows)
+            yield b
+
+    assert ingest.ingest_candle_pages(empty, pages.mapInArrow(once, pages.schema), "S", "1h", *ask) == 25
+    assert asked.value == 30  # every row was asked for once
+    several = pages.withColumn("symbol", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    assert ingest.ingest_candle_pages(empty, several, None, "1h", *ask) == 50
+    twice = several.unionByName(several.withColumn("page_no", F.col("page_no") + 100))
+    with pytest.raises(ValueError, match="no progress"):
+        ingest.ingest_candle_pages(empty, twice, None, "1h", *ask)
+
+
+class Exchange(http.server.BaseHTTPRequestHandler):
+    """Bars on every hour and funding every eight, two of them at each time."""
+
+    asked: list[str] = []
+
+    def do_GET(self):
+        q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+        self.asked.append(q["symbol"])
+        low, high, hour = int(q["startTime"]), int(q["endTime"]), 3_600_000
+        if "interval" in q:
+            rows = [[t, "1", "2", "0.5", "1", "3", t + hour - 1] for t in range(-(-low // hour) * hour, high + 1, hour)]
+        else:
+            times = range(-(-low // (8 * hour)) * 8 * hour, high + 1, 8 * hour)
+            rows = [{"symbol": q["symbol"], "fundingRate": "0.001", "fundingTime": t, "markPrice": "10", "rateType": kind} for t in times for kind in ("Regular", "Special")]
+        body = json.dumps(rows[: int(q["limit"])]).encode()
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture
+def exchange():
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Exchange)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    Exchange.asked.clear()
+    yield f"http://127.0.0.1:{server.server_port}/"
+    server.shutdown()
+
+
+def test_filters_prune_pages(spark, exchange):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(requests.MarketKlines)
+    spark.dataSource.register(requests.MarketFunding)
+    hour = 3_600_000
+    options = {"symbol": "A, B,C", "start_ms": "0", "end_ms": str(5000 * hour), "base": exchange}
+    every = spark.read.format("market_klines").options(timeframe="1h", **options).load()
+    assert every.rdd.getNumPartitions() == 15
+    assert every.count() == 15_000 and len(Exchange.asked) == 15
+    wanted = (F.col("symbol") == "B") & (F.col("open_ms") >= 1500 * hour) & (F.col("open_ms") < 2100 * hour)
+    Exchange.asked.clear()
+    few = spark.read.format("market_klines").options(timeframe="1h", **options).load().where(wanted)
+    assert few.rdd.getNumPartitions() == 2
+    got = few.collect()
+    assert Exchange.asked == ["B", "B"] and len(got) == 600
+    assert sorted(map(tuple, got)) == sorted(map(tuple, every.where(wanted).collect()))
+    assert spark.read.format("market_klines").options(timeframe="1h", **options).load().where("symbol = 'Z'").count() == 0
+    parsed = parse.klines(every.where("symbol IN ('A', 'C')"))
+    assert parsed.where("reject IS NULL").count() == 10_000
+    paid = spark.read.format("market_funding").options(hours="700", **options).load()
+    assert paid.rdd.getNumPartitions() == 24 and paid.count() == 3 * 2 * 625
+    events = parse.funding_events(parse.funding_records(paid.where("symbol = 'B' AND event_ms >= 100"), "B"), "spot", "B")
+    assert events.distinct().count() == 2 * 624
+
+
+def test_a_store_is_read_once(spark, tmp_path, monkeypatch):
+    kept = store.candle_store(spark, str(tmp_path / "candles"))
+    kept.write(bars(spark, [100, 101, 102, 101, 100, 103]))
+    read = spark.sparkContext.accumulator(0)
+
+    def once(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    plain = store.KeyedStore.scanned
+    monkeypatch.setattr(store.KeyedStore, "scanned", lambda self, *a, **k: (rows := plain(self, *a, **k)).mapInArrow(once, rows.schema))
+    done = backtest.run_from_store(kept, MARKET, "1h", backtest.Range(START, START + 6 * H1, START + 6 * H1), F.lit(1))
+    assert ledger.summary(done).first().bars == 6 and read.value == 6
+
+
+def test_many_runs_and_windows(spark, tmp_path):
+    kept = store.candle_store(spark, str(tmp_path / "candles"))
+    two = bars(spark, [100, 101, 102, 101, 100, 103])
+    kept.write(two.unionByName(two.withColumn("symbol", F.lit("T")).where(F.col("open_us") != START + 2 * H1)))
+    kinds = "run_id string, symbol string, start_us long, end_us long, evaluation_start_us long"
+    ranges = [("a", "S", START, START + 4 * H1, START + H1), ("b", "S", START + 2 * H1, START + 6 * H1, START + 2 * H1), ("c", "T", START + 3 * H1, START + 6 * H1, START + 4 * H1)]
+    done = backtest.run_all_from_store(kept, "binance", "spot", "1h", spark.createDataFrame(ranges, kinds), F.lit(1))
+    got = {r.run_id: r for r in ledger.summary(done).collect()}
+    for run, symbol, lo, hi, at in ranges:
+        alone = backtest.run_from_store(kept, backtest.Market("binance", "spot", symbol), "1h", backtest.Range(lo, hi, hi), F.lit(1), evaluation_start_us=at)
+        want = ledger.summary(alone).first()
+        assert (got[run].final_equity, got[run].fills, got[run].bars) == (want.final_equity, want.fills, want.bars)
+    gap = spark.createDataFrame([("d", "T", START, START + 4 * H1, START)], kinds)
+    with pytest.raises(ValueError, match="quality gate"):
+        backtest.run_all_from_store(kept, "binance", "spot", "1h", gap, F.lit(1))
+    with pytest.raises(ValueError, match="evaluation"):
+        backtest.run_all_from_store(kept, "binance", "spot", "1h", gap.withColumn("evaluation_start_us", F.col("end_us")), F.lit(1))
+    spans = "symbol string, window_idx long, ctx_us long, start_us long, end_us long"
+    windows = [("S", 0, START, START + H1, START + 4 * H1), ("S", 1, START + H1, START + 2 * H1, START + 6 * H1), ("T", 0, START + 3 * H1, START + 3 * H1, START + 6 * H1)]
+    rolled = backtest.rolling_all_from_store(kept, "binance", "spot", "1h", spark.createDataFrame(windows, spans), ledger.momentum(), lookback=1)
+    for r in rolled.collect():
+        _, _, ctx, lo, hi = next(w for w in windows if w[:2] == (r.symbol, r.window_idx))
+        alone = backtest.run_from_store(kept, backtest.Market("binance", "spot", r.symbol), "1h", backtest.Range(ctx, hi, hi), ledger.momentum(), evaluation_start_us=lo)
+        want = ledger.summary(alone).first()
+        assert (r.final_equity, r.fills, r.trades, r.bars) == (want.final_equity, want.fills, want.trades, want.bars)
+    with pytest.raises(ValueError, match="gate of a window"):
+        backtest.rolling_all_from_store(kept, "binance", "spot", "1h", spark.createDataFrame([("T", 0, START, START + H1, START + 4 * H1)], spans), ledger.momentum())
+    with pytest.raises(ValueError, match="in order"):
+        backtest.rolling_all_from_store(kept, "binance", "spot", "1h", spark.createDataFrame([("T", 0, START + H1, START, START + 4 * H1)], spans), ledger.momentum())
+    assert backtest.rolling_all_from_store(kept, "binance", "spot", "1h", spark.createDataFrame([], spans), ledger.momentum()).count() == 0
 
 
 def record(k, kind="Regular", rate="0.001"):
@@ -173,6 +299,10 @@ def test_bar_and_event_checks(spark):
     for rows, lo in ((event, START + 1), (event.unionByName(event), START), (event.withColumn("symbol", F.lit("T")), START)):
         with pytest.raises(ValueError):
             backtest.check_events(rows, MARKET, lo, START + 2)
+    out_of_order = event.unionByName(event.withColumn("event_us", F.col("event_us") + 1)).withColumn("pos", -F.col("event_us"))
+    backtest.check_events(out_of_order, MARKET, START, START + 2)
+    with pytest.raises(ValueError, match="ascend"):
+        backtest.check_events(out_of_order, MARKET, START, START + 2, pos="pos")
     span = spark.createDataFrame([("S", START, START + 2 * dur)], "symbol string, start_us long, end_us long")
     with pytest.raises(Exception, match="out of its range"):
         quality.in_order(good, span).collect()

@@ -6,13 +6,16 @@ the same with integers of 1e-8, so both sides are exact before they become doubl
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import timegrid as g
+from .functions import wide
 from .operators import costs, exact, ledger, metrics, policy, quality, rolling
 from .plans import backtest, ingest, views
-from .plans.scratch import scratch
+from .plans.scratch import scratch, written
 from .sources import paging, parse, store
 
 H1, H4 = g.DURATIONS["1h"], g.DURATIONS["4h"]
@@ -110,7 +113,28 @@ def coverage_overlap(spark, sf):
 
 
 def coverage_gaps(spark, sf):
-    return quality.coverage_gaps(views.coverage(spark, sf), views.ranges(_bars(spark, sf), H4))
+    return quality.coverage_gaps(views.coverage(spark, sf), views.ranges(_bars(spark, sf), H4)).drop("lo", "hi")
+
+
+def range_overlaps(spark, sf):
+    """Coverage in very many overlapping ranges of each symbol: six hours from each hour on that has a bar."""
+    spans = _bars(spark, sf, "1h").select("symbol", F.col("open_us").alias("start_us"), (F.col("open_us") + 6 * H1).alias("end_us"))
+    got = quality.clipped(views.coverage(spark, sf), spans)
+    return got.groupBy("symbol", F.col("lo").alias("start_us")).agg(F.count("*").alias("intervals"), F.sum(F.col("e") - F.col("s")).alias("covered_us"))
+
+
+def range_gaps(spark, sf):
+    """What is not covered in each of those ranges."""
+    spans = _bars(spark, sf, "1h").select("symbol", F.col("open_us").alias("start_us"), (F.col("open_us") + 6 * H1).alias("end_us"))
+    return quality.coverage_gaps(views.coverage(spark, sf), spans).select("symbol", F.col("lo").alias("start_us"), "gap_start", "gap_end")
+
+
+def funding_marks(spark, sf):
+    """Funding due at marks off any grid, some of them at the very time of events."""
+    events = views.funding(spark, sf).withColumnRenamed("symbol", "run_id")
+    marks = views.events(spark, sf).where("event_id % 7 < 2").select(F.col("symbol").alias("run_id"), (F.col("ts_us") + F.when(F.col("event_id") % 7 == 1, 1234567).otherwise(0)).alias("mark_us"))
+    got = ledger.due_at(events, marks)
+    return got.select(F.col("run_id").alias("symbol"), "mark_us", "events", _round("funding", "funding"))
 
 
 def funding_quality(spark, sf):
@@ -144,6 +168,27 @@ def order_contiguity_check(spark, sf):
     return quality.order_faults(_bars(spark, sf, "1h"), H1)
 
 
+def fine_costs(spark, sf):
+    """Exact totals of quantities and prices of 12 places with a rate of 10, and how many terms are above a bound."""
+    rows = views.events(spark, sf)
+    price = F.concat(F.col("value").cast("string"), F.lpad((F.col("event_id") * 7919 % 10**10).cast("string"), 10, "0"))
+    quantity = F.concat(F.when(F.col("event_id") % 3 == 0, "-").otherwise(""), (F.col("user_id") % 97).cast("string"), F.lit("."), F.lpad((F.col("event_id") * 104729 % 10**12).cast("string"), 12, "0"))
+    term = wide.Wide.of(quantity, 12) * wide.Wide.of(price, 12) * wide.Wide.constant("0.0001234567")
+    rows = rows.select("symbol", term.limbs.alias("term"))
+    term = wide.Wide(F.col("term"), term.count, term.scale)
+    above = F.count_if(term.compared(wide.Wide.constant("0.5")) > 0).alias("above")
+    return wide.summed(rows, ["symbol"], {"total": term}, F.count("*").alias("terms"), above)
+
+
+def money_text(spark, sf):
+    """Cash and equity in full, with prices of 8 places and a rate of 10 that make terms of 18."""
+    bars = _runs(spark, sf)
+    for k, c in enumerate(("open", "high", "low", "close")):
+        bars = bars.withColumn(c, (F.col(c).cast("decimal(18,8)") + (F.col("open_us") / 1_000_000 % 99991 + k).cast("decimal(18,0)") * F.lit(Decimal("0.00000001"))).cast("decimal(18,8)"))
+    rows = ledger.replay(bars, ledger.momentum(), H4, cost=costs.commission("0.0001234567"), lookback=1)
+    return rows.select("run_id", "open_us", *[F.col(c).cast("string").alias(c) for c in ("cost", "cash", "equity")])
+
+
 def positions(spark, sf):
     return _ledger(spark, sf).select("run_id", "open_us", *[F.col(c).cast("long").alias(c) for c in ("target", "position", "delta")])
 
@@ -352,6 +397,22 @@ def exact_metrics(spark, sf):
     return got.select("run_id", *_metrics(), "fault")
 
 
+def exact_digits(spark, sf):
+    """Total return, mean return and drawdown in all their 28 digits."""
+    got = exact.metrics(_solvent(spark, sf), "9973", strict=False).where("fault IS NULL")
+    return got.select("run_id", *[F.col(c).cast("decimal(38,38)").cast("string").alias(c) for c in ("total_return", "mean_return", "max_drawdown")])
+
+
+def metric_faults(spark, sf):
+    """The first fault of each run's curve, faults of each kind planted by the run's start."""
+    curve = _solvent(spark, sf).select("run_id", "open_us", F.col("equity").cast("decimal(28,2)").cast("string").alias("equity"))
+    head = F.split_part("run_id", F.lit("|"), F.lit(2)).cast("long")
+    kind, at = F.pmod(F.call_function("div", head, F.lit(H4)), F.lit(6)), F.call_function("div", F.col("open_us") - head, F.lit(H4))
+    value = F.when((kind == 1) & (at == 2), "NaN").when((kind == 2) & at.isin(1, 3), F.concat(F.lit("-"), "equity")).when((kind == 3) & (at == 3), "none").when((kind == 3) & (at == 1), "0").when(kind == 4, "9973").otherwise(F.col("equity"))
+    curve = curve.withColumn("equity", value).withColumn("open_us", F.when((kind == 5) & (at == 4), F.col("open_us") - H4).otherwise(F.col("open_us")))
+    return exact.metrics(curve, "9973", strict=False).select("run_id", "fault")
+
+
 def policy_targets(spark, sf):
     """Targets of a Python policy that is asked bar by bar."""
     bars = _runs(spark, sf).select("run_id", "open_us", F.col("close").cast("double").alias("close"))
@@ -372,82 +433,89 @@ def _candle_rows(bars, timeframe):
     return bars.select(*ids, "symbol", F.lit(timeframe).alias("timeframe"), "open_us", *[F.col(c).cast("decimal(18,8)").alias(c) for c in ("open", "high", "low", "close", "volume")])
 
 
-def _longest(spark, sf):
-    """The bars of the longest run, its symbol, start and end."""
-    bars = _runs(spark, sf)
-    best = bars.groupBy("run_id", "symbol").agg(F.count("*").alias("n"), F.min("open_us").alias("lo"), (F.max("open_us") + H4).alias("hi")).orderBy(F.desc("n"), "run_id").limit(1).first()
-    return bars.where(F.col("run_id") == best.run_id), best.symbol, best.lo, best.hi
+def _kept_candles(spark, sf, timeframe="4h"):
+    """A store of all bars, written in two batches that overlap."""
+    rows = _candle_rows(_bars(spark, sf, timeframe), timeframe)
+    kept = store.candle_store(spark, scratch(spark))
+    kept.write(rows.where(F.col("open_us") < AS_OF))
+    kept.write(rows.where(F.col("open_us") >= AS_OF - 24 * H4))
+    return kept
 
 
-def _funding_store(spark, sf, symbol, lo, hi):
-    events = views.funding(spark, sf).where((F.col("symbol") == symbol) & (F.col("event_us") >= lo) & (F.col("event_us") < hi))
-    kept = store.FundingStore(spark, scratch(spark))
+def _kept_funding(spark, sf):
+    """A store of all events and, as coverage, each symbol's range in two halves."""
     ids = [F.lit(x).alias(c) for c, x in zip(("exchange", "market_type"), MARKET, strict=True)]
-    rows = events.select(*ids, "symbol", "event_us", "rate_type", F.col("funding_rate").cast("decimal(18,10)").alias("funding_rate"), F.col("reference_price").cast("decimal(18,8)").alias("reference_price"))
-    middle = lo + (hi - lo) // 2
-    kept.write(rows.where(F.col("event_us") < middle), *MARKET, symbol, lo, middle)
-    kept.write(rows.where(F.col("event_us") >= middle), *MARKET, symbol, middle, hi)
+    rows = views.funding(spark, sf).select(*ids, "symbol", "event_us", "rate_type", F.col("funding_rate").cast("decimal(18,10)").alias("funding_rate"), F.col("reference_price").cast("decimal(18,8)").alias("reference_price"))
+    spans = views.ranges(_bars(spark, sf), H4)
+    middle = F.col("start_us") + F.call_function("div", F.col("end_us") - F.col("start_us"), F.lit(2))
+    halves = [spans.select(*ids, "symbol", F.col("start_us"), middle.alias("end_us")), spans.select(*ids, "symbol", middle.alias("start_us"), "end_us")]
+    kept = store.FundingStore(spark, scratch(spark))
+    for half in halves:
+        own = half.select("symbol", F.col("start_us").alias("lo"), F.col("end_us").alias("hi"))
+        kept.write_many(rows.join(own, "symbol").where("event_us >= lo AND event_us < hi").select(*rows.columns), half)
     return kept
 
 
+def _run_ranges(spark, sf, least):
+    """(run_id, symbol, start_us, end_us) of runs of 4h bars of at least so many."""
+    runs = _runs(spark, sf).groupBy("run_id", "symbol").agg(F.min("open_us").alias("start_us"), (F.max("open_us") + H4).alias("end_us"))
+    return runs.where(F.col("end_us") - F.col("start_us") >= least * H4)
+
+
 def store_range_query(spark, sf):
     """Bars written to a store in two overlapping batches, read by range."""
-    rows = _candle_rows(_bars(spark, sf, "1h"), "1h")
-    kept = store.candle_store(spark, scratch(spark))
-    kept.write(rows.where(F.col("open_us") < AS_OF))
-    kept.write(rows.where(F.col("open_us") >= AS_OF - 240 * H1))
+    kept = _kept_candles(spark, sf, "1h")
     return kept.query(AS_OF - AS_OF % H1 - 240 * H1, AS_OF - AS_OF % H1, exchange="binance", market_type="spot", timeframe="1h").select("symbol", "open_us", _round("close", "close"))
 
 
 def store_events(spark, sf):
-    """Funding events and coverage of the longest run, written in two batches and read in its middle half."""
-    _, symbol, lo, hi = _longest(spark, sf)
-    kept, start, end = _funding_store(spark, sf, symbol, lo, hi), lo + (hi - lo) // 4, hi - (hi - lo) // 4
-    events = kept.query_events(*MARKET, symbol, start, end).agg(F.count("*").alias("rows"), F.min("event_us").alias("first_us"), F.max("event_us").alias("last_us")).withColumn("kind", F.lit("event"))
-    covered = kept.query_coverage(*MARKET, symbol, start, end).agg(F.count("*").alias("rows"), F.min("start_us").alias("first_us"), F.max("end_us").alias("last_us")).withColumn("kind", F.lit("coverage"))
+    """Funding events and coverage of all symbols, written in two batches and read in the middle of their time."""
+    low, high = views.ranges(_bars(spark, sf), H4).agg(F.min("start_us"), F.max("end_us")).first()
+    kept, start, end = _kept_funding(spark, sf), low + (high - low) // 4, high - (high - low) // 4
+    ids = dict(zip(("exchange", "market_type"), MARKET, strict=True))
+    events = kept.events.query(start, end, **ids).groupBy("symbol").agg(F.count("*").alias("rows"), F.min("event_us").alias("first_us"), F.max("event_us").alias("last_us")).withColumn("kind", F.lit("event"))
+    covered = kept.coverage_of(start, end, **ids).groupBy("symbol").agg(F.count("*").alias("rows"), F.min("start_us").alias("first_us"), F.max("end_us").alias("last_us")).withColumn("kind", F.lit("coverage"))
     return events.unionByName(covered)
 
 
 def store_ingest(spark, sf):
-    """Raw pages of 1h bars ingested into a store up to the last closed hour, and read back."""
-    _, symbol, lo, hi = _longest(spark, sf)
-    bars = _bars(spark, sf, "1h").where((F.col("symbol") == symbol) & (F.col("open_us") >= lo) & (F.col("open_us") < hi))
+    """Raw pages of all symbols' 1h bars ingested into a store up to the last closed hour, and read back."""
+    bars = _bars(spark, sf, "1h")
+    low, high = bars.agg(F.min("open_us"), F.max("open_us")).first()
     ms = F.call_function("div", F.col("open_us"), F.lit(1000))
     text = F.concat(F.lit("["), ms.cast("string"), *[x for c in ("open", "high", "low", "close", "volume") for x in (F.lit(',"'), F.col(c).cast("string"), F.lit('"'))], F.lit(","), (ms + 3_599_999).cast("string"), F.lit("]"))
+    slot = F.call_function("div", F.col("open_us") - low, F.lit(H1))
+    page = F.call_function("div", slot, F.lit(paging.PAGE))
     kept = store.candle_store(spark, scratch(spark))
-    ingest.ingest_candle_pages(kept, bars.select(text.alias("raw")), symbol, "1h", lo, hi, hi - 10 * H1 + 1)
-    return kept.query(lo, hi, exchange="binance", market_type="spot", symbol=symbol, timeframe="1h").select("symbol", "open_us", _round("open", "open"), _round("close", "close"), _round("volume", "volume"))
+    pages = bars.select("symbol", page.alias("page_no"), (slot % paging.PAGE).alias("pos"), text.alias("raw"))
+    ingest.ingest_candle_pages(kept, pages, None, "1h", low, high + H1, high + H1 - 10 * H1 + 1)
+    return kept.query(low, high + H1, exchange="binance", market_type="spot", timeframe="1h").select("symbol", "open_us", _round("open", "open"), _round("close", "close"), _round("volume", "volume"))
 
 
 def store_quality(spark, sf):
-    """The gate's report of a stored run, asked for ten bars beyond what is known."""
-    bars, symbol, lo, hi = _longest(spark, sf)
-    kept = store.candle_store(spark, scratch(spark))
-    kept.write(_candle_rows(bars, "4h"))
-    return backtest.store_report(kept, backtest.Market(*MARKET, symbol), "4h", backtest.Range(lo, hi + 10 * H4, hi + 1))
+    """The gate's report of every symbol's stored bars, from one pass that writes them aside; gaps and all."""
+    spans = views.ranges(_bars(spark, sf), H4)
+    low, high = spans.agg(F.min("start_us"), F.max("end_us")).first()
+    rows = _kept_candles(spark, sf).scanned(low, high, exchange="binance", market_type="spot", timeframe="4h")
+    return quality.report(quality.in_order(rows.select("symbol", "open_us"), spans), spans, H4)
 
 
 def store_backtest(spark, sf):
-    """A funded backtest from stores: gates, context of five bars, replay and summary."""
-    bars, symbol, lo, hi = _longest(spark, sf)
-    kept = store.candle_store(spark, scratch(spark))
-    kept.write(_candle_rows(bars, "4h"))
-    market, asked = backtest.Market(*MARKET, symbol), backtest.Range(lo, hi, hi)
-    done = backtest.run_from_store(kept, market, "4h", asked, ledger.momentum(), cost=COST, funding_required=True, funding_store=_funding_store(spark, sf, symbol, lo, hi), funding_model=costs.linear, evaluation_start_us=lo + CONTEXT * H4)
+    """Funded backtests of all runs from stores, in one job: gates, context of five bars, replay and summary."""
+    ranges = _run_ranges(spark, sf, CONTEXT + 1).withColumn("evaluation_start_us", F.col("start_us") + CONTEXT * H4)
+    ranges = written(ranges)
+    done = backtest.run_all_from_store(_kept_candles(spark, sf), *MARKET, "4h", ranges, ledger.momentum(), cost=COST, funding_store=_kept_funding(spark, sf), funding_model=costs.linear, lookback=1)
     s = ledger.reconciled(ledger.summary(done))
-    return s.select(F.col("run_id").alias("symbol"), *[_round(c, c) for c in ("final_cash", "final_equity", "realized", "unrealized", "total_cost")], "final_position", "fills", "trades", "bars")
+    return s.select("run_id", *[_round(c, c) for c in ("final_cash", "final_equity", "realized", "unrealized", "total_cost")], "final_position", "fills", "trades", "bars")
 
 
 def store_rolling(spark, sf):
-    """Two windows of a stored run, each with bars of context and a Python policy of its own."""
-    bars, symbol, lo, _ = _longest(spark, sf)
-    kept = store.candle_store(spark, scratch(spark))
-    kept.write(_candle_rows(bars, "4h"))
-    first = lo + CONTEXT * H4
-    windows = [(first - CONTEXT * H4, first, first + 4 * H4), (first, first + 2 * H4, first + 7 * H4)]
-    got = backtest.rolling_from_store(kept, backtest.Market(*MARKET, symbol), "4h", windows, first + 7 * H4, policy.Crossing, cost=COST)
-    rows = [s.select(F.lit(k).cast("long").alias("window_idx"), _round("final_equity", "final_equity"), "fills", "trades", "bars") for k, s in enumerate(got)]
-    return rows[0].unionByName(rows[1])
+    """Windows of all stored runs with bars of context, in one job."""
+    runs = _runs(spark, sf)
+    windows = rolling.rolling_windows(runs, H4, LENGTH, STEP, CONTEXT).withColumn("symbol", F.split_part("run", F.lit("|"), F.lit(1)))
+    windows = windows.withColumn("window_idx", F.row_number().over(Window.partitionBy("symbol").orderBy("start_us")).cast("long")).drop("run")
+    got = backtest.rolling_all_from_store(_kept_candles(spark, sf), *MARKET, "4h", written(windows), ledger.momentum(), cost=COST, lookback=1)
+    return got.select("symbol", "window_idx", _round("final_equity", "final_equity"), "fills", "trades", "bars", _round("total_return", "total_return"), _round("max_drawdown", "max_drawdown"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -474,7 +542,7 @@ _QUERIES = {
         kline_parse_six, kline_close_time, flat_fills, unaligned_report, unaligned_samples, gap_samples, order_violations,
         backward_order_check, event_order_faults, page_disorder, effective_ends, split_checks, solvent_metrics,
         exact_metrics, policy_targets, python_cost, store_range_query, store_events, store_ingest, store_quality,
-        store_backtest, store_rolling,
+        store_backtest, store_rolling, range_overlaps, range_gaps, funding_marks, fine_costs, money_text, exact_digits, metric_faults,
     )
 }
 

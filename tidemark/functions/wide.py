@@ -112,7 +112,7 @@ class Wide:
                 sums.append(total)
             return F.array(*sums)
 
-        both = _let(F.struct(self.limbs.alias("a"), other.limbs.alias("b")), product)
+        both = F.when(self.limbs.isNotNull() & other.limbs.isNotNull(), _let(F.struct(self.limbs.alias("a"), other.limbs.alias("b")), product))
         return Wide(both, self.count + other.count - 1, self.scale + other.scale).carried(1)
 
     def __add__(self, other: Wide) -> Wide:

@@ -65,6 +65,23 @@ def due_marks(events: DataFrame, dur: int, start: DataFrame) -> DataFrame:
     return due.withColumn("funding", F.col("funding").cast(DUE))
 
 
+def due_at(events: DataFrame, marks: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """(run_id, mark_us, events, funding) of marks (run_id, mark_us) at any times: the events due at each that has some.
+
+    An event is due at the first mark not before it, so one at a mark's own time is due there; events after the last mark are
+    not due, nor are those before the run's eval_start if start (run_id, eval_start) is given. Events and marks are one
+    sequence in order of time, along which the next mark is carried back. A mark given twice is one mark.
+    """
+    if start is not None:
+        events = events.join(start, "run_id").where("event_us >= eval_start")
+    due = events.select("run_id", F.col("event_us").alias("at"), funding_due(F.col("reference_price"), F.col("funding_rate")).alias("due"), F.lit(None).cast("long").alias("mark"))
+    every = due.unionByName(marks.select("run_id", F.col("mark_us").alias("at"), F.lit(None).cast(DUE).alias("due"), F.col("mark_us").alias("mark")))
+    order = [F.col("at"), F.col("mark").asc_nulls_first()]  # events of a mark's time before it
+    rows = scan.with_next(scan.cut(every, "at"), "run_id", order, F.col("mark"), "mark_us")
+    got = rows.where("mark IS NULL AND mark_us IS NOT NULL").groupBy("run_id", "mark_us").agg(F.count("*").alias("events"), F.sum("due").alias("funding"))
+    return got.withColumn("funding", F.col("funding").cast(DUE))
+
+
 def replay(bars: DataFrame, target: Column, dur: int, initial: str = "1000", quantity: int = 2, cost: CostModel | None = None, funding: DataFrame | None = None, eval_from: Column | None = None, funding_model: FundingModel | None = None, lookback: int | None = LOOKBACK) -> DataFrame:
     """A row per evaluation bar with its position, fill, costs, cash, equity and realized profit.
 

@@ -37,11 +37,11 @@ def _outside() -> Column:
 def in_order(bars: DataFrame, ranges: DataFrame, message: str = "a bar is out of its range, repeated or out of order", pos: str | None = None) -> DataFrame:
     """bars (symbol, open_us), failing at one outside its symbol's range or seen twice; with pos, also at one that
     is not after the one above it by pos."""
-    rows = scan.cut(_within_ranges(bars, ranges), pos or "open_us")
+    rows = _within_ranges(bars, ranges)
     if pos:
-        rows = scan.with_previous(rows, "symbol", pos, F.col("open_us"), "_before")
-    else:  # repeated bars are in one block
-        rows = rows.withColumn("_before", F.lag("open_us").over(scan.within("symbol", "open_us")))
+        rows = scan.with_previous(scan.cut(rows, pos), "symbol", pos, F.col("open_us"), "_before")
+    else:  # repeated bars are in one block, of a day
+        rows = scan.blocked(rows, DAY // scan.SLOTS).withColumn("_before", F.lag("open_us").over(scan.within("symbol", "open_us")))
     bad = _outside() | (F.col("_before") >= F.col("open_us"))
     open_us = F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(message)).cast("long")).otherwise(F.col("open_us"))
     return rows.withColumn("open_us", open_us).drop("_lo", "_hi", "_before", scan.BLOCK)
@@ -113,28 +113,30 @@ def islands(bars: DataFrame, dur: int) -> DataFrame:
     return rows.withColumn("run_id", run).select(*bars.columns, "run_id")
 
 
-def clipped(intervals: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Intervals (symbol, start_us, end_us) that overlap the symbol's range, cut to it."""
+def clipped(intervals: DataFrame, ranges: DataFrame, bin_us: int = DAY) -> DataFrame:
+    """(symbol, lo, hi, s, e): intervals (symbol, start_us, end_us) cut to each of the symbol's ranges that they overlap."""
+    cut = intervals.select("symbol", F.col("start_us").alias("s"), F.col("end_us").alias("e"))
     r = ranges.select("symbol", F.col("start_us").alias("lo"), F.col("end_us").alias("hi"))
-    both = intervals.join(r, "symbol").where("end_us > lo AND start_us < hi")
-    return both.select("symbol", "lo", "hi", F.greatest("start_us", "lo").alias("s"), F.least("end_us", "hi").alias("e"))
+    both = scan.overlaps(cut, r, "symbol", bin_us)
+    return both.select("symbol", "lo", "hi", F.greatest("s", "lo").alias("s"), F.least("e", "hi").alias("e"))
 
 
 def coverage_gaps(intervals: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(symbol, gap_start, gap_end): the parts of each range that no interval covers, in order.
+    """(symbol, lo, hi, gap_start, gap_end): the parts of each range [lo, hi) that no interval covers, in order.
 
-    Equal starts are merged first, so a start that very many intervals share is one row. A symbol's
-    intervals are ordered day by day; only how far each day's reach is carried along the symbol.
+    Equal starts are merged first, so a start that very many intervals share is one row. A range's
+    intervals are ordered day by day; only how far each day's reach is carried along the range.
     """
-    cut = clipped(intervals, ranges).groupBy("symbol", "lo", "hi", "s").agg(F.max("e").alias("e"))
+    own = ["symbol", "lo", "hi"]
+    cut = clipped(intervals, ranges).groupBy(*own, "s").agg(F.max("e").alias("e"))
     ends = ranges.select("symbol", F.col("start_us").alias("lo"), F.col("end_us").alias("hi"), F.col("end_us").alias("s"), F.col("end_us").alias("e"))
     rows = cut.unionByName(ends).withColumn("day", F.floor(F.col("s") / DAY))
-    along = Window.partitionBy("symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = rows.groupBy("symbol", "day").agg(F.max("e").alias("top")).withColumn("carried", F.max("top").over(along)).drop("top")
-    before = Window.partitionBy("symbol", "day").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(*own).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy(*own, "day").agg(F.max("e").alias("top")).withColumn("carried", F.max("top").over(along)).drop("top")
+    before = Window.partitionBy(*own, "day").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.greatest(F.col("carried"), F.max("e").over(before))
-    rows = rows.join(days, ["symbol", "day"]).withColumn("reach", F.coalesce(reach, F.col("lo")))
-    return rows.where("s > reach").select("symbol", F.col("reach").alias("gap_start"), F.col("s").alias("gap_end"))
+    rows = rows.join(days, [*own, "day"]).withColumn("reach", F.coalesce(reach, F.col("lo")))
+    return rows.where("s > reach").select(*own, F.col("reach").alias("gap_start"), F.col("s").alias("gap_end"))
 
 
 def event_faults(events: DataFrame, pos: str) -> DataFrame:
@@ -145,7 +147,11 @@ def event_faults(events: DataFrame, pos: str) -> DataFrame:
 
 def funding_report(events: DataFrame, intervals: DataFrame, ranges: DataFrame) -> DataFrame:
     """One row per range: events in it, gaps in its coverage, status. No event is no fault."""
-    gaps = coverage_gaps(intervals, ranges).groupBy("symbol").agg(F.count("*").alias("gap_count"), F.sum(F.col("gap_end") - F.col("gap_start")).alias("gap_us"))
-    inside = events.join(ranges, "symbol").where("event_us >= start_us AND event_us < end_us").groupBy("symbol").agg(F.count("*").alias("event_count"))
-    out = ranges.join(inside, "symbol", "left").join(gaps, "symbol", "left").na.fill(0, ["event_count", "gap_count", "gap_us"])
+    own = ["symbol", "start_us", "end_us"]
+    gaps = coverage_gaps(intervals, ranges).groupBy("symbol", F.col("lo").alias("start_us"), F.col("hi").alias("end_us"))
+    gaps = gaps.agg(F.count("*").alias("gap_count"), F.sum(F.col("gap_end") - F.col("gap_start")).alias("gap_us"))
+    points = events.select("symbol", F.col("event_us").alias("s"), (F.col("event_us") + 1).alias("e"))
+    spans = ranges.select("symbol", F.col("start_us").alias("lo"), F.col("end_us").alias("hi"))
+    inside = scan.overlaps(points, spans, "symbol", DAY).groupBy("symbol", F.col("lo").alias("start_us"), F.col("hi").alias("end_us")).agg(F.count("*").alias("event_count"))
+    out = ranges.join(inside, own, "left").join(gaps, own, "left").na.fill(0, ["event_count", "gap_count", "gap_us"])
     return out.select("symbol", "event_count", "gap_count", "gap_us", F.when(F.col("gap_count") > 0, "FAIL").otherwise("PASS").alias("status"))

@@ -100,3 +100,28 @@ def counted(rows: DataFrame, key: str, pos: str, own: Column, tests: dict[str, C
     each = each.withColumn("_before", F.lag("_last").over(Window.partitionBy(key).orderBy(BLOCK)))
     edge = lambda test: holds(test(F.col("_before"), F.col("_first")))
     return each.groupBy(key).agg(*[F.sum(F.col(name) + edge(test)).alias(name) for name, test in tests.items()], *[F.sum(name).alias(name) for name in more])
+
+
+def with_next(rows: DataFrame, key: str, order: list[Column], value: Column, name: str) -> DataFrame:
+    """rows, which have a block, with the first value that is not null at or after each by order, in any block.
+
+    Values do not descend along the order, so a block's first one is its least.
+    """
+    on = Window.partitionBy(key, BLOCK).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    near = rows.withColumn("_value", value).withColumn("_near", F.first("_value", True).over(on))
+    each = near.groupBy(key, BLOCK).agg(F.min("_value").alias("_first"))
+    later = Window.partitionBy(key).orderBy(BLOCK).rowsBetween(1, Window.unboundedFollowing)
+    far = each.select(key, BLOCK, F.first("_first", True).over(later).alias("_far"))
+    return near.join(far, [key, BLOCK]).withColumn(name, F.coalesce("_near", "_far")).drop("_value", "_near", "_far")
+
+
+def overlaps(left: DataFrame, right: DataFrame, key: str, bin_us: int) -> DataFrame:
+    """Each pair of an interval of left (key, s, e) and one of right (key, lo, hi) that meet, once; both half-open.
+
+    Intervals are put in every bin of time that they touch, and a pair is found in the first that both do, so a key
+    with very many intervals is as many groups as it has bins. Empty intervals meet nothing.
+    """
+    at = lambda us: F.call_function("div", us - F.pmod(us, F.lit(bin_us)), F.lit(bin_us))
+    bins = lambda rows, a, b: rows.where(F.col(a) < F.col(b)).withColumn("_bin", F.explode(F.sequence(at(F.col(a)), at(F.col(b) - 1))))
+    both = bins(left, "s", "e").join(bins(right, "lo", "hi"), [key, "_bin"])
+    return both.where((F.col("s") < F.col("hi")) & (F.col("e") > F.col("lo")) & (F.col("_bin") == F.greatest(at(F.col("s")), at(F.col("lo"))))).drop("_bin")

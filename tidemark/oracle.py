@@ -89,13 +89,30 @@ wi AS (SELECT run, lo + {context * H4} AS f0, unnest(range(0, (hi - lo - {(conte
 win AS (SELECT run, window_idx, f0 + window_idx * {STEP * H4} AS start_us, f0 + window_idx * {STEP * H4} + {LENGTH * H4} AS end_us FROM wi)"""
 
 
-def _rolling(context: int) -> str:
-    wb = f"""wb AS (SELECT run || '#' || CAST(window_idx AS VARCHAR) AS run_id, symbol, open_us, o, c, start_us FROM win JOIN runs ON runs.run_id = win.run AND open_us >= start_us - {context * H4} AND open_us < end_us)"""
-    return f"""{R4}, {_windows(context)}, {wb}, {_ledger("wb", start="open_us >= start_us")}, {DRAW}
-SELECT run_id, {_m("arg_max(equity, open_us)", "final_equity")}, CAST(count_if(delta <> 0) AS BIGINT) AS fills, CAST(sum(trades) AS BIGINT) AS trades, count(*) AS bars,
+def _window_bars(context: int) -> str:
+    return f"""wb AS (SELECT run || '#' || CAST(window_idx AS VARCHAR) AS run_id, symbol, open_us, o, c, start_us FROM win JOIN runs ON runs.run_id = win.run AND open_us >= start_us - {context * H4} AND open_us < end_us)"""
+
+
+def _window_figures() -> str:
+    return f"""SELECT run_id, {_m("arg_max(equity, open_us)", "final_equity")}, CAST(count_if(delta <> 0) AS BIGINT) AS fills, CAST(sum(trades) AS BIGINT) AS trades, count(*) AS bars,
     round(arg_max({EQ}, open_us) / 1000.0 - 1, 6) AS total_return, round(max((peak - {EQ}) / peak), 6) AS max_drawdown FROM pk GROUP BY 1"""
 
 
+def _rolling(context: int) -> str:
+    return f"""{R4}, {_windows(context)}, {_window_bars(context)}, {_ledger("wb", start="open_us >= start_us")}, {DRAW} {_window_figures()}"""
+
+
+def _text(number: str, places: int = 18) -> str:
+    """An integer of so many places as plain decimal text."""
+    digits = f"lpad(CAST(abs({number}) AS VARCHAR), {places + 1}, '0')"
+    digits = f"CASE WHEN length(CAST(abs({number}) AS VARCHAR)) > {places + 1} THEN CAST(abs({number}) AS VARCHAR) ELSE {digits} END"
+    return f"CASE WHEN {number} < 0 THEN '-' ELSE '' END || left({digits}, -{places}) || '.' || right({digits}, {places})"
+
+
+def _ten(power: str) -> str:
+    return f"CAST('1' || repeat('0', CAST({power} AS INT)) AS HUGEINT)"
+
+
 def _report(dur: int, name: str) -> str:
     return f"""SELECT r.symbol, CAST((hi - lo) // {dur} AS BIGINT) AS expected, a.n AS actual, coalesce(m.n, 0) AS missing, CAST(0 AS BIGINT) AS unaligned, first_us, last_us,
     CASE WHEN coalesce(m.n, 0) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, '{name}' AS timeframe
@@ -130,7 +147,6 @@ def _rich(sql: str) -> str:
 
 # a zero below zero is a zero
 _PLUS = ", ".join(f"{c} + 0.0 AS {c}" for c in ("total_return", "max_drawdown", "mean_return", "return_stdev", "sharpe_ratio"))
-LONGEST = f"""lr AS (SELECT run_id, symbol AS sym, min(open_us) AS lo, max(open_us) + {H4} AS hi FROM runs GROUP BY 1, 2 ORDER BY count(*) DESC, run_id LIMIT 1)"""
 SHIFT = f"b0 AS (SELECT * FROM b), b1 AS (SELECT symbol, open_us + CASE WHEN (open_us // {H1}) % 11 = 0 THEN 420000000 ELSE 0 END AS open_us FROM b)"
 SOLVENT = _rich(_flat(f"{L4}, {DRAW}, {RETS}, {STATS}, s1 AS ({STAGE1}), s2 AS (SELECT run_id, {STAGE2}, n, ok, s FROM a)"))
 
@@ -215,17 +231,51 @@ CASE WHEN n < 2 THEN 'at least two returns are needed' WHEN s <= 0 THEN 'the dev
     "policy_targets": f"{R4}, q AS (SELECT run_id, open_us, c, sum(c) OVER ({SEEN}) AS t, count(*) OVER ({SEEN}) AS n FROM runs) SELECT run_id, open_us, CAST({CROSS} AS BIGINT) AS target FROM q",
     "python_cost": f"{L4} SELECT run_id, open_us, {_m('tc', 'cost')} FROM led WHERE delta <> 0",
     "store_range_query": f"{B1} SELECT symbol, open_us, {_p('c', 'close')} FROM b WHERE open_us >= {_LO} AND open_us < {_HI}",
-    "store_events": f"""{R4}, {FUND}, {LONGEST}, z AS (SELECT *, lo + (hi - lo) // 4 AS s, hi - (hi - lo) // 4 AS e FROM lr)
-SELECT 'event' AS kind, count(*) AS "rows", min(event_us) AS first_us, max(event_us) AS last_us FROM fund JOIN z ON symbol = sym AND event_us >= s AND event_us < e
-UNION ALL SELECT 'coverage', CAST(2 AS BIGINT), lo, hi FROM z""",
-    "store_ingest": f"""{R4}, {LONGEST}, {_bars(H1, "h")} SELECT symbol, open_us, {_p('o', 'open')}, {_p('c', 'close')}, round(CAST(n AS DOUBLE), 6) AS volume FROM h JOIN lr ON symbol = sym AND open_us >= lo AND open_us < hi - {10 * H1}""",
-    "store_quality": f"""{R4}, {LONGEST} SELECT sym AS symbol, (hi - lo) // {H4} AS expected, (hi - lo) // {H4} AS actual, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS unaligned, lo AS first_us, hi - {H4} AS last_us, 'PASS' AS status, hi AS effective_end, CAST(10 AS BIGINT) AS excluded_tail FROM lr""",
-    "store_backtest": f"""{R4}, {FUND}, {LONGEST}, lb AS (SELECT runs.*, lo + {CONTEXT * H4} AS st0 FROM runs JOIN lr USING (run_id)),
-lf AS (SELECT fund.* FROM fund JOIN lr ON symbol = sym AND event_us >= lo + {CONTEXT * H4} AND event_us < hi),
-{_ledger("lb", start="open_us >= st0", funding=f"""due AS (SELECT (SELECT run_id FROM lr) AS run_id, greatest(((event_us + {H4} - 1) // {H4}) * {H4}, lo + {CONTEXT * H4} + {H4}) AS mark_us, sum(rate4 * 10000 * ref) AS f FROM lf, lr GROUP BY 1, 2),
-""")}, su AS ({SUMMARY}) SELECT (SELECT sym FROM lr) AS symbol, final_cash, final_equity, realized, unrealized, total_cost, final_position, fills, trades, bars FROM su""",
-    "store_rolling": f"""{R4}, {LONGEST}, wi AS (SELECT 0 AS window_idx, lo AS cx, lo + {CONTEXT * H4} AS st0, lo + {(CONTEXT + 4) * H4} AS en FROM lr UNION ALL SELECT 1, lo + {CONTEXT * H4}, lo + {(CONTEXT + 2) * H4}, lo + {(CONTEXT + 7) * H4} FROM lr),
-wb AS (SELECT CAST(window_idx AS VARCHAR) AS run_id, symbol, open_us, o, c, st0 FROM runs JOIN lr USING (run_id) JOIN wi ON open_us >= cx AND open_us < en),
-wt AS (SELECT *, sum(c) OVER ({SEEN}) AS t, count(*) OVER ({SEEN}) AS n FROM wb),
-{_ledger("wt", start="open_us >= st0").replace(TARGET, CROSS)}, su AS ({SUMMARY}) SELECT CAST(run_id AS BIGINT) AS window_idx, final_equity, fills, trades, bars FROM su""",
+    "store_events": f"""{B4}, {_range(H4)}, {FUND}, z AS (SELECT min(lo) + (max(hi) - min(lo)) // 4 AS s, max(hi) - (max(hi) - min(lo)) // 4 AS e FROM r),
+h AS (SELECT symbol, lo AS a, lo + (hi - lo) // 2 AS b FROM r UNION ALL SELECT symbol, lo + (hi - lo) // 2, hi FROM r)
+SELECT symbol, 'event' AS kind, count(*) AS "rows", min(event_us) AS first_us, max(event_us) AS last_us FROM fund, z WHERE event_us >= s AND event_us < e GROUP BY 1
+UNION ALL SELECT symbol, 'coverage', count(*), min(a), max(b) FROM h, z WHERE b > s AND a < e GROUP BY 1""",
+    "store_ingest": f"""{B1} SELECT symbol, open_us, {_p('o', 'open')}, {_p('c', 'close')}, round(CAST(n AS DOUBLE), 6) AS volume FROM b WHERE open_us < (SELECT max(open_us) FROM b) - {9 * H1}""",
+    "store_quality": f"SELECT * EXCLUDE (timeframe) FROM ({B4}, {_range(H4)}, {_grid(H4)}, {MISS} {_report(H4, '4h')})",
+    "store_backtest": f"""{R4}, {FUND}, lb AS (SELECT * FROM (SELECT *, min(open_us) OVER p + {CONTEXT * H4} AS st0, count(*) OVER p AS bars_in FROM runs WINDOW p AS (PARTITION BY run_id)) WHERE bars_in > {CONTEXT}),
+{_ledger("lb", start="open_us >= st0", funding=f"""due AS (SELECT run_id, greatest(((event_us + {H4} - 1) // {H4}) * {H4}, st0 + {H4}) AS mark_us, sum(rate4 * 10000 * ref) AS f
+FROM fund JOIN lb ON fund.symbol = lb.symbol AND lb.open_us = (event_us // {H4}) * {H4} WHERE event_us >= st0 GROUP BY 1, 2),
+""")} {SUMMARY}""",
+    "store_rolling": f"""{R4}, {_windows(CONTEXT)}, num AS (SELECT run || '#' || CAST(window_idx AS VARCHAR) AS run_id, split_part(run, '|', 1) AS symbol, row_number() OVER (PARTITION BY split_part(run, '|', 1) ORDER BY start_us) AS k FROM win),
+{_window_bars(CONTEXT)}, {_ledger("wb", start="open_us >= start_us")}, {DRAW}, got AS ({_window_figures()})
+SELECT num.symbol, CAST(k AS BIGINT) AS window_idx, final_equity, fills, trades, bars, total_return, max_drawdown FROM got JOIN num USING (run_id)""",
+    "range_overlaps": f"""{B1}, {COV}, q AS (SELECT symbol, open_us AS lo, open_us + {6 * H1} AS hi FROM b)
+SELECT q.symbol, lo AS start_us, count(*) AS intervals, CAST(sum(least(e, hi) - greatest(s, lo)) AS BIGINT) AS covered_us FROM q JOIN cov ON cov.symbol = q.symbol AND e > lo AND s < hi GROUP BY 1, 2""",
+    "range_gaps": f"""{B1}, {COV}, r AS (SELECT symbol, open_us AS lo, open_us + {6 * H1} AS hi FROM b), {CUT}, {GAPS.replace("PARTITION BY symbol ORDER", "PARTITION BY symbol, lo ORDER").replace("SELECT symbol, CASE", "SELECT symbol, lo, CASE")}
+SELECT symbol, lo AS start_us, gap_start, gap_end FROM gaps""",
+    "funding_marks": f"""WITH {EV}, {FUND}, m AS (SELECT DISTINCT symbol, ts_us + CASE WHEN event_id % 7 = 1 THEN 1234567 ELSE 0 END AS mark_us FROM ev WHERE event_id % 7 < 2)
+SELECT f.symbol, m.mark_us, count(*) AS events, {_m("sum(rate4 * 10000 * ref)", "funding")} FROM fund f ASOF JOIN m ON f.symbol = m.symbol AND f.event_us <= m.mark_us GROUP BY 1, 2""",
+    "fine_costs": f"""WITH {EV}, t AS (SELECT symbol, CAST(CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END AS HUGEINT) * ((user_id % 97) * 1000000000000 + event_id * 104729 % 1000000000000)
+  * CASE WHEN v < 0 THEN v::HUGEINT * 10000000000 - event_id * 7919 % 10000000000 ELSE v::HUGEINT * 10000000000 + event_id * 7919 % 10000000000 END * 1234567 AS term FROM ev)
+SELECT symbol, count(*) AS terms, CAST(count_if(term > 5000000000000000000000000000000000::HUGEINT) AS BIGINT) AS above, {_text("sum(term)", 34)} AS total FROM t GROUP BY 1""",
+    "money_text": f"""{R4}, fine AS (SELECT run_id, symbol, open_us, o::HUGEINT * 1000000 + (open_us // 1000000) % 99991 AS o, c::HUGEINT * 1000000 + (open_us // 1000000) % 99991 + 3 AS c FROM runs),
+{_ledger("fine").replace("100000000000 -", "{start} -").replace("1000000", "10000000000").replace("* 2500", "* 1234567").replace("{start}", "1000000000000000000000::HUGEINT")}
+SELECT run_id, open_us, {_text("CAST(tc AS HUGEINT)")} AS cost, {_text("CAST(cash AS HUGEINT)")} AS cash, {_text("CAST(equity AS HUGEINT)")} AS equity FROM led""",
+    "exact_digits": f"""{_rich(_flat(L4))}, c AS (SELECT run_id, open_us, CAST(equity AS HUGEINT) AS x, coalesce(lag(CAST(equity AS HUGEINT)) OVER w, 997300000000::HUGEINT) AS b,
+  greatest(997300000000::HUGEINT, max(CAST(equity AS HUGEINT)) OVER w) AS p FROM led WINDOW w AS (PARTITION BY run_id ORDER BY open_us)),
+f AS (SELECT run_id, 'ret' AS what, open_us, x AS n, b AS d FROM c UNION ALL SELECT run_id, 'drop', open_us, p - x, p FROM c UNION ALL SELECT run_id, 'all', max(open_us), arg_max(x, open_us), 997300000000::HUGEINT FROM c GROUP BY 1),
+g AS (SELECT *, length(CAST(n AS VARCHAR)) - length(CAST(d AS VARCHAR)) AS k FROM f),
+h AS (SELECT *, CASE WHEN n * {_ten("greatest(-k, 0)")} >= d * {_ten("greatest(k, 0)")} THEN 27 - k ELSE 28 - k END AS e FROM g),
+i AS (SELECT *, n * {_ten("e - 14")} // d AS q1, n * {_ten("e - 14")} % d AS r1 FROM h),
+j AS (SELECT *, q1 * 100000000000000 + r1 * 100000000000000 // d AS q0, r1 * 100000000000000 % d AS r2 FROM i),
+v AS (SELECT run_id, what, e, q0 + CASE WHEN 2 * r2 > d OR (2 * r2 = d AND q0 % 2 = 1) THEN 1 ELSE 0 END AS q FROM j),
+m AS (SELECT run_id, count(*) AS n, sum((q - {_ten("e")}) * {_ten("28 - e")}) AS s, count(DISTINCT (q - {_ten("e")}) * {_ten("28 - e")}) AS kinds FROM v WHERE what = 'ret' GROUP BY 1),
+u AS (SELECT *, abs(CAST(s AS HUGEINT)) AS a, 28 - length(CAST(abs(CAST(s AS HUGEINT)) // n AS VARCHAR)) AS e FROM m WHERE n >= 2 AND kinds > 1),
+w AS (SELECT *, a * {_ten("e")} // n AS q0, a * {_ten("e")} % n AS r FROM u),
+x AS (SELECT run_id, (q0 + CASE WHEN 2 * r > n OR (2 * r = n AND q0 % 2 = 1) THEN 1 ELSE 0 END) * {_ten("10 - e")} * CASE WHEN s < 0 THEN -1 ELSE 1 END AS mean FROM w)
+SELECT x.run_id, {_text("(SELECT CAST((q - " + _ten("e") + ") * " + _ten("38 - e") + " AS HUGEINT) FROM v WHERE v.run_id = x.run_id AND what = 'all')", 38)} AS total_return, {_text("mean", 38)} AS mean_return,
+  {_text("(SELECT max(q * " + _ten("38 - e") + ") FROM v WHERE v.run_id = x.run_id AND what = 'drop')", 38)} AS max_drawdown FROM x""",
+    "metric_faults": f"""{_rich(_flat(L4))}, c AS (SELECT run_id, open_us, (CAST(equity AS BIGINT) + 500000) // 1000000 AS x, (CAST(split_part(run_id, '|', 2) AS BIGINT) // {H4}) % 6 AS kind,
+  (open_us - CAST(split_part(run_id, '|', 2) AS BIGINT)) // {H4} AS i, count(*) OVER (PARTITION BY run_id) AS n FROM led),
+d AS (SELECT *, CASE WHEN kind = 4 THEN 997300 ELSE x END AS y FROM c),
+e AS (SELECT *, y::DOUBLE / lag(y, 1, 997300) OVER (PARTITION BY run_id ORDER BY open_us) AS q FROM d),
+g AS (SELECT run_id, any_value(kind) AS kind, any_value(n) AS n, max(CASE WHEN i = 1 THEN x END) AS one, count(DISTINCT q) AS kinds FROM e GROUP BY 1)
+SELECT run_id, CASE WHEN kind = 1 AND n > 2 THEN 'equity at 2 must be finite: NaN' WHEN kind = 3 AND n > 3 THEN 'equity at 3 must be finite: none' WHEN kind = 5 AND n > 4 THEN 'the curve''s times must ascend'
+WHEN kind = 3 AND n > 2 THEN 'equity at 1 is the denominator of return 2 and must be positive: 0' WHEN kind = 2 AND n > 2 THEN 'equity at 1 is the denominator of return 2 and must be positive: -' || (one // 100) || '.' || lpad(CAST(one % 100 AS VARCHAR), 2, '0')
+WHEN n < 2 THEN 'at least two returns are needed' WHEN kinds = 1 AND NOT (kind IN (2, 3) AND n = 2) THEN 'the deviation must be positive' END AS fault FROM g""",
 }

@@ -5,13 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timegrid import check_clamp, duration_us, is_finalized, transport_end, transport_start
+from ..operators import scan
 from ..sources import parse, requests
 from ..sources.paging import funding_history, paginate
 from ..sources.store import FundingStore, KeyedStore, check_range
+from .scratch import written
 
 Fetch = Callable[[int, int], list]
 
@@ -35,17 +37,43 @@ def ingest_candles(store: KeyedStore, symbol: str, timeframe: str, start_us: int
     return _write_candles(store, parse.klines(_raw(store.spark, rows)), symbol, timeframe, as_of_us, market_type)
 
 
-def _write_candles(store: KeyedStore, parsed: DataFrame, symbol: str, timeframe: str, as_of_us: int, market_type: str) -> int:
+def _write_candles(store: KeyedStore, parsed: DataFrame, symbol: str | None, timeframe: str, as_of_us: int, market_type: str) -> int:
+    """Writes parsed klines as one batch. They are computed once, into a scratch table; the checks and the
+    batch read that, so a source is asked once and what was checked is what is written."""
+    name = F.col("symbol") if symbol is None else F.lit(symbol)
+    seen = Observation()
     late = F.col("reject").isNull() & ~is_finalized(F.col("open_us"), F.col("close_ms"), duration_us(timeframe), F.lit(as_of_us))
-    if not parsed.where(late).isEmpty():
+    rows = parsed.withColumn("_late", late).withColumn("symbol", name)
+    rows = written(rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("_late").alias("late"), F.min("reject").alias("reject")))
+    found = seen.get
+    if found["reject"] is not None:
+        raise ValueError(f"a kline was rejected: {found['reject']}")
+    if found["late"]:
         raise ValueError("a bar in the range is not final")
-    candles = parse.candles(parsed, parse.EXCHANGE, market_type, symbol, timeframe)
-    store.write(candles)
-    return candles.count()
+    if "page_no" in rows.columns:
+        check_pages(rows)
+    store.write(parse.candles(rows, parse.EXCHANGE, market_type, F.col("symbol"), timeframe))
+    return rows.count()
 
 
-def ingest_candle_pages(store: KeyedStore, pages: DataFrame, symbol: str, timeframe: str, start_us: int, end_us: int, as_of_us: int, market_type: str = "spot") -> int:
-    """ingest_candles of pages (page_no, pos, raw) that a reader has asked for independently, as DataFrames all the way."""
+def check_pages(rows: DataFrame) -> None:
+    """Raises ValueError unless bars (symbol, page_no, pos, open_us) ascend from row to row in each symbol's pages and
+    from page to page, so that every page gets on and none has what another had."""
+    faults = scan.counted(rows.withColumn("_pos", F.struct("page_no", "pos")), "symbol", "_pos", F.struct("page_no", "open_us"), {
+        "in_page": lambda b, o: (b["page_no"] == o["page_no"]) & (b["open_us"] >= o["open_us"]),
+        "over_pages": lambda b, o: (b["page_no"] != o["page_no"]) & (b["open_us"] >= o["open_us"]),
+    })
+    bad = faults.where("in_page > 0 OR over_pages > 0").orderBy("symbol").limit(1).collect()
+    if bad:
+        raise ValueError(f"{'a page is out of order' if bad[0].in_page else 'a page makes no progress'}: {bad[0].symbol}")
+
+
+def ingest_candle_pages(store: KeyedStore, pages: DataFrame, symbol: str | None, timeframe: str, start_us: int, end_us: int, as_of_us: int, market_type: str = "spot") -> int:
+    """ingest_candles of pages (page_no, pos, raw) that a reader has asked for independently, as DataFrames all the way.
+
+    Without a symbol the pages have a column of that name and may be of many. What lies outside the range is dropped,
+    pages without page_no have no order that could be checked.
+    """
     end = check_clamp(start_us, end_us, as_of_us, duration_us(timeframe))
     parsed = parse.klines(pages)
     inside = F.col("reject").isNotNull() | ((F.col("open_us") >= start_us) & (F.col("open_us") < end))

@@ -51,10 +51,10 @@ def klines(raw: DataFrame, col: str = "raw", fields: int = 7) -> DataFrame:
     return rows.withColumn("reject", reject).drop("_p", "_v")
 
 
-def candles(parsed: DataFrame, exchange: str, market_type: str, symbol: str, timeframe: str) -> DataFrame:
-    """Rows of klines() as candles with their key; a rejected row fails the query."""
+def candles(parsed: DataFrame, exchange: str, market_type: str, symbol: str | Column, timeframe: str) -> DataFrame:
+    """Rows of klines() as candles with their key, the symbol a name or a column; a rejected row fails the query."""
     bad = F.raise_error(F.concat(F.lit("a kline was rejected: "), F.col("reject"))).cast("bigint")
-    names = [F.lit(x).alias(c) for c, x in zip(("exchange", "market_type", "symbol", "timeframe"), (exchange, market_type, symbol, timeframe), strict=True)]
+    names = [(x if isinstance(x, Column) else F.lit(x)).alias(c) for c, x in zip(("exchange", "market_type", "symbol", "timeframe"), (exchange, market_type, symbol, timeframe), strict=True)]
     good = F.when(F.col("reject").isNull(), F.col("open_us")).otherwise(bad)
     return parsed.select(*names, good.alias("open_us"), "open", "high", "low", "close", "volume")
 

@@ -12,10 +12,10 @@ from urllib.error import URLError
 from urllib.parse import urlencode
 from urllib.request import urlopen
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..functions.timegrid import duration_us
-from .paging import PAGE, with_retry
+from .paging import PAGE, funding_history, with_retry
 
 Transport = Callable[[str, float], bytes]
 #: Addresses of the service (fixed values).
@@ -87,11 +87,62 @@ def funding_page(symbol: str, start_ms: int, end_ms: int, limit: int = PAGE, tim
     return _rows(funding_url(symbol, start_ms, end_ms, limit, base), timeout, transport)
 
 
+def _needed(options: dict, *names: str) -> list[str]:
+    if not all(options.get(k) for k in names):
+        raise ValueError(f"needed: {', '.join(names)}")
+    return [options[k] for k in names]
+
+
+class _Pages(DataSourceReader):
+    """Pages of symbols over [start_ms, end_ms), each a partition asked for on its own, with bounded retries.
+
+    Filters on the symbol and on the time that are equalities, lists or bounds say which pages are needed; Spark
+    applies them to the rows of those pages again, as a page may have more than is asked for.
+    """
+
+    #: Column of the time.
+    time = ""
+
+    def __init__(self, symbols: str, start_ms: int, end_ms: int, width: int, base: str, timeout: float):
+        if start_ms >= end_ms:
+            raise ValueError("start must be before end")
+        self.symbols = [x.strip() for x in symbols.split(",") if x.strip()]
+        if not self.symbols:
+            raise ValueError("a symbol is needed")
+        self.origin = self.start_ms = start_ms
+        self.end_ms, self.width, self.base, self.timeout = end_ms, width, base, timeout
+
+    def pushFilters(self, filters):
+        for f in filters:
+            name, value = ".".join(getattr(f, "attribute", ())), getattr(f, "value", None)
+            if name == "symbol" and isinstance(f, (EqualTo, In)):
+                self.symbols = [x for x in self.symbols if x in ([value] if isinstance(f, EqualTo) else value)]
+            elif name == self.time and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                self._from(value + isinstance(f, GreaterThan))
+            if name == self.time and isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                self.end_ms = min(self.end_ms, value + (not isinstance(f, LessThan)))
+            yield f
+
+    def _from(self, ms: int) -> None:
+        """No page before the one with ms; pages and their numbers stay what they are."""
+        self.start_ms += max(0, (ms - self.start_ms) // self.width) * self.width
+
+    def partitions(self):
+        cuts = range(self.start_ms, self.end_ms, self.width)
+        return [_Range(s, (at - self.origin) // self.width, at, min(at + self.width, self.end_ms)) for s in self.symbols for at in cuts] or [_Range(None, 0, 0, 0)]
+
+
+class _Range(InputPartition):
+    def __init__(self, symbol: str | None, number: int, start_ms: int, end_ms: int):
+        self.symbol, self.number, self.start_ms, self.end_ms = symbol, number, start_ms, end_ms
+
+
 class MarketKlines(DataSource):
     """Raw klines of a range: spark.read.format("market_klines").options(symbol=, timeframe=, start_ms=, end_ms=).
 
-    The grid says which bars a page of the range can hold, so pages are partitions that are asked for
-    independently, each with bounded retries. `base` is the service's address.
+    symbol may name several, with commas. The grid says which bars a page of the range can hold, so pages are
+    partitions that are asked for independently. `base` is the service's address. Filters prune pages where
+    spark.sql.python.filterPushdown.enabled is set.
     """
 
     @classmethod
@@ -99,34 +150,59 @@ class MarketKlines(DataSource):
         return "market_klines"
 
     def schema(self) -> str:
-        return "page_no int, pos int, raw string"
+        return "symbol string, open_ms bigint, page_no int, pos int, raw string"
 
     def reader(self, schema) -> DataSourceReader:
-        need = {k: self.options.get(k) for k in ("symbol", "timeframe", "start_ms", "end_ms")}
-        if not all(need.values()):
-            raise ValueError(f"needed: {', '.join(need)}")
-        return _KlineReader(need["symbol"], need["timeframe"], int(need["start_ms"]), int(need["end_ms"]), self.options.get("base", KLINES), float(self.options.get("timeout", "10")))
+        symbol, timeframe, start_ms, end_ms = _needed(self.options, "symbol", "timeframe", "start_ms", "end_ms")
+        return _KlineReader(symbol, timeframe, int(start_ms), int(end_ms), self.options.get("base", KLINES), float(self.options.get("timeout", "10")))
 
 
-class _Range(InputPartition):
-    def __init__(self, number: int, start_ms: int, end_ms: int):
-        self.number, self.start_ms, self.end_ms = number, start_ms, end_ms
+class _KlineReader(_Pages):
+    time = "open_ms"
 
+    def __init__(self, symbols: str, timeframe: str, start_ms: int, end_ms: int, base: str, timeout: float):
+        super().__init__(symbols, start_ms, end_ms, PAGE * (duration_us(timeframe) // 1000), base, timeout)
+        self.timeframe = timeframe
 
-class _KlineReader(DataSourceReader):
-    def __init__(self, symbol: str, timeframe: str, start_ms: int, end_ms: int, base: str, timeout: float):
-        if start_ms >= end_ms:
-            raise ValueError("start must be before end")
-        self.step = duration_us(timeframe) // 1000
-        self.ask = (symbol, timeframe, base, timeout)
-        self.start_ms, self.end_ms = start_ms, end_ms
+    def read(self, partition):
+        p = partition
+        if p.symbol is None:
+            return
+        rows = with_retry(lambda: kline_page(p.symbol, self.timeframe, PAGE, self.timeout, start_ms=p.start_ms, end_ms=p.end_ms - 1, base=self.base))
+        for k, r in enumerate(rows):
+            yield p.symbol, int(r[0]), p.number, k, json.dumps(r)
 
-    def partitions(self):
-        width = PAGE * self.step
-        return [_Range(k, at, min(at + width, self.end_ms)) for k, at in enumerate(range(self.start_ms, self.end_ms, width))]
+
+class MarketFunding(DataSource):
+    """Raw funding records of a range: spark.read.format("market_funding").options(symbol=, start_ms=, end_ms=).
+
+    Records are at no grid, so a partition is a stretch of `hours` (1000 by default) that is read from page to page
+    until one is not full; records of one time that two pages have come once.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "market_funding"
+
+    def schema(self) -> str:
+        return "symbol string, event_ms bigint, page_no int, pos int, raw string"
+
+    def reader(self, schema) -> DataSourceReader:
+        symbol, start_ms, end_ms = _needed(self.options, "symbol", "start_ms", "end_ms")
+        return _FundingReader(symbol, int(start_ms), int(end_ms), int(self.options.get("hours", "1000")), self.options.get("base", FUNDING_RATES), float(self.options.get("timeout", "10")))
+
+
+class _FundingReader(_Pages):
+    time = "event_ms"
+
+    def __init__(self, symbols: str, start_ms: int, end_ms: int, hours: int, base: str, timeout: float):
+        super().__init__(symbols, start_ms, end_ms, _whole("hours", hours, 1) * 3_600_000, base, timeout)
 
     def read(self, partition):
-        symbol, timeframe, base, timeout = self.ask
-        rows = with_retry(lambda: kline_page(symbol, timeframe, PAGE, timeout, start_ms=partition.start_ms, end_ms=partition.end_ms - 1, base=base))
+        p = partition
+        if p.symbol is None:
+            return
+        key = lambda r: (int(r["fundingTime"]), r["rateType"])
+        rows = funding_history(lambda a, b: funding_page(p.symbol, a, b, PAGE, self.timeout, base=self.base), p.start_ms, p.end_ms - 1, key, lambda r: (r["fundingRate"], r["markPrice"]))
         for k, r in enumerate(rows):
-            yield partition.number, k, json.dumps(r)
+            yield p.symbol, int(r["fundingTime"]), p.number, k, json.dumps(r)

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import scan
+from ..operators.quality import DAY
 from ..schemas import CANDLE_KEY, CANDLES, COVERAGE, FUNDING, FUNDING_KEY, DataConflictError, assert_schema
 
 
@@ -114,14 +116,18 @@ class KeyedStore:
     def write(self, batch: DataFrame) -> None:
         self.folder.commit(self.stage(batch))
 
-    def query(self, start_us: int, end_us: int, **ids: str) -> DataFrame:
-        """Rows with these ids and a time in [start_us, end_us), in order of the key."""
+    def scanned(self, start_us: int, end_us: int, **ids: str) -> DataFrame:
+        """Rows with these ids and a time in [start_us, end_us), in no order."""
         check_range(start_us, end_us)
         rows = self.read(start_us, end_us)
         for name, value in ids.items():
             rows = rows.where(F.col(name) == value)
         time = F.col(self.time[0])
-        return rows.where((time >= start_us) & (time < end_us)).orderBy(*[c for c in self.key if c not in ids])
+        return rows.where((time >= start_us) & (time < end_us))
+
+    def query(self, start_us: int, end_us: int, **ids: str) -> DataFrame:
+        """scanned(), in order of the key."""
+        return self.scanned(start_us, end_us, **ids).orderBy(*[c for c in self.key if c not in ids])
 
 
 def whole(df: DataFrame) -> DataFrame:
@@ -159,13 +165,31 @@ class FundingStore:
         row = self.spark.createDataFrame([(exchange, market_type, symbol, start_us, end_us)], COVERAGE)
         self.folder.commit(self.events.stage(batch), self.coverage.stage(row))
 
+    def write_many(self, batch: DataFrame, intervals: DataFrame) -> None:
+        """Writes events of many partitions and the intervals (of COVERAGE) that they were asked for, all or nothing.
+
+        Each event must be in an interval of its own partition; an interval may have none.
+        """
+        name = F.concat_ws("\x1f", "exchange", "market_type", "symbol").alias("of")
+        points = batch.select(name, F.col("event_us").alias("s"), (F.col("event_us") + 1).alias("e"), "rate_type")
+        spans = intervals.select(name, F.col("start_us").alias("lo"), F.col("end_us").alias("hi"))
+        inside = scan.overlaps(points, spans, "of", DAY)
+        if not points.join(inside.select("of", "s", "rate_type").distinct(), ["of", "s", "rate_type"], "left_anti").isEmpty():
+            raise ValueError("an event is outside the intervals")
+        self.folder.commit(self.events.stage(batch), self.coverage.stage(intervals))
+
     def query_events(self, exchange: str, market_type: str, symbol: str, start_us: int, end_us: int) -> DataFrame:
         """Events in [start_us, end_us) by time and rate type."""
         return self.events.query(start_us, end_us, exchange=exchange, market_type=market_type, symbol=symbol)
 
-    def query_coverage(self, exchange: str, market_type: str, symbol: str, start_us: int, end_us: int) -> DataFrame:
-        """Intervals that overlap [start_us, end_us), as they are, by start and end."""
+    def coverage_of(self, start_us: int, end_us: int, **ids: str) -> DataFrame:
+        """Intervals with these ids that overlap [start_us, end_us), as they are, in no order."""
         check_range(start_us, end_us)
         rows = self.coverage.read(start_us, end_us)
-        own = (F.col("exchange") == exchange) & (F.col("market_type") == market_type) & (F.col("symbol") == symbol)
-        return rows.where(own & (F.col("end_us") > start_us) & (F.col("start_us") < end_us)).orderBy("start_us", "end_us")
+        for name, value in ids.items():
+            rows = rows.where(F.col(name) == value)
+        return rows.where((F.col("end_us") > start_us) & (F.col("start_us") < end_us))
+
+    def query_coverage(self, exchange: str, market_type: str, symbol: str, start_us: int, end_us: int) -> DataFrame:
+        """Intervals that overlap [start_us, end_us), as they are, by start and end."""
+        return self.coverage_of(start_us, end_us, exchange=exchange, market_type=market_type, symbol=symbol).orderBy("start_us", "end_us")
