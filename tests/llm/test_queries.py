@@ -1,6 +1,11 @@
 """The registered queries themselves, over small tables with nulls, empty and long texts, repeats and further columns."""
 
+import base64
+import bz2
+import gzip
 import hashlib
+import lzma
+import os
 import random
 import re
 import zlib
@@ -124,13 +129,74 @@ def test_secret_base_on_random_texts(spark, tables):
         assert set(want) <= set(r.spans.split(","))
 
 
-def test_large_layers_are_read_in_pieces(monkeypatch):
+SECRET = b"password=hunter2hunter2 "
+
+
+def percent(data):
+    return "".join(f"%{b:02x}" for b in data)
+
+
+def packed_forms():
+    """Ways to pack a secret: long names in headers, small windows, bare deflate, other formats."""
+    text = SECRET + b"and so on " * 40
+    for size in (0, 240, 300, 1000, 40_000):
+        plain = gzip.compress(text)
+        yield f"gzip name {size}", plain[:3] + b"\x08" + plain[4:10] + b"n" * size + b"\0" + plain[10:]
+    for bits in range(9, 16):
+        for level in (1, 6, 9):
+            d = zlib.compressobj(level, zlib.DEFLATED, bits)
+            yield f"zlib {bits} {level}", d.compress(text) + d.flush()
+    yield "bz2", bz2.compress(text)
+    yield "xz", lzma.compress(text)
+    yield "twice", gzip.compress(zlib.compress(text))
+    yield "members", gzip.compress(b"first") + gzip.compress(text)
+
+
+def kinds_in(text):
+    return {k for k, _, _ in secret_scan.scan(text)[1]}
+
+
+def test_packed_secrets_are_found():
+    for name, data in packed_forms():
+        assert kinds_in("a " + percent(data) + " b") == {"assign"}, name
+        for before in (b"", b"\x01\x02\x03\x04"):
+            coded = base64.b64encode(before + data).decode()
+            assert kinds_in(f"a {coded} b") == {"assign"}, (name, before)
+            assert "assign" not in kinds_in(secret_scan.redacted(coded, secret_scan.scan(coded)[1])), name
+    d = zlib.compressobj(9, zlib.DEFLATED, -15)
+    bare = d.compress(SECRET + b"x " * 30) + d.flush()
+    assert kinds_in("a " + base64.b64encode(bare).decode() + " b") == {"assign"}
+    assert kinds_in("a " + base64.b64encode(os.urandom(3000)).decode()) <= {"hex"}
+
+
+def test_what_unpacks_to_much_is_a_stream(monkeypatch):
+    """With pieces of 4000 bytes, all that is found with pieces of 8 MB is found, runs over many pieces included."""
+    rng = random.Random(4)
+    filler = lambda n: "".join(f"{rng.randrange(10**6)} " for _ in range(n // 7)).encode()
+    inner = filler(30_000) + SECRET + filler(9000)
+    stored = zlib.compressobj(0)
+    loose = stored.compress(inner) + stored.flush()  # as long as what it holds
+    cases = {
+        "plain": inner,
+        "base64": b"x " + base64.b64encode(zlib.compress(inner)) + b" y",
+        "long base64": filler(5000) + base64.b64encode(loose) + b" " + filler(5000),
+        "lines of base64": filler(5000) + base64.encodebytes(loose) + b" " + filler(5000),
+        "packed in packed": filler(5000) + loose + filler(5000),
+        "percent": filler(3000) + percent(loose).encode() + filler(3000),
+        "percent of base64": filler(3000) + percent(base64.b64encode(loose)).encode() + filler(100),
+        "escapes": filler(3000) + "".join(f"\\x{b:02x}" for b in base64.b64encode(loose)).encode() + filler(100),
+        "utf-16": (filler(3000) + base64.b64encode(loose) + b" ").decode().encode("utf-16-le"),
+        "three": base64.b64encode(zlib.compress(filler(9000) + base64.b64encode(loose) + b" ")) + b" ",
+    }
     monkeypatch.setattr(secret_scan, "PIECE", 4000)
     monkeypatch.setattr(secret_scan, "OVERLAP", 400)
-    inner = "".join(f"{k * 7919 % 10**6} " for k in range(3000)) + "password=hunter2hunter2" + " z" * 2000
-    text = "a %s b" % zlib.compress(inner.encode()).hex(" ").replace(" ", "%").join(["%", ""])
-    assert [k for k, _, _ in secret_scan.scan(text)[1]] == ["assign"]
-    assert sum(len(x) for x, _ in secret_scan._unpacked(zlib.compress(inner.encode()))) >= len(inner)
+    monkeypatch.setattr(secret_scan, "STEP", 700)
+    for name, data in cases.items():
+        text = base64.b64encode(zlib.compress(data)).decode()
+        spans = secret_scan.scan(f"see {text} end")[1]
+        assert ("assign", 4, 4 + len(text.rstrip("="))) in spans, name
+    zeros = base64.b64encode(zlib.compress(bytes(3_000_000))).decode()
+    assert kinds_in(zeros) == set()
 
 
 def test_scores_know_their_fold(spark, tables):

@@ -3,25 +3,31 @@
 A text is the first layer. Each layer is scanned for secrets, then unwrapped: URL and
 Unicode escapes are replaced in place, base64 runs and compressed data give layers of their
 own, which are read byte by byte where they are not UTF-8, so compressed data inside them
-is unpacked in its turn. What unpacks to very much is read in pieces that overlap. New layers join the
-worklist until none is left; a layer seen before (same content, same place) is not taken up again,
-so cycles end. Every character of a layer
-carries the range of source characters it came from, which maps a find in any layer back.
+is unpacked in its turn: gzip and zlib with any header, bzip2 and xz anywhere, bare deflate as the whole of a base64
+run. New layers join the worklist until none is left; a layer seen before (same content, same place) is not
+taken up again, so cycles end. Every character of a layer carries the range of source characters it came
+from, which maps a find in any layer back.
+
+What unpacks to more than PIECE bytes is a stream that can be read again, and is read in pieces that overlap. What is
+encoded inside it and goes on beyond a piece is a stream again, decoded from where it begins to where it
+ends, so no run is cut, and memory holds a few pieces for each step down. All of it has the place of the packed data.
 
 A null text is empty and has no spans. Spans of the source layer follow the stated
 patterns exactly; deeper layers only add spans. Equal spans count once, ties in start are in order of kind, then end.
 Null ids, repeated rows and columns of any name pass as they are; an empty table gives no rows. Very long
 texts are scanned whole. Rows are independent: no shuffle, and memory is bounded by a text and a chain of
-its layers.
+layers, none longer than that or two pieces.
 """
 
 from __future__ import annotations
 
 import base64
+import bz2
 import hashlib
+import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +42,28 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-#: How gzip and common zlib data begin, as characters of a layer.
-_PACKED = re.compile("\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
+def _packed_heads() -> str:
+    """How packed data may begin, as characters: zlib's two bytes for deflate are a multiple of 31, without a dictionary."""
+    second = lambda first: [f for f in range(256) if (first << 8 | f) % 31 == 0 and not f & 32]
+    zlibs = [f"{re.escape(chr(first))}[{''.join(re.escape(chr(f)) for f in second(first))}]" for first in range(8, 128, 16)]
+    return "|".join(["\x1f\x8b\x08", "BZh[1-9]", "\xfd7zXZ\x00", *zlibs])
+
+
+_PACKED = re.compile(_packed_heads(), re.DOTALL)
+_PACKED_BYTES = re.compile(_packed_heads().encode("latin-1"), re.DOTALL)
 _BYTES = re.compile("[\x00-\xff]*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Runs on lines that follow each other.
-_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)+")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]++)+")
 _LINE, _BREAK = re.compile(r"[^\r\n]+"), re.compile(r"\r?\n")
-#: Bytes of unpacked data that are a layer of their own, and those that two neighbours share.
-PIECE, OVERLAP = 8 << 20, 1 << 20
-#: Characters by which most that is not compressed is told.
-PROBE = 256
+_NOT_IN_RUN = re.compile(rb"[^A-Za-z0-9+/_\r\n-]")
+_ESCAPED = re.compile(rb"%([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+#: Bytes of unpacked data that are a layer of their own, those that two neighbours share, and those unpacked at once.
+PIECE, OVERLAP, STEP = 8 << 20, 1 << 20, 1 << 18
+#: Bytes that an escape has at most.
+ESCAPE = 12
+#: A stream of bytes that can be read from its start again.
+Opened = Callable[[], Iterator[bytes]]
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -66,6 +83,8 @@ class Layer:
 
     def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None):
         self.text, self._start, self._end = text, start, end
+        #: Of a piece: the stream, the piece's place in it, whether it is the last one, and the stream's digest.
+        self.stream: tuple[Opened, int, bool, bytes] | None = None
 
     def span(self, s: int, e: int) -> tuple[int, int]:
         return (s, e) if self._start is None else (int(self._start[s]), int(self._end[e - 1]))
@@ -115,30 +134,154 @@ def _texts(data: bytes) -> Iterator[tuple[str, list[int]]]:
             yield text, [4 if c > "\uffff" else 2 for c in text]
 
 
-def _packed(data: bytes) -> bool:
-    """Whether data begins as gzip or zlib data does."""
-    return data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0)
-
-
-def _unpacked(data: bytes) -> Iterator[tuple[bytes, int]]:
-    """(what gzip or zlib data holds, bytes read so far) piece by piece, over all its members; nothing if it is neither."""
-    held, left = b"", data
-    while _packed(left):
-        d = zlib.decompressobj(47)
-        try:
-            while not d.eof:
-                new = d.decompress(left, PIECE)
-                left = d.unused_data if d.eof else d.unconsumed_tail
-                if not new and not left:
-                    break  # cut short
-                held += new
-                if len(held) >= PIECE:
-                    yield held, len(data) - len(left)
-                    held = held[-OVERLAP:]
-        except zlib.error:
-            break
-    if held:
-        yield held, len(data) - len(left)
+class _Unpack:
+    """What packed data at the start of chunks holds, over all its members; `used` counts the bytes it took, and
+    `short` says that the chunks ended before it did."""
+
+    def __init__(self, chunks: Iterator[bytes], bare: bool = False):
+        self.chunks, self.bare, self.left, self.taken, self.short = chunks, bare, b"", 0, False
+
+    @property
+    def used(self) -> int:
+        return self.taken - len(self.left)
+
+    def _more(self) -> bool:
+        new = next(self.chunks, None)
+        if new is None:
+            return False
+        self.left, self.taken = self.left + new, self.taken + len(new)
+        return True
+
+    def _tool(self):
+        if self.bare:
+            return zlib.decompressobj(-15)
+        while len(self.left) < 6 and self._more():
+            pass
+        if not _PACKED_BYTES.match(self.left):
+            return None
+        return bz2.BZ2Decompressor() if self.left[:1] == b"B" else lzma.LZMADecompressor() if self.left[:1] == b"\xfd" else zlib.decompressobj(47)
+
+    def __iter__(self) -> Iterator[bytes]:
+        while tool := self._tool():
+            zipped = not hasattr(tool, "needs_input")
+            try:
+                while not tool.eof:
+                    before = len(self.left)
+                    new = tool.decompress(self.left, STEP)
+                    self.left = tool.unused_data if tool.eof else tool.unconsumed_tail if zipped else b""
+                    if new:
+                        yield new
+                    elif not tool.eof and (len(self.left) == before or not self.left) and (zipped or tool.needs_input) and not self._more():
+                        self.short = True
+                        return
+            except (zlib.error, lzma.LZMAError, OSError):
+                return
+            if self.bare:
+                return
+
+
+def _from(stream: Opened, at: int) -> Iterator[bytes]:
+    """A stream's chunks from a place on."""
+    for chunk in stream():
+        if at < len(chunk):
+            yield chunk[at:]
+        at = max(0, at - len(chunk))
+
+
+def _latin(text: str, at: int) -> Iterator[bytes]:
+    """The bytes that a text's characters from a place on are, to the first that is none; a few at first."""
+    end, step = len(text), 1 << 8
+    while at < end:
+        part = _BYTES.match(text, at, min(end, at + step))[0]
+        if part:
+            yield part.encode("latin-1")
+        if len(part) < min(step, end - at):
+            return
+        at, step = at + len(part), STEP
+
+
+def _pieces(stream: Opened) -> Iterator[tuple[bytes, int, bool]]:
+    """(bytes, their place, whether they are the last) of pieces that overlap."""
+    held, at = b"", 0
+    for chunk in stream():
+        held += chunk
+        while len(held) > PIECE + OVERLAP:
+            yield held[:PIECE], at, False
+            held, at = held[PIECE - OVERLAP :], at + PIECE - OVERLAP
+    yield held, at, True
+
+
+def _unescaped(stream: Opened) -> Opened:
+    """A stream with its escapes replaced by the bytes they are."""
+
+    def byte(m: re.Match) -> bytes:
+        if m[1] or m[3]:
+            return bytes.fromhex((m[1] or m[3]).decode())
+        code = int(m[2] or m[5], 16) if m[4] is None else int(m[4])
+        return (chr(code) if code < 0xD800 or 0xE000 <= code < 0x110000 else "�").encode()
+
+    def run() -> Iterator[bytes]:
+        held = b""
+        for chunk in stream():
+            held += chunk
+            begun = re.search(rb"[%\\&]", held[-ESCAPE:])
+            cut = len(held) - min(ESCAPE, len(held)) + begun.start() if begun else len(held)
+            yield _ESCAPED.sub(byte, held[:cut])
+            held = held[cut:]
+        yield _ESCAPED.sub(byte, held)
+
+    return run
+
+
+def _decoded(stream: Opened, at: int, skip: int) -> Opened:
+    """What the base64 digits of a stream from a place on hold, over line breaks, without the first `skip` digits."""
+
+    def run() -> Iterator[bytes]:
+        held, left = b"", skip
+        for chunk in _from(stream, at):
+            end = _NOT_IN_RUN.search(chunk)
+            part = chunk[: end.start() if end else len(chunk)].translate(bytes.maketrans(b"-_", b"+/"), b"\r\n")
+            held, left = held + part[left:], max(0, left - len(part))
+            whole = len(held) - len(held) % 4
+            yield base64.b64decode(held[:whole])
+            held = held[whole:]
+            if end:
+                break
+        if len(held) > 1:
+            yield base64.b64decode(held + b"=" * (-len(held) % 4))
+
+    return run
+
+
+def _streamed(layer: Layer, start: int, end: int, stream: Opened) -> Iterator[Layer]:
+    """The layers of a stream that stands at [start, end) of a layer: its pieces byte by byte, and, where it has
+    escapes or zeros, the streams without them."""
+    escaped, zeros, digest = False, False, hashlib.sha256()
+    for chunk in stream():
+        digest.update(chunk)
+    for data, at, last in _pieces(stream):
+        escaped, zeros = escaped or _ESCAPED.search(data) is not None, zeros or b"\0" in data
+        piece = layer.inner(np.array([start, end - 1]), data.decode("latin-1"), None)
+        piece.stream = stream, at, last, digest.digest()
+        yield piece
+    if zeros:
+        yield from _streamed(layer, start, end, lambda: (c.replace(b"\0", b"") for c in stream()))
+    if escaped:
+        yield from _streamed(layer, start, end, _unescaped(stream))
+
+
+def _opened(layer: Layer, start: int, open_packed: Callable[[], _Unpack]) -> tuple[Iterator[Layer], _Unpack]:
+    """(the layers of packed data that stands at start of a layer, the reader that has read it all)."""
+    reader, held, size = open_packed(), [], 0
+    for part in reader:
+        size += len(part)
+        held = [*held, part] if size <= PIECE else []
+    if reader.bare and (reader.short or reader.left):
+        size = 0  # any bytes begin like deflate, but few end like it
+    place = np.array([start, max(start, min(start + reader.used, len(layer.text)) - 1)])
+    if size > PIECE:
+        return _streamed(layer, start, int(place[1]) + 1, lambda: iter(open_packed())), reader
+    return (layer.inner(place, new, None) for new, _ in (_texts(b"".join(held)) if size else ())), reader
 
 
 def _from_percent(run: str) -> tuple[str, list[int]]:
@@ -167,12 +310,50 @@ def _from_base64(layer: Layer, run: str, place: np.ndarray) -> Iterator[Layer]:
     for skip in range(4):
         part = run[skip:]
         part = part[: len(part) - (len(part) % 4 == 1)]
-        for new, sizes in _texts(base64.b64decode(part + "=" * (-len(part) % 4))):
-            yield layer.inner(place[skip : skip + len(part)], new, sizes)
+        data = base64.b64decode(part + "=" * (-len(part) % 4))
+        own = place[skip : skip + len(part)]
+        for new, sizes in _texts(data):
+            yield layer.inner(own, new, sizes)
+        if len(own):
+            for inner in _opened(Layer(run), 0, lambda data=data: _Unpack(iter([data]), bare=True))[0]:
+                s, e = layer.span(int(own[0]), int(own[-1]) + 1)
+                inner._start, inner._end = np.broadcast_to(s, len(inner.text)), np.broadcast_to(e, len(inner.text))
+                yield inner
+
+
+def _in_piece(layer: Layer) -> Iterator[Layer]:
+    """The layers one step below a piece of a stream. What may go on in the next piece is left to that if it begins
+    in what both share; else it is a stream from there on."""
+    text, (stream, at, last, _) = layer.text, layer.stream
+    size = len(text)
+    shared = size if last else size - OVERLAP
+    done = 0
+    for m in _PACKED.finditer(text):
+        start = m.start()
+        if start < done:
+            continue
+        inner, reader = _opened(layer, start, lambda start=start: _Unpack(_latin(text, start)))
+        if last or not reader.short:
+            done = start + reader.used if reader.used else start
+            yield from inner
+        elif start < shared:
+            done = size
+            yield from _streamed(layer, 0, size, lambda start=start: iter(_Unpack(_from(stream, at + start))))
+    for m in (*_BASE64.finditer(text), *_WRAPPED.finditer(text)):
+        if m.end() == size and not last:
+            if m.start() < shared:
+                for skip in range(4):
+                    yield from _streamed(layer, 0, size, _decoded(stream, at + m.start(), skip))
+        else:
+            place = np.arange(m.start(), m.end())[[c not in "\r\n=" for c in m[0]]]
+            yield from _from_base64(layer, re.sub("[\r\n=]", "", m[0]), place)
 
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:
     """The layers one step below."""
+    if layer.stream:
+        yield from _in_piece(layer)
+        return
     text = layer.text
     parts = []
     if "%" in text:
@@ -184,17 +365,19 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
     if "%" in text and _PACKED.search(_PERCENT.sub(_bytewise, text)):
         # packed bytes may look like UTF-8 in part
         yield layer.replaced([(m.start(), m.end(), _bytewise(m), list(range(3, m.end() - m.start() + 1, 3))) for m in _PERCENT.finditer(text)])
-    at = 0
-    for start in [0, *(m.start() for m in _PACKED.finditer(text))]:
-        probe = _BYTES.match(text, start, start + PROBE)[0].encode("latin-1") if start >= at else b""
-        if not _packed(probe) or next(_unpacked(probe), None) is None:
-            continue
-        for data, read in _unpacked(_BYTES.match(text, start)[0].encode("latin-1")):
-            at = start + read
-            for new, _ in _texts(data):
-                yield layer.inner(np.array([start, at - 1]), new, None)
+    done = 0
+    for m in _PACKED.finditer(text):
+        start = m.start()
+        if start >= done:
+            inner, reader = _opened(layer, start, lambda start=start: _Unpack(_latin(text, start)))
+            found = next(inner, None)
+            if found is not None:
+                done = start + reader.used
+                yield found
+                yield from inner
     for m in _BASE64.finditer(text):
-        yield from _from_base64(layer, m[0].rstrip("="), np.arange(m.start(), m.end()))
+        run = m[0].rstrip("=")
+        yield from _from_base64(layer, run, np.arange(m.start(), m.start() + len(run)))
     if "\n" in text:
         for m in _WRAPPED.finditer(text):
             place = np.array([p for line in _LINE.finditer(text, m.start(), m.end()) for p in range(line.start(), line.end())])
@@ -204,7 +387,7 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(spans of the text itself, spans of all layers), by start, then kind as listed, then end."""
     base = find(text)
-    mark = lambda layer: (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.span(0, 1)[0] if layer.text else 0)
+    mark = lambda layer: (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.span(0, 1)[0] if layer.text else 0, layer.stream[1:] if layer.stream else None)
     whole = Layer(text)
     # depth first, and layers as they are asked for, so only those of one chain are held
     spans, todo, seen = set(base), [unwrapped(whole)], {mark(whole)}
