@@ -239,3 +239,32 @@ def test_bpe_digests(spark, tables):
         want = theirs.encode_ordinary(text)
         assert (r.n_tokens, r.ids_sha256) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_next_among_hot_and_null_ids(spark, monkeypatch):
+    """Runs stay small where one id or no id has very many rows, and every row's next is the same."""
+    monkeypatch.setattr(iblt, "RUN", 8)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abc") for _ in range(5))
+    rows = [(rng.choice([None, 7, 7, 9, k, k + 400]), " ".join(word() for _ in range(9))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = df.withColumn("id", F.col("doc_id")).withColumn("tie", F.xxhash64("text")).withColumn("run", iblt._runs(df, "doc_id")).groupBy("run").count()
+    assert sizes.agg(F.max("count")).first()[0] < 40
+    ties = {r.text: r.tie for r in df.select("text", F.xxhash64("text").alias("tie")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, ties[r[1]]), reverse=True)
+    want = {r: order[(k + 1) % len(order)][1] for k, r in enumerate(order)}
+    got = iblt.with_next(df, "doc_id", "text").collect()
+    assert len(got) == len(rows)
+    assert all(r.next.text == want[r.id, r.own.text] for r in got)
+    assert iblt.with_next(df.where("doc_id IS NULL"), "doc_id", "text").count() == sum(r[0] is None for r in rows)
+
+
+def test_likeness_without_a_size_that_peels(spark, monkeypatch):
+    monkeypatch.setattr(iblt, "SIZES", (3,))
+    monkeypatch.setattr(iblt, "FIRST", 6)
+    rng = random.Random(22)
+    pairs = [([rng.randrange(40) for _ in range(rng.randrange(60))], [rng.randrange(40) for _ in range(rng.randrange(60))]) for _ in range(40)]
+    rows = spark.createDataFrame(pairs, "a array<long>, b array<long>").select(*[F.array_distinct(F.transform(c, lambda x: F.xxhash64(x))).alias(c) for c in "ab"])
+    for r in rows.select("a", "b", iblt.likeness(F.col("a"), F.col("b"), iblt.difference(F.col("a"), F.col("b"))).alias("near")).collect():
+        a, b = set(r.a), set(r.b)
+        assert r.near == pytest.approx(len(a & b) / len(a | b) if a | b else 1)

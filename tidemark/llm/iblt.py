@@ -9,15 +9,18 @@ and so on until nothing is left. If cells remain, both texts are sketched again,
 smallest sketch, whose squared counts tell how many digests differ, says how many sketches the digests
 are dealt to by a further hash; each of them is retried larger on its own until it can be peeled.
 
-Everything is built-in expressions over arrays. A null text is empty; an empty text has one
-empty paragraph. A paragraph that a text repeats counts once. Null ids come last, rows of one id are in order
-of a hash of their text, repeated rows have equal fingerprints and follow each other. A table of one row is
+Everything is built-in expressions over arrays. A share that no size peels, which takes digests that
+collide in all of them, is compared digest by digest, so a likeness is always known. A null text is empty; an
+empty text has one empty paragraph. A paragraph that a text repeats counts once. Null ids come last, rows of one id
+are in order of a hash of their text, repeated rows have equal fingerprints and follow each other. A table of one row is
 its own next document, an empty one gives no rows. Very long texts are whole, with as many sketches as they
-need. Other columns are not read.
+need. Other columns are not read. To find each document's next, documents are put in runs by ranges of the id; ids
+that very many rows have, and null ids, are parted further by the hash of their text.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,12 +29,12 @@ from pyspark.sql import functions as F
 from .common import few, text_or_empty
 
 #: Cells of the first sketch, which is the fingerprint, and of those tried in turn for each share of the digests.
-FIRST, SIZES = 12, (24, 96, 3072)
+FIRST, SIZES = 12, (12, 96, 3072)
 PARTS = 3
 #: The first sketch is peeled if about this many differing digests for each cell, or fewer, are expected.
 HOPE = 1.2
 #: Differing digests that a share is meant to have.
-LOAD = 6
+LOAD = 3
 #: Peeling rounds; each takes out every digest that lies alone somewhere.
 ROUNDS = 12
 #: Documents that one task orders on average, to find each one's next.
@@ -129,13 +132,16 @@ def split(values: Column, side: Column) -> Column:
 
 def peeled_in_parts(a: Column, b: Column, side: Column) -> Column:
     """(key, n) of the digests that only one of two arrays has, by sketches of side * side shares of them, each as large
-    as it takes; null if one cannot be peeled at any size, which takes digests that collide in all."""
+    as it takes; a share that none of the sizes peels is compared as it is."""
+
+    def only(x: Column, y: Column, n: int) -> Column:
+        return F.transform(F.array_except(x, y), lambda d: F.struct(d.alias("key"), F.lit(n).cast("long").alias("n")))
 
     def one(x: Column, y: Column) -> Column:
-        return F.coalesce(*[peeled(subtracted(sketch(x, size), sketch(y, size)), size) for size in SIZES])
+        tried = [peeled(subtracted(sketch(x, size), sketch(y, size)), size) for size in SIZES]
+        return F.coalesce(*tried, F.concat(only(x, y, 1), only(y, x, -1)))
 
-    each = F.zip_with(split(a, side), split(b, side), one)
-    return _let(each, lambda found: F.when(F.forall(found, lambda f: f.isNotNull()), F.flatten(found)))
+    return F.flatten(F.zip_with(split(a, side), split(b, side), one))
 
 
 def difference(a: Column, b: Column, first_a: Column | None = None, first_b: Column | None = None) -> Column:
@@ -166,32 +172,47 @@ def fingerprint(values: Column, cells: Column) -> Column:
     return F.concat(F.size(values).cast("string"), F.lit(":"), F.array_join(parts, ";"))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, next_text): each document with the one after it by descending id, the first one's
-    after the last. Null ids come last; equal ids are ordered by a hash of their text."""
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    size, low, high = docs.agg(F.count("*"), F.min(id_col), F.max(id_col)).first()
+def _runs(docs: DataFrame, id_col: str) -> Column:
+    """Number of the run of about RUN rows that a row (id, tie) is in; runs ascend as ids, then ties, do."""
+    size, low, high, nulls = docs.agg(F.count("*"), F.min(id_col), F.max(id_col), F.count_if(F.col(id_col).isNull())).first()
+    share = lambda k: F.least(F.lit(k - 1), F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * k)).cast("long")
+    without = max(1, -(-nulls // RUN))
+    if low is None:
+        return share(without) - without
     quantiles = max(1, min(256, -(-size // RUN)))
-    cuts = []
-    if low is not None:
-        cuts = docs.agg(F.percentile_approx(id_col, [k / quantiles for k in range(1, quantiles)] or [0.5], 10_000)).first()[0]
-    bounds = sorted({low, high, *cuts}) if low is not None else [0]
-    inner = max(1, -(-size // (len(bounds) * RUN)))
+    cuts = docs.agg(F.percentile_approx(id_col, [k / quantiles for k in range(1, quantiles)] or [0.5], 10_000)).first()[0]
+    bounds = sorted({low, high, *cuts})
+    # an id that is several cuts has that share of the rows
+    often = {c: max(1, -(-n * size // (quantiles * RUN))) for c, n in Counter(cuts).items() if n > 1}
+    most, inner = max(often.values(), default=0), max(1, -(-size // (len(bounds) * RUN)))
     edges = F.array(*[F.lit(int(b)).cast("long") for b in bounds])
     segment = F.size(F.filter(edges, lambda b: b <= F.col("id")))
     lo, hi = (F.get(edges, segment + k).cast("double") for k in (-1, 0))
-    part = F.least(F.lit(inner - 1), F.floor((F.col("id").cast("double") - lo) / (hi - lo) * inner))
-    run = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(segment * inner + F.coalesce(part, F.lit(0)))
-    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("run", run.cast("long"))
-    heads = rows.groupBy("run").agg(F.max(F.struct("id", "tie")).alias("head"))
-    line = Window.orderBy("run")
+    part = most + F.coalesce(F.least(F.lit(inner - 1), F.floor((F.col("id").cast("double") - lo) / (hi - lo) * inner)), F.lit(0))
+    for c, k in often.items():
+        part = F.when(F.col("id") == int(c), share(k)).otherwise(part)
+    return F.when(F.col("id").isNull(), share(without) - without).otherwise(segment * (most + inner) + part).cast("long")
+
+
+def with_next(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """(id, own, next): each document's text and further columns, as structs, and those of the one after it by
+    descending id; the first one's come after the last. Null ids come last; equal ids are ordered by a hash of their text."""
+    rows = docs.select(F.col(id_col).alias("id"), F.struct(text_or_empty(text_col).alias("text"), *more).alias("own"))
+    rows = rows.withColumn("tie", F.xxhash64("own.text")).withColumn("run", _runs(docs, id_col))
+    heads = rows.select("run", "id", "tie").groupBy("run").agg(F.max(F.struct("id", "tie")).alias("head"))
+    # a run's first document also ends the run above it; the topmost one's ends the lowest. Which run is above is
+    # found among thousands, and between those by their first ones
+    heads = heads.withColumn("thousands", F.floor(F.col("run") / RUN))
+    lowest = heads.groupBy("thousands").agg(F.min("run").alias("lowest"))
+    line = Window.orderBy("thousands")
     around = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # a run's first document also ends the run above it; the topmost one's ends the lowest
-    heads = heads.withColumn("to", F.coalesce(F.lead("run").over(line), F.first("run").over(around))).select(F.col("head.id").alias("hid"), F.col("head.tie").alias("htie"), "to")
-    ends = rows.join(few(heads), F.col("id").eqNullSafe(F.col("hid")) & (F.col("tie") == F.col("htie"))).select("id", "text", "tie", F.col("to").alias("run"), F.lit(True).alias("end"))
+    lowest = lowest.select("thousands", F.coalesce(F.lead("lowest").over(line), F.first("lowest").over(around)).alias("beyond"))
+    above = F.lead("run").over(Window.partitionBy("thousands").orderBy("run"))
+    heads = heads.join(lowest, "thousands").withColumn("to", F.coalesce(above, F.col("beyond"))).select(F.col("head.id").alias("hid"), F.col("head.tie").alias("htie"), "to")
+    ends = rows.join(few(heads), F.col("id").eqNullSafe(F.col("hid")) & (F.col("tie") == F.col("htie"))).select("id", "own", "tie", F.col("to").alias("run"), F.lit(True).alias("end"))
     every = rows.withColumn("end", F.lit(False)).unionByName(ends)
     order = Window.partitionBy("run").orderBy("end", F.col("id").desc_nulls_last(), F.col("tie").desc())
-    return every.withColumn("next_text", F.lead("text").over(order)).where("NOT end").select("id", "text", "next_text")
+    return every.withColumn("next", F.lead("own").over(order)).where("NOT end").select("id", "own", "next")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,11 +221,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
-    rows = with_next(docs, id_col, text_col).withColumn("n_chars", F.length("text").cast("long"))
+    rows = with_next(docs, id_col, text_col, digests(text_or_empty(text_col)).alias("digests")).withColumn("n_chars", F.length("own.text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - third).cast("int")), F.substr("next_text", F.lit(1), third))
+    edited = F.concat(F.substr("own.text", F.lit(1), (F.col("n_chars") - third).cast("int")), F.substr("next.text", F.lit(1), third))
     rows = rows.withColumn("edited", edited)
-    rows = rows.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("b"))
+    rows = rows.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("own.digests").alias("a"), digests(F.col("edited")).alias("e"), F.col("next.digests").alias("b"))
     rows = rows.select("*", *[sketch(F.col(x), FIRST).alias(f"s{x}") for x in "aeb"])
     # one expression for both
     others = F.array(*[F.struct(F.col(x).alias("x"), F.col(f"s{x}").alias("s")) for x in "eb"])
