@@ -515,3 +515,47 @@ def test_toxicity_learns(spark):
     assert all(0 <= s <= 1 for s in got.values())
     empty = toxicity.train(frame(spark, []), labels, F.lit(True))
     assert [r.score for r in toxicity.score(frame(spark, [(1, "x")]), empty).collect()] == [0.0]
+
+
+NESTED = [
+    ('{"data":{"messages":[{"role":"user","content":"a"}],"x":1}}', "messages", [("user", "a")]),
+    ('{"v":1,"z":{"prompt":"late"},"b":{"c":{"prompt":"p","response":"r"}},"a":{"prompt":1}}', "prompt_response", [("user", "p"), ("assistant", "r")]),
+    ('{"b":{"turns":[{"role":"s","text":"1"}]},"a":{"turns":[{"role":"s","text":"2"}]}}', "turns", [("s", "2")]),
+    ('{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"image","url":"u"},{"type":"text","text":"b"}]}]}', "messages_parts", [("user", "ab")]),
+    ('{"messages":[{"role":"user","content":["a","b"]},{"role":"assistant","content":[]}]}', "messages_strings", [("user", "ab"), ("assistant", "")]),
+    ('{"messages":[{"role":"user","content":[{"text":"a"},"b"]},{"role":"assistant","content":"c"}]}', "messages", [("user", "ab"), ("assistant", "c")]),
+    ('{"x":{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":["w","x"]}]}}', "conversations", [("user", "q"), ("assistant", "wx")]),
+    ('{"messages":[{"role":"user","content":7,"name":null}],"extra":{"deep":[[1]]}}', "messages", [("user", "7")]),
+    ('{"messages":[1,2]}', None, None),
+    ('{"messages":{"role":"user","content":"a"}}', None, None),
+    ('{"prompt":["a"],"response":"b"}', None, None),
+    ('{"a b":{"instruction":"i","output":"o"},"c`d":1}', "instruction", [("user", "i"), ("assistant", "o")]),
+    ('{"a":{"b":{"c":{"d":{"prompt":"p","response":"r"}}}}}', None, None),
+    ('{"messages":[]}', "no_messages", []),
+    ("[]", None, None),
+    ("3", None, None),
+    ("{}", None, None),
+    (None, None, None),
+]
+
+
+def test_chat_layouts_below_the_top(spark):
+    rows = spark.createDataFrame([(k, text) for k, (text, _, _) in enumerate(NESTED)], "id int, text string").select("id", F.try_parse_json("text").alias("record"), F.lit("x").alias("layout"), F.lit(1).alias("r"))
+    got = {r.id: r for r in chat_format.canonical_turns(rows).collect()}
+    for k, (text, layout, turns) in enumerate(NESTED):
+        assert (got[k].layout, got[k].turns and [tuple(t) for t in got[k].turns]) == (layout, turns), text
+
+
+def test_chat_paths_are_all_of_them(spark):
+    text = '{"a":{"b":[{"c":1,"d":[2]},{"e":null}],"f":{}},"g h":"x","i":[[1]],"j":1.5}'
+    got = spark.range(1).select(chat_format.all_paths(F.parse_json(F.lit(text)))).first()[0]
+    assert sorted(got) == sorted(["{}", "a{}", "a.b[]", "a.b[]{}", "a.b[].c", "a.b[].d[]", "a.b[].d[]=", "a.b[].e", "a.f{}", "`g h`", "i[]", "i[][]", "i[][]=", "j"])
+
+
+def test_chat_conversation_too_large_for_a_record(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "LARGE", 100)
+    rows = [(1, 0, "user", "x" * 90), (1, 1, "assistant", "<y"), (2, 0, "user", "x" * 10), (2, 1, "assistant", "<y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = {r.conv_id: r for r in chat_format.format_records(chat_format.from_rows(df)).withColumn("loss", chat_format.under_mask(F.col("formatted"), F.col("loss_mask"))).collect()}
+    assert (got[1].layout, got[2].layout) == ("rows", "prompt_response")
+    assert [tuple(t) for t in got[1].turns] == [("user", "x" * 90), ("assistant", "<y")] and {r.loss for r in got.values()} == {"<y"}
