@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textblock import column_bytes, release, slices
+from .textblock import KEPT, column_bytes, release, slices
 
 #: Bytes that a worker's memory of chunks and pieces may take, about; beyond them it keeps those in use.
 REMEMBERED = 96 << 20
@@ -385,6 +385,9 @@ class ChunkCache:
             del known.back[c]
 
 
+KEPT["byte_bpe"] = _WORKER.clear
+
+
 def _worker(vocabulary, pattern: str) -> ChunkCache:
     v = vocabulary.value
     if _WORKER.get("of") is not v or _WORKER.get("pattern") != pattern:
@@ -405,7 +408,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), *(T.StructField(x, T.StringType()) for x in names[2:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        release("byte_bpe")
         cache = _worker(vocabulary, pattern)
         for batch in batches:
             _, offs = column_bytes(batch.column(1))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,17 @@ _POWERS: dict[int, np.ndarray] = {}
 SLICE_BYTES = 2 << 20
 
 
-def release() -> None:
-    """Gives memory that a worker no longer uses back to the machine: workers outlive the stages they served."""
+#: What operators keep in a worker between tasks, by name, and how it is dropped.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def release(but: str | None = None) -> None:
+    """Gives memory that a worker no longer uses back to the machine: workers outlive the stages they served.
+
+    What other operators than `but` keep there is dropped, too."""
+    for name, drop in KEPT.items():
+        if name != but:
+            drop()
     gc.collect()
     _POWERS.clear()
     pa.default_memory_pool().release_unused()

@@ -47,8 +47,8 @@ WORD_TEXTS = 4
 ROUNDS, PASSES, BATCH, RATE = 7, 2, 256, 0.01
 #: Steps of each round at least.
 UPDATES = 60
-#: Windows that are scored together.
-TOGETHER = 4096
+#: Windows that are scored together, and words whose vectors are made together.
+TOGETHER, WORDS_TOGETHER = 4096, 1 << 15
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -76,6 +76,12 @@ def text_windows(of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def trigrams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, first of each word): hashed character trigrams of words, their edges included."""
+    size = end - start
+    parts = [_trigrams(data, start[k : k + WORDS_TOGETHER], end[k : k + WORDS_TOGETHER]) for k in range(0, len(start), WORDS_TOGETHER)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32), np.cumsum(size) - size
+
+
+def _trigrams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     n = len(data)
     size = end - start
     total = int(size.sum())
@@ -84,7 +90,7 @@ def trigrams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     left = np.where(at == np.repeat(start, size), np.uint64(3), BYTE_CODE[data[np.maximum(at - 1, 0)]])
     right = np.where(at == np.repeat(end, size) - 1, np.uint64(5), BYTE_CODE[data[np.minimum(at + 1, n - 1)]])
     h = left * np.uint64(0x9E3779B97F4A7C15) + BYTE_CODE[data[at]] * np.uint64(0xC2B2AE3D27D4EB4F) + right
-    return (mix(h) % np.uint64(TRIGRAMS)).astype(np.int64), first
+    return (mix(h) % np.uint64(TRIGRAMS)).astype(np.int32)
 
 
 class Network:
@@ -158,6 +164,17 @@ class Network:
     def projected(self, x: np.ndarray) -> dict[str, np.ndarray]:
         return {d: x @ self.w[f"x{d}"] + self.w[f"c{d}"] for d in "fb"}
 
+    def tables(self, number: np.ndarray, grams: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+        """projected(inputs(...)), some words at a time: the trigrams' vectors are many times what comes out."""
+        n, ends = len(number), np.append(first, len(grams))
+        out = {d: np.empty((n, 3 * HIDDEN), np.float32) for d in "fb"}
+        for k in range(0, n, WORDS_TOGETHER):
+            to = min(k + WORDS_TOGETHER, n)
+            part = self.projected(self.inputs(number[k:to], grams[ends[k] : ends[to]], first[k:to] - ends[k]))
+            for d in "fb":
+                out[d][k:to] = part[d]
+        return out
+
     def gradients(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, wanted: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """(gradients of the mean loss, gradient by input vector)."""
         keep: dict = {}
@@ -219,8 +236,9 @@ def fit(texts: pa.Array | pa.ChunkedArray, toxic: np.ndarray) -> Network:
     n = len(offs) - 1
     parts = [(a, words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])) for a, b in slices(offs)]
     h = np.concatenate([np.zeros(0, np.uint64), *[p[0] for _, p in parts]])
-    s, e = (np.concatenate([np.zeros(0, np.int64), *[p[k] + offs[a] for a, p in parts]]) for k in (1, 2))
-    of = np.concatenate([np.zeros(0, np.int64), *[p[3] + a for a, p in parts]])
+    # the sample is under 2 GB
+    s, e = (np.concatenate([np.zeros(0, np.int32), *[(p[k] + offs[a]).astype(np.int32) for a, p in parts]]) for k in (1, 2))
+    of = np.concatenate([np.zeros(0, np.int32), *[(p[3] + a).astype(np.int32) for a, p in parts]])
     del parts
     distinct, once, row = np.unique(h, return_index=True, return_inverse=True)
     del h
@@ -246,7 +264,7 @@ def fit(texts: pa.Array | pa.ChunkedArray, toxic: np.ndarray) -> Network:
     adam, rng = _Adam(net.w), np.random.default_rng(11)
     for turn in range(ROUNDS):
         if turn:
-            best = score_windows(net, net.projected(net.inputs(number, grams, first)), row, start, size)
+            best = score_windows(net, net.tables(number, grams, first), row, start, size)
         order = np.lexsort((-best, text))
         rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
         # the likeliest window of each text; of clean ones two, which must both be clean
@@ -287,7 +305,7 @@ def score_texts(net: Network, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         return out
     distinct, once, row = np.unique(h, return_index=True, return_inverse=True)
     grams, first = trigrams(data, s[once], e[once])
-    table = net.projected(net.inputs(net.number(distinct), grams, first))
+    table = net.tables(net.number(distinct), grams, first)
     start, size, text = text_windows(of, n)
     logit = score_windows(net, table, row, start, size)
     top = np.full(n, -np.inf)
@@ -318,6 +336,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     """A network from a bounded sample of the labelled rows of docs where `learn` holds, fitted in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         batches = list(batches)
         none = pa.table({"text": pa.array([], pa.string()), "mark": pa.array([], pa.int64()), "size": pa.array([], pa.int64())})
         got = pa.Table.from_batches(batches) if batches else none
