@@ -16,7 +16,7 @@ from .functions import wide
 from .operators import costs, exact, ledger, metrics, policy, quality, rolling
 from .plans import backtest, ingest, views
 from .plans.scratch import scratch, written
-from .sources import paging, parse, store
+from .sources import paging, parse, requests, store
 
 H1, H4 = g.DURATIONS["1h"], g.DURATIONS["4h"]
 #: Length, step and context of rolling windows, in bars.
@@ -137,6 +137,70 @@ def funding_marks(spark, sf):
     return got.select(F.col("run_id").alias("symbol"), "mark_us", "events", _round("funding", "funding"))
 
 
+def full_report(spark, sf):
+    """All that reports say of bars some of which are late, asked for beyond what was closed by then."""
+    spans = views.ranges(_bars(spark, sf, "1h"), H1)
+    asked = spans.select("symbol", "start_us", (F.col("end_us") + 5 * H1).alias("end_us"), (F.col("end_us") - 3 * H1 + 420_000_000).alias("as_of_us"))
+    got = quality.full_report(_shifted(spark, sf), asked, H1, exchange=MARKET[0], market_type=MARKET[1], timeframe="1h")
+    for c in ("missing_samples", "unaligned_samples"):
+        got = got.withColumn(c, F.array_join(F.col(c).cast("array<string>"), ","))
+    return got
+
+
+def dataset_checks(spark, sf):
+    """The first fault of each run as a dataset, faults of each kind planted by the run's start."""
+    rows = _runs(spark, sf)
+    head = F.split_part("run_id", F.lit("|"), F.lit(2)).cast("long")
+    kind, at = F.pmod(F.call_function("div", head, F.lit(H4)), F.lit(5)), F.call_function("div", F.col("open_us") - head, F.lit(H4))
+    ends = rows.groupBy("run_id").agg((F.max("open_us") + H4).alias("hi"))
+    rows = rows.withColumn("pos", F.col("open_us")).where(~((kind == 1) & (at == 1))).join(ends, "run_id")
+    rows = rows.withColumn("symbol", F.when((kind == 3) & (at == 1), "other").otherwise(F.col("symbol"))).withColumn("as_of", F.col("hi") - (kind == 4).cast("int"))
+    rows = rows.withColumn("open_us", F.when((kind == 2) & (at == 1), F.col("open_us") - H4).otherwise(F.col("open_us")))
+    return quality.dataset_faults(rows, H4, F.col("as_of"), "pos")
+
+
+def event_input_checks(spark, sf):
+    """The first fault of each run's funding events as they come, planted likewise."""
+    ranges = _run_ranges(spark, sf, 1)
+    rows = backtest.placed(views.funding(spark, sf), ranges, "event_us", H4).join(ranges.select("run_id", "start_us", "end_us"), "run_id")
+    kind = F.pmod(F.call_function("div", F.col("start_us"), F.lit(H4)), F.lit(4))
+    rows = rows.withColumn("pos", F.struct(F.when(kind == 2, -F.col("event_us")).otherwise(F.col("event_us")).alias("at"), "rate_type", F.lit(0).alias("copy")))
+    rows = rows.withColumn("event_us", F.when(kind == 1, F.col("event_us") - 30 * 24 * H1).otherwise(F.col("event_us")))
+    again = rows.where(kind == 3).withColumn("pos", F.struct("pos.at", "pos.rate_type", F.lit(1).alias("copy")))
+    return quality.event_input_faults(rows.unionByName(again), F.col("start_us"), F.col("end_us"), "pos")
+
+
+def evaluation_checks(spark, sf):
+    """Starts of evaluation against runs: on and off the grid, before, in and after the range."""
+    rows = _run_ranges(spark, sf, 1).withColumn("at_us", F.explode(F.array(*[F.col("start_us") + k for k in (-H4, 0, 1, H4, 30 * H4)])))
+    return rows.select("run_id", "at_us", g.evaluation_fault(F.col("at_us"), F.col("start_us"), F.col("end_us"), H4).alias("fault"))
+
+
+def request_checks(spark, sf):
+    """Requests made of events: faults of their arguments and, for good ones, addresses."""
+    k = F.col("event_id")
+    start = F.when(k % 5 != 0, F.call_function("div", F.col("ts_us"), F.lit(1000)))
+    rows = views.events(spark, sf).select("event_id", F.when(k % 11 == 0, "").otherwise(F.concat("symbol", F.lit("/+ "))).alias("name"), (k % 1003).alias("limit"), start.alias("start_ms"), (start + k % 7 * 1000 - 1000).alias("end_ms"))
+    fault = requests.request_fault(F.col("name"), F.lit("1h"), F.col("limit"), F.col("start_ms"), F.col("end_ms"))
+    url = requests.request_url(F.col("name"), F.lit("1h"), F.col("limit"), F.col("start_ms"), F.col("end_ms"), "https://host/klines")
+    return rows.select("event_id", fault.alias("fault"), F.when(fault.isNull(), url).alias("url"))
+
+
+def instants(spark, sf):
+    """Times from microseconds and back, and numbers as plain texts without zeros at their ends."""
+    at = g.instant_of(F.col("ts_us") - F.col("event_id") % 100 * 100_003 * H1)
+    rows = views.events(spark, sf).withColumn("at", at)
+    number = (F.col("value") * (F.col("event_id") % 5)).cast("decimal(18,8)")
+    return rows.select("event_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("instant"), F.unix_micros("at").alias("back_us"), parse.decimal_to_text(number).alias("text"))
+
+
+def crossing_backtest(spark, sf):
+    """A policy that looks at all bars so far, in blocks, replayed."""
+    bars = ledger.crossing(_runs(spark, sf), H4, "goal")
+    rows = ledger.replay(bars, F.col("goal"), H4, cost=COST, lookback=0)
+    return rows.select("run_id", "open_us", F.col("target").cast("long").alias("target"), _round("cash", "cash"), _round("equity", "equity"))
+
+
 def funding_quality(spark, sf):
     return quality.funding_report(views.funding(spark, sf), views.coverage(spark, sf), views.ranges(_bars(spark, sf), H4))
 
@@ -542,6 +606,7 @@ _QUERIES = {
         kline_parse_six, kline_close_time, flat_fills, unaligned_report, unaligned_samples, gap_samples, order_violations,
         backward_order_check, event_order_faults, page_disorder, effective_ends, split_checks, solvent_metrics,
         exact_metrics, policy_targets, python_cost, store_range_query, store_events, store_ingest, store_quality,
+        full_report, dataset_checks, event_input_checks, evaluation_checks, request_checks, instants, crossing_backtest,
         store_backtest, store_rolling, range_overlaps, range_gaps, funding_marks, fine_costs, money_text, exact_digits, metric_faults,
     )
 }

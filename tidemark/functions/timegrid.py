@@ -45,6 +45,18 @@ def from_us(us: int) -> datetime:
         raise DataCorruptionError(f"{us} microseconds are out of range") from e
 
 
+def instant_of(us: Column) -> Column:
+    """The TIMESTAMP of epoch microseconds; out of the calendar's years 1 to 9999 they are corrupt and fail the query."""
+    low, high = to_us(datetime.min.replace(tzinfo=UTC)), to_us(datetime.max.replace(tzinfo=UTC))
+    bad = F.raise_error(F.concat(F.lit("DataCorruptionError: microseconds out of range: "), us.cast("string"))).cast("timestamp")
+    return F.when(us.isNull() | us.between(low, high), F.timestamp_micros(us)).otherwise(bad)
+
+
+def evaluation_fault(at: Column, start: Column, end: Column, dur: int) -> Column:
+    """What is wrong with where an evaluation is to start: off the grid or outside [start, end); null if nothing, or if it is null."""
+    return F.when(F.pmod(at, F.lit(dur)) != 0, "grid").when((at < start) | (at >= end), "range")
+
+
 def us_of(ts: Column) -> Column:
     """Epoch microseconds of a TIMESTAMP_NTZ read as UTC, whatever the session's zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)

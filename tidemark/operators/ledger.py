@@ -52,6 +52,20 @@ def flat_after_fall() -> Column:
     return F.when(one.isNull(), 0).when(F.col("close") > one, 1).when(two.isNotNull() & (F.col("close") < one) & (F.col("close") < two), -1).otherwise(0)
 
 
+def crossing(bars: DataFrame, dur: int, name: str = "target") -> DataFrame:
+    """bars with a target from all bars so far: 1 above the mean of their closes, -1 below it, 0 at it.
+
+    The sum and the number of closes are handed on from block to block, so a policy that looks at the whole prefix
+    needs no task of its own for a run. close has 8 places at most.
+    """
+    rows = scan.blocked(bars, dur).withColumn("_close", F.col("close").cast("decimal(18,8)"))
+    near = rows.withColumn("_sum", F.sum("_close").over(until(0))).withColumn("_n", F.count("*").over(until(0)))
+    near = scan.with_earlier(near, "run_id", "open_us", _total=("sum", F.col("_close")), _count=("sum", F.lit(1)))
+    total = (F.coalesce("_total", F.lit(0).cast("decimal(28,8)")) + F.col("_sum")).cast("decimal(28,8)")
+    least = (F.col("_close") * (F.coalesce("_count", F.lit(0)) + F.col("_n")).cast("decimal(18,0)")).cast("decimal(38,8)")
+    return near.withColumn(name, F.signum(least - total).cast("int")).select(*bars.columns, name)
+
+
 def due_marks(events: DataFrame, dur: int, start: DataFrame) -> DataFrame:
     """(run_id, mark_us, funding): rate times reference price of the events due at each mark.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.timegrid import effective_end, excluded_tail
 from . import scan
 
 #: Members that a report lists of each kind of fault.
@@ -155,3 +156,53 @@ def funding_report(events: DataFrame, intervals: DataFrame, ranges: DataFrame) -
     inside = scan.overlaps(points, spans, "symbol", DAY).groupBy("symbol", F.col("lo").alias("start_us"), F.col("hi").alias("end_us")).agg(F.count("*").alias("event_count"))
     out = ranges.join(inside, own, "left").join(gaps, own, "left").na.fill(0, ["event_count", "gap_count", "gap_us"])
     return out.select("symbol", "event_count", "gap_count", "gap_us", F.when(F.col("gap_count") > 0, "FAIL").otherwise("PASS").alias("status"))
+
+
+def full_report(bars: DataFrame, asked: DataFrame, dur: int, **ids: str) -> DataFrame:
+    """One row per range that was asked for, with all that a report says: what was asked, the end that counts, counts, and
+    the first SAMPLE members of each kind of fault, in order.
+
+    asked: (symbol, start_us, end_us, as_of_us); a range counts to the last slot closed at as_of_us. ids become columns.
+    """
+    spans = asked.withColumn("effective_end", effective_end(F.col("end_us"), F.col("as_of_us"), dur))
+    ranges = spans.select("symbol", "start_us", F.col("effective_end").alias("end_us"))
+    inside = _within_ranges(bars, ranges).where(~_outside()).drop("_lo", "_hi")
+    listed = lambda rows, name: rows.groupBy("symbol").agg(F.array_sort(F.collect_list("open_us")).alias(name))  # noqa: E731  SAMPLE at most
+    samples = listed(missing_samples(inside, ranges, dur), "missing_samples").join(listed(unaligned_samples(inside, dur), "unaligned_samples"), "symbol", "full")
+    out = spans.join(report(inside, ranges, dur), "symbol").join(samples, "symbol", "left")
+    none = F.array().cast("array<bigint>")
+    return out.select(
+        *[F.lit(x).alias(name) for name, x in ids.items()],
+        "symbol", F.col("start_us").alias("requested_start"), F.col("end_us").alias("requested_end"), "as_of_us", "effective_end",
+        "first_us", "last_us", "expected", "actual", "missing", F.coalesce("missing_samples", none).alias("missing_samples"), "unaligned",
+        F.coalesce("unaligned_samples", none).alias("unaligned_samples"), excluded_tail(F.col("end_us"), F.col("effective_end"), dur).alias("excluded_tail"), "status",
+    )
+
+
+def _first_fault(counts: DataFrame, key: str, *names: str) -> DataFrame:
+    """(key, fault): the first of names that a run has any of, null for none."""
+    fault = F.when(F.col(names[0]) > 0, names[0])
+    for name in names[1:]:
+        fault = fault.when(F.col(name) > 0, name)
+    return counts.select(key, fault.alias("fault"))
+
+
+def dataset_faults(bars: DataFrame, dur: int, as_of: Column, pos: str = "open_us") -> DataFrame:
+    """(run_id, fault) of bars (run_id, symbol, open_us): what makes a run no dataset, the first that holds of: another
+    symbol than before, a time that does not ascend by pos or does not adjoin, a bar not available at as_of."""
+    tests = {
+        "symbol": lambda b, o: b.isNotNull() & ~b["symbol"].eqNullSafe(o["symbol"]),
+        "ascending": lambda b, o: b["open_us"] >= o["open_us"],
+        "adjoining": lambda b, o: b["open_us"] + dur != o["open_us"],
+    }
+    found = scan.counted(bars, "run_id", pos, F.struct("open_us", "symbol"), tests, available=F.col("open_us") + dur > as_of)
+    return _first_fault(found, "run_id", "symbol", "ascending", "adjoining", "available")
+
+
+def event_input_faults(events: DataFrame, start: Column, end: Column, pos: str) -> DataFrame:
+    """(run_id, fault) of events (run_id, event_us, rate_type) as they come by pos: the first that holds of: outside
+    [start, end), before the one above it by time and rate type, a key that the one above has."""
+    tests = {"order": lambda b, o: b > o, "repeated": lambda b, o: b == o}
+    outside = (F.col("event_us") < start) | (F.col("event_us") >= end)
+    found = scan.counted(events, "run_id", pos, F.struct("event_us", "rate_type"), tests, outside=outside)
+    return _first_fault(found, "run_id", "outside", "order", "repeated")

@@ -278,4 +278,25 @@ g AS (SELECT run_id, any_value(kind) AS kind, any_value(n) AS n, max(CASE WHEN i
 SELECT run_id, CASE WHEN kind = 1 AND n > 2 THEN 'equity at 2 must be finite: NaN' WHEN kind = 3 AND n > 3 THEN 'equity at 3 must be finite: none' WHEN kind = 5 AND n > 4 THEN 'the curve''s times must ascend'
 WHEN kind = 3 AND n > 2 THEN 'equity at 1 is the denominator of return 2 and must be positive: 0' WHEN kind = 2 AND n > 2 THEN 'equity at 1 is the denominator of return 2 and must be positive: -' || (one // 100) || '.' || lpad(CAST(one % 100 AS VARCHAR), 2, '0')
 WHEN n < 2 THEN 'at least two returns are needed' WHEN kinds = 1 AND NOT (kind IN (2, 3) AND n = 2) THEN 'the deviation must be positive' END AS fault FROM g""",
+    "full_report": f"""{B1}, {_range(H1)}, {SHIFT}, q AS (SELECT symbol, lo, hi + {5 * H1} AS ask, hi - {3 * H1} + 420000000 AS as_of_us, hi - {3 * H1} AS eff FROM r),
+i AS (SELECT b1.* FROM b1 JOIN q USING (symbol) WHERE open_us >= lo AND open_us < eff), grid AS (SELECT symbol, unnest(range(lo, eff, {H1})) AS open_us FROM q),
+x AS (SELECT symbol, count(*) AS actual, count_if(open_us % {H1} <> 0) AS unaligned, min(open_us) AS first_us, max(open_us) AS last_us, string_agg(CAST(open_us AS VARCHAR), ',' ORDER BY open_us) FILTER (open_us % {H1} <> 0 AND k <= 20) AS us
+  FROM (SELECT *, row_number() OVER (PARTITION BY symbol, open_us % {H1} <> 0 ORDER BY open_us) AS k FROM i) GROUP BY 1),
+y AS (SELECT symbol, count(*) AS missing, string_agg(CAST(open_us AS VARCHAR), ',' ORDER BY open_us) FILTER (k <= 20) AS ms FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_us) AS k FROM grid WHERE (symbol, open_us) NOT IN (SELECT symbol, open_us FROM i)) GROUP BY 1)
+SELECT 'binance' AS exchange, 'spot' AS market_type, '1h' AS timeframe, symbol, lo AS requested_start, ask AS requested_end, as_of_us, eff AS effective_end, first_us, last_us, (eff - lo) // {H1} AS expected, actual,
+  coalesce(missing, 0) AS missing, coalesce(ms, '') AS missing_samples, CAST(unaligned AS BIGINT) AS unaligned, coalesce(us, '') AS unaligned_samples, CAST(8 AS BIGINT) AS excluded_tail, CASE WHEN coalesce(missing, 0) > 0 OR unaligned > 0 THEN 'FAIL' ELSE 'PASS' END AS status
+FROM q JOIN x USING (symbol) LEFT JOIN y USING (symbol)""",
+    "dataset_checks": f"""{R4}, k AS (SELECT run_id, count(*) AS n, (CAST(split_part(run_id, '|', 2) AS BIGINT) // {H4}) % 5 AS kind FROM runs GROUP BY 1)
+SELECT run_id, CASE WHEN kind = 3 AND n > 1 THEN 'symbol' WHEN kind = 2 AND n > 1 THEN 'ascending' WHEN kind = 1 AND n > 2 THEN 'adjoining' WHEN kind = 4 THEN 'available' END AS fault FROM k""",
+    "event_input_checks": f"""{R4}, {FUND}, k AS (SELECT run_id, count(*) AS n, (CAST(split_part(run_id, '|', 2) AS BIGINT) // {H4}) % 4 AS kind FROM fund JOIN runs ON fund.symbol = runs.symbol AND runs.open_us = (event_us // {H4}) * {H4} GROUP BY 1)
+SELECT run_id, CASE WHEN kind = 1 THEN 'outside' WHEN kind = 2 AND n > 1 THEN 'order' WHEN kind = 3 THEN 'repeated' END AS fault FROM k""",
+    "evaluation_checks": f"""{R4}, k AS (SELECT run_id, min(open_us) AS lo, max(open_us) + {H4} AS hi FROM runs GROUP BY 1), a AS (SELECT *, lo + unnest([{-H4}, 0, 1, {H4}, {30 * H4}]) AS at_us FROM k)
+SELECT run_id, at_us, CASE WHEN at_us % {H4} <> 0 THEN 'grid' WHEN at_us < lo OR at_us >= hi THEN 'range' END AS fault FROM a""",
+    "request_checks": f"""WITH {EV}, q AS (SELECT event_id, event_id % 11 = 0 AS none, symbol || '%2F%2B+' AS name, event_id % 1003 AS n, CASE WHEN event_id % 5 <> 0 THEN ts_us // 1000 END AS a FROM ev),
+f AS (SELECT *, a + event_id % 7 * 1000 - 1000 AS b, CASE WHEN none THEN 'name' WHEN n NOT BETWEEN 1 AND 1000 THEN 'limit' WHEN event_id % 7 = 0 AND a IS NOT NULL THEN 'bounds' END AS fault FROM q)
+SELECT event_id, fault, CASE WHEN fault IS NULL THEN 'https://host/klines?symbol=' || name || '&interval=1h&limit=' || n || coalesce('&startTime=' || a, '') || coalesce('&endTime=' || b, '') END AS url FROM f""",
+    "instants": f"""WITH {EV}, t AS (SELECT event_id, ts_us - event_id % 100 * 100003 * {H1} AS us, v * (event_id % 5) AS n FROM ev)
+SELECT event_id, strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S.%f') AS instant, us AS back_us,
+  CASE WHEN n < 0 THEN '-' ELSE '' END || abs(n) // 100 || CASE WHEN n % 100 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(abs(n) % 100 AS VARCHAR), 2, '0'), '0') END AS text FROM t""",
+    "crossing_backtest": f"{R4}, seen AS (SELECT run_id, symbol, open_us, o, c, sum(c) OVER ({SEEN}) AS t, count(*) OVER ({SEEN}) AS n FROM runs), {_ledger('seen').replace(TARGET, CROSS)} SELECT run_id, open_us, CAST(target AS BIGINT) AS target, {_m('cash', 'cash')}, {_m('equity', 'equity')} FROM led",
 }

@@ -12,6 +12,8 @@ from urllib.error import URLError
 from urllib.parse import urlencode
 from urllib.request import urlopen
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..functions.timegrid import duration_us
@@ -57,6 +59,19 @@ def funding_url(symbol: str, start_ms: int, end_ms: int, limit: int, base: str =
     return f"{base}?{urlencode({'symbol': symbol, 'startTime': start_ms, 'endTime': end_ms, 'limit': limit})}"
 
 
+def request_fault(symbol: Column, timeframe: Column, limit: Column, start_ms: Column, end_ms: Column) -> Column:
+    """What kline_page would raise for a table of requests, in its order: names, limit, bounds; null for nothing."""
+    empty = lambda c: F.coalesce(c, F.lit("")) == ""
+    return F.when(empty(symbol) | empty(timeframe), "name").when(~limit.between(1, PAGE), "limit").when(start_ms > end_ms, "bounds")
+
+
+def request_url(symbol: Column, timeframe: Column, limit: Column, start_ms: Column, end_ms: Column, base: str = KLINES) -> Column:
+    """kline_url of columns: bounds that are null are left out."""
+    coded = lambda name, c: F.concat(F.lit(f"{name}="), F.url_encode(c.cast("string")))
+    parts = zip(("symbol", "interval", "limit", "startTime", "endTime"), (symbol, timeframe, limit, start_ms, end_ms), strict=True)
+    return F.concat(F.lit(f"{base}?"), F.concat_ws("&", *[coded(name, c) for name, c in parts]))
+
+
 def _rows(url: str, timeout: float, transport: Transport) -> list:
     try:
         got = json.loads(transport(url, timeout))
