@@ -29,14 +29,15 @@ from pyspark.sql import functions as F
 from .common import few, text_or_empty
 
 #: Cells of the first sketch, which is the fingerprint, and of those tried in turn for each share of the digests.
-FIRST, SIZES = 12, (12, 96, 3072)
+FIRST, SIZES = 12, (24, 96, 3072)
 PARTS = 3
 #: The first sketch is peeled if about this many differing digests for each cell, or fewer, are expected.
 HOPE = 1.2
 #: Differing digests that a share is meant to have.
-LOAD = 3
-#: Peeling rounds; each takes out every digest that lies alone somewhere.
-ROUNDS = 12
+LOAD = 6
+#: Peeling rounds of a sketch of up to so many cells, each of which takes out every digest that lies alone somewhere;
+#: a sketch that needs more, which is rare, is retried larger.
+ROUNDS = {24: 4, 96: 6, 1 << 30: 12}
 #: Documents that one task orders on average, to find each one's next.
 RUN = 4096
 #: Ends of paragraphs, and the pieces of one; a word of more than 64 characters counts as several.
@@ -67,16 +68,32 @@ def _cells_of(digest: Column, size: int) -> Column:
     return F.array(*[place + F.lit(part * width) for part, place in enumerate(places)])
 
 
-def _added(a: Column, x: Column) -> Column:
-    return F.struct((a["n"] + F.lit(1)).alias("n"), a["key"].bitwiseXOR(x["key"]).alias("key"), a["check"].bitwiseXOR(x["check"]).alias("check"))
+def _placed(values: Column, size: int, sign: int) -> Column:
+    return F.transform(values, lambda d: F.struct(F.lit(sign).cast("long").alias("n"), d.alias("key"), _check(d).alias("check"), _cells_of(d, size).alias("at")))
+
+
+def _with(a: Column, x: Column) -> Column:
+    """A cell with another's content, or a digest's, put in: counts add up, the rest cancels out where it is twice."""
+    return F.struct((a["n"] + x["n"]).alias("n"), a["key"].bitwiseXOR(x["key"]).alias("key"), a["check"].bitwiseXOR(x["check"]).alias("check"))
+
+
+def _nothing() -> Column:
+    return F.struct(*[F.lit(0).cast("long").alias(x) for x in ("n", "key", "check")])
+
+
+def _cells(placed: Column, size: int) -> Column:
+    cells = F.sequence(F.lit(0), F.lit(size - 1))
+    return _let(placed, lambda e: F.transform(cells, lambda c: F.aggregate(F.filter(e, lambda x: F.array_contains(x["at"], c)), _nothing(), _with)))
 
 
 def sketch(values: Column, size: int) -> Column:
     """Cells of a sketch of an array of digests."""
-    placed = F.transform(values, lambda d: F.struct(d.alias("key"), _check(d).alias("check"), _cells_of(d, size).alias("at")))
-    nothing = F.struct(*[F.lit(0).cast("long").alias(x) for x in ("n", "key", "check")])
-    cells = F.sequence(F.lit(0), F.lit(size - 1))
-    return _let(placed, lambda e: F.transform(cells, lambda c: F.aggregate(F.filter(e, lambda x: F.array_contains(x["at"], c)), nothing, _added)))
+    return _cells(_placed(values, size, 1), size)
+
+
+def sketched_difference(a: Column, b: Column, size: int) -> Column:
+    """The sketch of a less that of b, cell by cell, made in one go."""
+    return _cells(F.concat(_placed(a, size, 1), _placed(b, size, -1)), size)
 
 
 def subtracted(a: Column, b: Column) -> Column:
@@ -85,28 +102,44 @@ def subtracted(a: Column, b: Column) -> Column:
 
 def peeled(cells: Column, size: int) -> Column:
     """(key, n) of the digests that a difference of sketches holds, n 1 or -1 for the side that has it;
-    null if cells remain."""
-    found = "array<struct<key: bigint, n: bigint>>"
-    start = F.struct(cells.alias("cells"), F.array().cast(found).alias("found"), F.lit(True).alias("live"))
+    null if the rounds end before all are out.
 
-    def take(a: Column, k: Column) -> Column:
-        return F.struct((a["n"] - k["n"]).alias("n"), a["key"].bitwiseXOR(k["key"]).alias("key"), a["check"].bitwiseXOR(k["check"]).alias("check"))
+    Each part holds every digest, so what is out is all when it adds up to what the first part has.
+    """
+    found = "array<struct<key: bigint, n: bigint>>"
+    out, left, stuck = F.lit(1), F.lit(0), F.lit(2)
 
     def without(cells: Column, keys: Column) -> Column:
-        placed = F.transform(keys, lambda k: F.struct(k["key"].alias("key"), k["n"].alias("n"), _check(k["key"]).alias("check"), _cells_of(k["key"], size).alias("at")))
-        return _let(placed, lambda e: F.transform(cells, lambda c, i: F.aggregate(F.filter(e, lambda k: F.array_contains(k["at"], i)), c, take)))
+        placed = F.transform(keys, lambda k: F.struct((-k["n"]).alias("n"), k["key"].alias("key"), _check(k["key"]).alias("check"), _cells_of(k["key"], size).alias("at")))
+        return _let(placed, lambda e: F.transform(cells, lambda c, i: F.aggregate(F.filter(e, lambda k: F.array_contains(k["at"], i)), c, _with)))
+
+    def sum_of(keys: Column) -> Column:
+        return F.aggregate(keys, _nothing(), lambda a, k: _with(a, F.struct(k["n"].alias("n"), k["key"].alias("key"), _check(k["key"]).alias("check"))))
+
+    def run(given: Column) -> Column:
+        total = F.aggregate(F.slice(given, 1, size // PARTS), _nothing(), _with)
+        state = lambda cells, found, how: F.struct(cells.alias("cells"), found.alias("found"), how.cast("int").alias("how"))
+
+        def peel(total: Column) -> Column:
+            def step(acc: Column, _: Column) -> Column:
+                alone = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"])))
+                keys = F.array_distinct(F.transform(alone, lambda c: F.struct(c["key"].alias("key"), c["n"].alias("n"))))
+                none = F.array().cast(f"array<{_CELL}>")
+
+                def with_keys(k: Column) -> Column:
+                    more = lambda f: F.when(sum_of(f) == total, state(none, f, out)).otherwise(state(without(acc["cells"], k), f, left))
+                    return F.when(F.size(k) > 0, _let(F.concat(acc["found"], k), more)).otherwise(state(none, acc["found"], stuck))
+
+                return F.when(acc["how"] == left, _let(keys, with_keys)).otherwise(acc)
 
-    def step(acc: Column, _: Column) -> Column:
-        alone = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"])))
-        keys = F.array_distinct(F.transform(alone, lambda c: F.struct(c["key"].alias("key"), c["n"].alias("n"))))
-        more = lambda k: F.struct(without(acc["cells"], k).alias("cells"), F.concat(acc["found"], k).alias("found"), F.lit(True).alias("live"))
-        end = F.struct(acc["cells"].alias("cells"), acc["found"].alias("found"), F.lit(False).alias("live"))
-        return F.when(acc["live"], _let(keys, lambda k: F.when(F.size(k) > 0, more(k)).otherwise(end))).otherwise(acc)
+            nothing = F.forall(given, lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0))
+            start = state(given, F.array().cast(found), F.when(nothing, out).otherwise(left))
+            rounds = next(r for most, r in ROUNDS.items() if size <= most)
+            return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
 
-    def result(end: Column) -> Column:
-        return F.when(~F.exists(end["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0)), end["found"])
+        return _let(_let(total, peel), lambda end: F.when(end["how"] == out, end["found"]))
 
-    return _let(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step), result)
+    return _let(cells, run)
 
 
 def expected(cells: Column) -> Column:
@@ -138,7 +171,7 @@ def peeled_in_parts(a: Column, b: Column, side: Column) -> Column:
         return F.transform(F.array_except(x, y), lambda d: F.struct(d.alias("key"), F.lit(n).cast("long").alias("n")))
 
     def one(x: Column, y: Column) -> Column:
-        tried = [peeled(subtracted(sketch(x, size), sketch(y, size)), size) for size in SIZES]
+        tried = [peeled(sketched_difference(x, y, size), size) for size in SIZES]
         return F.coalesce(*tried, F.concat(only(x, y, 1), only(y, x, -1)))
 
     return F.flatten(F.zip_with(split(a, side), split(b, side), one))
@@ -194,11 +227,11 @@ def _runs(docs: DataFrame, id_col: str) -> Column:
     return F.when(F.col("id").isNull(), share(without) - without).otherwise(segment * (most + inner) + part).cast("long")
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
-    """(id, own, next): each document's text and further columns, as structs, and those of the one after it by
+def with_next(docs: DataFrame, id_col: str, text_col: str, **more: Callable[[Column], Column]) -> DataFrame:
+    """(id, own, next): each document's text and what else is made of it, as structs, and those of the one after it by
     descending id; the first one's come after the last. Null ids come last; equal ids are ordered by a hash of their text."""
-    rows = docs.select(F.col(id_col).alias("id"), F.struct(text_or_empty(text_col).alias("text"), *more).alias("own"))
-    rows = rows.withColumn("tie", F.xxhash64("own.text")).withColumn("run", _runs(docs, id_col))
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("run", _runs(docs, id_col))
     heads = rows.select("run", "id", "tie").groupBy("run").agg(F.max(F.struct("id", "tie")).alias("head"))
     # a run's first document also ends the run above it; the topmost one's ends the lowest. Which run is above is
     # found among thousands, and between those by their first ones
@@ -209,8 +242,9 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> Dat
     lowest = lowest.select("thousands", F.coalesce(F.lead("lowest").over(line), F.first("lowest").over(around)).alias("beyond"))
     above = F.lead("run").over(Window.partitionBy("thousands").orderBy("run"))
     heads = heads.join(lowest, "thousands").withColumn("to", F.coalesce(above, F.col("beyond"))).select(F.col("head.id").alias("hid"), F.col("head.tie").alias("htie"), "to")
-    ends = rows.join(few(heads), F.col("id").eqNullSafe(F.col("hid")) & (F.col("tie") == F.col("htie"))).select("id", "own", "tie", F.col("to").alias("run"), F.lit(True).alias("end"))
+    ends = rows.join(few(heads), F.col("id").eqNullSafe(F.col("hid")) & (F.col("tie") == F.col("htie"))).select("id", "text", "tie", F.col("to").alias("run"), F.lit(True).alias("end"))
     every = rows.withColumn("end", F.lit(False)).unionByName(ends)
+    every = every.withColumn("own", F.struct("text", *[make(F.col("text")).alias(name) for name, make in more.items()])).drop("text")
     order = Window.partitionBy("run").orderBy("end", F.col("id").desc_nulls_last(), F.col("tie").desc())
     return every.withColumn("next", F.lead("own").over(order)).where("NOT end").select("id", "own", "next")
 
@@ -221,7 +255,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
-    rows = with_next(docs, id_col, text_col, digests(text_or_empty(text_col)).alias("digests")).withColumn("n_chars", F.length("own.text").cast("long"))
+    rows = with_next(docs, id_col, text_col, digests=digests).withColumn("n_chars", F.length("own.text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substr("own.text", F.lit(1), (F.col("n_chars") - third).cast("int")), F.substr("next.text", F.lit(1), third))
     rows = rows.withColumn("edited", edited)
