@@ -102,7 +102,7 @@ FROM d JOIN r ON r.name = d.g JOIN e ON e.g = d.g AND e.leaf_at = d.idx LEFT JOI
 
 OP12 = rf"""
 WITH a AS (SELECT row_number() OVER () AS r, doc_id, {_CRC} AS h, regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS w FROM documents),
-b AS (SELECT *, len(w) AS n, (h // 10) % len(w) AS c, 1 + (len(w) - (h // 10) % len(w)) // (3 + (h // 10) % 8) AS p FROM a),
+b AS (SELECT *, len(w) AS n, (h // 10) % nullif(len(w), 0) AS c, 1 + (len(w) - (h // 10) % nullif(len(w), 0)) // (3 + (h // 10) % 8) AS p FROM a),
 d AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: CASE WHEN i < c THEN w[i + 1] ELSE w[c + (i - c) % p + 1] END) ELSE w END AS w FROM b),
 x AS (SELECT r, n, unnest(range(0, n)) AS i, unnest(w) AS word FROM d),
 y AS (SELECT r, n, i, word, md5(string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) AS five FROM x),
