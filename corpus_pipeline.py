@@ -2,8 +2,13 @@
 
 Documents that read as toxic go; of near-duplicate documents one stays; secrets are
 masked; sources are mixed to their weights; what is left is encoded. Every stage but the last
-returns the columns of documents and works on all rows that its predecessor kept. Null texts are
-empty to every stage; empty tables pass through as empty.
+returns the columns of documents and works on all rows that its predecessor kept.
+
+Null texts are empty to every stage; empty tables pass through as empty. Rows without an id are kept like
+others, but learn no label and link with nothing. Repeated rows (equal id and text) score alike; the second
+stage leaves one of them, so later ones see none unless they have no id or word; the mix may take copies of a row in any order, with the same
+totals. Ties: of near duplicates of one id the least text hash stays, equal keys of the mix go by id. Very long texts are whole in
+every stage. Further columns of any name are kept by all stages but the last, which returns none of them.
 """
 
 from __future__ import annotations
