@@ -9,7 +9,8 @@ entries from its place until as many equal ones follow as the longest token has
 
 Many pieces of one length are encoded together in numpy; a long piece by itself.
 Null texts are empty: no tokens. Ties cannot occur, as the encoding is unique. Repeated
-rows give repeated results, an empty table gives none.
+rows give repeated results, an empty table gives none. Very long texts are encoded whole, a few at a time. Null ids pass as
+they are; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -14,8 +14,9 @@ most of the rows is never in one task, whatever its keys.
 
 A null text has size 0, a null source is a source of its own and comes last. A source
 without words has target 0. Null ids are ids like others. Equal keys are put in order by id; copies of
-a row may change places, with the same totals. An empty table gives no rows. Long texts are read once for
-their size, quality and hash. Reruns agree: nothing is drawn, all is hashed.
+a row may change places, with the same totals; very many copies of the row at a source's end are one task's work. An
+empty table gives no rows. Long texts are read once for their size, quality and hash. Other columns, whatever their names,
+are not read, or carried along whole. Reruns agree: nothing is drawn, all is hashed.
 """
 
 from __future__ import annotations

@@ -14,8 +14,9 @@ pairwise in tasks of their own; tasks return counts and a spanning forest, not p
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as
 do rows without an id; only vectors of one length are compared. Equal vectors in rows of
-their own link with each other. Repeated rows count as separate vectors of one id. Labels are
-not read.
+their own link with each other. Repeated rows count as separate vectors of one id. Ties do not matter: a
+component is named by its least id, and a cosine of just the threshold links. An empty table gives no rows. Labels and other
+columns are not read.
 """
 
 from __future__ import annotations
