@@ -284,3 +284,22 @@ def test_repeated_rows_are_scored_alike(spark, tmp_path):
         one = [c for c in got.columns if c not in ("near_edited", "near_next", "edited_sha256", "edited_fingerprint", "proof_sha256", "folded_root")]
         assert got.count() == len(rows), name
         assert got.select(*one).distinct().count() == 26, name
+
+
+def test_mix_with_very_many_copies_at_the_end(spark, monkeypatch, tmp_path):
+    """Copies in shares give the totals that they give in order, whatever has nulls."""
+    from tidemark.llm import mixing
+
+    rng = random.Random(16)
+    rows = [(k, "w " * rng.randrange(1, 9), "abc"[k % 3]) for k in range(60)]
+    rows += [(7, "same words all over", "a")] * 150 + [(None, "no id and source", None)] * 120
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+
+    def taken():
+        got = mixing.mix(df, weights=(5, 2, 1), cap=3.0).collect()
+        assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
+        return sorted((r.doc_id or -1, r.size, r.source_size, r.target, r.taken) for r in got)
+
+    plain = taken()
+    monkeypatch.setattr(mixing, "SHARE", 7)
+    assert taken() == plain

@@ -14,7 +14,7 @@ most of the rows is never in one task, whatever its keys.
 
 A null text has size 0, a null source is a source of its own and comes last. A source
 without words has target 0. Null ids are ids like others. Equal keys are put in order by id; copies of
-a row may change places, with the same totals; very many copies of the row at a source's end are one task's work. An
+a row may change places, with the same totals, and are numbered in shares where the row at a source's end has very many. An
 empty table gives no rows. Long texts are read once for their size, quality and hash. Other columns, whatever their names,
 are not read, or carried along whole. Reruns agree: nothing is drawn, all is hashed.
 """
@@ -28,6 +28,8 @@ from .common import few, written
 
 #: Ranges of a unit of a key's logarithm at the last level, as a power of two, and the levels' shifts.
 FINE, SHIFTS = 33, (30, 15, 0)
+#: Rows at the ends of sources that are put in order as they are; of more, copies are counted first.
+SHARE = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -52,6 +54,26 @@ def targets(sizes: DataFrame, weights: list[float], cap: float) -> DataFrame:
     return ranked.select("source", "source_size", F.least("most", F.col("weight") * level).alias("target"))
 
 
+def _in_shares(edge: DataFrame) -> DataFrame:
+    """edge (of, key, id, size, before, ...), rows at the ends of sources, with `done`, the words before each.
+
+    Only copies of a row can be so many in so small a range. They are counted and numbered in shares, each a
+    task's work, so that what is put in order is one row for each different one.
+    """
+    own, free = ["of", "key", "id", "size"], Window.unboundedPreceding
+    edge = edge.withColumn("share", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(-(-edge.count() // SHARE))))
+    edge = written(edge.withColumn("own", F.struct(*own)))
+    counts = edge.groupBy("own", "share").agg(F.count("*").alias("m"))
+    each = counts.groupBy("own").agg((F.sum("m") * F.col("own.size")).alias("words"))
+    line = Window.partitionBy("own.of").orderBy("own.key", "own.id", "own.size").rowsBetween(free, -1)
+    each = each.select("own", F.coalesce(F.sum("words").over(line), F.lit(0)).alias("ahead"))
+    along = Window.partitionBy("own").orderBy("share").rowsBetween(free, -1)
+    counts = counts.select("own", "share", F.coalesce(F.sum("m").over(along), F.lit(0)).alias("copies")).join(each, "own")
+    turn = F.row_number().over(Window.partitionBy("own", "share").orderBy("size")) - 1
+    done = F.col("before") + F.col("ahead") + (F.col("copies") + turn) * F.col("size")
+    return edge.join(counts, ["own", "share"]).withColumn("done", done).drop("own", "share", "ahead", "copies")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, carry: bool = False) -> DataFrame:
     """(id_col, size, source_size, target, taken, epochs): the words the mix takes of each document.
 
@@ -89,7 +111,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     at_end = F.coalesce(F.col("bin") == F.col("last"), F.lit(False))
     inside = with_goal.where(~at_end).withColumn("part", F.when(F.col("bin") < F.col("last"), F.col("size")).otherwise(0))
     order = Window.partitionBy("of").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = with_goal.where(at_end).withColumn("done", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    edge = written(with_goal.where(at_end))
+    if edge.count() <= SHARE:
+        edge = edge.withColumn("done", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    else:
+        edge = _in_shares(edge)
     edge = edge.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("done")))).drop("done")
     both = inside.unionByName(edge)
     return both.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), "epochs", *["row"] * carry)
