@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..plans.scratch import written
 from . import scan
 from .costs import DUE, MONEY, CostModel, FundingModel, funding_due, linear, zero
 from .policy import TARGETS
@@ -113,6 +114,8 @@ def replay(bars: DataFrame, target: Column, dur: int, initial: str = "1000", qua
         rows = rows.join(funding, ["run_id", "mark_us"], "left")
     else:
         rows = rows.withColumn("funding", F.lit(None).cast(DUE))
+    # what blocks hand on is computed beside what they say: bars are written aside, so that neither asks for them anew
+    rows = written(rows)
     # a position is two targets' work
     rows = rows.withColumn(scan.BLOCK, F.lit(0).cast("long")).withColumn(scan.COPIED, F.lit(False)) if lookback is None else scan.blocked(rows, dur, back=lookback + 2)
     rows = rows.withColumn("target", known)

@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timegrid import DURATIONS
+from ..plans.scratch import written
 from . import scan
 from .ledger import until
 
 
 def in_blocks(curve: DataFrame) -> DataFrame:
+    """curve, written aside, with its blocks."""
+    curve = written(curve)
     return curve if scan.BLOCK in curve.columns else scan.blocked(curve, max(DURATIONS.values()))
 
 

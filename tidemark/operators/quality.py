@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timegrid import effective_end, excluded_tail
+from ..plans.scratch import written
 from . import scan
 
 #: Members that a report lists of each kind of fault.
@@ -103,9 +104,9 @@ def islands(bars: DataFrame, dur: int) -> DataFrame:
     """bars with run_id: a name for each longest stretch of adjoining bars.
 
     A bar without one a slot before it is a head; a bar's head is the last one in its block, or else in an
-    earlier block.
+    earlier block. Bars are written aside first, as they are read for both.
     """
-    rows = scan.blocked(bars, dur, back=1)
+    rows = scan.blocked(written(bars), dur, back=1)
     before = F.lag("open_us").over(scan.within("symbol", "open_us"))
     rows = rows.withColumn("_head", F.when(before.isNull() | (before + dur != F.col("open_us")), F.col("open_us"))).where(~F.col(scan.COPIED))
     inside = F.last("_head", True).over(scan.within("symbol", "open_us"))
