@@ -114,3 +114,29 @@ def test_coverage_union(spark):
     cases = spark.createDataFrame([("S", 2, 20), ("S", 3, 4), ("T", -5, 30)], "symbol string, start_us long, end_us long")
     got = {(r.symbol, r.gap_start, r.gap_end) for r in quality.coverage_gaps(cases, ranges).collect()}
     assert got == {("S", 0, 2), ("S", 20, 24)}
+
+
+def test_instants_of_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(0,), (1_704_067_200_000_001,), (-1,), (None,)], "us long")
+    got = rows.select(F.unix_micros(g.instant_of(F.col("us")))).collect()
+    assert [r[0] for r in got] == [0, 1_704_067_200_000_001, -1, None]
+    for bad in (1 << 62, -(1 << 62)):
+        with pytest.raises(Exception, match="out of range"):
+            spark.createDataFrame([(bad,)], "us long").select(g.instant_of(F.col("us"))).collect()
+    at = spark.createDataFrame([(None,), (3,), (4,), (0,), (8,)], "at long").select(g.evaluation_fault(F.col("at"), F.lit(4), F.lit(8), 2)).collect()
+    assert [r[0] for r in at] == [None, "grid", None, "range", "range"]
+
+
+def test_funding_of_many_partitions(spark, tmp_path):
+    s = store.FundingStore(spark, str(tmp_path / "many"))
+    event = lambda symbol, t: ("x", "perp", symbol, t, "Regular", D("0.001"), D(10))
+    spans = spark.createDataFrame([("x", "perp", "S", 0, 10), ("x", "perp", "T", 5, 20)], "exchange string, market_type string, symbol string, start_us long, end_us long")
+    s.write_many(spark.createDataFrame([event("S", 9), event("T", 19)], FUNDING), spans)
+    assert s.events.scanned(0, 30, exchange="x", symbol="T").count() == 1
+    assert s.coverage_of(15, 30, exchange="x").count() == 1
+    for outside in (event("S", 10), event("T", 4), event("U", 6)):
+        with pytest.raises(ValueError, match="outside"):
+            s.write_many(spark.createDataFrame([outside], FUNDING), spans)
+    assert s.events.read().count() == 2
