@@ -92,6 +92,17 @@ def test_due_at_irregular_marks(spark, monkeypatch):
     assert {(r.run_id, r.mark_us): (r.events, r.funding) for r in ledger.due_at(left, right, start).collect()} == brute_marks(kept, marks)
 
 
+def test_next_is_carried_not_read_anew(spark, monkeypatch):
+    """A window that begins at its row costs the square of its rows: 40,000 blocks of one key are one such window."""
+    monkeypatch.setattr(scan, "SLOTS", 1)
+    marks = spark.range(40_000).select(F.lit("a").alias("run_id"), (F.col("id") * 10).alias("mark_us"))
+    events = marks.select("run_id", (F.col("mark_us") - 3).alias("event_us"), F.lit(2).cast("decimal(18,8)").alias("reference_price"), F.lit(1).cast("decimal(18,10)").alias("funding_rate"))
+    got = ledger.due_at(events, marks)
+    plan = got._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+    assert got.agg(F.count("*"), F.sum("events"), F.sum("funding")).first()[:] == (40_000, 40_000, 80_000)
+
+
 def test_overlaps(spark):
     rng = random.Random(6)
     span = lambda: (rng.choice("ab"), (a := rng.randrange(0, 300)), a + rng.choice((0, 1, 5, 40)))

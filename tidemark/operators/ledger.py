@@ -91,8 +91,8 @@ def due_at(events: DataFrame, marks: DataFrame, start: DataFrame | None = None)
         events = events.join(start, "run_id").where("event_us >= eval_start")
     due = events.select("run_id", F.col("event_us").alias("at"), funding_due(F.col("reference_price"), F.col("funding_rate")).alias("due"), F.lit(None).cast("long").alias("mark"))
     every = due.unionByName(marks.select("run_id", F.col("mark_us").alias("at"), F.lit(None).cast(DUE).alias("due"), F.col("mark_us").alias("mark")))
-    order = [F.col("at"), F.col("mark").asc_nulls_first()]  # events of a mark's time before it
-    rows = scan.with_next(scan.cut(every, "at"), "run_id", order, F.col("mark"), "mark_us")
+    back = [F.desc("at"), F.col("mark").desc_nulls_last()]  # events of a mark's time before it
+    rows = scan.with_next(scan.cut(every, "at"), "run_id", back, F.col("mark"), "mark_us")
     got = rows.where("mark IS NULL AND mark_us IS NOT NULL").groupBy("run_id", "mark_us").agg(F.count("*").alias("events"), F.sum("due").alias("funding"))
     return got.withColumn("funding", F.col("funding").cast(DUE))
 

@@ -102,16 +102,17 @@ def counted(rows: DataFrame, key: str, pos: str, own: Column, tests: dict[str, C
     return each.groupBy(key).agg(*[F.sum(F.col(name) + edge(test)).alias(name) for name, test in tests.items()], *[F.sum(name).alias(name) for name in more])
 
 
-def with_next(rows: DataFrame, key: str, order: list[Column], value: Column, name: str) -> DataFrame:
-    """rows, which have a block, with the first value that is not null at or after each by order, in any block.
+def with_next(rows: DataFrame, key: str, back: list[Column], value: Column, name: str) -> DataFrame:
+    """rows, which have a block, with the first value that is not null at or after each in time, in any block.
 
-    Values do not descend along the order, so a block's first one is its least.
+    back orders rows from the last to the first: a window that ends at its row is carried on from row to row, one
+    that begins there is read anew for each. Values do not ascend along it, so a block's first one in time is its least.
     """
-    on = Window.partitionBy(key, BLOCK).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    near = rows.withColumn("_value", value).withColumn("_near", F.first("_value", True).over(on))
+    on = Window.partitionBy(key, BLOCK).orderBy(*back).rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumn("_value", value).withColumn("_near", F.last("_value", True).over(on))
     each = near.groupBy(key, BLOCK).agg(F.min("_value").alias("_first"))
-    later = Window.partitionBy(key).orderBy(BLOCK).rowsBetween(1, Window.unboundedFollowing)
-    far = each.select(key, BLOCK, F.first("_first", True).over(later).alias("_far"))
+    later = Window.partitionBy(key).orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
+    far = each.select(key, BLOCK, F.last("_first", True).over(later).alias("_far"))
     return near.join(far, [key, BLOCK]).withColumn(name, F.coalesce("_near", "_far")).drop("_value", "_near", "_far")
 
 
