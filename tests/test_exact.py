@@ -49,6 +49,15 @@ def curve(rng, n, jump):
     return out
 
 
+def test_wide_arguments_are_computed_once(spark):
+    """However deep a term is, each number in it is parsed once a row."""
+    df = spark.createDataFrame([("1.5", "2.25", "-3")], "a string, b string, c string")
+    a, b, c = (Wide.of(F.col(x), 12) for x in "abc")
+    got = df.select((a * b * c - a).compared(Wide.constant("-11.625")).alias("order"), (a * b * c - a).text().alias("text"))
+    assert got._jdf.queryExecution().analyzed().toString().count("raise_error") == 8
+    assert got.first().order == 0 and Decimal(got.first().text) == Decimal("-11.625")
+
+
 @pytest.mark.parametrize("slots", [1, 64])
 def test_metrics_are_exact_and_rounded_once(spark, monkeypatch, slots):
     monkeypatch.setattr(scan, "SLOTS", slots)
