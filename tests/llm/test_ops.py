@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,27 @@ def test_suffix_dedup_of_a_phrase_in_many_surroundings(spark, monkeypatch):
     assert got == brute_repeats(docs, 100)
 
 
+def test_suffix_dedup_of_short_phrases_merges_little_at_once(spark, monkeypatch):
+    """Strings of 85 to 99 bytes in ever other surroundings: what is merged at once does not grow with them."""
+    rng = np.random.default_rng(5)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    phrases = [letters(n) for n in (85, 92, 97, 99, 99)]
+    ends = [letters(40) for _ in range(40)]
+    docs = [(k, f"{letters(60) if k % 3 else ends[k % 40]}{phrases[k % 5]}{ends[(k * 7) % 40] if k % 2 else letters(60)}") for k in range(900)]
+    monkeypatch.setattr(suffix_dedup, "WIDE", 6000)
+    monkeypatch.setattr(suffix_dedup, "MERGE_BYTES", 3000)
+    merge, most = suffix_dedup.repeated_intervals, []
+    monkeypatch.setattr(suffix_dedup, "repeated_intervals", lambda data, *a: most.append(len(data)) or merge(data, *a))
+    table = pa.table({"id": [k for k, _ in docs], "tie": [0] * len(docs), "text": [t for _, t in docs]})
+    for cut in (False, True):
+        seen = np.unique(suffix_dedup.anchors(*suffix_dedup.column_bytes(table.column("text")), 100)[0])
+        rows = suffix_dedup.find_repeats(table, seen, np.full(len(seen), cut), 100, 1, 0)
+        got = suffix_dedup.apply_repeats(table, suffix_dedup._table(suffix_dedup.merge_segments(suffix_dedup._table(rows), 100)), 100, False)
+        want = brute_repeats(docs, 100)
+        assert [tuple(got[c][k] for c in ("n_bytes", "n_removed", "n_spans", "left")) for k, _ in docs] == [want[k] for k, _ in docs]
+    assert max(most) <= 6000
+
+
 def test_bwt_merge_finds_repeats():
     rng = np.random.default_rng(0)
     for _ in range(40):

@@ -14,7 +14,10 @@ that covers it also starts earlier.
    passage copied any number of times costs one segment for each block.
 3. Segments of an anchor meet in one task. Those of different blocks are different shards, the
    shards' transforms are merged by interleave refinement, and in each repeated interval
-   all windows but the earliest are repeats (bwt_merge).
+   all windows but the earliest are repeats (bwt_merge). Where one key has more than WIDE bytes of
+   them, as a string shorter than a window has in very many surroundings, they are cut again as in
+   step 2, one range of places of the anchor after another and in ever shorter parts, until what
+   meets is little or one string; no merge takes memory that grows with the corpus.
 4. The repeats go back to the blocks, which hold the texts.
 
 A null or empty text loses nothing and has no spans. Null ids come last. Rows of one id are
@@ -51,6 +54,8 @@ BLOCK_BYTES, BLOCKS = 8 << 20, 4
 HOT, PART = 4096, 20
 #: Bytes of segments that are merged together; anchors are never split.
 MERGE_BYTES = 56_000
+#: Bytes of one key's segments beyond which they are cut again, and windows of a part, from cut to cut.
+WIDE, FINER = 1 << 18, (PART, 4, 1)
 #: A window's place in a slice has this many bits; longer texts are cut into overlapping slices.
 PLACE_BITS = 24
 _BYTE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -187,19 +192,47 @@ def _row_keys(ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
     return mix(mix(ids.astype(np.uint64)) + ties.astype(np.uint64))
 
 
+def _part(c: int, size: int, key, start, windows, place, hashed, length: int) -> tuple[np.ndarray, ...]:
+    """(whether it has one, key, start, windows) of each segment's part c of `size` windows."""
+    lo, hi = np.maximum(start, place - (size * c + size - 1)), np.minimum(start + windows - 1, place - size * c)
+    has = lo <= hi
+    core = place[has] - size * c
+    own = hashed(core, core + length - size + 1).astype(np.uint64)
+    return has, mix(own + key[has].astype(np.uint64) * np.uint64(2 * c + 3)).astype(np.int64), lo[has], hi[has] - lo[has] + 1
+
+
 def _parts(key, start, windows, place, hashed, length: int) -> tuple[np.ndarray, ...]:
     """(key, start, windows) of segments cut by where their windows have the anchor, keyed by the bytes that
     all windows of a part share; hashed: the hash of [start, end)."""
-    out = []
-    for c in range(-(-(length - GRAM + 1) // PART)):
-        lo, hi = np.maximum(start, place - (PART * c + PART - 1)), np.minimum(start + windows - 1, place - PART * c)
-        has = lo <= hi
-        core = place[has] - PART * c
-        own = hashed(core, core + length - PART + 1).astype(np.uint64)
-        out.append((mix(own + key[has].astype(np.uint64) * np.uint64(2 * c + 3)).astype(np.int64), lo[has], hi[has] - lo[has] + 1))
+    out = [_part(c, PART, key, start, windows, place, hashed, length)[1:] for c in range(-(-(length - GRAM + 1) // PART))]
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _hasher(part: np.ndarray):
+    """The hash of [start, end) of part, by arrays of both."""
+    up, down = powers(len(part))
+    total = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
+    return lambda s, e: mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)).astype(np.int64)
+
+
+def _finer(data: np.ndarray, at: np.ndarray, windows: np.ndarray, key: np.ndarray, size: int, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(segment, windows before it, windows, key, hash) of parts of one key's segments at `at`: those with
+    the anchor in one range of places after another. Windows of different ranges are never equal."""
+    ends = np.cumsum(windows + length - 1)
+    cuts = [(a, b, np.concatenate([[0], ends[a:b] - (ends[a - 1] if a else 0)])) for a, b in slices(np.concatenate([[0], ends]), texts=len(at))]
+    bytes_of = lambda a, b: data[_ranges(at[a:b], windows[a:b] + length - 1)]
+    place = np.concatenate([anchors(bytes_of(a, b), own, length)[3] - own[:-1] for a, b, own in cuts])
+    for c in np.unique(np.concatenate([(place - k) // size for k in range(0, int(windows.max()), size)] + [(place - windows + 1) // size])):
+        if c < 0:
+            continue
+        got = []
+        for a, b, own in cuts:
+            has, k, lo, n = _part(int(c), size, key[a:b], own[:-1], windows[a:b], own[:-1] + place[a:b], hashed := _hasher(bytes_of(a, b)), length)
+            got.append((a + np.flatnonzero(has), lo - own[:-1][has], n, k, hashed(lo, lo + n + length - 1)))
+        yield tuple(np.concatenate(x) for x in zip(*got, strict=True))
+
+
 def find_repeats(table: pa.Table, repeated: np.ndarray, hot: np.ndarray, length: int, buckets: int, block: int) -> list[dict]:
     """Step 2 for one block: segments for step 3 (kind 0) and repeats already sure (kind 1).
 
@@ -218,10 +251,7 @@ def find_repeats(table: pa.Table, repeated: np.ndarray, hot: np.ndarray, length:
         key, start, windows, place = key[keep], start[keep], windows[keep], place[keep]
         if not len(key):
             continue
-        up, down = powers(len(part))
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
-        hashed = lambda s, e, total=total, down=down: mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)).astype(np.int64)
+        hashed = _hasher(part)
         cut = hot[at[keep]]
         if cut.any():
             parts = _parts(key[cut], start[cut], windows[cut], place[cut], hashed, length)
@@ -254,33 +284,43 @@ def merge_segments(table: pa.Table, length: int) -> list[dict]:
     key, id_, tie, start, windows, hashed = (_column(table, c, rows) for c in _SEGMENTS[:-1])
     data = _column(table, "data", rows, np.uint8)
     home = np.repeat(block[rows], [len(table.column("keys")[int(r)].as_py()) // 8 for r in rows]).astype(np.int64)
-    lengths = windows + length - 1
-    offs = np.concatenate([[0], np.cumsum(lengths)])
-    by, first = _collapsed((id_, tie, start), (key, hashed), data, offs[:-1], lengths)
-    again = by[~first]
-    found = [(again, start[again], windows[again])]
-    use = by[first]  # sorted by anchor
-    several = np.bincount(np.cumsum(np.concatenate([[0], key[use][1:] != key[use][:-1]]))) if len(use) else np.zeros(0, int)
-    use = use[np.repeat(several > 1, several)]  # an anchor with one segment has nothing to merge
-    if len(use):
-        change = np.concatenate([[True], key[use][1:] != key[use][:-1]])
+    offs = np.concatenate([[0], np.cumsum(windows + length - 1)])
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def meet(seg, skip, wins, key, hashed, finer):
+        """Finds repeats among parts of segments, each from the window `skip` on."""
+        at, begin, lengths = offs[seg] + skip, start[seg] + skip, wins + length - 1
+        by, first = _collapsed((id_[seg], tie[seg], begin), (key, hashed), data, at, lengths)
+        again = by[~first]
+        found.append((seg[again], begin[again], wins[again]))
+        use = by[first]  # sorted by key
+        several = np.bincount(np.cumsum(np.concatenate([[0], key[use][1:] != key[use][:-1]]))) if len(use) else np.zeros(0, int)
+        use = use[np.repeat(several > 1, several)]  # a key with one segment has nothing to merge
+        if not len(use):
+            return
         filled = np.cumsum(lengths[use])
-        group_end = np.concatenate([np.flatnonzero(change)[1:], [len(use)]])
-        at = 0
-        while at < len(use):
-            reach = filled[at - 1] if at else 0
-            ends = group_end[(group_end > at)]
-            to = int(ends[max(0, np.searchsorted(filled[ends - 1], reach + MERGE_BYTES, "right") - 1)])
-            u = use[at:to]
+        group_end = np.append(np.flatnonzero(key[use][1:] != key[use][:-1]) + 1, len(use))
+        done = 0
+        while done < len(use):
+            reach = filled[done - 1] if done else 0
+            g = int(np.searchsorted(group_end, done, "right"))
+            to = int(group_end[max(g, int(np.searchsorted(filled[group_end - 1], reach + MERGE_BYTES, "right")) - 1)])
+            u, done = use[done:to], to
+            sizes = [k for k in finer if k < wins[u].max() or k == 1]
+            if sizes and filled[to - 1] - reach > WIDE:
+                for part, on, n, k, h in _finer(data, at[u], wins[u], key[u], sizes[0], length):
+                    meet(seg[u][part], skip[u][part] + on, n, k, h, sizes[1:])
+                continue
             own = np.concatenate([[0], np.cumsum(lengths[u])])
-            _, rank = np.unique(home[u], return_inverse=True)
-            string, place, interval = repeated_intervals(data[_ranges(offs[u], lengths[u])], own, rank % SHARDS, length)
-            ok = place < windows[u][string]
-            seg, place, interval = u[string[ok]], place[ok], interval[ok]
-            by, first = _firsts((id_[seg], tie[seg], start[seg] + place), (interval,))
+            _, rank = np.unique(home[seg[u]], return_inverse=True)
+            string, place, interval = repeated_intervals(data[_ranges(at[u], lengths[u])], own, rank % SHARDS, length)
+            ok = place < wins[u][string]
+            s, place, interval = u[string[ok]], place[ok], interval[ok]
+            by, first = _firsts((id_[seg[s]], tie[seg[s]], begin[s] + place), (interval,))
             rest = by[~first]
-            found.append((seg[rest], start[seg[rest]] + place[rest], np.ones(len(rest), np.int64)))
-            at = to
+            found.append((seg[s[rest]], begin[s[rest]] + place[rest], np.ones(len(rest), np.int64)))
+
+    meet(np.arange(len(key)), np.zeros(len(key), np.int64), windows, key, hashed, FINER)
     seg, begin, count = (np.concatenate(c) for c in zip(*found, strict=True))
     out += [(k, id_[seg[m]], tie[seg[m]], begin[m], count[m]) for k in np.unique(home[seg]) for m in [home[seg] == k]]
     return [_pack(0, 2, int(k), ids=i, ties=t, starts=s, windows=w) for k, i, t, s, w in out if len(i)]
