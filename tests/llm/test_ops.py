@@ -581,3 +581,26 @@ def test_chat_conversation_too_large_for_a_record(spark, monkeypatch):
     got = {r.conv_id: r for r in chat_format.format_records(chat_format.from_rows(df)).withColumn("loss", chat_format.under_mask(F.col("formatted"), F.col("loss_mask"))).collect()}
     assert (got[1].layout, got[2].layout) == ("rows", "prompt_response")
     assert [tuple(t) for t in got[1].turns] == [("user", "x" * 90), ("assistant", "<y")] and {r.loss for r in got.values()} == {"<y"}
+
+
+def test_bpe_texts_are_encoded_without_the_collector():
+    import gc
+
+    ran = []
+    gc.callbacks.append(seen := lambda phase, info: ran.append(phase))
+    try:
+        with pytest.raises(ValueError, match="x"), byte_bpe.uncollected():
+            ran.clear()
+            kept = [[k] for k in range(200_000)]
+            assert len(kept) == 200_000 and not ran
+            raise ValueError("x")
+        assert gc.isenabled()
+    finally:
+        gc.callbacks.remove(seen)
+    memory = byte_bpe.Memory()
+    memory.put("a", ("1,2", b"a"))
+    memory.put("b", ("3", b"b"))
+    memory.trim({"b"}, 400)
+    assert memory.of == {"b": ("3", b"b")} and memory.size == byte_bpe.ENTRY + 2 + 1
+    memory.trim({"b"}, 10)
+    assert not memory.of and not memory.size

@@ -16,9 +16,12 @@ they are; other columns, whatever their names, are not read.
 from __future__ import annotations
 
 import base64
+import contextlib
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -317,26 +320,25 @@ def chunks(text: str) -> list[str]:
 
 
 class Memory:
-    """Decimal ids and decoded bytes of strings, while they fit in a share of REMEMBERED."""
+    """Decimal ids and decoded bytes of strings, in one entry each, while they fit in a share of REMEMBERED."""
 
     def __init__(self) -> None:
-        self.ids: dict[str, str] = {}
-        self.back: dict[str, bytes] = {}
+        self.of: dict[str, tuple[str, bytes]] = {}
         self.size = 0
 
-    def put(self, x: str, ids: str, back: bytes) -> None:
-        self.ids[x], self.back[x] = ids, back
-        self.size += ENTRY + 2 * len(x) + len(ids)
+    def put(self, x: str, got: tuple[str, bytes]) -> None:
+        self.of[x] = got
+        self.size += ENTRY + 2 * len(x) + len(got[0])
 
     def trim(self, used: set[str], most: int) -> None:
         """Beyond `most` bytes, forgets all but what is in use; if that alone is too much, all."""
         if self.size > most:
-            ids, back, self.ids, self.back, self.size = self.ids, self.back, {}, {}, 0
+            of, self.of, self.size = self.of, {}, 0
             for x in used:
-                if x in ids:
-                    self.put(x, ids[x], back[x])
+                if x in of:
+                    self.put(x, of[x])
             if self.size > most:
-                self.ids, self.back, self.size = {}, {}, 0
+                self.of, self.size = {}, 0
 
 
 class ChunkCache:
@@ -345,24 +347,25 @@ class ChunkCache:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.encoder, self.split = PrefixEncoder(vocabulary), regex.compile(pattern).findall
         self.first, self.later, self.pieces = Memory(), Memory(), Memory()
-
-    def decoded(self, ids: list[int]) -> bytes:
-        return b"".join([self.encoder.v.bytes[i] for i in ids])
+        self.decimal = [str(i) for i in range(len(vocabulary.bytes))]
 
     def learn(self, new: list[str], space: str, known: Memory) -> None:
         """Encodes chunks, each after `space`, and decodes their ids."""
         parts = [self.split(space + c) for c in new]
-        used = {p for x in parts for p in x}
+        used = set(chain.from_iterable(parts))
         self.pieces.trim(used, REMEMBERED // 4)
-        ids, back = self.pieces.ids, self.pieces.back
-        fresh = [p for p in used if p not in ids]
+        of, put = self.pieces.of, self.pieces.put
+        fresh = [p for p in used if p not in of]
+        decimal, decoded = self.decimal.__getitem__, self.encoder.v.bytes.__getitem__
         for p, got in zip(fresh, self.encoder.encode_many([p.encode() for p in fresh]), strict=True):
-            self.pieces.put(p, ",".join(map(str, got)), self.decoded(got))
+            put(p, (",".join(map(decimal, got)), b"".join(map(decoded, got))))
+        put = known.put
         for c, x in zip(new, parts, strict=True):
             if len(x) == 1:
-                known.put(c, ids[x[0]], back[x[0]])
+                put(c, of[x[0]])
             else:
-                known.put(c, ",".join([ids[p] for p in x]), b"".join([back[p] for p in x]))
+                both = [of[p] for p in x]
+                put(c, (",".join([i for i, _ in both]), b"".join([k for _, k in both])))
         self.pieces.trim(set(), REMEMBERED // 4)
 
     def texts(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
@@ -372,18 +375,29 @@ class ChunkCache:
         long: list[tuple[Memory, str]] = []
         for known, used, space in ((self.first, set(heads), ""), (self.later, set().union(*cuts), " ")):
             known.trim(used, REMEMBERED // 2)
-            new = list(used - known.ids.keys())
+            new = [c for c in used if c not in known.of]
             self.learn(new, space, known)
             long += [(known, c) for c in new if len(c) > SHORT]
-        head_ids, head_back, ids, back = self.first.ids, self.first.back, self.later.ids, self.later.back
+        first, later = self.first.of, self.later.of
         for head, cut in zip(heads, cuts, strict=True):
-            parts = list(map(ids.__getitem__, cut))
+            parts = list(map(later.__getitem__, cut))
             if head:
-                parts.insert(0, head_ids[head])
-            yield ",".join(parts), head_back[head] + b"".join(map(back.__getitem__, cut))
+                parts.insert(0, first[head])
+            yield ",".join([i for i, _ in parts]), b"".join([k for _, k in parts])
         for known, c in long:
-            known.size -= ENTRY + 2 * len(c) + len(known.ids.pop(c))
-            del known.back[c]
+            known.size -= ENTRY + 2 * len(c) + len(known.of.pop(c)[0])
+
+
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the collector of cycles: texts make very many lists, which it would walk again and again, and no cycle."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 KEPT["byte_bpe"] = _WORKER.clear
@@ -415,10 +429,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             _, offs = column_bytes(batch.column(1))
             for at, to in slices(offs, TOGETHER):
                 n, first, second = [], [], []
-                for ids, back in cache.texts([t or "" for t in batch.column(1).slice(at, to - at).to_pylist()]):
-                    n.append(ids.count(",") + 1 if ids else 0)
-                    first.append(hashlib.sha256(ids.encode()).hexdigest() if digests else ids)
-                    second.append(hashlib.sha256(back).hexdigest() if digests else back.decode())
+                with uncollected():
+                    for ids, back in cache.texts([t or "" for t in batch.column(1).slice(at, to - at).to_pylist()]):
+                        n.append(ids.count(",") + 1 if ids else 0)
+                        first.append(hashlib.sha256(ids.encode()).hexdigest() if digests else ids)
+                        second.append(hashlib.sha256(back).hexdigest() if digests else back.decode())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
